@@ -49,6 +49,14 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def spread(df: DataFrame, mb_of_text: str | None = None) -> int:
-    """Shuffle partitions the session asks for; operators that repartition explicitly use the same number."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 64 << 20) -> None:
+    """Bound what one Arrow batch to a Python worker holds, in rows and bytes, unless the session has set less."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        try:
+            now = int(str(spark.conf.get(key, str(most))).rstrip("bB") or most)
+        except ValueError:
+            now = most
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
