@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 
@@ -22,6 +22,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_dups
+
+    return near_dups(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import secret_scan
 
@@ -40,6 +46,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), weights=[1.0] * 16)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import format_chat, read_back
 
@@ -49,6 +61,14 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chat(rows.unionByName(extra)))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.col("mix_prob").alias("prob"), F.col("mix_kept").alias("kept")
+    )
+
+
 #: Fixed values: (verdict, host and path).
 URL_RULES = [
     ("allow", "org/"),
@@ -61,13 +81,50 @@ URL_RULES = [
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_simhash": op4_simhash,
     "op5_secret_scan": op5_secret_scan,
     "op6_url_filter": op6_url_filter,
     "op7_sharding": op7_sharding,
+    "op8_decontaminate": op8_decontaminate,
     "op9_chat_format": op9_chat_format,
+    "op10_mixing": op10_mixing,
 }
 
+
+
+def _mixing_sql(documents: str = "documents", rounds: int = 8) -> str:
+    """CTEs that end in mix_rows(doc_id, mix_source, mix_lang, mix_topic, mix_tokens, prob, kept), as DuckDB SQL."""
+    temper = {"mix_source": 0.8, "mix_lang": 0.8, "mix_topic": 0.9}
+    ctes = [
+        f"""mix_docs AS (
+            SELECT doc_id, coalesce(source, '') AS mix_source, coalesce(lang, '') AS mix_lang,
+                   CASE WHEN contains(t, ' | ') THEN 'table' WHEN contains(t, '!! ') THEN 'shout'
+                        WHEN contains(t, '$$$ ') OR contains(t, '%%% ') THEN 'symbols'
+                        WHEN strlen(t) < 600 THEN 'short' WHEN strlen(t) < 6000 THEN 'prose' ELSE 'long' END AS mix_topic,
+                   CAST(greatest(1, ceil(strlen(t) / 4.0)) AS BIGINT) AS mix_tokens
+            FROM (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM {documents}))""",
+        "mix_cells AS (SELECT mix_source, mix_lang, mix_topic, CAST(sum(mix_tokens) AS DOUBLE) AS tokens FROM mix_docs GROUP BY ALL)",
+    ]
+    for d, t in temper.items():
+        ctes.append(f"target_{d} AS (SELECT {d}, raw / sum(raw) OVER () AS target_{d} FROM (SELECT {d}, pow(sum(tokens), {t}) AS raw FROM mix_cells GROUP BY {d}))")
+    ctes.append("mix_0 AS (SELECT *, tokens AS weight FROM mix_cells JOIN target_mix_source USING (mix_source) JOIN target_mix_lang USING (mix_lang) JOIN target_mix_topic USING (mix_topic))")
+    n = 0
+    for _ in range(rounds):
+        for d in temper:
+            n += 1
+            ctes.append(f"mix_{n} AS MATERIALIZED (SELECT * EXCLUDE (weight), weight * target_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight FROM mix_{n - 1})")
+    ctes.append(f"mix_prob AS (SELECT mix_source, mix_lang, mix_topic, round((weight / tokens) / max(weight / tokens) OVER (), 9) AS prob FROM mix_{n})")
+    ctes.append(
+        """mix_rows AS (
+            SELECT doc_id, mix_source, mix_lang, mix_topic, mix_tokens, prob,
+                   CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 < prob AS kept
+            FROM mix_docs JOIN mix_prob USING (mix_source, mix_lang, mix_topic))"""
+    )
+    return ",\n".join(ctes)
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_mixing": f"WITH {_mixing_sql()} SELECT * FROM mix_rows",
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id,

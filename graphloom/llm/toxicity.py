@@ -146,7 +146,7 @@ def learn_lexicon(texts: list[str], toxic: list[int], most_terms: int = 400, lea
     explains; its strength is a third of the lift's log10.
     """
     docs = [{w for w in WORD.findall(t.lower()) if not w.isdigit()} for t in texts]
-    grams = lambda words: set(words) | {w[:k] + "*" for w in words for k in range(3, min(9, len(w)) + 1)}
+    grams = lambda words: set(words) | {w[:k] + "*" for w in words for k in range(4, min(9, len(w)) + 1)}
     holds: dict[str, set[int]] = defaultdict(set)
     for i, (words, y) in enumerate(zip(docs, toxic, strict=True)):
         if y:
