@@ -24,10 +24,10 @@ def rendezvous(key: Column, weights: list[float], first: int = 0) -> Column:
     return F.array_max(F.array(*pairs))
 
 
-def shard(docs: DataFrame, weights: list[float], id_col: str = "doc_id", text_col: str = "text", added_weight: float = 1.0, slot_buckets: int = 1024) -> DataFrame:
+def shard(docs: DataFrame, weights: list[float], id_col: str = "doc_id", text_col: str = "text", added_weight: float = 1.0, slot_buckets: int = 1024, carry: tuple[str, ...] = ()) -> DataFrame:
     """Shard and slot of every row under the ``key`` law, and the shard if one more came.
 
-    Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard``. Size is
+    Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard`` and the ``carry`` columns. Size is
     the text's UTF-8 bytes plus 1; a null text counts as empty. Null identifiers share one
     key. Repeated rows fall into one shard with different slots. Slots are
     gapless from 0 within a shard: rows are numbered within hash buckets of a shard and
@@ -37,6 +37,7 @@ def shard(docs: DataFrame, weights: list[float], id_col: str = "doc_id", text_co
     key = F.col(id_col)
     text = text_or_empty(text_col)
     rows = docs.select(
+        *(F.col(c).alias(f"carried_{c}") for c in carry),
         key.alias("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text).alias("text_crc32"),
@@ -56,4 +57,5 @@ def shard(docs: DataFrame, weights: list[float], id_col: str = "doc_id", text_co
         "shard",
         (F.col("offset") + F.col("nth") - 1).cast("long").alias("slot"),
         F.when(F.col("added") > F.col("best.score"), F.lit(len(weights))).otherwise(F.col("shard")).cast("int").alias("grown_shard"),
+        *(F.col(f"carried_{c}").alias(c) for c in carry),
     )

@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import bounded_batches, staged
 
@@ -57,15 +57,20 @@ def fingerprint(text: str, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """``doc_id, fp`` (fp: the 64 bits as a signed long) of every row."""
+    """``doc_id, mark, fp`` of every row (mark: a hash of identifier and text; fp: the 64 bits as a signed long)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([fingerprint(t, words) for t in batch["text"].fillna("")], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "mark": batch["mark"], "fp": fp.view(np.int64)})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_mark(id_col, text_col).alias("mark"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "doc_id long, mark long, fp long")
+
+
+def row_mark(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
 
 
 def blocks_for(n: int, k: int) -> int:
@@ -183,7 +188,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 
 
 def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, k: int = 4) -> DataFrame:
-    """Fingerprint and component of every row: ``doc_id, fingerprint, component_id``.
+    """Fingerprint and component of every row: ``doc_id, fingerprint, component_id, mark``.
 
     Null, empty and blank texts have fingerprint zero and are linked like others.
     Repeated rows and texts share a fingerprint and so a component. A null identifier
@@ -196,4 +201,16 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInPandas(link_buckets(k), "u long, v long")
     joined = reps.join(components(links), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return found.join(joined, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.join(joined, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "mark")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, k: int = 4) -> DataFrame:
+    """The rows whose identifier is their component's, with their own columns: one document of each group.
+
+    Of rows repeated with one identifier and text one stays. Rows with a null identifier stay only where no
+    row of their component has one.
+    """
+    found = near_dups(docs, id_col, text_col, words, k)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("mark").alias("_mark")).distinct()
+    rows = docs.withColumn("_mark", row_mark(id_col, text_col)).join(kept, "_mark", "left_semi")
+    return rows.dropDuplicates(["_mark"]).drop("_mark")
