@@ -12,9 +12,9 @@ highly repetitive text costs one row a phrase and no byte is sorted.
 
 Suffix arrays. Entries that occur once but share their right context with other entries are compared by their
 bytes: the entries of one right context meet in one task, the suffixes of all their contexts
-are sorted to the depth of ``length`` by prefix doubling (each rank array is the suffix array's
+are sorted to the depth of ``length`` by prefix tripling (each rank array is the suffix array's
 inverse at that depth), and starts whose suffix shares ``length`` bytes with a neighbour
-in that order are repeated. A right context with more than ``group_limit`` entries is not brought to one task: each of its
+in that order are repeated; a few entries are compared directly. A right context with more than ``group_limit`` entries is not brought to one task: each of its
 starts becomes a row keyed by the 128-bit digest of its string, counted with map-side combining.
 
 All shuffles carry phrases, not bytes, except the contexts of unsettled entries and one
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -91,43 +92,109 @@ def parse_texts(length: int, window: int):
         signed = lambda x: x - (1 << 64) if x >> 63 else x
         for batch in batches:
             doc, mark, texts = batch["doc"].tolist(), batch["mark"].tolist(), batch["body"].tolist()
-            rows = [(doc[k], mark[k], lo, hi, s, signed(xxhash.xxh3_64_intdigest(t[s : s + right])), xxhash.xxh3_128_digest(t[lo : hi + length], s - lo)) for k, lo, hi, s, t in phrases(texts, length, window)]
-            for a in range(0, len(rows), 100_000):
-                yield pd.DataFrame(rows[a : a + 100_000], columns=["doc", "mark", "lo", "hi", "s", "rh", "fh"])
+            found = ((doc[k], mark[k], lo, hi, s, signed(xxhash.xxh3_64_intdigest(t[s : s + right])), xxhash.xxh3_128_digest(t[lo : hi + length], s - lo)) for k, lo, hi, s, t in phrases(texts, length, window))
+            while rows := list(islice(found, 50_000)):
+                yield pd.DataFrame(rows, columns=["doc", "mark", "lo", "hi", "s", "rh", "fh"])
 
     return run
 
 
-def repeated_starts(contexts: list[bytes], counts: list[int], length: int) -> np.ndarray:
-    """Of the first counts[k] suffixes of each context, in order: whether another of them shares its first ``length`` bytes."""
-    buf = np.frombuffer(b"".join(contexts) + bytes(length), np.uint8)
-    rank, depth = buf.astype(np.int64), 1
-    pair = lambda a, b: np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1]
-    while 2 * depth <= length:
-        rank = pair(rank[:-depth], rank[depth:])
-        depth *= 2
+def suffix_ranks(buf: np.ndarray, length: int) -> tuple[np.ndarray, int]:
+    """(ranks of all suffixes by their first ``depth`` bytes, depth), for the greatest depth up to ``length``. A suffix array's inverse, by tripling.
+
+    Eight bytes are packed into the first keys; then three ranks of under 2**21 make the next. buf: under 2**21 bytes.
+    """
+    packed = buf.astype(np.uint64)
+    for step in (1, 2, 4):
+        packed = (packed[:-step] << np.uint64(8 * step)) | packed[step:]
+    rank, depth = np.unique(packed, return_inverse=True)[1], 8
+    while 3 * depth <= length:
+        key = (rank[: -2 * depth] << 42) | (rank[depth:-depth] << 21) | rank[2 * depth :]
+        rank, depth = np.unique(key, return_inverse=True)[1], 3 * depth
+    return rank, depth
+
+
+def starts_in_order(contexts: list[bytes], length: int) -> list[np.ndarray]:
+    """For each context, which of its starts have a string that another start of these contexts has, by suffix array."""
+    buf = np.frombuffer(b"".join(contexts), np.uint8)
+    rank, depth = suffix_ranks(buf, length)
     sizes = np.array([len(c) for c in contexts])
-    base, counts = np.cumsum(sizes) - sizes, np.array(counts)
+    counts = sizes - length + 1
+    base = np.cumsum(sizes) - sizes
     at = np.repeat(base - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    whole = rank[at] if depth == length else pair(rank[at], rank[at + length - depth])
-    return np.bincount(whole)[whole] > 1
+    whole, reach = rank[at], depth
+    while reach < length:  # the strings are joined from overlapping ranks
+        step = min(reach, length - depth)
+        whole = np.unique((whole << 21) | rank[at + step], return_inverse=True)[1]
+        reach = step + depth
+    again = np.bincount(whole)[whole] > 1
+    return np.split(again, np.cumsum(counts)[:-1])
 
 
-def resolve(length: int, most_bytes: int = 6 << 20):
-    """Sorted rows rh, doc, mark, lo, own, context -> spans of own repeated starts. Right contexts stay together; several are sorted at once."""
+def starts_by_pairs(contexts: list[bytes], triggers_at: list[int], groups: np.ndarray, length: int, window: int) -> list[np.ndarray]:
+    """The same for small groups (numbers in order): common bytes to the left and right of the triggers, by lag within a group.
 
-    def spans(part: pd.DataFrame) -> pd.DataFrame:
-        contexts = part["context"].tolist()
-        counts = [len(c) - length + 1 for c in contexts]
-        again = repeated_starts(contexts, counts, length)
-        rows, at = [], 0
-        for doc, mark, lo, own, n in zip(part["doc"].tolist(), part["mark"].tolist(), part["lo"].tolist(), part["own"].tolist(), counts, strict=True):
-            if own:
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], again[at : at + n].view(np.int8), [0]))))
+    Two contexts share the strings that start a bytes before their triggers for all a up to the bytes common on the left, while
+    length - a bytes are common on the right.
+    """
+    n = len(contexts)
+    left, right = np.zeros((n, window), np.uint8), np.zeros((n, length), np.uint8)
+    room = np.array(triggers_at)
+    tail = np.array([len(c) for c in contexts]) - room
+    for i, (c, s) in enumerate(zip(contexts, triggers_at, strict=True)):
+        if s:
+            left[i, :s] = np.frombuffer(c[:s], np.uint8)[::-1]
+        right[i, : len(c) - s] = np.frombuffer(c[s:], np.uint8)
+    marks = np.zeros((n, window + 2), np.int32)
+    common = lambda m, i, j: np.where((d := m[i] != m[j]).any(axis=1), d.argmax(axis=1), m.shape[1])
+    lag, i = 1, np.flatnonzero(groups[1:] == groups[:-1])
+    while len(i):
+        for part in np.array_split(i, -(-len(i) // 4096)):
+            j = part + lag
+            most = np.minimum(common(left, part, j), np.minimum(room[part], room[j]))
+            least = np.maximum(0, length - np.minimum(common(right, part, j), np.minimum(tail[part], tail[j])))
+            good = least <= most
+            for side in (part[good], j[good]):
+                np.add.at(marks, (side, least[good]), 1)
+                np.add.at(marks, (side, most[good] + 1), -1)
+        lag += 1
+        i = i[i + lag < n]
+        i = i[groups[i] == groups[i + lag]]
+    shared = np.cumsum(marks, axis=1) > 0  # by bytes before the trigger
+    return [shared[k, s - np.arange(len(contexts[k]) - length + 1)] for k, s in enumerate(triggers_at)]
+
+
+def resolve(length: int, window: int, small: int, most_bytes: int = 1 << 20):
+    """Sorted rows rh, kinds, doc, mark, lo, s, own, context -> spans of own repeated starts; a right context's rows stay together."""
+
+    def spans(part: pd.DataFrame, again: list[np.ndarray]) -> pd.DataFrame:
+        rows = []
+        for doc, mark, lo, own, hits in zip(part["doc"].tolist(), part["mark"].tolist(), part["lo"].tolist(), part["own"].tolist(), again, strict=True):
+            if own and hits.any():
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], hits.view(np.int8), [0]))))
                 rows += [(doc, mark, lo + a, lo + b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-            at += n
         return pd.DataFrame(rows, columns=["doc", "mark", "start", "end"])
 
+    def ordered(rows: pd.DataFrame) -> pd.DataFrame:
+        return spans(rows, starts_in_order(rows["context"].tolist(), length))
+
+    def settle(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        few = rows["kinds"] <= small
+        pairs, many = rows[few], rows[~few]
+        if len(pairs):
+            yield spans(pairs, starts_by_pairs(pairs["context"].tolist(), (pairs["s"] - pairs["lo"]).tolist(), pairs["rh"].to_numpy(), length, window))
+        held: list[pd.DataFrame] = []
+        size = 0
+        for _, group in many.groupby("rh", sort=False):  # a group is under 2**21 bytes by its limit
+            more = int(group["context"].str.len().sum())
+            if held and size + more >= 1 << 21:
+                yield ordered(pd.concat(held))
+                held, size = [], 0
+            held.append(group)
+            size += more
+        if held:
+            yield ordered(pd.concat(held))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         size = 0
@@ -138,14 +205,13 @@ def resolve(length: int, most_bytes: int = 6 << 20):
             size += int(batch["context"].str.len().sum())
             if size >= most_bytes:
                 rows = pd.concat(held, ignore_index=True)
-                last = rows["rh"].iloc[-1]
-                done = rows[rows["rh"] != last]
-                if len(done):
-                    yield spans(done)
-                    held = [rows[rows["rh"] == last]]
+                tail = rows["rh"] == rows["rh"].iloc[-1]
+                if not tail.all():
+                    yield from settle(rows[~tail])
+                    held = [rows[tail]]
                     size = int(held[0]["context"].str.len().sum())
         if held:
-            yield spans(pd.concat(held, ignore_index=True))
+            yield from settle(pd.concat(held, ignore_index=True))
 
     return run
 
@@ -192,7 +258,7 @@ def cut_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame
 
 
-def repeated_spans(keyed: DataFrame, length: int, window: int, group_limit: int) -> DataFrame:
+def repeated_spans(keyed: DataFrame, length: int, window: int, pair_limit: int, group_limit: int) -> DataFrame:
     """``doc, mark, start, end`` of byte spans that repeated strings cover; keyed: rows doc, mark, body (binary)."""
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parsed = staged(keyed.select("doc", "mark", "body").mapInPandas(parse_texts(length, window), PHRASE), "phrases")
@@ -201,21 +267,21 @@ def repeated_spans(keyed: DataFrame, length: int, window: int, group_limit: int)
     entries = staged(shared.groupBy("rh", "fh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "mark", "lo", "hi", "s")).alias("one")), "dictionary")
     settled = shared.join(entries.where("n > 1").select("rh", "fh"), ["rh", "fh"], "left_semi").select("doc", "mark", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
     groups = entries.groupBy("rh").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("fewest")).where("kinds > 1 AND fewest = 1")
-    open_entries = entries.join(groups, "rh").select("rh", "kinds", (F.col("n") == 1).alias("own"), "one.doc", "one.mark", "one.lo", "one.hi")
-    wanted = open_entries.groupBy("doc", "mark").agg(F.collect_list(F.struct("rh", "kinds", "own", "lo", "hi")).alias("open"))  # at most a text's phrases
+    open_entries = entries.join(groups, "rh").select("rh", "kinds", (F.col("n") == 1).alias("own"), "one.doc", "one.mark", "one.lo", "one.hi", "one.s")
+    wanted = open_entries.groupBy("doc", "mark").agg(F.collect_list(F.struct("rh", "kinds", "own", "lo", "hi", "s")).alias("open"))  # at most a text's phrases
     # repeated rows send a context twice; only entries that occur twice can be such, and those aren't own
     contexts = staged(
         keyed.join(wanted, ["doc", "mark"])
         .select("doc", "mark", "body", F.explode("open").alias("o"))
-        .select("doc", "mark", "o.rh", "o.kinds", "o.own", "o.lo", F.substring(F.col("body"), F.col("o.lo") + 1, F.col("o.hi") - F.col("o.lo") + length).alias("context")),
+        .select("doc", "mark", "o.rh", "o.kinds", "o.own", "o.lo", "o.s", F.substring(F.col("body"), F.col("o.lo") + 1, F.col("o.hi") - F.col("o.lo") + length).alias("context")),
         "open-contexts",
     )
     ranked = (
         contexts.where(F.col("kinds") <= group_limit)
-        .select("rh", "doc", "mark", "lo", "own", "context")
+        .select("rh", "kinds", "doc", "mark", "lo", "s", "own", "context")
         .repartition(parts, "rh")
         .sortWithinPartitions("rh")
-        .mapInPandas(resolve(length), "doc long, mark long, start int, end int")
+        .mapInPandas(resolve(length, window, pair_limit), "doc long, mark long, start int, end int")
     )
     starts = contexts.where(F.col("kinds") > group_limit).select("doc", "mark", "lo", "own", "context").mapInPandas(digests(length), "doc long, mark long, start int, own boolean, digest binary")
     again = starts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
@@ -223,7 +289,7 @@ def repeated_spans(keyed: DataFrame, length: int, window: int, group_limit: int)
     return settled.unionByName(ranked).unionByName(hot)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, window: int = 192, group_limit: int = 20_000) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, window: int = 192, pair_limit: int = 64, group_limit: int = 2_000) -> DataFrame:
     """What to remove from every row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans``.
 
     A byte goes if a ``length``-byte string that covers it also starts anywhere else in the column, in
@@ -231,10 +297,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     identifier and text, so repeated identifiers are safe, and repeated rows count as copies of each
     other. A null identifier stays null. An empty table gives no rows.
     """
+    if window < 2 or window + GRAM - 1 > length or group_limit * (length + window) >= 1 << 21:
+        raise ValueError("a window's grams must fit in the length, and group_limit contexts in 2**21 bytes")
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc"), F.xxhash64(F.col(id_col), text).alias("mark"), text.cast("binary").alias("body"))
-    spans = repeated_spans(keyed, length, window, group_limit)
+    spans = repeated_spans(keyed, length, window, pair_limit, group_limit)
     lists = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     rows = keyed.join(lists, ["doc", "mark"], "left").select(
         "doc_id",
