@@ -201,7 +201,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 2000, max_clean: int = 6000, max_chars: int = 100_000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 800, max_clean: int = 2000, max_chars: int = 50_000) -> ToxicityModel:
     """Learn lexicon and weights from labelled rows that aren't held out.
 
     The sample is bounded: ``max_toxic`` and ``max_clean`` rows with the smallest hashes, of at most
