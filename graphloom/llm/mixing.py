@@ -43,9 +43,9 @@ def uniform(id_col: Column, salt: str) -> Column:
 
 def tempered_targets(cells: DataFrame, dim: str, temper: float) -> DataFrame:
     """Target shares of a dimension's values: present token shares to the power ``temper``, scaled to add up to one."""
-    shares = cells.groupBy(dim).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("raw")).withColumn("one", F.lit(1))
-    total = shares.groupBy("one").agg(F.sum("raw").alias("total"))  # one row
-    return shares.join(F.broadcast(total), "one").select(dim, (F.col("raw") / F.col("total")).alias(f"target_{dim}"))
+    shares = cells.groupBy(dim).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("raw"))
+    total = shares.agg(F.sum("raw")).first()[0] or 1.0
+    return shares.select(dim, (F.col("raw") / F.lit(total)).alias(f"target_{dim}"))
 
 
 def rake(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], rounds: int = 8) -> DataFrame:
@@ -61,11 +61,11 @@ def rake(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], round
     return table.select(*dims, "tokens", "weight")
 
 
-def probabilities(cells: DataFrame) -> DataFrame:
-    """Adds ``prob`` to raked cells: weight by token, over the largest."""
-    ratio = cells.withColumn("ratio", F.col("weight") / F.col("tokens")).withColumn("one", F.lit(1))
-    most = ratio.groupBy("one").agg(F.max("ratio").alias("most"))  # one row
-    return ratio.join(F.broadcast(most), "one").withColumn("prob", F.round(F.when(F.col("most") > 0, F.col("ratio") / F.col("most")).otherwise(0.0), 9)).drop("one", "ratio", "most")
+def probabilities(raked: DataFrame) -> DataFrame:
+    """Adds ``prob`` to raked cells, a table that is read twice: weight by token, over the largest."""
+    ratio = F.col("weight") / F.col("tokens")
+    most = raked.agg(F.max(ratio)).first()[0] or 1.0
+    return raked.withColumn("prob", F.round(ratio / F.lit(most), 9))
 
 
 DIMS = ["mix_source", "mix_lang", "mix_topic"]
@@ -86,6 +86,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", temper: dict[str, float] | None
     rows = with_cells(docs, source_col, lang_col, text_col)
     cells = staged(rows.groupBy(*DIMS).agg(F.sum("mix_tokens").alias("tokens")), "mix-cells")
     raked = rake(cells, DIMS, {d: tempered_targets(cells, d, temper[d]) for d in DIMS}, rounds)
-    table = staged(probabilities(raked).select(*DIMS, F.col("prob").alias("mix_prob")), "mix-probabilities")
-    side = F.broadcast(table) if table.count() <= broadcast_cells else table  # otherwise a shuffled join, whose skew Spark splits
+    table = probabilities(staged(raked, "mix-raked")).select(*DIMS, F.col("prob").alias("mix_prob"))
+    side = F.broadcast(table) if cells.count() <= broadcast_cells else table  # otherwise a shuffled join, whose skew Spark splits
     return rows.join(side, DIMS).withColumn("mix_u", uniform(F.col(id_col), salt)).withColumn("mix_kept", F.col("mix_u") < F.col("mix_prob"))
