@@ -57,11 +57,11 @@ def triggers(buf: np.ndarray, window: int) -> np.ndarray:
 
 
 def phrases(texts: list[bytes], length: int, window: int) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(text number, lo, hi, s, the text) of every phrase of texts of ``length`` bytes or more, a few MB at a time."""
+    """(text number, lo, hi, s, the text) of every phrase of texts of ``length`` bytes or more, about a MB at a time."""
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= 4 << 20):
+        while end < len(texts) and (end == at or size + len(texts[end]) <= 1 << 20):
             size += len(texts[end])
             end += 1
         chosen = [k for k in range(at, end) if len(texts[k]) >= length]
@@ -82,7 +82,22 @@ def phrases(texts: list[bytes], length: int, window: int) -> Iterator[tuple[int,
             yield chosen[k], lo - b, hi - b, s - b, texts[chosen[k]]
 
 
-PHRASE = "doc long, mark long, lo int, hi int, s int, rh long, fh binary"
+#: n equal phrases that follow each other: lo, hi and s of the first, upto: hi of the last.
+PHRASE = "doc long, mark long, lo int, hi int, s int, rh long, fh binary, n long, upto int"
+
+
+def runs_of_equals(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Phrases of one text in order, with equal ones that follow each other (periodic text) as one row."""
+    held = None
+    for row in rows:
+        if held is not None and row[:2] == held[:2] and row[5] == held[5] and row[6] == held[6]:
+            held[7], held[8] = held[7] + 1, row[3]
+            continue
+        if held is not None:
+            yield tuple(held)
+        held = [*row, 1, row[3]]
+    if held is not None:
+        yield tuple(held)
 
 
 def parse_texts(length: int, window: int):
@@ -93,8 +108,9 @@ def parse_texts(length: int, window: int):
         for batch in batches:
             doc, mark, texts = batch["doc"].tolist(), batch["mark"].tolist(), batch["body"].tolist()
             found = ((doc[k], mark[k], lo, hi, s, signed(xxhash.xxh3_64_intdigest(t[s : s + right])), xxhash.xxh3_128_digest(t[lo : hi + length], s - lo)) for k, lo, hi, s, t in phrases(texts, length, window))
-            while rows := list(islice(found, 50_000)):
-                yield pd.DataFrame(rows, columns=["doc", "mark", "lo", "hi", "s", "rh", "fh"])
+            found = runs_of_equals(found)
+            while rows := list(islice(found, 20_000)):
+                yield pd.DataFrame(rows, columns=["doc", "mark", "lo", "hi", "s", "rh", "fh", "n", "upto"])
 
     return run
 
@@ -185,9 +201,9 @@ def resolve(length: int, window: int, small: int, most_bytes: int = 1 << 20):
             yield spans(pairs, starts_by_pairs(pairs["context"].tolist(), (pairs["s"] - pairs["lo"]).tolist(), pairs["rh"].to_numpy(), length, window))
         held: list[pd.DataFrame] = []
         size = 0
-        for _, group in many.groupby("rh", sort=False):  # a group is under 2**21 bytes by its limit
+        for _, group in many.groupby("rh", sort=False):  # a group is under 2**21 bytes by its limit; several are sorted at once
             more = int(group["context"].str.len().sum())
-            if held and size + more >= 1 << 21:
+            if held and size + more >= 5 << 18:
                 yield ordered(pd.concat(held))
                 held, size = [], 0
             held.append(group)
@@ -221,9 +237,9 @@ def digests(length: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc, mark, lo, own, c in zip(batch["doc"], batch["mark"], batch["lo"], batch["own"], batch["context"], strict=True):
-                n = len(c) - length + 1
-                yield pd.DataFrame({"doc": doc, "mark": mark, "start": np.arange(lo, lo + n, dtype=np.int32), "own": own, "digest": [xxhash.xxh3_128_digest(c[i : i + length]) for i in range(n)]})
+            starts = ((doc, mark, lo + i, own, xxhash.xxh3_128_digest(c[i : i + length])) for doc, mark, lo, own, c in zip(*(batch[k].tolist() for k in ("doc", "mark", "lo", "own", "context")), strict=True) for i in range(len(c) - length + 1))
+            while rows := list(islice(starts, 20_000)):
+                yield pd.DataFrame(rows, columns=["doc", "mark", "start", "own", "digest"])
 
     return run
 
@@ -262,10 +278,11 @@ def repeated_spans(keyed: DataFrame, length: int, window: int, pair_limit: int,
     """``doc, mark, start, end`` of byte spans that repeated strings cover; keyed: rows doc, mark, body (binary)."""
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parsed = staged(keyed.select("doc", "mark", "body").mapInPandas(parse_texts(length, window), PHRASE), "phrases")
-    twice = parsed.groupBy("rh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rh")
+    # the keys are staged so that both sides of the join are plain exchanges, of which Spark splits hot partitions
+    twice = staged(parsed.groupBy("rh").agg(F.sum("n").alias("n")).where("n > 1").select("rh"), "shared-contexts")
     shared = staged(parsed.join(twice, "rh", "left_semi"), "shared-phrases")
-    entries = staged(shared.groupBy("rh", "fh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "mark", "lo", "hi", "s")).alias("one")), "dictionary")
-    settled = shared.join(entries.where("n > 1").select("rh", "fh"), ["rh", "fh"], "left_semi").select("doc", "mark", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
+    entries = staged(shared.groupBy("rh", "fh").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "mark", "lo", "hi", "s")).alias("one")), "dictionary")
+    settled = shared.join(entries.where("n > 1").select("rh", "fh"), ["rh", "fh"], "left_semi").select("doc", "mark", F.col("lo").alias("start"), (F.col("upto") + length).alias("end"))
     groups = entries.groupBy("rh").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("fewest")).where("kinds > 1 AND fewest = 1")
     open_entries = entries.join(groups, "rh").select("rh", "kinds", (F.col("n") == 1).alias("own"), "one.doc", "one.mark", "one.lo", "one.hi", "one.s")
     wanted = open_entries.groupBy("doc", "mark").agg(F.collect_list(F.struct("rh", "kinds", "own", "lo", "hi", "s")).alias("open"))  # at most a text's phrases
