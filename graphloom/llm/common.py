@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Spark 4.1's partitioning of unions can be wrong for the aggregates and windows above them
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -84,6 +84,8 @@ def blocks_for(n: int, k: int) -> int:
 def bucket_keys(b: int, k: int) -> list:
     """Columns of the keys of ``fp``: for each choice of b - k blocks, their bits under the choice's number."""
     edges = [round(64 * i / b) for i in range(b + 1)]
+    if b == 1:
+        return [F.col("fp")]
     block = lambda i: F.shiftrightunsigned(F.col("fp"), edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
     keys = []
     for number, chosen in enumerate(combinations(range(b), b - k)):
