@@ -80,7 +80,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", temper: dict[str, float] | None
     """All rows with ``mix_source, mix_lang, mix_topic, mix_tokens, mix_prob, mix_u, mix_kept`` added.
 
     Null sources and languages form a value of their own (empty); null texts have one token. Rows with
-    one identifier share a decision only within a cell. Existing columns with these names are replaced. An empty table gives no rows.
+    one identifier share a decision only within a cell. Existing columns whose names start with ``mix_`` are dropped. An empty table gives no rows.
     """
     temper = temper or {"mix_source": 0.8, "mix_lang": 0.8, "mix_topic": 0.9}
     rows = with_cells(docs, source_col, lang_col, text_col)
@@ -88,4 +88,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", temper: dict[str, float] | None
     raked = rake(cells, DIMS, {d: tempered_targets(cells, d, temper[d]) for d in DIMS}, rounds)
     table = probabilities(staged(raked, "mix-raked")).select(*DIMS, F.col("prob").alias("mix_prob"))
     side = F.broadcast(table) if cells.count() <= broadcast_cells else table  # otherwise a shuffled join, whose skew Spark splits
-    return rows.join(side, DIMS).withColumn("mix_u", uniform(F.col(id_col), salt)).withColumn("mix_kept", F.col("mix_u") < F.col("mix_prob"))
+    own = [c for c in docs.columns if not c.startswith("mix_")]
+    added = [*DIMS, "mix_tokens", "mix_prob"]
+    return rows.join(side, DIMS).select(*own, *added).withColumn("mix_u", uniform(F.col(id_col), salt)).withColumn("mix_kept", F.col("mix_u") < F.col("mix_prob"))
