@@ -35,6 +35,12 @@ def normalized(c: Column, ascii_only: bool = False) -> Column:
     return F.btrim(F.regexp_replace(F.lower(kept), r"\s+", " "))
 
 
+def normalized_constant(text: str) -> str:
+    """normalized() of one value, on the driver."""
+    kept = "".join(c if c == "_" or c == "-" or c.isspace() or unicodedata.category(c)[0] in "LN" else " " for c in unicodedata.normalize("NFKD", text))
+    return " ".join(kept.lower().split())
+
+
 def vertex_id(kind: str, name: Column, ascii_only: bool = False) -> Column:
     """``sport_…``, ``venue_…``, ``person_…``, ``entity_…`` from a name's slug."""
     return F.concat(F.lit(f"{kind}_"), slug(name, ascii_only))
@@ -62,6 +68,16 @@ def date_score(cue: Column, text: Column) -> Column:
     return F.when((F.coalesce(cue, F.lit("")) == "") | (F.coalesce(text, F.lit("")) == ""), F.lit(0.0)).otherwise(F.when(text.contains(cue), 100.0).otherwise(0.0) + F.lit(10.0) * share)
 
 
+def constant_date_score(cue: str, text: Column) -> Column:
+    """date_score() of one cue for all texts."""
+    cue = normalized_constant(cue)
+    if not cue:
+        return F.lit(0.0)
+    tokens = cue.split(" ")
+    hits = sum((F.when(text.contains(t), 1).otherwise(0) for t in tokens), F.lit(0))
+    return F.when(F.coalesce(text, F.lit("")) == "", 0.0).otherwise(F.when(text.contains(cue), 100.0).otherwise(0.0) + F.lit(10.0) * hits / len(tokens))
+
+
 def chunk_id(doc_id: Column, index: Column) -> Column:
     return F.format_string("%s#c%04d", doc_id, index)
 

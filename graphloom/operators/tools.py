@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import date_score, normalized
+from ..functions.text import constant_date_score, normalized, normalized_constant
 from .expansion import capped
 
 #: Fixed value: most events, participants and provenance steps of one call.
@@ -69,12 +69,12 @@ def filter_events(event_ids: DataFrame, vertices: DataFrame, edges: DataFrame, y
         rows = rows.where(F.col("year") == year)
     norm = lambda c: normalized(c, ascii_only)
     if name:
-        cue = norm(F.lit(name))
+        cue = F.lit(normalized_constant(name))
         rows = rows.where(norm(F.col("name")).contains(cue) | norm(F.col("description")).contains(cue))
     if venue_id:
         rows = rows.join(edges.where((F.col("edge_type") == "HELD_AT") & (F.col("dst_id") == venue_id)).select(F.col("src_id").alias("event_id")), "event_id", "left_semi")
     if sport:
-        cue = norm(F.lit(sport))
+        cue = F.lit(normalized_constant(sport))
         sports = vertices.where("v_type = 'Sport'").select(F.col("v_id").alias("sport_id"), F.col("name").alias("sport_name"))
         fits = norm(F.coalesce("sport_name", F.lit(""))).contains(cue) | F.lower("sport_id").contains(cue)
         rows = rows.join(first_edge(edges, "BELONGS_TO", "event_id", "sport_id"), "event_id").join(sports, "sport_id", "left").where(fits).drop("sport_id", "sport_name")
@@ -118,7 +118,7 @@ def composite(vertices: DataFrame, edges: DataFrame, parts: DataFrame | None = N
         chosen = of_parts if of_venues is None else of_parts.join(of_venues, "event_id", "left_semi")
     kept = filter_events(chosen, vertices, edges, ascii_only=ascii_only, **filters)
     norm = lambda c: normalized(c, ascii_only)
-    score = F.round(date_score(norm(F.lit(cue)), norm(F.concat_ws(" ", "name", "description"))), 6) if cue else F.lit(0.0)
+    score = F.round(constant_date_score(cue, norm(F.concat_ws(" ", "name", "description"))), 6) if cue else F.lit(0.0)
     ranked = kept.withColumn("score", score)
     best = ranked.orderBy(F.col("score").desc(), "event_id").limit(10 if cue else BOUND)
     top = vertices.sparkSession.createDataFrame(best.collect(), best.schema)  # BOUND rows at most; the chain before isn't run again
