@@ -19,10 +19,20 @@ CREW = r"(?i)\b(49er|470|nacra(?:\s*17)?|yngling|group)\b"
 TEAM = r"(?i)\b(team|relay|doubles|pairs?|duet|tournament|two-man|four-man|two-woman|coxless|coxed|eight|quadruple sculls|double sculls|synchronized|team pursuit|team sprint|ice dance)\b|4\s*[×x]\s*\d+|K-2|K-4|C-2|C-4"
 
 
+def infobox_body(text: Column) -> Column:
+    """The text after the header up to a blank line; empty without a header."""
+    return F.when(text.contains(INFOBOX), F.substring_index(F.substr(text, F.instr(text, F.lit(INFOBOX)) + len(INFOBOX)), "\n\n", 1)).otherwise("")
+
+
+def body_field(body: Column, key: str) -> Column:
+    """A key's last value as field() gives it, straight from the body: one pattern, whose greedy start finds the last line."""
+    pattern = rf"(?s)^(?:.*\n)?[^\S\n]*{key}[^\S\n]*:([^\n]*)"
+    return F.when(body.rlike(pattern), F.btrim(F.regexp_extract(body, pattern, 1)))
+
+
 def infobox_pairs(text: Column) -> Column:
     """array<struct<key, value>> in line order: the lines after the header up to a blank line, cut at the first colon; lines without one are dropped."""
-    body = F.when(text.contains(INFOBOX), F.substring_index(F.substr(text, F.instr(text, F.lit(INFOBOX)) + len(INFOBOX)), "\n\n", 1)).otherwise("")
-    lines = F.filter(F.split(body, "\n"), lambda x: x.contains(":"))
+    lines = F.filter(F.split(infobox_body(text), "\n"), lambda x: x.contains(":"))
     return F.transform(lines, lambda x: F.struct(F.btrim(F.substring_index(x, ":", 1)).alias("key"), F.btrim(F.substr(x, F.instr(x, F.lit(":")) + 1)).alias("value")))
 
 
@@ -52,13 +62,13 @@ def is_team_event(title: Column, event: Column, teams: Column, competitors: Colu
 
 
 def events(docs: DataFrame) -> DataFrame:
-    """One row a page that has an infobox: identifiers, names, year, team flag and the infobox pairs."""
-    rows = docs.withColumn("pairs", infobox_pairs(F.coalesce("text", F.lit(""))))
-    get = lambda k: field(F.col("pairs"), k)
-    rows = rows.where(F.size("pairs") > 0).select(
+    """One row a page that has an infobox: identifiers, names, year, team flag and the infobox body."""
+    rows = docs.withColumn("body", infobox_body(F.coalesce("text", F.lit(""))))
+    get = lambda k: body_field(F.col("body"), k)
+    rows = rows.where(F.col("body").contains(":")).select(
         "doc_id",
         F.coalesce("title", F.lit("")).alias("title"),
-        "pairs",
+        "body",
         F.coalesce(filled(get("event")), F.col("title")).alias("event"),
         filled(get("games")).alias("games"),
         F.coalesce(filled(get("venue")), filled(get("venues"))).alias("venue"),
@@ -70,48 +80,67 @@ def events(docs: DataFrame) -> DataFrame:
 
 def medal_slots(found: DataFrame) -> DataFrame:
     """The six slots as rows ``doc_id, medal, winner, noc, team_event, vacant, noc_valid``; empty slots are left out."""
-    slots = F.array(*(F.struct(F.lit(m).alias("medal"), field(F.col("pairs"), m).alias("winner"), field(F.col("pairs"), n).alias("noc")) for m, n in MEDALS))
+    slots = F.array(*(F.struct(F.lit(m).alias("medal"), body_field(F.col("body"), m).alias("winner"), body_field(F.col("body"), n).alias("noc")) for m, n in MEDALS))
     rows = found.select("doc_id", "team_event", F.explode(slots).alias("s")).select("doc_id", "team_event", "s.*").where(filled(F.col("winner")).isNotNull())
     noc = F.coalesce("noc", F.lit(""))
     return rows.withColumns({"vacant": F.lower("winner").isin(VACANT), "noc_valid": (F.length(noc) == 3) & (F.upper(noc) == noc) & noc.rlike("[A-Z]")})
 
 
+def slot_columns(docs: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """Event pages with an id column for each entity: every field is read once, and arrays of structs are built from plain columns."""
+    rows = events(docs)
+    rows = rows.select("doc_id", "title", "event", "year", "sport", "venue", "team_event", *(F.nullif(body_field(F.col("body"), m), F.lit("")).alias(f"w{k}") for k, (m, _) in enumerate(MEDALS)), *(body_field(F.col("body"), n).alias(f"n{k}") for k, (_, n) in enumerate(MEDALS)))
+    for k in range(len(MEDALS)):
+        rows = rows.withColumn(f"w{k}", F.when(~F.lower(f"w{k}").isin(VACANT), F.col(f"w{k}")))
+    code = lambda k: F.coalesce(f"n{k}", F.lit(""))
+    valid = lambda k: F.col(f"w{k}").isNotNull() & (F.length(code(k)) == 3) & (F.upper(code(k)) == code(k)) & code(k).rlike("[A-Z]")
+    ids = {f"i{k}": F.when(F.col(f"w{k}").isNotNull(), F.when(F.col("team_event"), team_id(F.col(f"w{k}"), F.col("doc_id"), F.lit(m), ascii_only)).otherwise(vertex_id("person", F.col(f"w{k}"), ascii_only))) for k, (m, _) in enumerate(MEDALS)}
+    nocs = {f"n{k}": F.when(valid(k), F.col(f"n{k}")) for k in range(len(MEDALS))}
+    named = {"sport_id": F.when(F.col("sport").isNotNull(), vertex_id("sport", F.col("sport"), ascii_only)), "venue_id": F.when(F.col("venue").isNotNull(), vertex_id("venue", F.col("venue"), ascii_only)), "kind": F.when(F.col("team_event"), "Team").otherwise("Person")}
+    return rows.withColumns(ids | nocs | named)
+
+
+def _present(*structs: Column) -> Column:
+    return F.array_compact(F.array(*structs))
+
+
+SLOTS = range(len(MEDALS))
+
+
 def extract_graph(docs: DataFrame, ascii_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(vertices, edges) of event pages.
+    """(vertices, edges) of event pages, each in one pass over the documents.
 
     vertices: ``v_type, v_id, name, year, description``. Of writes to one id the first in doc_id order stays, for events the last.
     edges: ``src_type, src_id, edge_type, dst_type, dst_id``, distinct.
     """
-    ev = events(docs)
-    slots = medal_slots(ev).where("NOT vacant")
-    person = F.when(F.col("team_event"), F.lit("Team")).otherwise(F.lit("Person"))
-    pid = F.when(F.col("team_event"), team_id(F.col("winner"), F.col("doc_id"), F.col("medal"), ascii_only)).otherwise(vertex_id("person", F.col("winner"), ascii_only))
-    part = slots.select("doc_id", "winner", "noc", "noc_valid", person.alias("v_type"), pid.alias("v_id"))
-    vertex = lambda df, kind, vid, name, year=F.lit(0), description=F.lit(""): df.select(
-        kind.alias("v_type"), vid.alias("v_id"), F.struct(name.alias("name"), year.cast("int").alias("year"), description.alias("description")).alias("r"), F.col("doc_id").alias("seq")
+    rows = slot_columns(docs, ascii_only)
+    c, zero, blank = F.col, F.lit(0), F.lit("")
+
+    def vertex(key: Column, kind: Column, name: Column, year: Column = zero, description: Column = blank) -> Column:
+        return F.when(key.isNotNull(), F.struct(kind.alias("v_type"), key.alias("v_id"), name.alias("name"), year.cast("int").alias("year"), description.alias("description")))
+
+    made = _present(
+        vertex(c("doc_id"), F.lit("Event"), c("title"), c("year"), c("title")),
+        vertex(c("sport_id"), F.lit("Sport"), c("sport")),
+        vertex(c("venue_id"), F.lit("Venue"), c("venue")),
+        *(vertex(c(f"i{k}"), c("kind"), c(f"w{k}")) for k in SLOTS),
+        *(vertex(country_id(c(f"n{k}")), F.lit("Country"), c(f"n{k}")) for k in SLOTS),
     )
-    with_sport, with_venue, with_noc = ev.where("sport IS NOT NULL"), ev.where("venue IS NOT NULL"), part.where("noc_valid")
-    sport_id, venue_id = vertex_id("sport", F.col("sport"), ascii_only), vertex_id("venue", F.col("venue"), ascii_only)
-    first = [
-        vertex(with_sport, F.lit("Sport"), sport_id, F.col("sport")),
-        vertex(with_venue, F.lit("Venue"), venue_id, F.col("venue")),
-        vertex(with_noc, F.lit("Country"), country_id(F.col("noc")), F.col("noc")),
-        vertex(part, F.col("v_type"), F.col("v_id"), F.col("winner")),
-    ]
-    kept = reduce(DataFrame.unionByName, first).groupBy("v_type", "v_id").agg(F.min_by("r", F.struct("seq", "r")).alias("r"))
-    last = vertex(ev, F.lit("Event"), F.col("doc_id"), F.col("title"), F.col("year"), F.col("title")).groupBy("v_type", "v_id").agg(F.max_by("r", F.struct("seq", "r")).alias("r"))
-    vertices = kept.unionByName(last).select("v_type", "v_id", "r.*")
-    edge = lambda df, st, sid, kind, dt, did: df.select(st.alias("src_type"), sid.alias("src_id"), F.lit(kind).alias("edge_type"), F.lit(dt).alias("dst_type"), did.alias("dst_id"))
-    edges = reduce(
-        DataFrame.unionByName,
-        [
-            edge(with_sport, F.lit("Event"), F.col("doc_id"), "BELONGS_TO", "Sport", sport_id),
-            edge(with_venue, F.lit("Event"), F.col("doc_id"), "HELD_AT", "Venue", venue_id),
-            edge(part, F.col("v_type"), F.col("v_id"), "PARTICIPATED_IN", "Event", F.col("doc_id")),
-            edge(with_noc, F.col("v_type"), F.col("v_id"), "REPRESENTS", "Country", country_id(F.col("noc"))),
-        ],
-    ).distinct()
-    return vertices, edges
+    found = rows.select(c("doc_id").alias("seq"), F.inline(made))
+    written = F.struct("name", "year", "description")
+    best = found.groupBy("v_type", "v_id").agg(F.min_by(written, F.struct("seq", "name")).alias("first"), F.max_by(written, F.struct("seq", "name")).alias("last"))
+    vertices = best.select("v_type", "v_id", F.when(c("v_type") == "Event", c("last")).otherwise(c("first")).alias("r")).select("v_type", "v_id", "r.*")
+
+    def edge(src_type: Column, src: Column, kind: str, dst_type: str, dst: Column) -> Column:
+        return F.when(src.isNotNull() & dst.isNotNull(), F.struct(src_type.alias("src_type"), src.alias("src_id"), F.lit(kind).alias("edge_type"), F.lit(dst_type).alias("dst_type"), dst.alias("dst_id")))
+
+    linked = _present(
+        edge(F.lit("Event"), c("doc_id"), "BELONGS_TO", "Sport", c("sport_id")),
+        edge(F.lit("Event"), c("doc_id"), "HELD_AT", "Venue", c("venue_id")),
+        *(edge(c("kind"), c(f"i{k}"), "PARTICIPATED_IN", "Event", c("doc_id")) for k in SLOTS),
+        *(edge(c("kind"), c(f"i{k}"), "REPRESENTS", "Country", country_id(c(f"n{k}"))) for k in SLOTS),
+    )
+    return vertices, rows.select(F.inline(linked)).distinct()
 
 
 def entity_hub(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -136,21 +165,18 @@ def mentions(chunks: DataFrame, surfaces: DataFrame) -> DataFrame:
 
 
 def document_surfaces(docs: DataFrame, ascii_only: bool = False) -> DataFrame:
-    """The entities of each page with the text they would be mentioned by."""
-    ev = events(docs)
-    slots = medal_slots(ev).where("NOT vacant")
-    pid = F.when(F.col("team_event"), team_id(F.col("winner"), F.col("doc_id"), F.col("medal"), ascii_only)).otherwise(vertex_id("person", F.col("winner"), ascii_only))
-    row = lambda df, kind, vid, s: df.select(F.col("doc_id").alias("document_id"), F.concat(F.lit("entity_"), vid).alias("entity_id"), kind.alias("entity_type"), s.alias("surface"))
-    return reduce(
-        DataFrame.unionByName,
-        [
-            row(ev, F.lit("Event"), F.col("doc_id"), F.col("event")),
-            row(ev.where("sport IS NOT NULL"), F.lit("Sport"), vertex_id("sport", F.col("sport"), ascii_only), F.col("sport")),
-            row(ev.where("venue IS NOT NULL"), F.lit("Venue"), vertex_id("venue", F.col("venue"), ascii_only), F.col("venue")),
-            row(slots, F.when(F.col("team_event"), "Team").otherwise("Person"), pid, F.col("winner")),
-            row(slots.where("noc_valid"), F.lit("Country"), country_id(F.col("noc")), F.col("noc")),
-        ],
-    ).distinct()
+    """The entities of each page with the text they would be mentioned by, in one pass: ``document_id, entity_id, entity_type, surface``."""
+    rows = slot_columns(docs, ascii_only)
+    c = F.col
+    entity = lambda key, kind, s: F.when(key.isNotNull(), F.struct(F.concat(F.lit("entity_"), key).alias("entity_id"), kind.alias("entity_type"), s.alias("surface")))
+    made = _present(
+        entity(c("doc_id"), F.lit("Event"), c("event")),
+        entity(c("sport_id"), F.lit("Sport"), c("sport")),
+        entity(c("venue_id"), F.lit("Venue"), c("venue")),
+        *(entity(c(f"i{k}"), c("kind"), c(f"w{k}")) for k in SLOTS),
+        *(entity(country_id(c(f"n{k}")), F.lit("Country"), c(f"n{k}")) for k in SLOTS),
+    )
+    return rows.select(c("doc_id").alias("document_id"), F.inline(F.array_distinct(made)))
 
 
 def title_only(found: DataFrame, surfaces: DataFrame, kind: str = "Sport") -> DataFrame:

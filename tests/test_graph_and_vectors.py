@@ -12,7 +12,8 @@ VERTEX = "v_type string, v_id string, name string, year int, description string"
 
 def test_infobox_last_key_wins_and_lines_without_colon_go(spark):
     text = "intro\n[Infobox Olympic event]\n  event: A: B\n  no colon\n  gold: x\n  gold: y\n\n  after: no"
-    row = spark.createDataFrame([(text,)], "t string").select(xt.infobox_pairs(F.col("t")).alias("p"), xt.field(xt.infobox_pairs(F.col("t")), "gold").alias("g")).first()
+    row = spark.createDataFrame([(text,)], "t string").select(xt.infobox_pairs(F.col("t")).alias("p"), xt.field(xt.infobox_pairs(F.col("t")), "gold").alias("g"), xt.body_field(xt.infobox_body(F.col("t")), "gold").alias("b"), xt.body_field(xt.infobox_body(F.col("t")), "gol").alias("n")).first()
+    assert row.b == "y" and row.n is None
     assert [(p.key, p.value) for p in row.p] == [("event", "A: B"), ("gold", "x"), ("gold", "y")] and row.g == "y"
 
 
