@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, mixing, sharding, simhash, toxicity
+from graphloom.llm import decontaminate, mixing, near_copies, sharding, toxicity
 from graphloom.llm.common import staged, table
 
 
@@ -17,8 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest identifier."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (Jaccard similarity of 5-word shingles 0.8 or more) stays: the one with the smallest identifier."""
+    return near_copies.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
