@@ -2,8 +2,8 @@
 
 The cost of a value is the least log10 number of guesses over its segmentations
 into known words, dates, repeats, keyboard walks, character sequences and brute-force
-characters. A value that stands in a credential context (``pwd: ...``, ``bearer ...``)
-and costs at least ``least`` is reported as kind ``guess``; the fixed patterns are
+characters. A value that stands in a credential context (``pwd: ...``, ``bearer ...``,
+``db_pwd=...``, or a word of the fixed patterns), is not covered by a fixed span as a whole and costs at least ``least`` is reported as kind ``guess``; the fixed patterns are
 always reported.
 """
 
@@ -25,7 +25,7 @@ KINDS = {
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     "hex": (re.compile(r"[0-9a-f]{24,}"), 0, 24),  # a maximal run either has the length or fails as a whole
 }
-CONTEXT = re.compile(r"""\b(pwd|pass|passphrase|passcode|pin|auth|credentials?|bearer|private_?key|access_?key|client_?key)\b["']?\x20*(?:[:=]|\bis\b|\x20)\x20*["']?([^\s"']{6,})""", re.I | re.A)
+CONTEXT = re.compile(r"""(password|passwd|secret|token|api_?key|(?<![A-Za-z0-9])(?:pwd|pass|passphrase|passcode|pin|auth|credentials?|bearer|private_?key|access_?key|client_?key))\b["']?\x20*(?:[:=]|\bis\b|\x20)\x20*["']?([^\s"']{6,})""", re.I | re.A)
 ORDER = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
 
 #: Common password words, most frequent first.
@@ -89,11 +89,12 @@ def guess_cost(value: str) -> float:
 def scan(text: str, least: float = 8.0) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span by start, then kind; code points, end exclusive."""
     found = [(kind, m.start(), m.end()) for kind, (pattern, group, size) in KINDS.items() for m in pattern.finditer(text) if m.end(group) - m.start(group) >= size]
-    taken = [s for s in found]
-    for m in CONTEXT.finditer(text):
-        value = m.group(2).rstrip(".,;:!?)")
+    at = 0
+    while m := CONTEXT.search(text, at):
+        at = m.end(1)  # a value may itself be the context of the next one
+        value = m.group(2).rstrip(".,;:!?)]}>")
         a, b = m.start(2), m.start(2) + len(value)
-        if len(value) >= 6 and not any(s < b and a < e for _, s, e in taken) and any(c.isdigit() for c in value) and guess_cost(value) >= least:
+        if len(value) >= 6 and not any(s <= a and b <= e for _, s, e in found) and any(c.isdigit() for c in value) and guess_cost(value) >= least:
             found.append(("guess", a, b))
     return sorted(found, key=lambda s: (s[1], ORDER[s[0]], s[2]))
 

@@ -177,3 +177,10 @@ def test_guess_cost_knows_patterns():
     assert cost("aaaaaaaaaaaa") < 3 and cost("qwertyuiop") < cost("qhzmxkvbwp") and cost("abcdefghij") < 4
     assert cost("19981231") < cost("73950284") and cost("k9#Vx2!qLw") > 12
     assert secrets.scan("bearer k9Vx2qLwTz81")[0][0] == "guess" and secrets.scan("pwd: password1") == []
+
+
+@pytest.mark.parametrize("lead", ["secret=", "password: ", "db_pwd=", "user_pass=", "pass password: ", "api_key='"])
+def test_values_of_all_contexts_are_costed_whole(lead):
+    value = "x#9Kq!vT2$"
+    assert secrets.scan(lead + value) == [("guess", len(lead), len(lead) + len(value))]
+    assert ("guess", len(lead), len(lead) + 17) in secrets.scan(lead + "abcdef1#9Kq!vT2$z")
