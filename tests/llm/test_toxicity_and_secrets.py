@@ -184,3 +184,9 @@ def test_values_of_all_contexts_are_costed_whole(lead):
     value = "x#9Kq!vT2$"
     assert secrets.scan(lead + value) == [("guess", len(lead), len(lead) + len(value))]
     assert ("guess", len(lead), len(lead) + 17) in secrets.scan(lead + "abcdef1#9Kq!vT2$z")
+
+
+def test_values_without_digits_are_costed():
+    assert secrets.scan("pwd: qhZmxKvbWpRt") == [("guess", 5, 17)] and secrets.scan("bearer kQxV!zLwTpRm") == [("guess", 7, 19)]
+    for text in ("password is required", "your token expired", "secret ingredient", "auth configuration", "pass through", "pin numbers", "bearer authentication", "pwd: password"):
+        assert secrets.scan(text) == [], text
