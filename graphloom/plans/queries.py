@@ -462,15 +462,24 @@ def route_questions(spark, d):
     return rows.select("qid", "venue", "repair_venue", "date", "year", "is_nation_lookup", "is_event_agg", "is_superlative", "is_temporal", "is_relational", "is_nation_agg", "is_venue", "strategy")
 
 
-@register
-def date_scores(spark, d):
-    docs = table(spark, d, "documents")
+def _date_scores(docs):
     cue = F.concat(F.element_at(F.split("text", r"[ \n]"), 1), F.lit(" the"))
     norm = lambda c: fx.normalized(c, ascii_only=True)
-    rows = docs.where("lang = 'en'").withColumn("cue", norm(cue)).withColumn("t", norm(F.col("text")))
+    rows = docs.withColumn("cue", norm(cue)).withColumn("t", norm(F.col("text")))
     return rows.select("doc_id", F.round(fx.date_score(F.col("cue"), F.col("t")), 6).alias("score"))
 
 
+@register
+def date_scores(spark, d):
+    return _date_scores(table(spark, d, "documents").where("lang = 'en'"))
+
+
+@register
+def date_scores_all(spark, d):
+    """Documents of every language, null and unknown ones too."""
+    return _date_scores(table(spark, d, "documents"))
+
+
 # evidence
 
 

@@ -341,3 +341,5 @@ def _counted(sql: str) -> str:
 
 
 SQL = {name: _counted(sql) for name, sql in SQL.items()}
+
+SQL["date_scores_all"] = SQL["date_scores"].replace(" WHERE lang = 'en'", "")
