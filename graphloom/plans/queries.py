@@ -161,16 +161,32 @@ def graph_integrity(spark, d):
     return extraction.integrity_errors(graph_vertices(spark, d).select("v_type", "v_id").unionByName(entities), wrong).groupBy("problem", "edge_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _events(orders):
+    return orders.select(F.lit("Event").alias("v_type"), F.concat(F.lit("event_"), "o_orderkey").alias("v_id"))
+
+
+def _persons(customers):
+    return customers.select(F.lit("Person").alias("v_type"), F.concat(F.lit("person_"), "c_custkey").alias("v_id"))
+
+
 @register
 def vertex_lookup(spark, d):
-    ids = table(spark, d, "orders").where("o_orderkey % 100 = 0").select(F.lit("Event").alias("v_type"), F.concat(F.lit("event_"), "o_orderkey").alias("v_id"))
-    return tools.nodes(graph_vertices(spark, d), ids)
+    return tools.nodes(graph_vertices(spark, d), _events(table(spark, d, "orders").where("o_orderkey % 100 = 0")))
+
+
+@register
+def vertex_lookup_all(spark, d):
+    return tools.nodes(graph_vertices(spark, d), _events(table(spark, d, "orders")))
 
 
 @register
 def edge_lookup(spark, d):
-    ids = table(spark, d, "customer").where("c_custkey % 100 = 0").select(F.lit("Person").alias("v_type"), F.concat(F.lit("person_"), "c_custkey").alias("v_id"))
-    return tools.edges_of(graph_edges(spark, d), ids)
+    return tools.edges_of(graph_edges(spark, d), _persons(table(spark, d, "customer").where("c_custkey % 100 = 0")))
+
+
+@register
+def edge_lookup_all(spark, d):
+    return tools.edges_of(graph_edges(spark, d), _persons(table(spark, d, "customer")))
 
 
 @register

@@ -343,3 +343,5 @@ def _counted(sql: str) -> str:
 SQL = {name: _counted(sql) for name, sql in SQL.items()}
 
 SQL["date_scores_all"] = SQL["date_scores"].replace(" WHERE lang = 'en'", "")
+SQL["vertex_lookup_all"] = SQL["vertex_lookup"].replace(" AND CAST(substr(v_id, 7) AS BIGINT) % 100 = 0", "")
+SQL["edge_lookup_all"] = SQL["edge_lookup"].replace(" AND CAST(substr(src_id, 8) AS BIGINT) % 100 = 0", "")
