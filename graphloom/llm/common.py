@@ -51,6 +51,15 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def as_text(column: str) -> Column:
+    """A column as a string for the way through Python workers: pandas has no nullable 64-bit integers of its own. Cast back, it is the same."""
+    return F.col(column).cast("string")
+
+
+def row_keys(id_col: str, text_col: str, first: str, second: str) -> list[Column]:
+    """Two 64-bit hashes of identifier and text that tell rows apart; never null."""
+    text = text_or_empty(text_col)
+    return [F.xxhash64(as_text(id_col), text).alias(first), F.xxhash64(text, F.lit(second), as_text(id_col)).alias(second)]
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 64 << 20) -> None:

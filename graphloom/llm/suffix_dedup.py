@@ -1,24 +1,29 @@
-"""Exact substring dedup (400 bytes by default) by parsing at rolling-hash triggers.
+"""Exact substring dedup (400 bytes by default) by prefix-free parsing.
 
 Parse. The trigger of a string start i is the position with the least rolling 8-gram hash
 among the next ``window`` positions (the leftmost on ties). It depends on the bytes from i on only, so equal strings
 have their triggers at equal offsets, and triggers are at most ``window`` apart. Consecutive starts
-with one trigger form a phrase: starts lo..hi, trigger s, and the context from lo to hi + length.
-
-Dictionary. Phrases whose right context (bytes from s on that every string of the phrase holds) occurs
-once cannot hold a repeated string and are dropped; this is most of a corpus. Phrases with equal
-contexts are one dictionary entry. An entry that occurs twice settles all its starts, so
-highly repetitive text costs one row a phrase and no byte is sorted.
-
-Suffix arrays. Entries that occur once but share their right context with other entries are compared by their
-bytes: the entries of one right context meet in one task, the suffixes of all their contexts
-are sorted to the depth of ``length`` by prefix tripling (each rank array is the suffix array's
-inverse at that depth), and starts whose suffix shares ``length`` bytes with a neighbour
-in that order are repeated; a few entries are compared directly. A right context with more than ``group_limit`` entries is not brought to one task: each of its
-starts becomes a row keyed by the 128-bit digest of its string, counted with map-side combining.
-
-All shuffles carry phrases, not bytes, except the contexts of unsettled entries and one
-shuffle of the texts to meet their spans.
+with one trigger form a phrase: starts lo..hi and trigger s. What stands before the trigger is a suffix of the
+phrase, what follows it is a suffix of the parse, so a string that starts ``a`` bytes before a trigger is the phrase
+suffix of ``a`` bytes and the first ``length - a`` bytes of the parse suffix.
+
+Dictionary. Phrases whose parse suffix occurs once, as far as all their strings reach, cannot hold a repeated string and are
+dropped; this is most of a corpus. Phrases with equal bytes and equal parse suffixes are one entry, and an
+entry that occurs twice settles all its starts, so highly repetitive text costs one row a phrase.
+
+Suffix arrays. The entries are brought into two orders by distributed sorts, ``length`` bytes deep: by parse suffix, then phrase
+suffixes (the bytes before the trigger, read backwards); and by phrase suffixes, then parse suffix, within a right context.
+Two entries with l bytes in common before their triggers and r bytes after them share the strings that start a bytes
+before the trigger for all a with length - r <= a <= l. In an order, no entry shares more than a neighbour does: the first gives the
+largest r of an entry, the second its largest l, so repeated starts lie in [length - r, l], and
+the common parts of its neighbours settle most of these.
+
+Corpus order. Starts between those that remain open (their best phrase suffix and their best parse suffix belong to different
+neighbours) get a row each, with all starts of their right context that could equal them, and
+are grouped by phrase suffix and parse suffix: the entries of one corpus position stand together.
+
+Sorts and neighbours see rows, not groups: no group of equal contexts has to fit in a task. All shuffles
+carry phrases, not bytes, except the two orders of open entries and one shuffle of the texts to meet their spans.
 """
 
 from __future__ import annotations
@@ -30,12 +35,13 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches, staged
+from .common import as_text, bounded_batches, row_keys, staged
 
 GRAM = 8
 MIX = np.uint64(0x9E3779B97F4A7C15)  # 2**64 over the golden ratio, odd
+PIECE = 1 << 19  # starts of a long text that are parsed at once
 
 
 def triggers(buf: np.ndarray, window: int) -> np.ndarray:
@@ -56,12 +62,35 @@ def triggers(buf: np.ndarray, window: int) -> np.ndarray:
     return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
+def long_text_phrases(text: bytes, length: int, window: int, piece: int = PIECE) -> Iterator[tuple[int, int, int]]:
+    """(lo, hi, s) of one text's phrases, parsed piece by piece."""
+    starts, held = len(text) - length + 1, None
+    for at in range(0, starts, piece):
+        end = min(at + piece, starts)
+        mine = triggers(np.frombuffer(text[at : end + window + GRAM - 2], np.uint8), window) + at
+        cut = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
+        last = np.concatenate((cut[1:], [end - at])) - 1
+        for lo, hi, s in zip((cut + at).tolist(), (last + at).tolist(), mine[cut].tolist(), strict=True):
+            if held is not None and held[2] == s:  # a phrase that the piece cut
+                held = held[0], hi, s
+                continue
+            if held is not None:
+                yield held
+            held = lo, hi, s
+    if held is not None:
+        yield held
+
+
 def phrases(texts: list[bytes], length: int, window: int) -> Iterator[tuple[int, int, int, int, bytes]]:
     """(text number, lo, hi, s, the text) of every phrase of texts of ``length`` bytes or more, about a MB at a time."""
     at = 0
     while at < len(texts):
+        if len(texts[at]) > PIECE:
+            yield from ((at, lo, hi, s, texts[at]) for lo, hi, s in long_text_phrases(texts[at], length, window))
+            at += 1
+            continue
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= 1 << 20):
+        while end < len(texts) and len(texts[end]) <= PIECE and (end == at or size + len(texts[end]) <= 2 * PIECE):
             size += len(texts[end])
             end += 1
         chosen = [k for k in range(at, end) if len(texts[k]) >= length]
@@ -115,135 +144,69 @@ def parse_texts(length: int, window: int):
     return run
 
 
-def suffix_ranks(buf: np.ndarray, length: int) -> tuple[np.ndarray, int]:
-    """(ranks of all suffixes by their first ``depth`` bytes, depth), for the greatest depth up to ``length``. A suffix array's inverse, by tripling.
+def common_prefixes(texts: list[bytes], width: int) -> np.ndarray:
+    """Bytes that each text shares with the next one, from the front."""
+    sizes = np.array([len(t) for t in texts])
+    grid = np.frombuffer(b"".join([t.ljust(width, b"\0") for t in texts]), np.uint8).reshape(len(texts), width)
+    apart = grid[:-1] != grid[1:]
+    first = np.where(apart.any(axis=1), apart.argmax(axis=1), width)
+    return np.minimum(first, np.minimum(sizes[:-1], sizes[1:]))
 
-    Eight bytes are packed into the first keys; then three ranks of under 2**21 make the next. buf: under 2**21 bytes.
-    """
-    packed = buf.astype(np.uint64)
-    for step in (1, 2, 4):
-        packed = (packed[:-step] << np.uint64(8 * step)) | packed[step:]
-    rank, depth = np.unique(packed, return_inverse=True)[1], 8
-    while 3 * depth <= length:
-        key = (rank[: -2 * depth] << 42) | (rank[depth:-depth] << 21) | rank[2 * depth :]
-        rank, depth = np.unique(key, return_inverse=True)[1], 3 * depth
-    return rank, depth
-
-
-def starts_in_order(contexts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each context, which of its starts have a string that another start of these contexts has, by suffix array."""
-    buf = np.frombuffer(b"".join(contexts), np.uint8)
-    rank, depth = suffix_ranks(buf, length)
-    sizes = np.array([len(c) for c in contexts])
-    counts = sizes - length + 1
-    base = np.cumsum(sizes) - sizes
-    at = np.repeat(base - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    whole, reach = rank[at], depth
-    while reach < length:  # the strings are joined from overlapping ranks
-        step = min(reach, length - depth)
-        whole = np.unique((whole << 21) | rank[at + step], return_inverse=True)[1]
-        reach = step + depth
-    again = np.bincount(whole)[whole] > 1
-    return np.split(again, np.cumsum(counts)[:-1])
-
-
-def starts_by_pairs(contexts: list[bytes], triggers_at: list[int], groups: np.ndarray, length: int, window: int) -> list[np.ndarray]:
-    """The same for small groups (numbers in order): common bytes to the left and right of the triggers, by lag within a group.
-
-    Two contexts share the strings that start a bytes before their triggers for all a up to the bytes common on the left, while
-    length - a bytes are common on the right.
-    """
-    n = len(contexts)
-    left, right = np.zeros((n, window), np.uint8), np.zeros((n, length), np.uint8)
-    room = np.array(triggers_at)
-    tail = np.array([len(c) for c in contexts]) - room
-    for i, (c, s) in enumerate(zip(contexts, triggers_at, strict=True)):
-        if s:
-            left[i, :s] = np.frombuffer(c[:s], np.uint8)[::-1]
-        right[i, : len(c) - s] = np.frombuffer(c[s:], np.uint8)
-    marks = np.zeros((n, window + 2), np.int32)
-    common = lambda m, i, j: np.where((d := m[i] != m[j]).any(axis=1), d.argmax(axis=1), m.shape[1])
-    lag, i = 1, np.flatnonzero(groups[1:] == groups[:-1])
-    while len(i):
-        for part in np.array_split(i, -(-len(i) // 4096)):
-            j = part + lag
-            most = np.minimum(common(left, part, j), np.minimum(room[part], room[j]))
-            least = np.maximum(0, length - np.minimum(common(right, part, j), np.minimum(tail[part], tail[j])))
-            good = least <= most
-            for side in (part[good], j[good]):
-                np.add.at(marks, (side, least[good]), 1)
-                np.add.at(marks, (side, most[good] + 1), -1)
-        lag += 1
-        i = i[i + lag < n]
-        i = i[groups[i] == groups[i + lag]]
-    shared = np.cumsum(marks, axis=1) > 0  # by bytes before the trigger
-    return [shared[k, s - np.arange(len(contexts[k]) - length + 1)] for k, s in enumerate(triggers_at)]
-
-
-def resolve(length: int, window: int, small: int, most_bytes: int = 1 << 20):
-    """Sorted rows rh, kinds, doc, mark, lo, s, own, context -> spans of own repeated starts; a right context's rows stay together."""
-
-    def spans(part: pd.DataFrame, again: list[np.ndarray]) -> pd.DataFrame:
-        rows = []
-        for doc, mark, lo, own, hits in zip(part["doc"].tolist(), part["mark"].tolist(), part["lo"].tolist(), part["own"].tolist(), again, strict=True):
-            if own and hits.any():
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], hits.view(np.int8), [0]))))
-                rows += [(doc, mark, lo + a, lo + b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-        return pd.DataFrame(rows, columns=["doc", "mark", "start", "end"])
-
-    def ordered(rows: pd.DataFrame) -> pd.DataFrame:
-        return spans(rows, starts_in_order(rows["context"].tolist(), length))
-
-    def settle(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        few = rows["kinds"] <= small
-        pairs, many = rows[few], rows[~few]
-        if len(pairs):
-            yield spans(pairs, starts_by_pairs(pairs["context"].tolist(), (pairs["s"] - pairs["lo"]).tolist(), pairs["rh"].to_numpy(), length, window))
-        held: list[pd.DataFrame] = []
-        size = 0
-        for _, group in many.groupby("rh", sort=False):  # a group is under 2**21 bytes by its limit; several are sorted at once
-            more = int(group["context"].str.len().sum())
-            if held and size + more >= 5 << 18:
-                yield ordered(pd.concat(held))
-                held, size = [], 0
-            held.append(group)
-            size += more
-        if held:
-            yield ordered(pd.concat(held))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        size = 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            held.append(batch)
-            size += int(batch["context"].str.len().sum())
-            if size >= most_bytes:
-                rows = pd.concat(held, ignore_index=True)
-                tail = rows["rh"] == rows["rh"].iloc[-1]
-                if not tail.all():
-                    yield from settle(rows[~tail])
-                    held = [rows[tail]]
-                    size = int(held[0]["context"].str.len().sum())
-        if held:
-            yield from settle(pd.concat(held, ignore_index=True))
+#: An entry and what an order says of it. ``far``: the most bytes it shares with a neighbour, on the side that the order sorts first (-1: none).
+#: least..most: the starts that it shares with the neighbour before (1) and after (2). The bytes are kept of a partition's first and last entry only.
+NEIGHBOURS = "doc long, mark long, lo int, s int, rh long, own boolean, tail int, far int, least1 int, most1 int, least2 int, most2 int, edge boolean, before binary, after binary"
 
-    return run
 
+def neighbours(length: int, by_parse: bool):
+    """Sorted entries -> NEIGHBOURS. ``before`` holds an entry's bytes before the trigger, backwards, ``after`` those from it on."""
 
-def digests(length: int):
-    """Rows doc, mark, lo, own, context -> one row a start with its string's digest."""
+    def out(rows: pd.DataFrame, pair: tuple[np.ndarray, np.ndarray, np.ndarray], edge: np.ndarray) -> pd.DataFrame:
+        far, least, most = pair  # of the pairs (entry before the first, first), ..., (last, entry after the last)
+        found = rows[["doc", "mark", "lo", "s", "rh", "own"]].copy()
+        found["tail"] = rows["after"].str.len()
+        found["far"] = np.maximum(far[:-1], far[1:])
+        found["least1"], found["most1"], found["least2"], found["most2"] = least[:-1], most[:-1], least[1:], most[1:]
+        found["edge"] = edge
+        for side in ("before", "after"):
+            found[side] = rows[side].where(edge, None)
+        return found
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, ahead, fresh = None, (-1, 1, 0), True
         for batch in batches:
-            starts = ((doc, mark, lo + i, own, xxhash.xxh3_128_digest(c[i : i + length])) for doc, mark, lo, own, c in zip(*(batch[k].tolist() for k in ("doc", "mark", "lo", "own", "context")), strict=True) for i in range(len(c) - length + 1))
-            while rows := list(islice(starts, 20_000)):
-                yield pd.DataFrame(rows, columns=["doc", "mark", "start", "own", "digest"])
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            # repeated rows of the source send an entry twice
+            again = (rows["doc"].eq(rows["doc"].shift()) & rows["mark"].eq(rows["mark"].shift()) & rows["lo"].eq(rows["lo"].shift())).to_numpy()
+            rows = rows[~again].reset_index(drop=True)
+            if not len(rows):
+                continue
+            if len(rows) > 1:
+                left, right, rh = common_prefixes(rows["before"].tolist(), length), common_prefixes(rows["after"].tolist(), length), rows["rh"].to_numpy()
+                far = right if by_parse else np.where(rh[1:] == rh[:-1], left, -1)
+                pairs = [np.concatenate(([a], b)) for a, b in zip(ahead, (far, length - right, left), strict=True)]
+                edge = np.zeros(len(rows) - 1, bool)
+                edge[0] = fresh
+                yield out(rows.iloc[:-1], tuple(pairs), edge)
+                ahead, fresh = tuple(int(p[-1]) for p in pairs), False
+            held = rows.iloc[-1:].reset_index(drop=True)
+        if held is not None:
+            yield out(held, tuple(np.array([a, b]) for a, b in zip(ahead, (-1, 1, 0), strict=True)), np.ones(1, bool))
 
     return run
 
 
+def in_order(entries: DataFrame, length: int, by_parse: bool) -> DataFrame:
+    """What an order of all entries says of each: NEIGHBOURS rows, an entry at a partition's edge in several rows."""
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["after", "before", "doc", "mark", "lo"] if by_parse else ["rh", "before", "after", "doc", "mark", "lo"]
+    columns = ["doc", "mark", "lo", "s", "rh", "own", "before", "after"]
+    found = staged(entries.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*columns).mapInPandas(neighbours(length, by_parse), NEIGHBOURS), "order")
+    # two rows a partition at most: their order shows the neighbours across partitions
+    edges = found.where("edge").select(*columns).repartition(1).sortWithinPartitions(*order).mapInPandas(neighbours(length, by_parse), NEIGHBOURS)
+    return found.unionByName(edges).drop("edge", "before", "after")
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of covered bytes; spans that touch are one run."""
     found: list[list[int]] = []
@@ -258,9 +221,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def cut_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for doc, n, body, sha, starts, ends in zip(batch["doc_id"].tolist(), batch["n_bytes"].tolist(), batch["body"].tolist(), batch["sha"].tolist(), batch["starts"].tolist(), batch["ends"].tolist(), strict=True):
+        for row_id, n, body, sha, starts, ends in zip(batch["id"].tolist(), batch["n_bytes"].tolist(), batch["body"].tolist(), batch["sha"].tolist(), batch["starts"].tolist(), batch["ends"].tolist(), strict=True):
             if body is None:
-                rows.append((doc, n, 0, 0, sha, ""))
+                rows.append((row_id, n, 0, 0, sha, ""))
                 continue
             runs = merged(list(zip(starts, ends, strict=True)))
             digest, at = hashlib.sha256(), 0
@@ -268,65 +231,75 @@ def cut_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 digest.update(body[at:a])
                 at = b
             digest.update(body[at:])
-            rows.append((doc, n, sum(b - a for a, b in runs), len(runs), digest.hexdigest(), ",".join(f"{a}:{b}" for a, b in runs)))
-        frame = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        yield frame
+            rows.append((row_id, n, sum(b - a for a, b in runs), len(runs), digest.hexdigest(), ",".join(f"{a}:{b}" for a, b in runs)))
+        yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
 
+def open_entries(keyed: DataFrame, entries: DataFrame, length: int) -> DataFrame:
+    """Entries of right contexts in which some entry occurs once, with their bytes: ``doc, mark, lo, s, rh, own, before, after``. own: the entry occurs once."""
+    groups = staged(entries.groupBy("rh").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("fewest")).where("kinds > 1 AND fewest = 1").select("rh"), "open-contexts")
+    named = entries.join(groups, "rh", "left_semi").select("rh", (F.col("n") == 1).alias("own"), "one.*")
+    wanted = named.groupBy("doc", "mark").agg(F.collect_list(F.struct("rh", "own", "lo", "hi", "s")).alias("open"))  # at most a text's phrases
+    left = F.decode(F.substring(F.col("body"), F.col("o.lo") + 1, F.col("o.s") - F.col("o.lo")), "ISO-8859-1")  # a character a byte
+    found = keyed.join(wanted, ["doc", "mark"]).select("doc", "mark", "body", F.explode("open").alias("o"))
+    return found.select("doc", "mark", "o.lo", "o.s", "o.rh", "o.own", F.encode(F.reverse(left), "ISO-8859-1").alias("before"), F.substring(F.col("body"), F.col("o.s") + 1, F.col("o.hi") + length - F.col("o.s")).alias("after"))
 
-def repeated_spans(keyed: DataFrame, length: int, window: int, pair_limit: int, group_limit: int) -> DataFrame:
+
+def open_starts(found: DataFrame, entries: DataFrame, length: int) -> DataFrame:
+    """Spans of starts that the two orders leave open, by their place in corpus order: rows of equal phrase suffix and parse suffix meet."""
+    gaps = found.where(F.col("own") & (F.size("gaps") > 0)).groupBy("rh").agg(F.min(F.array_min("gaps")).alias("from"), F.max(F.array_max("gaps")).alias("to"))
+    rivals = found.where("low <= high").join(staged(gaps, "gaps"), "rh").select("doc", "mark", "lo", "s", "own", F.greatest("low", "from").alias("low"), F.least("high", "to").alias("high")).where("low <= high")
+    rows = rivals.join(entries.select("doc", "mark", "lo", "before", "after").dropDuplicates(["doc", "mark", "lo"]), ["doc", "mark", "lo"])
+    place: Column = F.unhex(F.md5(F.concat(F.substring("before", F.lit(1), F.col("a")), F.substring("after", F.lit(1), F.lit(length) - F.col("a")))))
+    starts = rows.withColumn("a", F.explode(F.sequence("low", "high"))).select("doc", "mark", "own", (F.col("s") - F.col("a")).alias("start"), "a", place.alias("place"))
+    starts = staged(starts, "corpus-order")
+    twice = starts.groupBy("a", "place").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "place")
+    return starts.where("own").join(twice, ["a", "place"], "left_semi").select("doc", "mark", "start", (F.col("start") + length).alias("end"))
+
+
+def repeated_spans(keyed: DataFrame, length: int, window: int) -> DataFrame:
     """``doc, mark, start, end`` of byte spans that repeated strings cover; keyed: rows doc, mark, body (binary)."""
-    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parsed = staged(keyed.select("doc", "mark", "body").mapInPandas(parse_texts(length, window), PHRASE), "phrases")
     # the keys are staged so that both sides of the join are plain exchanges, of which Spark splits hot partitions
     twice = staged(parsed.groupBy("rh").agg(F.sum("n").alias("n")).where("n > 1").select("rh"), "shared-contexts")
     shared = staged(parsed.join(twice, "rh", "left_semi"), "shared-phrases")
     entries = staged(shared.groupBy("rh", "fh").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "mark", "lo", "hi", "s")).alias("one")), "dictionary")
     settled = shared.join(entries.where("n > 1").select("rh", "fh"), ["rh", "fh"], "left_semi").select("doc", "mark", F.col("lo").alias("start"), (F.col("upto") + length).alias("end"))
-    groups = entries.groupBy("rh").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("fewest")).where("kinds > 1 AND fewest = 1")
-    open_entries = entries.join(groups, "rh").select("rh", "kinds", (F.col("n") == 1).alias("own"), "one.doc", "one.mark", "one.lo", "one.hi", "one.s")
-    wanted = open_entries.groupBy("doc", "mark").agg(F.collect_list(F.struct("rh", "kinds", "own", "lo", "hi", "s")).alias("open"))  # at most a text's phrases
-    # repeated rows send a context twice; only entries that occur twice can be such, and those aren't own
-    contexts = staged(
-        keyed.join(wanted, ["doc", "mark"])
-        .select("doc", "mark", "body", F.explode("open").alias("o"))
-        .select("doc", "mark", "o.rh", "o.kinds", "o.own", "o.lo", "o.s", F.substring(F.col("body"), F.col("o.lo") + 1, F.col("o.hi") - F.col("o.lo") + length).alias("context")),
-        "open-contexts",
-    )
-    ranked = (
-        contexts.where(F.col("kinds") <= group_limit)
-        .select("rh", "kinds", "doc", "mark", "lo", "s", "own", "context")
-        .repartition(parts, "rh")
-        .sortWithinPartitions("rh")
-        .mapInPandas(resolve(length, window, pair_limit), "doc long, mark long, start int, end int")
-    )
-    starts = contexts.where(F.col("kinds") > group_limit).select("doc", "mark", "lo", "own", "context").mapInPandas(digests(length), "doc long, mark long, start int, own boolean, digest binary")
-    again = starts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    hot = starts.where("own").join(again, "digest", "left_semi").select("doc", "mark", "start", (F.col("start") + length).alias("end"))
-    return settled.unionByName(ranked).unionByName(hot)
+
+    opened = staged(open_entries(keyed, entries, length), "open-entries")
+    said = [in_order(opened, length, True).withColumns({"r": F.col("far"), "l": F.lit(-1)}), in_order(opened, length, False).withColumns({"r": F.lit(-1), "l": F.col("far")})]
+    pairs = F.filter(F.flatten(F.collect_list(F.array(*(F.struct(F.col(f"least{k}").alias("least"), F.col(f"most{k}").alias("most")) for k in (1, 2))))), lambda p: p["least"] <= p["most"])
+    found = said[0].unionByName(said[1]).groupBy("doc", "mark", "lo", "s", "rh", "own", "tail").agg(F.max("r").alias("r"), F.max("l").alias("l"), pairs.alias("pairs"))
+    found = found.withColumns({"low": F.greatest(F.lit(length) - F.col("r"), F.lit(length) - F.col("tail")), "high": F.least("l", F.col("s") - F.col("lo"))})
+    unsaid = F.filter(F.sequence("low", "high"), lambda a: ~F.exists("pairs", lambda p: a.between(p["least"], p["most"])))
+    found = staged(found.withColumn("gaps", F.when(F.col("low") <= F.col("high"), unsaid).otherwise(F.array().cast("array<int>"))), "neighbours")
+    shared_starts = found.where("own").select("doc", "mark", "s", F.explode("pairs").alias("p")).select("doc", "mark", (F.col("s") - F.col("p.most")).alias("start"), (F.col("s") - F.col("p.least") + length).alias("end"))
+    return settled.unionByName(shared_starts).unionByName(open_starts(found, opened, length))
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, window: int = 192, pair_limit: int = 64, group_limit: int = 2_000) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, window: int = 192) -> DataFrame:
     """What to remove from every row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans``.
 
     A byte goes if a ``length``-byte string that covers it also starts anywhere else in the column, in
-    the same text too. Null texts are empty; texts under ``length`` bytes keep all. Rows are told apart by
-    identifier and text, so repeated identifiers are safe, and repeated rows count as copies of each
-    other. A null identifier stays null. An empty table gives no rows.
+    the same text too: of tied copies none stays. Null texts are empty; texts under ``length`` bytes keep all. Rows are told apart by
+    a 128-bit hash of identifier and text, so repeated identifiers are safe, and repeated rows count as copies of each
+    other. Identifiers of any type pass unchanged, null ones too. Very long texts are parsed in pieces; a text has to fit
+    in a task, with its spans. An empty table gives no rows. Other columns are not read, so clashing names don't matter.
     """
-    if window < 2 or window + GRAM - 1 > length or group_limit * (length + window) >= 1 << 21:
-        raise ValueError("a window's grams must fit in the length, and group_limit contexts in 2**21 bytes")
+    if window < 2 or window + GRAM - 1 > length:
+        raise ValueError("a window's grams must fit in the length")
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc"), F.xxhash64(F.col(id_col), text).alias("mark"), text.cast("binary").alias("body"))
-    spans = repeated_spans(keyed, length, window, pair_limit, group_limit)
-    lists = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    keyed = docs.select(as_text(id_col).alias("id"), *row_keys(id_col, text_col, "doc", "mark"), text.cast("binary").alias("body"))
+    spans = repeated_spans(keyed, length, window)
+    lists = spans.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "end")).alias("found"))  # at most a text's phrases, however often its row repeats
     rows = keyed.join(lists, ["doc", "mark"], "left").select(
-        "doc_id",
+        "id",
         F.octet_length("body").cast("long").alias("n_bytes"),
         F.when(F.col("found").isNotNull(), F.col("body")).alias("body"),
         F.when(F.col("found").isNull(), F.sha2("body", 256)).alias("sha"),
         F.col("found.start").alias("starts"),
         F.col("found.end").alias("ends"),
     )
-    return rows.mapInPandas(cut_texts, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
+    cut = rows.mapInPandas(cut_texts, "id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
+    return cut.select(F.col("id").cast(docs.schema[id_col].dataType).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
