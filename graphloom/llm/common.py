@@ -56,6 +56,17 @@ def as_text(column: str) -> Column:
     return F.col(column).cast("string")
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """Column names that ``df`` doesn't have, in any case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    while len(found) < n:
+        name = f"_k{len(found)}"
+        while name in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def row_keys(id_col: str, text_col: str, first: str, second: str) -> list[Column]:
     """Two 64-bit hashes of identifier and text that tell rows apart; never null."""
     text = text_or_empty(text_col)

@@ -8,7 +8,7 @@ blocks make keys longer and buckets smaller; b is taken from the number of disti
 fingerprints, so that unrelated fingerprints seldom share a key at any size.
 
 A bucket is a sorted run in one task, read as a stream. Its links are merged in a local union-find, so a
-task sends a forest (one edge a node at most), never all pairs of a group. Large
+task sends a spanning forest of real links, flushed by size, never all pairs of a group. Large
 buckets are searched by growing components: each step compares one member
 with those not reached yet. The forests are then joined into components by
 alternating large-star and small-star rounds on DataFrames, each round
@@ -25,7 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches, staged
+from .common import as_text, bounded_batches, free_names, row_keys, staged, text_or_empty
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -47,7 +47,10 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
 
 def fingerprint(text: str, words: int = 4) -> int:
     """Unsigned 64-bit SimHash; a bit is set if it is set in more than half the hashes; 0 for a text without words."""
-    rows = shingle_hashes(text, words)
+    return fingerprint_of(shingle_hashes(text, words))
+
+
+def fingerprint_of(rows: np.ndarray) -> int:
     if not len(rows):
         return 0
     ones = np.zeros(64, np.int64)
@@ -56,21 +59,19 @@ def fingerprint(text: str, words: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(rows)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """``doc_id, mark, fp`` of every row (mark: a hash of identifier and text; fp: the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, carry: list[Column] | None = None) -> DataFrame:
+    """``doc_id, fp`` of every row (fp: the 64 bits as a signed long), and the ``carry`` columns, longs without nulls."""
     bounded_batches(docs.sparkSession)
+    rows = docs.select(as_text(id_col).alias("doc_id"), *(carry or []), text_or_empty(text_col).alias("text"))
+    kept = rows.columns[:-1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fp = np.array([fingerprint(t, words) for t in batch["text"].fillna("")], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "mark": batch["mark"], "fp": fp.view(np.int64)})
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_mark(id_col, text_col).alias("mark"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, mark long, fp long")
-
+            fp = np.array([fingerprint(t, words) for t in batch["text"]], dtype=np.uint64)
+            yield batch[kept].assign(fp=fp.view(np.int64))
 
-def row_mark(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+    found = rows.mapInPandas(run, "doc_id string, " + "".join(f"`{c}` long, " for c in kept[1:]) + "fp long")
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def blocks_for(n: int, k: int) -> int:
@@ -97,10 +98,11 @@ def bucket_keys(b: int, k: int) -> list:
 
 
 class Forest:
-    """Union-find whose roots are the smallest members."""
+    """Union-find that remembers the pairs that joined trees: a spanning forest of real links."""
 
     def __init__(self):
         self.up: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
 
     def root(self, a: int) -> int:
         up = self.up
@@ -110,9 +112,16 @@ class Forest:
         return a
 
     def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.links.append((a, b))
+
+    def take(self, most: int = 0) -> Iterator[pd.DataFrame]:
+        """The links found since the last call, once there are ``most``; the forest is then forgotten, which may only repeat links."""
+        if len(self.links) > most:
+            yield pd.DataFrame(self.links, columns=["u", "v"], dtype="int64")
+            self.up, self.links = {}, []
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -133,29 +142,38 @@ def link_bucket(fp: np.ndarray, rep: np.ndarray, k: int, forest: Forest) -> None
             todo += reached.tolist()
 
 
-def link_buckets(k: int, small: int = 16):
+def link_buckets(k: int, small: int = 16, most_links: int = 100_000):
+    """Rows sorted by key -> links ``u, v`` of at most k bits that span each bucket's components."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest, held = Forest(), None
+        forest, held = Forest(), []  # the open bucket's rows, joined once it ends
         for batch in batches:
-            key, fp, rep = batch["key"].to_numpy(), batch["fp"].to_numpy().view(np.uint64), batch["rep"].to_numpy()
-            if held is not None:
-                key, fp, rep = np.concatenate([held[0], key]), np.concatenate([held[1], fp]), np.concatenate([held[2], rep])
-            if not len(key):
+            if not len(batch):
+                continue
+            rows = batch["key"].to_numpy(), batch["fp"].to_numpy().view(np.uint64), batch["rep"].to_numpy()
+            cut = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
+            if held and held[-1][0][-1] != rows[0][0]:
+                cut = np.concatenate(([0], cut))
+            if not len(cut):
+                held.append(rows)
                 continue
-            cut = np.flatnonzero(key[1:] != key[:-1]) + 1
-            starts, last = np.concatenate(([0], cut)), int(cut[-1]) if len(cut) else 0
-            held = key[last:], fp[last:], rep[last:]
-            _link_runs(fp, rep, starts[:-1], np.diff(starts), k, small, forest)
-        if held is not None:
-            _link_runs(held[1], held[2], np.array([0]), np.array([len(held[0])]), k, small, forest)
-        nodes = [a for a in forest.up if forest.root(a) != a]
-        for at in range(0, len(nodes), 50_000):
-            part = nodes[at : at + 50_000]
-            yield pd.DataFrame({"u": part, "v": [forest.root(a) for a in part]}, dtype="int64")
+            key, fp, rep = (np.concatenate([*(h[c] for h in held), rows[c][: cut[-1]]]) for c in range(3))
+            held = [tuple(r[cut[-1] :] for r in rows)]
+            if len(key):
+                _link_all(key, fp, rep, k, small, forest)
+                yield from forest.take(most_links)
+        if held:
+            _link_all(*(np.concatenate([h[c] for h in held]) for c in range(3)), k, small, forest)
+        yield from forest.take()
 
     return run
 
 
+def _link_all(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, k: int, small: int, forest: Forest) -> None:
+    starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+    _link_runs(fp, rep, starts, np.diff(np.append(starts, len(key))), k, small, forest)
+
+
 def _link_runs(fp: np.ndarray, rep: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int, small: int, forest: Forest) -> None:
     for lag in range(1, small):
         at = starts[(sizes > lag) & (sizes <= small)]
@@ -170,49 +188,62 @@ def _link_runs(fp: np.ndarray, rep: np.ndarray, starts: np.ndarray, sizes: np.nd
         link_bucket(fp[a : a + n], rep[a : a + n], k, forest)
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """``node, component`` (the smallest node that links reach) of all nodes that ``u, v`` rows name, but for the components' smallest."""
+def components(edges: DataFrame) -> DataFrame:
+    """``node, component`` (the smallest node that links reach) of all nodes that ``u, v`` rows name, but for the components' smallest.
+
+    Large-star and small-star rounds until the links don't change: about the logarithm of a component's longest path.
+    """
     edges = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = mark(edges)
-    for _ in range(most_rounds if before[0] else 0):
+    before, now = None, mark(edges)
+    while now[0] and now != before:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         edges = staged(small, "stars")
-        now = mark(edges)
-        if now == before:
-            break
-        before = now
+        before, now = now, mark(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def near_pairs(distinct: DataFrame, k: int) -> DataFrame:
+    """Links ``u, v`` that span all components of fingerprints at most k bits apart; distinct: a row ``fp, rep`` for each fingerprint."""
+    b = blocks_for(distinct.count(), k)
+    keyed = distinct.select("fp", "rep", F.explode(F.array(*bucket_keys(b, k))).alias("key"))
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInPandas(link_buckets(k), "u long, v long")
+
+
 def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, k: int = 4) -> DataFrame:
-    """Fingerprint and component of every row: ``doc_id, fingerprint, component_id, mark``.
+    """Fingerprint and component of every row: ``doc_id, fingerprint, component_id``.
 
-    Null, empty and blank texts have fingerprint zero and are linked like others.
-    Repeated rows and texts share a fingerprint and so a component. A null identifier
-    gets the component of its fingerprint, null if that has no identifier at all. An empty table gives no rows.
+    Null, empty and blank texts have fingerprint zero and are linked like others; whole texts of any length are read.
+    Repeated rows and texts share a fingerprint and so a component. Fingerprints are linked whether their rows have
+    identifiers or not; component_id is the smallest identifier of a component, null if it has none. Identifiers of any type and size pass
+    unchanged. An empty table gives no rows. Other columns are not read, so clashing names don't matter.
     """
     found = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    reps = staged(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    b = blocks_for(reps.count(), k)
-    keyed = reps.where("rep IS NOT NULL").select("fp", "rep", F.explode(F.array(*bucket_keys(b, k))).alias("key"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInPandas(link_buckets(k), "u long, v long")
-    joined = reps.join(components(links), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return found.join(joined, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "mark")
+    distinct = staged(found.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
+    groups = components(near_pairs(distinct.select("fp", F.col("fp").alias("rep")), k))  # the fingerprints themselves are the nodes
+    joined = distinct.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("part"))
+    least = joined.groupBy("part").agg(F.min("id").alias("component_id"))
+    named = joined.join(least, "part").select("fp", "component_id")
+    return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, k: int = 4) -> DataFrame:
-    """The rows whose identifier is their component's, with their own columns: one document of each group.
+    """One row, with its own columns, of each component of fingerprints at most k bits apart: the one with the smallest identifier.
 
-    Of rows repeated with one identifier and text one stays. Rows with a null identifier stay only where no
-    row of their component has one.
+    Of rows repeated with one identifier and text one stays. A row with a null identifier stays only where no
+    row of its component has one. Column names may clash with those used here.
     """
-    found = near_dups(docs, id_col, text_col, words, k)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("mark").alias("_mark")).distinct()
-    rows = docs.withColumn("_mark", row_mark(id_col, text_col)).join(kept, "_mark", "left_semi")
-    return rows.dropDuplicates(["_mark"]).drop("_mark")
+    a, b = free_names(docs, 2)
+    ids = row_keys(id_col, text_col, a, b)
+    marked = docs.withColumns({a: ids[0], b: ids[1]})
+    fps = fingerprints(docs, id_col, text_col, words, carry=ids)
+    found = staged(fps, "fingerprints")
+    groups = components(near_pairs(staged(found.groupBy("fp").agg(F.min("fp").alias("rep")), "distinct-fingerprints"), k))
+    part = found.join(groups, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("part"))
+    kept = part.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", a, b)).alias("r")).select(f"r.{a}", f"r.{b}")
+    return marked.join(kept, [a, b], "left_semi").dropDuplicates([a, b]).drop(a, b)

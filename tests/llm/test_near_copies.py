@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graphloom.llm import near_copies
@@ -54,7 +55,11 @@ def texts():
     return out
 
 
-def test_kept_rows_match_brute_force_jaccard(spark):
+@pytest.mark.parametrize(("small", "cell", "hot"), [(16, 2048, 0.01), (3, 7, 2.0), (3, 2048, 0.05)])
+def test_kept_rows_match_brute_force_jaccard(spark, monkeypatch, small, cell, hot):
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    monkeypatch.setattr(near_copies, "CELL", cell)
+    monkeypatch.setattr(near_copies, "HOT", hot)
     rows = list(enumerate(texts()))
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'clash' AS node", "1 AS mark")
     got = near_copies.keep_one(docs)
@@ -83,6 +88,20 @@ def test_null_identifiers_repeats_and_empty_tables(spark):
     assert near_copies.keep_one(docs.limit(0)).collect() == []
 
 
+def test_identifiers_of_any_size_and_clashing_names(spark):
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(big, "a b c", 1, 2, "x"), (None, "zz yy", 3, 4, "y"), (big + 2, "A b c", 5, 6, "z")], "doc_id long, text string, _k0 long, _K1 long, node string")
+    assert sorted(tuple(r) for r in near_copies.keep_one(docs).collect() if r.doc_id) == [(big, "a b c", 1, 2, "x")]
+    named = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+    assert sorted(r.doc_id for r in near_copies.keep_one(named).collect()) == [str(big), "none"]
+
+
+def test_a_very_long_text_and_its_copy(spark):
+    base = " ".join(f"w{i % 5000}x{i % 7}" for i in range(150_000))
+    docs = spark.createDataFrame([(2, base + " end"), (1, base), (3, "short")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == [1, 3]
+
+
 def test_many_repeats_of_near_copies(spark):
     base = " ".join(f"w{i}" for i in range(100))
     docs = spark.createDataFrame([(i, base if i % 2 else base + " end") for i in range(900)], "doc_id long, text string").coalesce(1)

@@ -3,7 +3,7 @@ import pytest
 
 import corpus_pipeline
 from graphloom.llm import decontaminate as decon, registry, toxicity
-from tests.llm.test_simhash_and_decontamination import components_by_brute_force
+from tests.llm.test_near_copies import kept_by_brute_force
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,7 +28,7 @@ def test_each_stage_matches_a_brute_force_version(spark):
     assert rows(clean) == kept
 
     single = by_name["simhash_near_dedup"](spark, clean, SF)
-    best = {c for _, c in components_by_brute_force([(r[0], r[1]) for r in kept], 4).values()}
+    best = set(kept_by_brute_force([(r[0], r[1]) for r in kept]))  # five-word shingles, Jaccard 0.8
     kept = [r for r in kept if r[0] in best]
     assert single.columns == columns and rows(single) == kept
 

@@ -82,9 +82,39 @@ def test_large_buckets_are_linked_without_all_pairs():
 
 
 def test_a_long_chain_is_one_component(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (7, 7)], "u long, v long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 200)] + [(1000, 1001), (7, 7)], "u long, v long")
     got = {r.node: r.component for r in simhash.components(edges).collect()}
-    assert got == {**{i: 1 for i in range(2, 61)}, 101: 100}
+    assert got == {**{i: 1 for i in range(2, 201)}, 1001: 1000}
+
+
+def test_chains_through_rows_without_identifiers_and_large_identifiers(spark):
+    words = [f"w{i}" for i in range(40)]
+    chain = [" ".join(words[:i]) for i in range(30, 40)]
+    rows = [(2**53 + 1 + 2 * i if i % 3 == 0 else None, t) for i, t in enumerate(chain)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    brute = components_by_brute_force(list(enumerate(chain)), 9)
+    least = {}
+    for i, (_, c) in brute.items():
+        if rows[i][0] is not None:
+            least[c] = min(least.get(c, rows[i][0]), rows[i][0])
+    want = sorted(((rows[i][0], f, least.get(c)) for i, (f, c) in brute.items()), key=str)
+    assert sorted((tuple(r) for r in simhash.near_dups(docs, k=9).collect()), key=str) == want
+    named = simhash.near_dups(docs.selectExpr("cast(doc_id as string) doc_id", "text"), k=9)
+    assert sorted({str(r.doc_id) for r in named.collect()}) == sorted({str(r[0]) for r in rows})
+
+
+def test_a_flushed_forest_still_spans():
+    import numpy as np
+    import pandas as pd
+
+    rnd = random.Random(2)
+    fps = [0]
+    for _ in range(400):
+        fps.append(fps[-1] ^ (1 << rnd.randrange(64)))
+    rows = pd.DataFrame({"key": np.arange(401) // 3, "fp": np.array(fps, np.uint64).view(np.int64), "rep": np.arange(401)})
+    links = [tuple(map(int, x)) for out in simhash.link_buckets(2, most_links=5)(iter([rows[:100], rows[100:]])) for x in out.to_numpy()]
+    assert all((fps[a] ^ fps[b]).bit_count() <= 2 for a, b in links)
+    assert {frozenset(x) for x in links} >= {frozenset((i, i + 1)) for i in range(0, 400, 3)}
 
 
 def test_blocks_grow_with_the_number_of_fingerprints():
