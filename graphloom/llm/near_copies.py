@@ -74,18 +74,17 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     return top["shingle"].to_numpy(np.int64), top["n"].to_numpy(np.int64), sample.count()
 
 
-def keys_of(words: int, common: np.ndarray, counts: np.ndarray, hot: float, most: int = 50_000):
-    """Texts -> ``key, salt, node, n, pos``: a row for each prefix shingle, and one with the fingerprint under pos -1."""
+#: What the join needs of a text: its number of shingles, fingerprint, parity sketch, and the prefix with a salt for each key (0: not hot).
+TEXT = "node long, n int, fp long, sketch array<long>, keys array<long>, salts array<int>"
+
+
+def read_texts(words: int, common: np.ndarray, counts: np.ndarray, hot: float, most: int = 50_000):
+    """Texts -> TEXT, one pass over each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
             rows, held = [], 0
-
-            def out():
-                sizes = [len(r[1]) for r in rows]
-                return pd.DataFrame({"key": np.concatenate([r[1] for r in rows]), "salt": np.concatenate([r[2] for r in rows]), "node": np.repeat([r[0] for r in rows], sizes), "n": np.repeat([r[3] for r in rows], sizes), "pos": np.concatenate([np.arange(-1, s - 1) for s in sizes])})
-
             for node, t in zip(batch["node"].tolist(), batch["text"], strict=True):
                 if node in seen:
                     continue
@@ -95,14 +94,13 @@ def keys_of(words: int, common: np.ndarray, counts: np.ndarray, hot: float, most
                 hashes = shingle_hashes(t, words)
                 s = set_of(hashes)
                 keys, often = prefix(s, common, counts)
-                fp = np.array([fingerprint_of(hashes)], np.uint64).view(np.int64)
-                rows.append((node, np.concatenate((fp, keys)), np.concatenate(([0], np.where(often >= hot, 1 + (node & (SALTS - 1)), 0))), len(s)))
+                rows.append((node, len(s), int(np.uint64(fingerprint_of(hashes)).view(np.int64)), sketch(s), keys, np.where(often >= hot, 1 + (node & (SALTS - 1)), 0)))
                 held += len(keys)
                 if held >= most:
-                    yield out()
+                    yield pd.DataFrame(rows, columns=["node", "n", "fp", "sketch", "keys", "salts"])
                     rows, held = [], 0
             if rows:
-                yield out()
+                yield pd.DataFrame(rows, columns=["node", "n", "fp", "sketch", "keys", "salts"])
 
     return run
 
@@ -223,29 +221,46 @@ def starts_of(rows: pd.DataFrame) -> np.ndarray:
 def crossing(rows: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
     """Pairs ``u, v`` of a cell's members in different components whose sketches allow it. In a cell of two parts of a run only pairs between the parts count."""
     node, n, pos, part, own = (rows[c].to_numpy(np.int64) for c in ("node", "n", "pos", "part", "own"))
-    bits = np.stack(rows["sketch"].to_list()).astype(np.int64).view(np.uint64)
+    sketches = [np.asarray(x, np.int64) for x in rows["sketch"]]
     for a, z in zip(starts.tolist(), np.append(starts[1:], len(node)).tolist(), strict=True):
         one = a + np.unique(node[a:z], return_index=True)[1]
         if (part[one] == part[one[0]]).all():
             continue
         both, found = len(np.unique(own[one])) > 1, []
+        least = min(len(sketches[i]) for i in one)
+        bits = np.stack([folded(sketches[i], least) for i in one]).view(np.uint64)
         for k in range(len(one) - 1):
             i, j = one[k], one[k + 1 :]
-            j = j[(part[j] != part[i]) & possible(n[i], pos[i], n[j], pos[j]) & ((own[j] != own[i]) | (not both))]
-            j = j[(DEN + NUM) * np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= (DEN - NUM) * (n[i] + n[j])]
+            good = (part[j] != part[i]) & possible(n[i], pos[i], n[j], pos[j]) & ((own[j] != own[i]) | (not both))
+            j, other = j[good], bits[k + 1 :][good]
+            j = j[(DEN + NUM) * np.bitwise_count(other ^ bits[k]).sum(axis=1, dtype=np.int64) <= (DEN - NUM) * (n[i] + n[j])]
             found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
         found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         if len(found):
             yield pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
 
 
-def sketch(shingles: np.ndarray, bits: int = 1024) -> np.ndarray:
-    """Parities of the hashes' low bits: sketches differ in no more bits than the sets differ in shingles."""
-    return np.packbits(np.bincount(shingles & (bits - 1), minlength=bits).astype(np.uint8) & 1).view(np.int64)
+def sketch(shingles: np.ndarray, least: int = 1024) -> np.ndarray:
+    """Parities of the hashes' low bits: sketches differ in no more bits than the sets differ in shingles. As many bits as shingles, in a power of two."""
+    bits = max(least, 1 << int(len(shingles) - 1).bit_length()) if len(shingles) else least
+    return np.packbits(np.bincount(shingles & (bits - 1), minlength=bits).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The sketch that fewer bits would have given: halves are added."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def halved(a: Column, b: Column) -> Column:
+    """folded() of a to the size of b, for sets whose sizes fit: one halving at most."""
+    half = (F.size(a) / 2).cast("int")
+    return F.when(F.size(a) > F.size(b), F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(a)
 
 
 def sets_of(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """``node, n, sketch, shingles`` of the named nodes."""
+    """``node, n, shingles`` of the named nodes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -257,10 +272,9 @@ def sets_of(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                     continue
                 seen.update(part["node"].tolist())
                 sets = [shingle_set(t, words) for t in part["text"]]
-                yield pd.DataFrame({"node": part["node"], "n": [len(x) for x in sets], "sketch": [sketch(x) for x in sets], "shingles": sets})
+                yield pd.DataFrame({"node": part["node"], "n": [len(x) for x in sets], "shingles": sets})
 
-    # the copies of a text meet in one task after the join, so each node comes out once
-    return texts.join(nodes, "node", "left_semi").mapInPandas(run, "node long, n long, sketch array<long>, shingles array<long>").dropDuplicates(["node"])
+    return texts.join(nodes, "node", "left_semi").mapInPandas(run, "node long, n long, shingles array<long>")
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -275,11 +289,12 @@ def with_sets(pairs: DataFrame, sets: DataFrame, what: str) -> DataFrame:
 def allowed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that their sketches don't rule out, with the bits ``apart``."""
     apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return with_sets(pairs, sets, "sketch").withColumn("apart", apart).where((DEN + NUM) * F.col("apart") <= (DEN - NUM) * (F.col("na") + F.col("nb"))).select("u", "v", "apart")
+    both = with_sets(pairs, sets, "sketch").where(DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")).withColumns({"a": halved(F.col("a"), F.col("b")), "b": halved(F.col("b"), F.col("a"))})
+    return both.withColumn("apart", apart).where((DEN + NUM) * F.col("apart") <= (DEN - NUM) * (F.col("na") + F.col("nb"))).select("u", "v", "apart")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets are similar enough."""
+    """The pairs whose shingle sets are similar enough. A text that several tasks read may stand in several rows of sets, which only repeats links."""
     return with_sets(pairs, sets, "shingles").where((DEN + NUM) * F.size(F.array_intersect("a", "b")) >= NUM * (F.col("na") + F.col("nb"))).select("u", "v")
 
 
@@ -311,13 +326,14 @@ def near_links(docs: DataFrame, text_col: str = "text", words: int = 5, k: int =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(text_node(text_col).alias("node"), text_or_empty(text_col).alias("text"))
     common, counts, sampled = common_shingles(texts, words)
-    keys = staged(texts.mapInPandas(keys_of(words, common, counts, max(2.0, HOT * sampled)), "key long, salt int, node long, n int, pos int"), "near-keys")
+    read = staged(texts.mapInPandas(read_texts(words, common, counts, max(2.0, HOT * sampled)), TEXT), "near-texts")
+    sketches = read.select("node", "n", "sketch")
 
-    fingerprints = keys.where("pos = -1").select(F.col("key").alias("fp"), F.col("node").alias("rep"))
-    distinct = staged(fingerprints.groupBy("fp").agg(F.min("rep").alias("rep")), "distinct-fingerprints")
-    equal = fingerprints.join(distinct.withColumnRenamed("rep", "first"), "fp").where("rep <> first").select(F.least("rep", "first").alias("u"), F.greatest("rep", "first").alias("v"))
+    distinct = staged(read.groupBy("fp").agg(F.min("node").alias("rep")), "distinct-fingerprints")
+    equal = read.select("fp", "node").join(distinct, "fp").where("node <> rep").select(F.least("node", "rep").alias("u"), F.greatest("node", "rep").alias("v"))
 
-    order = keys.where("pos >= 0").withColumn("pick", F.xxhash64("key", "node")).repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "pick", "node")
+    keys = read.select("node", "n", F.posexplode(F.arrays_zip("keys", "salts")).alias("pos", "k")).select(F.col("k.keys").alias("key"), F.col("k.salts").alias("salt"), "node", "n", "pos")
+    order = keys.repartition(parts, "key", "salt").withColumn("pick", F.xxhash64("key", "node")).sortWithinPartitions("key", "salt", "pick", "node")
     found = staged(order.select("key", "salt", "node", "n", "pos").mapInPandas(candidates(SMALL), CANDIDATE), "candidates")
     members = found.where("v IS NULL").select(F.col("u").alias("node"), "key", "n", "pos")
     centres = found.where("centre")  # a row for each salt of a hot key
@@ -325,8 +341,8 @@ def near_links(docs: DataFrame, text_col: str = "text", words: int = 5, k: int =
     hubs = centres.join(hub, "key").where("u <> hub").select(F.least("u", "hub").alias("u"), F.greatest("u", "hub").alias("v"))
 
     pairs = staged(found.where("v IS NOT NULL").select("u", "v").union(near_pairs(distinct, k)).union(equal).union(hubs).distinct(), "pairs")
-    sets = staged(sets_of(texts, ends(pairs).union(members.select("node")).distinct(), words), "shingle-sets")
-    links, groups = settle(staged(allowed(pairs, sets), "allowed"), sets, None)
+    near = staged(allowed(pairs, sketches).distinct(), "allowed")
+    links, groups = settle(near, staged(sets_of(texts, ends(near), words), "shingle-sets"), None)
 
     members = staged(members.join(groups, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "members")
     split = members.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b")
@@ -336,10 +352,10 @@ def near_links(docs: DataFrame, text_col: str = "text", words: int = 5, k: int =
     own = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
     cells = members.join(split, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     cells = cells.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "n", "pos", "part", "own")
-    cells = cells.join(sets.select("node", "sketch"), "node")
+    cells = cells.join(sketches.select("node", "sketch").dropDuplicates(["node"]), "node")
     rest = cells.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(runs(crossing), "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti")
-    rest = staged(allowed(staged(rest, "crossing"), sets), "allowed")
-    return settle(rest, sets, links)[1] if rest.take(1) else groups
+    rest = staged(allowed(staged(rest, "crossing"), sketches).distinct(), "allowed")
+    return settle(rest, staged(sets_of(texts, ends(rest), words), "shingle-sets"), links)[1] if rest.take(1) else groups
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, k: int = 4) -> DataFrame:
