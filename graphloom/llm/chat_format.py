@@ -78,7 +78,8 @@ def format_chat(conversations: DataFrame, id_col: str = "conv_id", turn_col: str
     the text (``head``), of the text (``body``), after it (``tail``) and whether
     the body counts in the loss; the runs add up to the formatted text.
     ``identical`` says that the formatted text parses to the source. An empty table gives no rows.
-    A conversation is one formatted text, hence one row: its size bounds a task's memory.
+    A conversation is one formatted text, hence one row: its size bounds a task's memory. Texts of any length stay whole. Other columns are not
+    read, so clashing names don't matter.
     """
     piece = F.struct(
         F.col(turn_col).alias("turn"),

@@ -38,11 +38,27 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass  # the session has ended already
 
 
+_STAGED: list[str] = []
+
+
+def staged_so_far() -> int:
+    return len(_STAGED)
+
+
+def release(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Delete the tables staged after the first ``since``, but for the last ``but``: nothing may read them any more."""
+    paths = _STAGED[since : len(_STAGED) - but]
+    del _STAGED[since : len(_STAGED) - but]
+    for path in paths:
+        _forget(spark, path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back. The files go when the driver exits."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -73,8 +89,8 @@ def row_keys(id_col: str, text_col: str, first: str, second: str) -> list[Column
     return [F.xxhash64(as_text(id_col), text).alias(first), F.xxhash64(text, F.lit(second), as_text(id_col)).alias(second)]
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 64 << 20) -> None:
-    """Bound what one Arrow batch to a Python worker holds, in rows and bytes, unless the session has set less."""
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Bound what one Arrow batch to a Python worker holds, in rows and bytes, unless the session has set less. Both stay set for the session: batches are cut when a plan runs."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         try:
             now = int(str(spark.conf.get(key, str(most))).rstrip("bB") or most)

@@ -23,30 +23,30 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import staged, text_or_empty
 
-ENTRY = "slot long, digest binary, n_bytes long, keep long, n long"
-
 
 def merge_sorted(pick: str):
-    """A streaming merge of entries sorted by (slot, digest, n_bytes)."""
+    """A streaming merge of entries sorted by (slot, digest, n_bytes). Arrow keeps 64-bit identifiers exact beside nulls."""
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
+            rows = pa.Table.from_batches([batch])
             if held is not None:
-                batch = pd.concat([held, batch], ignore_index=True)
-            if not len(batch):
+                rows = pa.concat_tables([held, rows])
+            if not len(rows):
                 continue
-            new = ((batch["slot"] != batch["slot"].shift()) | (batch["digest"] != batch["digest"].shift()) | (batch["n_bytes"] != batch["n_bytes"].shift())).cumsum()
-            found = batch.groupby(new, sort=False).agg(slot=("slot", "first"), digest=("digest", "first"), n_bytes=("n_bytes", "first"), keep=("keep", pick), n=("n", "sum"))
-            held = found.iloc[-1:]
-            yield found.iloc[:-1]
+            # groups come in the order in which they are first met
+            found = rows.group_by(["slot", "digest", "n_bytes"], use_threads=False).aggregate([("keep", pick), ("n", "sum")])
+            found = found.rename_columns([c.removesuffix("_sum").removesuffix(f"_{pick}") for c in found.column_names]).select(rows.column_names).cast(rows.schema)
+            held = found.slice(len(found) - 1)
+            yield from found.slice(0, len(found) - 1).to_batches()
         if held is not None:
-            yield held
+            yield from held.to_batches()
 
     return merge
 
@@ -68,6 +68,7 @@ def tree_merge(entries: DataFrame, runs: int, fan: int = 16, keep: str = "max")
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # leaf level: map-side partial aggregation sends one entry for each run and digest of a task
     leaves = staged(entries.groupBy("run", "digest", "n_bytes").agg(best("id").alias("keep"), F.count(F.lit(1)).alias("n")), "dedup-leaves")
+    entry = f"slot long, digest binary, n_bytes long, keep {leaves.schema['keep'].dataType.simpleString()}, n long"
     level, width = leaves.select("run", "digest", "n_bytes", "keep", "n"), 1
     for _ in range(max(1, math.ceil(math.log(max(2, runs), fan)))):
         width *= fan
@@ -79,7 +80,7 @@ def tree_merge(entries: DataFrame, runs: int, fan: int = 16, keep: str = "max")
             .repartition(parts, "slot", "digest")
             .sortWithinPartitions("slot", "digest", "n_bytes")
             .select("slot", "digest", "n_bytes", "keep", "n")
-            .mapInPandas(merge_sorted(keep), ENTRY)
+            .mapInArrow(merge_sorted(keep), entry)
             .withColumn("run", F.floor(F.col("slot") / runs).cast("long") * width)
             .drop("slot")
         )
@@ -91,8 +92,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns ``doc_id, keep_id, group_size, kept, text_sha256``. A null text is
     empty; rows with a null identifier count in their group, and keep_id is null only
-    if all identifiers of the group are. Rows repeated with the same identifier
-    and text all count; each is ``kept`` if the identifier is the group's. An empty table gives no rows. Other columns are ignored,
+    if all identifiers of the group are. Of equal texts the largest (or smallest) identifier wins; rows repeated with the same identifier
+    and text all count, and each is ``kept`` if the identifier is the group's. Identifiers may be integers of any size or strings. Whole
+    texts of any length are hashed in the JVM and never shuffled. An empty table gives no rows. Other columns are ignored,
     so clashing names cannot matter.
     """
     rows = digest_entries(docs, id_col, text_col, runs)

@@ -71,7 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select(
-        "doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.col("mix_prob").alias("prob"), F.col("mix_kept").alias("kept")
+        "doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("mix_prob", 6).alias("prob"), F.col("mix_kept").alias("kept")
     )
 
 
@@ -106,7 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 
-def _mixing_sql(documents: str = "documents", rounds: int = 8) -> str:
+def _mixing_sql(documents: str = "documents", rounds: int = 48) -> str:
     """CTEs that end in mix_rows(doc_id, mix_source, mix_lang, mix_topic, mix_tokens, prob, kept), as DuckDB SQL."""
     temper = {"mix_source": 0.8, "mix_lang": 0.8, "mix_topic": 0.9}
     ctes = [
@@ -127,7 +127,7 @@ def _mixing_sql(documents: str = "documents", rounds: int = 8) -> str:
         for d in temper:
             n += 1
             ctes.append(f"mix_{n} AS MATERIALIZED (SELECT * EXCLUDE (weight), weight * target_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight FROM mix_{n - 1})")
-    ctes.append(f"mix_prob AS (SELECT mix_source, mix_lang, mix_topic, round((weight / tokens) / max(weight / tokens) OVER (), 9) AS prob FROM mix_{n})")
+    ctes.append(f"mix_prob AS (SELECT mix_source, mix_lang, mix_topic, (weight / tokens) / max(weight / tokens) OVER () AS prob FROM mix_{n})")
     ctes.append(
         """mix_rows AS (
             SELECT doc_id, mix_source, mix_lang, mix_topic, mix_tokens, prob,
@@ -138,7 +138,7 @@ def _mixing_sql(documents: str = "documents", rounds: int = 8) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
-    "op10_mixing": f"WITH {_mixing_sql()} SELECT * FROM mix_rows",
+    "op10_mixing": f"WITH {_mixing_sql()} SELECT * REPLACE (round(prob, 6) AS prob) FROM mix_rows",
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id,

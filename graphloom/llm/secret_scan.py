@@ -12,12 +12,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, text_or_empty
 
 #: The patterns of each kind (group to measure, least length), in report order.
 KINDS = {
@@ -70,51 +71,67 @@ def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 1000
 
 
+#: log10 guesses of choosing a kind of span, of a turn on the keyboard and of a step in a sequence.
+CHOICE, TURN, STEP = 0.3, 0.45, 0.05
+
+
+def word_cost(value: str, low: str, plain: str, k: int, j: int) -> float:
+    """Guesses of value[k:j] as a known word, with its capitals and look-alikes; infinite if it is none."""
+    rank = RANK.get(plain[k:j])
+    if not rank:
+        return math.inf
+    part = value[k:j]
+    return math.log10(rank + 1) + (0.6 if part != part.lower() else 0) + (0.6 if low[k:j] != plain[k:j] else 0) + CHOICE
+
+
+def run_cost(first: str, steps: int, turn: float) -> float:
+    """Guesses of a run of ``steps`` steps after its first character."""
+    return math.log10(_alphabet(first)) + CHOICE + turn * steps + math.log10(steps + 1)
+
+
 def guess_cost(value: str) -> float:
-    """Least log10 guesses over all segmentations; linear in the value's length, 0 for an empty one.
+    """Least log10 guesses over all segmentations; 0 for an empty value.
 
-    best[j] is the least cost of the first j characters. Words and dates end
-    within a fixed reach; a repeat, walk or sequence is extended as one run, and
-    any part of a run may be used, which the run's length-so-far at each end covers.
+    best[j] is the least cost of the first j characters. A word or date ends within a fixed reach. A repeat, walk or sequence may start anywhere in
+    its run, and a later start can be the cheaper one where a word ends inside the run, so every start is tried: the time is linear in the value's
+    length but for long runs, where it grows with the run.
     """
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
     best = [0.0] + [math.inf] * n
-    run = {"repeat": 0, "walk": 0, "sequence": 0}
+    runs = {"repeat": 0, "walk": 0, "sequence": 0}
     for j in range(1, n + 1):
-        c = value[j - 1]
-        best[j] = best[j - 1] + math.log10(_alphabet(c))
+        best[j] = best[j - 1] + math.log10(_alphabet(value[j - 1]))
         for k in range(max(0, j - LONGEST), j - 2):
-            rank = RANK.get(plain[k:j])
-            if rank:
-                part = value[k:j]
-                cost = math.log10(rank + 1) + (0.6 if part != part.lower() else 0) + (0.6 if low[k:j] != plain[k:j] else 0)
-                best[j] = min(best[j], best[k] + cost + 0.3)
+            best[j] = min(best[j], best[k] + word_cost(value, low, plain, k, j))
         for k in range(max(0, j - 10), j - 3):
             if DATE.fullmatch(value, k, j):
                 best[j] = min(best[j], best[k] + (2.1 if j - k == 4 else 4.6))
         if j > 1:
             a, b = low[j - 2], low[j - 1]
-            run["repeat"] = run["repeat"] + 1 if a == b else 0
-            run["walk"] = run["walk"] + 1 if (a, b) in NEAR else 0
-            run["sequence"] = run["sequence"] + 1 if abs(ord(a) - ord(b)) == 1 else 0
-            for kind, turns in (("repeat", 0.0), ("walk", 0.45), ("sequence", 0.05)):
-                steps = run[kind]
-                if steps >= 2:  # three characters or more; a longer start costs no more than a part of the run
-                    start = math.log10(_alphabet(c)) + 0.3
-                    best[j] = min(best[j], best[j - 1 - steps] + start + turns * steps + math.log10(steps + 1))
+            runs["repeat"] = runs["repeat"] + 1 if a == b else 0
+            runs["walk"] = runs["walk"] + 1 if (a, b) in NEAR else 0
+            runs["sequence"] = runs["sequence"] + 1 if abs(ord(a) - ord(b)) == 1 else 0
+            for kind, turn in (("repeat", 0.0), ("walk", TURN), ("sequence", STEP)):
+                for steps in range(2, runs[kind] + 1):  # three characters or more
+                    k = j - 1 - steps
+                    best[j] = min(best[j], best[k] + run_cost(value[k], steps, turn))
     return best[n]
 
 
 def scan(text: str, least: float = 8.0) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span by start, then kind; code points, end exclusive."""
     found = [(kind, m.start(), m.end()) for kind, (pattern, group, size) in KINDS.items() for m in pattern.finditer(text) if m.end(group) - m.start(group) >= size]
-    at = 0
+    base = sorted((a, b) for _, a, b in found)
+    reach = list(accumulate((b for _, b in base), max))  # the furthest end of the spans that start no later
+    at, starts = 0, [a for a, _ in base]
     while m := CONTEXT.search(text, at):
         at = m.end(1)  # a value may itself be the context of the next one
         value = m.group(2).rstrip(".,;:!?)]}>")
         a, b = m.start(2), m.start(2) + len(value)
-        if len(value) >= 6 and not any(s <= a and b <= e for _, s, e in found) and guess_cost(value) >= least:
+        before = bisect_right(starts, a)
+        covered = before and reach[before - 1] >= b
+        if len(value) >= 6 and not covered and guess_cost(value) >= least:
             found.append(("guess", a, b))
     return sorted(found, key=lambda s: (s[1], ORDER[s[0]], s[2]))
 
@@ -127,25 +144,16 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Spans of every row: ``doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans``.
 
     Null and empty texts have no spans (the digest of the empty string). Rows are scanned
-    alone and whole; repeated rows and null identifiers are returned as they come.
+    alone and whole, however long; repeated rows, null identifiers and identifiers of any type and size are returned as they come. Of spans with one start
+    the kind's order decides. An empty table gives no rows. Other columns are not read, so clashing names don't matter.
     """
     bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            spans = [scan(t, least) for t in batch["text"].fillna("")]
-            count = lambda kind: [sum(s[0] == kind for s in found) for found in spans]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "n_assign": count("assign"),
-                    "n_access": count("access"),
-                    "n_hex": count("hex"),
-                    "n_guess": count("guess"),
-                    "base_sha256": [hashlib.sha256(joined([s for s in found if s[0] != "guess"]).encode()).hexdigest() for found in spans],
-                    "spans": [joined(found) for found in spans],
-                }
-            )
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")
+    @F.pandas_udf("n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")
+    def scanned(texts: pd.Series) -> pd.DataFrame:
+        spans = [scan(t, least) for t in texts]
+        found = {f"n_{kind}": [sum(s[0] == kind for s in x) for x in spans] for kind in ORDER}
+        found["base_sha256"] = [hashlib.sha256(joined([s for s in x if s[0] != "guess"]).encode()).hexdigest() for x in spans]
+        return pd.DataFrame(found | {"spans": [joined(x) for x in spans]})
+
+    return docs.select(F.col(id_col).alias("doc_id"), scanned(text_or_empty(text_col)).alias("s")).select("doc_id", "s.*")

@@ -25,7 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import as_text, bounded_batches, free_names, row_keys, staged, text_or_empty
+from .common import bounded_batches, free_names, row_keys, staged, text_or_empty
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -60,18 +60,14 @@ def fingerprint_of(rows: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, carry: list[Column] | None = None) -> DataFrame:
-    """``doc_id, fp`` of every row (fp: the 64 bits as a signed long), and the ``carry`` columns, longs without nulls."""
+    """``doc_id, fp`` of every row (fp: the 64 bits as a signed long), and the ``carry`` columns."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(as_text(id_col).alias("doc_id"), *(carry or []), text_or_empty(text_col).alias("text"))
-    kept = rows.columns[:-1]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fp = np.array([fingerprint(t, words) for t in batch["text"]], dtype=np.uint64)
-            yield batch[kept].assign(fp=fp.view(np.int64))
+    @F.pandas_udf("long")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
 
-    found = rows.mapInPandas(run, "doc_id string, " + "".join(f"`{c}` long, " for c in kept[1:]) + "fp long")
-    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
+    return docs.select(F.col(id_col).alias("doc_id"), *(carry or []), fp(text_or_empty(text_col)).alias("fp"))
 
 
 def blocks_for(n: int, k: int) -> int:

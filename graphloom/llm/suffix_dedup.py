@@ -37,7 +37,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import as_text, bounded_batches, row_keys, staged
+from .common import bounded_batches, row_keys, staged
 
 GRAM = 8
 MIX = np.uint64(0x9E3779B97F4A7C15)  # 2**64 over the golden ratio, odd
@@ -201,7 +201,13 @@ def in_order(entries: DataFrame, length: int, by_parse: bool) -> DataFrame:
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["after", "before", "doc", "mark", "lo"] if by_parse else ["rh", "before", "after", "doc", "mark", "lo"]
     columns = ["doc", "mark", "lo", "s", "rh", "own", "before", "after"]
-    found = staged(entries.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*columns).mapInPandas(neighbours(length, by_parse), NEIGHBOURS), "order")
+    spark, key = entries.sparkSession, "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    usual = spark.conf.get(key, "100")
+    spark.conf.set(key, "20")  # the driver sees this many rows a partition to place the ranges
+    try:
+        found = staged(entries.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*columns).mapInPandas(neighbours(length, by_parse), NEIGHBOURS), "order")
+    finally:
+        spark.conf.set(key, usual)
     # two rows a partition at most: their order shows the neighbours across partitions
     edges = found.where("edge").select(*columns).repartition(1).sortWithinPartitions(*order).mapInPandas(neighbours(length, by_parse), NEIGHBOURS)
     return found.unionByName(edges).drop("edge", "before", "after")
@@ -218,21 +224,20 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found]
 
 
-def cut_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for row_id, n, body, sha, starts, ends in zip(batch["id"].tolist(), batch["n_bytes"].tolist(), batch["body"].tolist(), batch["sha"].tolist(), batch["starts"].tolist(), batch["ends"].tolist(), strict=True):
-            if body is None:
-                rows.append((row_id, n, 0, 0, sha, ""))
-                continue
-            runs = merged(list(zip(starts, ends, strict=True)))
-            digest, at = hashlib.sha256(), 0
-            for a, b in runs:
-                digest.update(body[at:a])
-                at = b
-            digest.update(body[at:])
-            rows.append((row_id, n, sum(b - a for a, b in runs), len(runs), digest.hexdigest(), ",".join(f"{a}:{b}" for a, b in runs)))
-        yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+def cut_text(body: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text, a, b in zip(body, starts, ends, strict=True):
+        if text is None:
+            rows.append((0, 0, "", ""))
+            continue
+        runs = merged(list(zip(a.tolist(), b.tolist(), strict=True)))
+        digest, at = hashlib.sha256(), 0
+        for first, last in runs:
+            digest.update(text[at:first])
+            at = last
+        digest.update(text[at:])
+        rows.append((sum(y - x for x, y in runs), len(runs), digest.hexdigest(), ",".join(f"{x}:{y}" for x, y in runs)))
+    return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256", "spans"])
 
 
 def open_entries(keyed: DataFrame, entries: DataFrame, length: int) -> DataFrame:
@@ -290,16 +295,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("a window's grams must fit in the length")
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(as_text(id_col).alias("id"), *row_keys(id_col, text_col, "doc", "mark"), text.cast("binary").alias("body"))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), *row_keys(id_col, text_col, "doc", "mark"), text.cast("binary").alias("body"))
     spans = repeated_spans(keyed, length, window)
     lists = spans.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "end")).alias("found"))  # at most a text's phrases, however often its row repeats
-    rows = keyed.join(lists, ["doc", "mark"], "left").select(
-        "id",
-        F.octet_length("body").cast("long").alias("n_bytes"),
-        F.when(F.col("found").isNotNull(), F.col("body")).alias("body"),
-        F.when(F.col("found").isNull(), F.sha2("body", 256)).alias("sha"),
-        F.col("found.start").alias("starts"),
-        F.col("found.end").alias("ends"),
-    )
-    cut = rows.mapInPandas(cut_texts, "id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
-    return cut.select(F.col("id").cast(docs.schema[id_col].dataType).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    rows = keyed.join(lists, ["doc", "mark"], "left").select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), F.when(F.col("found").isNotNull(), F.col("body")).alias("body"), F.when(F.col("found").isNull(), F.sha2("body", 256)).alias("sha"), "found")
+    cut = rows.withColumn("cut", F.pandas_udf(cut_text, "n_removed long, n_spans long, kept_sha256 string, spans string")("body", F.col("found.start"), F.col("found.end")))
+    return cut.select("doc_id", "n_bytes", "cut.n_removed", "cut.n_spans", F.coalesce("sha", "cut.kept_sha256").alias("kept_sha256"), "cut.spans")

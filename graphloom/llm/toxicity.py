@@ -23,9 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, text_or_empty
 
 WORD = re.compile(r"\w+")
 #: Words that report or mention speech, and words that address someone.
@@ -110,9 +110,9 @@ class Matcher:
                 found = self.found[s][:2]
             if stem and (found[0] or found[1] < stem):
                 found = (0, stem)
-            if len(self.words) > 400_000:
+            if len(self.words) > 100_000:
                 self.words.clear()
-            if len(self.sets) > 50_000:
+            if len(self.sets) > 20_000:
                 self.states.clear(), self.sets.clear(), self.moves.clear(), self.found.clear()
                 self.start = self.state({(0, 0)})
             self.words[word] = found
@@ -201,19 +201,20 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 800, max_clean: int = 2000, max_chars: int = 50_000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 800, max_clean: int = 2000, max_bytes: int = 64 << 20) -> ToxicityModel:
     """Learn lexicon and weights from labelled rows that aren't held out.
 
-    The sample is bounded: ``max_toxic`` and ``max_clean`` rows with the smallest hashes, of at most
-    ``max_chars`` characters (of the sample only; scoring reads whole texts).
-    Several labels of one document count as toxic if one is. Without labels the lexicon is empty
-    and every score is the prior's.
+    The sample is bounded: the ``max_toxic`` and ``max_clean`` labelled identifiers with the smallest hashes, and of their whole texts, in
+    the order of the hashes, as many as fit in ``max_bytes`` together. Several labels of one document count as toxic if one is. Null
+    labels, identifiers and texts teach nothing. Without labels the lexicon is empty and every score is the prior's.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     order = F.xxhash64("_id")
     ids = marks.where("_y = 1").orderBy(order, "_id").limit(max_toxic).unionByName(marks.where("_y <> 1").orderBy(order, "_id").limit(max_clean))
-    # at most max_toxic + max_clean identifiers are broadcast
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") <= max_chars).join(F.broadcast(ids), "_id").orderBy("_id", "_text").collect()
+    # at most max_toxic + max_clean identifiers are broadcast; the window sees their texts only
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL").join(F.broadcast(ids), "_id").dropDuplicates(["_id", "_text"])
+    so_far = F.sum(F.octet_length("_text")).over(Window.orderBy(order, "_id", "_text"))
+    sample = rows.withColumn("_bytes", so_far).where(F.col("_bytes") <= max_bytes).orderBy("_id", "_text").collect()
     texts, toxic = [r["_text"] for r in sample], [int(r["_y"]) for r in sample]
     terms = learn_lexicon(texts, toxic)
     if not terms:
@@ -222,47 +223,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return ToxicityModel(terms, fit_logistic(np.array([features(t, matcher) for t in texts]), np.array(toxic, float)))
 
 
-def score_texts(model: ToxicityModel, id_col: str, text_col: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def scorer(model: ToxicityModel):
+    """A column function: text -> struct(score, evidence)."""
+
+    @F.pandas_udf("score double, evidence double")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         matcher, w = Matcher(model.terms), model.weights
-        for batch in batches:
-            x = np.array([features(t, matcher) for t in batch[text_col].fillna("")]).reshape(len(batch), len(FEATURES))
-            batch["score"] = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-            batch["evidence"] = np.expm1(x[:, [0, 2, 3, 4]]).sum(axis=1)
-            yield batch
+        for texts in batches:
+            x = np.array([features(t, matcher) for t in texts]).reshape(len(texts), len(FEATURES))
+            yield pd.DataFrame({"score": 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))), "evidence": np.expm1(x[:, [0, 2, 3, 4]]).sum(axis=1)})
 
-    return run
+    return of
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """Scores of all rows: ``doc_id, held_out, score, predicted, evidence``.
 
-    Null and empty texts have no hits and get the intercept's score. Every row is
-    scored alone: repeated rows get equal scores, and null identifiers stay null.
+    Whole texts of any length are scored. Null and empty texts have no hits and get the intercept's score. Every row is
+    scored alone: repeated rows get equal scores, identifiers of any type and size pass as they are, and null ones are not held out.
+    A score that ties with the threshold is predicted as 1. An empty table gives no rows. Other columns are not read, so clashing names don't matter.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = rows.withColumn("held_out", held_out("doc_id")).mapInPandas(_drop_text(score_texts(model, "doc_id", "text")), "doc_id long, held_out boolean, score double, evidence double")
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
-
-
-def _drop_text(run):
-    def slim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for out in run(batches):
-            yield out[["doc_id", "held_out", "score", "evidence"]]
-
-    return slim
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), scorer(model)(text_or_empty(text_col)).alias("s"))
+    return rows.select("doc_id", "held_out", "s.score", (F.col("s.score") >= threshold).cast("int").alias("predicted"), "s.evidence")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows scored under the threshold, with their own columns. Names that clash with the score columns are kept."""
-    bounded_batches(docs.sparkSession)
-    schema = docs.schema
+    """The rows scored under the threshold, with their own columns, which don't leave the JVM: names may clash and identifiers be of any type.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher, w = Matcher(model.terms), model.weights
-        for batch in batches:
-            x = np.array([features(t, matcher) for t in batch[text_col].fillna("")]).reshape(len(batch), len(FEATURES))
-            yield batch[1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))) < threshold]
-
-    return docs.mapInPandas(run, schema)
+    Null, empty and very long texts, repeated rows and empty tables are treated as by ``score``.
+    """
+    bounded_batches(docs.sparkSession)
+    return docs.where(scorer(model)(text_or_empty(text_col))["score"] < threshold)

@@ -4,7 +4,7 @@ for the urls that no rule fits (DataFrame functions and Spark ML only).
 The trees learn from labelled urls. Features: lengths of url, host and path, path
 depth, host labels, digit ratio, character entropy, hyphens, parameter count, longest path segment
 and two suffix statistics (the smoothed share of blocked urls among
-training urls with the same last host label and the same last two labels).
+training urls with the same last host label and the same last two labels; a training url's own label is left out of its own).
 """
 
 from __future__ import annotations
@@ -95,10 +95,11 @@ def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "label", max
     if not n or not 0 < blocked < n:
         return UrlModel(None, {}, (blocked or 0) / n if n else 0.0)
     prior = blocked / n
-    stats = {name: staged(sample.groupBy(f"suffix{k}").agg(((F.sum("label") + smooth * prior) / (F.count(F.lit(1)) + smooth)).alias(name)), name) for k, name in enumerate(SUFFIX, 1)}
+    sums = {name: staged(sample.groupBy(f"suffix{k}").agg(F.sum("label").alias("s"), F.count(F.lit(1)).alias("c")), name) for k, name in enumerate(SUFFIX, 1)}
+    stats = {name: rows.select(f"suffix{k}", ((F.col("s") + smooth * prior) / (F.col("c") + smooth)).alias(name)) for k, (name, rows) in enumerate(sums.items(), 1)}
     train = sample
     for k, name in enumerate(SUFFIX, 1):
-        train = train.join(F.broadcast(stats[name]), f"suffix{k}")
+        train = train.join(F.broadcast(sums[name]), f"suffix{k}").withColumn(name, (F.col("s") - F.col("label") + smooth * prior) / (F.col("c") - 1 + smooth)).drop("s", "c")
     ready = VectorAssembler(inputCols=LEXICAL + SUFFIX, outputCol="features").transform(train).select("features", "label").coalesce(2)
     return UrlModel(GBTClassifier(maxIter=trees, maxDepth=depth, seed=7).fit(ready), stats, prior)
 
@@ -109,7 +110,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     Returns ``page_id, host, path, rule, verdict``. Without a model, one
     is learnt from the urls that rules label. Null and empty urls have empty host
     and path and are judged by the model on empty features; with no labelled urls of both kinds the
-    model is the majority label (allow if there are none).
+    model is the majority label (allow if there are none). Urls of any length are read whole; repeated rows are judged alone. Rules of one length that
+    both fit are taken in the order given. Other columns are not read, so clashing names don't matter. An empty table gives no rows.
     """
     rows = with_parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))).withColumn("fit", rule_match(rules))
     if model is None:

@@ -120,3 +120,17 @@ def test_exact_dedup_matches_brute_force(spark, keep, runs, fan):
 
 def test_exact_dedup_of_an_empty_table(spark):
     assert exact_dedup(frame(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("keep", ["max", "min"])
+def test_large_null_and_string_identifiers_survive(spark, keep):
+    big = 2**53 + 1
+    rows = [(big, "a"), (None, "a"), (big + 2, "b"), (None, "b"), (None, "c"), (big + 1, "a"), (4, "x" * 2_000_000), (5, "x" * 2_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text_sha256[:4]): (r.keep_id, r.kept) for r in exact_dedup(docs, keep=keep).collect()}
+    name = lambda t: hashlib.sha256(t.encode()).hexdigest()[:4]
+    best = big + 1 if keep == "max" else big
+    assert got[(big, name("a"))] == (best, best == big) and got[(big + 1, name("a"))] == (best, best == big + 1) and got[(None, name("a"))] == (best, False)
+    assert got[(big + 2, name("b"))] == (big + 2, True) and got[(None, name("c"))] == (None, True)
+    named = {r.doc_id: r.keep_id for r in exact_dedup(docs.selectExpr("cast(doc_id as string) doc_id", "text"), keep=keep).collect() if r.doc_id}
+    assert named[str(big)] == str(best) and named["4"] == ("5" if keep == "max" else "4")

@@ -173,15 +173,38 @@ def test_edited_items_are_found_within_the_budget(spark, block_chars):
         hits = []
         for k, item in enumerate(items):
             p = decon.plain(item or "")
-            if p and t and (d := best_by_brute_force(p, decon.plain(t))) <= int(0.06 * len(p)):
+            if p and t and (d := best_by_brute_force(f" {p} ", f" {decon.plain(t)} ")) <= int(0.06 * len(p)):
                 hits.append((d, k))
         want.append((i, len(hits), min(hits)[1] if hits else None, min(hits)[0] if hits else None, bool(hits)))
     assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
 
 
-def test_columns_are_kept_and_empty_tables_work(spark):
-    docs = spark.createDataFrame([(1, "some text", "en")], "doc_id long, text string, lang string")
+def test_own_columns_are_kept_whatever_their_names(spark):
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(big, "some text", "en", 1, None), (None, "An Item of five words", "fr", None, big), (3, None, None, None, None)], "doc_id long, text string, _k0 string, decon_n long, hits long")
     none = spark.createDataFrame([], "item_id long, text string")
-    out = decon.decontaminate(docs, none, keep_columns=True)
-    assert out.columns[:3] == docs.columns and out.first().decon_n == 0
+    items = spark.createDataFrame([(None, "an item of five words"), (big, "an item of five words"), (7, "cat"), (8, "")], "item_id long, text string")
+    for block in (10, 10**6):
+        kept = decon.keep_free(docs, items, block_chars=block)
+        assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(3, None, None, None, None), (big, "some text", "en", 1, None)]
+        found = {r.doc_id: tuple(r)[1:] for r in decon.decontaminate(docs, items, block_chars=block).collect()}
+        assert found == {big: (0, None, None, False), None: (2, None, 0, True), 3: (0, None, None, False)}
+    assert decon.keep_free(docs, none).count() == 3 and decon.keep_free(docs.limit(0), items).collect() == []
     assert decon.decontaminate(docs.limit(0), none).collect() == []
+
+
+def test_items_stand_as_whole_words_in_texts_of_any_length(spark):
+    docs = spark.createDataFrame([("a", "the catalogue"), ("b", "w " * 2_000_000 + "The CAT!"), ("b", "cat"), ("c", "cat " * 3)], "doc_id string, text string")
+    items = spark.createDataFrame([("x", "cat"), ("y", "a")], "item_id string, text string")
+    assert sorted(tuple(r) for r in decon.decontaminate(docs, items).collect()) == [("a", 0, None, None, False), ("b", 1, "x", 0, True), ("b", 1, "x", 0, True), ("c", 1, "x", 0, True)]
+    assert sorted(r.doc_id for r in decon.keep_free(docs, items).collect()) == ["a"]
+
+
+def test_a_large_benchmark_is_read_block_by_block(spark):
+    docs = spark.createDataFrame([(i, f"noise before item number {i} of many and noise after") for i in range(30)] + [(5, "again item number 5 of many")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"item number {i} of many") for i in range(0, 30, 2)], "item_id long, text string")
+    assert len(list(decon.blocks_of(items, "item_id", "text", 40))) > 5
+    many, one = (sorted(tuple(r) for r in decon.decontaminate(docs, items, rate=0.0, block_chars=n).collect()) for n in (40, 10**6))
+    assert many == one and sum(r[1] for r in one) == 15
+    plan = decon.decontaminate(docs, items)._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("ArrowEvalPython") == 1

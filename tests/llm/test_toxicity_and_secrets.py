@@ -67,6 +67,68 @@ def test_scores_held_out_rows_and_odd_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in out if not r.predicted}
 
 
+def features_by_brute_force(text, terms, window=5):
+    """The features read from their description: every word against every term by the edit-distance table."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    low, n = text.lower(), dict.fromkeys(tox.FEATURES, 0.0)
+    spans = [m.span() for m in tox.WORD.finditer(low)]
+    words = [low[a:b] for a, b in spans]
+    for i, w in enumerate(words):
+        whole = [(distance(w, t), -s) for t, s in terms.items() if not t.endswith("*") and distance(w, t) <= tox.errors_allowed(t)]
+        stem = max([s for t, s in terms.items() if t.endswith("*") and w.startswith(t[:-1])], default=0)
+        errors, strength = (min(whole)[0], -min(whole)[1]) if whole else (9, 0.0)
+        if stem and (errors or strength < stem):
+            errors, strength = 0, stem
+        if errors == 9:
+            continue
+        near = words[max(0, i - window) : i] + words[i + 1 : i + 1 + window]
+        a, b = spans[i]
+        quoted = (a > 0 and b < len(low) and low[a - 1] in tox.QUOTES and low[b] in tox.QUOTES) or any(x in tox.REPORTING for x in near)
+        n[("fuzzy_quoted" if quoted else "fuzzy") if errors else ("quoted" if quoted else "direct")] += strength
+        n["directed"] += not quoted and any(x in tox.SECOND_PERSON for x in near)
+    n["density"] = (n["direct"] + n["fuzzy"]) / max(1, len(words)) * 100
+    return [math.log1p(n[k]) for k in tox.FEATURES]
+
+
+def test_features_match_brute_force():
+    import random
+
+    rnd = random.Random(4)
+    terms = {"idiot": 0.9, "moronic": 0.5, "scum": 1.0, "scumbag*": 0.7, "wretchedly": 0.4, "idio*": 0.3}
+    vocabulary = ["idiot", "idoit", "idiott", "moronic", "maronik", "scum", "scumm", "scumbags", "wretchedly", "retchedlee", "idiom", "you", "said", '"idiot"', "«scum»", "fine", "day", "the", "Vous", "x"]
+    matcher = tox.Matcher(terms)
+    for _ in range(300):
+        text = " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(0, 25)))
+        assert tox.features(text, matcher) == pytest.approx(features_by_brute_force(text, terms))
+
+
+def test_large_identifiers_odd_columns_and_long_texts(spark):
+    big = 2**53 + 1
+    rows = [(big, "you idiot", 1), (None, "fine " * 500_000, None), (big + 2, None, big), (big + 2, None, big)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score long")
+    model = tox.ToxicityModel({"idiot": 1.0}, tox.PRIOR)
+    assert {(r.doc_id, r.predicted) for r in tox.score(docs, model).collect()} == {(big, 1), (None, 0), (big + 2, 0)}
+    kept = tox.keep_clean(docs, model)
+    assert kept.columns == docs.columns and sorted(map(str, (tuple(r)[::2] for r in kept.collect()))) == sorted(map(str, [(None, None), (big + 2, big), (big + 2, big)]))
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    rows = labelled()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    assert tox.fit(docs, labels, max_bytes=10).terms == {}
+    assert tox.fit(docs, labels).terms == tox.fit(docs.union(docs), labels.union(labels)).terms
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     rows = labelled()
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
@@ -152,23 +214,65 @@ def test_base_spans_match_brute_force(spark):
 
 
 def cost_by_recursion(value):
-    """Brute force over single characters, dictionary words and dates only."""
-    n = len(value)
-    best = [0.0] + [math.inf] * n
+    """Brute force over all spans of all five kinds, by their prices."""
+    n, best = len(value), [0.0]
     for j in range(1, n + 1):
+        options = []
         for i in range(j):
-            part = value[i:j]
-            options = [sum(math.log10(secrets._alphabet(c)) for c in part)]
-            rank = secrets.RANK.get(part.lower().translate(secrets.LEET))
-            if rank and j - i >= 3:
-                options.append(math.log10(rank + 1) + 0.3 + 0.6 * (part != part.lower()) + 0.6 * (part.lower() != part.lower().translate(secrets.LEET)))
-            best[j] = min(best[j], best[i] + min(options))
+            part, low = value[i:j], value[i:j].lower()
+            prices = [sum(math.log10(secrets._alphabet(c)) for c in part)]
+            if j - i >= 3:
+                rank = secrets.RANK.get(low.translate(secrets.LEET))
+                if rank:
+                    prices.append(math.log10(rank + 1) + secrets.CHOICE + 0.6 * (part != low) + 0.6 * (low != low.translate(secrets.LEET)))
+                steps = list(zip(low, low[1:]))
+                first = math.log10(secrets._alphabet(part[0])) + secrets.CHOICE + math.log10(len(steps) + 1)
+                if all(a == b for a, b in steps):
+                    prices.append(first)
+                if all(x in secrets.NEAR for x in steps):
+                    prices.append(first + secrets.TURN * len(steps))
+                if all(abs(ord(a) - ord(b)) == 1 for a, b in steps):
+                    prices.append(first + secrets.STEP * len(steps))
+            if j - i >= 4 and secrets.DATE.fullmatch(part):
+                prices.append(2.1 if j - i == 4 else 4.6)
+            options.append(best[i] + min(prices))
+        best.append(min(options))
     return best[n]
 
 
-@pytest.mark.parametrize("value", ["password", "P4ssword", "dragonmonkey", "zqxvkw", "xDragon9"])
-def test_guess_cost_takes_the_cheapest_segmentation(value):
-    assert secrets.guess_cost(value) <= cost_by_recursion(value) + 1e-9
+PARTS = ["password", "P4ss", "dragon", "zqx", "ddddd", "qwerty", "asdf", "abcd", "9876", "19981231", "2004", "31.12.1999", "é", "$#", "x", "1", "aaa", "monkey"]
+
+
+def test_guess_cost_is_the_least_over_all_segmentations():
+    import random
+
+    rnd = random.Random(11)
+    values = ["password" + "d" * 5, "passworddddddddddd1", "", "aaaaqwertyyyy", *("".join(rnd.choice(PARTS) for _ in range(rnd.randint(1, 5))) for _ in range(400))]
+    for value in values:
+        assert abs(secrets.guess_cost(value) - cost_by_recursion(value)) < 1e-9, value
+    assert secrets.scan("pwd: passworddddddddddd1") == []
+
+
+def test_planted_credentials_are_found():
+    """Precision and recall over random credentials and over weak or prose values."""
+    import random
+    import string
+
+    rnd = random.Random(12)
+    lead = ["pwd: ", "bearer ", "db_pwd=", "auth=", "passphrase is ", "password: "]
+    strong = ["".join(rnd.choice(string.ascii_letters + string.digits + "!#$%") for _ in range(rnd.randint(10, 20))) for _ in range(300)]
+    weak = ["password1", "qwerty123", "letmein2004", "dragondragon", "abcdefgh", "111111111", "monkey!!", "required", "expired", "Summer2019"] * 20
+    found = lambda v: any(k in ("guess", "assign") for k, _, _ in secrets.scan(rnd.choice(lead[:-1]) + v))
+    hits, false = sum(map(found, strong)), sum(map(found, weak))
+    assert hits >= 0.98 * len(strong) and false == 0
+
+
+def test_scan_keeps_identifiers_and_reads_long_texts(spark):
+    big, long = 2**53 + 1, "pwd: hunter " * 300_000 + "pwd: k9#Vx2!qLwTz81"
+    docs = spark.createDataFrame([(big, "a"), (None, None), (big + 2, long)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_guess, r.spans) for r in secrets.secret_scan(docs).collect()}
+    assert got == {big: (0, ""), None: (0, ""), big + 2: (1, f"guess:{len(long) - 14}:{len(long)}")}
+    assert secrets.secret_scan(docs.selectExpr("coalesce(cast(doc_id as string), 'none') doc_id", "text")).where("doc_id = 'none'").count() == 1
 
 
 def test_guess_cost_knows_patterns():

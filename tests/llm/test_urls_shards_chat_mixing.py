@@ -1,8 +1,11 @@
 import hashlib
 import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from graphloom.llm import chat_format as chat, mixing, sharding, url_filter as urls
@@ -137,11 +140,13 @@ def test_raking_meets_the_marginals(spark):
     cells = spark.createDataFrame([(s, g, t, 10 + 7 * i * j + 3 * k) for i, s in enumerate("abc") for j, g in enumerate(["en", "fr"]) for k, t in enumerate("xy")], "mix_source string, mix_lang string, mix_topic string, tokens long")
     goal = {"mix_source": {"a": 0.5, "b": 0.3, "c": 0.2}, "mix_lang": {"en": 0.6, "fr": 0.4}, "mix_topic": {"x": 0.9, "y": 0.1}}
     targets = {d: spark.createDataFrame(list(g.items()), f"{d} string, target_{d} double") for d, g in goal.items()}
-    rows = mixing.rake(cells, mixing.DIMS, targets, rounds=10).collect()
+    raked, off = mixing.rake(cells, mixing.DIMS, targets)
+    assert off < 1e-12
+    rows = raked.collect()
     for d, g in goal.items():
         for value, share in g.items():
-            assert abs(sum(r.weight for r in rows if r[d] == value) - share) < 1e-4
-    top = {tuple(r[d] for d in mixing.DIMS): r for r in mixing.probabilities(mixing.rake(cells, mixing.DIMS, targets, rounds=2)).collect()}
+            assert abs(sum(r.weight for r in rows if r[d] == value) - share) < 1e-9
+    top = {tuple(r[d] for d in mixing.DIMS): r for r in mixing.probabilities(mixing.rake(cells, mixing.DIMS, targets, rounds=2)[0]).collect()}
     assert abs(max(r.prob for r in top.values()) - 1) < 1e-9
 
 
@@ -159,3 +164,64 @@ def test_mixing_samples_by_probability(spark):
     forced = mixing.mix(docs, broadcast_cells=0).collect()
     assert Counter((r.doc_id, r.mix_kept) for r in forced) == Counter((r.doc_id, r.mix_kept) for r in got)
     assert mixing.mix(docs.limit(0)).collect() == []
+
+
+def test_given_targets_and_topics(spark):
+    rows = [(i, "x" * 40, "en" if i % 3 else "fr", "web" if i % 4 else "books", f"t{i % 2}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, subject string")
+    goal = {"mix_source": {"web": 1, "books": 1}, "mix_topic": {"t0": 0.7, "t1": 0.3}, "mix_lang": {"en": 0.5, "fr": 0.5}}
+    out = mixing.mix(docs, targets=goal, topic=F.col("subject")).collect()
+    total = sum(r.mix_prob for r in out)
+    for dim, shares in goal.items():
+        for value, share in shares.items():
+            assert abs(sum(r.mix_prob for r in out if r[dim] == value) / total - share / sum(shares.values())) < 1e-9
+    assert all(r.mix_prob == 0 for r in mixing.mix(docs, targets={"mix_lang": {"en": 1.0}}).where("mix_lang = 'fr'").collect())
+    with pytest.warns(UserWarning):
+        mixing.mix(docs, targets={"mix_lang": {"en": 0.5, "de": 0.5}}, rounds=8)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, targets={"mix_lang": {"en": -1.0}})
+
+
+def test_sampling_keeps_own_columns_and_rows_without_identifiers(spark):
+    rows = [(None, f"text {i} " * 30, "en", "s", i, "n") for i in range(400)] + [(2**53 + 1, "a " * 1_000_000, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, mix_note long, MIX_prob string")
+    kept = mixing.sample(docs, targets={"mix_topic": {"short": 0.5, "long": 0.5}})
+    assert kept.columns == docs.columns
+    found = {r.mix_note for r in kept.collect()}
+    assert 1 <= len(found) < 401
+    assert {r.mix_note for r in mixing.sample(docs.repartition(5), targets={"mix_topic": {"short": 0.5, "long": 0.5}}).collect()} == found
+    assert mixing.sample(docs.limit(0)).collect() == []
+
+
+def test_shards_are_the_best_pairs_of_rendezvous_hashing(spark):
+    weights = [1.0, 2.5, 0.5, 1.0]
+    docs = spark.createDataFrame([(k, "t") for k in [*range(-50, 200), 2**53 + 1, -(2**62)]], "doc_id long, text string")
+    for r in sharding.shard(docs, weights, added_weight=2.0).collect():
+        key = xxhash.xxh64_intdigest(struct.pack("<q", r.doc_id), 42)
+        score = lambda j, w: -w / math.log(((xxhash.xxh64_intdigest(struct.pack("<i", j), key) >> 11) + 0.5) * 2.0**-53)  # noqa: B023, E731
+        scores = [score(j, w) for j, w in enumerate([*weights, 2.0])]
+        assert r.shard == max(range(4), key=scores.__getitem__) and r.grown_shard == max(range(5), key=scores.__getitem__)
+
+
+def test_carried_names_may_clash(spark):
+    docs = spark.createDataFrame([(1, "a", 7, "x", "y")], "doc_id long, text string, size long, Shard string, carried_size string")
+    out = sharding.shard(docs, [1.0], carry=("text", "size", "Shard", "carried_size"))
+    assert out.columns == [*sharding.COLUMNS, "text", "carried_size", "carried_Shard", "carried_carried_size"]
+    assert tuple(out.first())[7:] == ("a", 7, "x", "y")
+
+
+def test_verdicts_of_held_out_urls(spark):
+    """Labelled by the rules: learnt from four fifths of the urls that rules fit, measured on the rest."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = urls.with_parts(pages.select("url")).withColumn("fit", urls.rule_match(URL_RULES)).where("fit IS NOT NULL")
+    rows = rows.select("url", (F.col("fit.verdict") == "block").cast("double").alias("label"), (F.xxhash64("url") % 5 == 0).alias("held"))
+    model = urls.fit(rows.where("NOT held"))
+    scored = model.score(urls.lexical(urls.with_parts(rows.where("held"))))
+    n, right, blocked = scored.agg(F.count(F.lit(1)), F.count_if(F.col("blocked") == F.col("label")), F.sum("label")).first()
+    assert n > 200 and right / n > max(blocked, n - blocked) / n + 0.05, (n, right, blocked)
+
+
+def test_very_long_urls(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/de/" + "x/" * 50_000 + "?q=1"), (2, "http://b.org/?" + "p=1&" * 50_000)], "page_id long, url string")
+    found = {r.page_id: (len(r.path), r.rule, r.verdict) for r in urls.judge(pages, URL_RULES).collect()}
+    assert found == {1: (100_004, "com/de/", "block"), 2: (1, "org/", "allow")}
