@@ -305,18 +305,14 @@ def between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return both.where(F.coalesce("p", "u") != F.coalesce("q", "v")).drop("p", "q")
 
 
-def settle(pairs: DataFrame, sets: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(links, components) once all pairs ``u, v, apart`` are verified or implied: each text's closest pairs first, then those still between components."""
+def settle(pairs: DataFrame, sets: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Components once all pairs ``u, v, apart`` are verified or implied: each text's closest pairs first, then those still between components. groups: the components so far."""
     ways = pairs.select("u", "v", "apart").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "apart"))
     first = ways.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select(F.least("u", "best.v").alias("u"), F.greatest("u", "best.v").alias("v")).distinct()
-    found = staged(verified(first, sets), "near-links")
-    links = found if links is None else links.union(found)
-    groups = components(links)
+    known = lambda links: links if groups is None else links.union(groups.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    groups = components(known(verified(first, sets)))
     left = staged(between(pairs.join(first, ["u", "v"], "left_anti"), groups).select("u", "v"), "left-pairs")
-    if left.take(1):
-        links = links.union(staged(verified(left, sets), "near-links"))
-        groups = components(links)
-    return links, groups
+    return components(known(verified(left, sets))) if left.take(1) else groups
 
 
 def near_links(docs: DataFrame, text_col: str = "text", words: int = 5, k: int = 4) -> DataFrame:
@@ -342,7 +338,7 @@ def near_links(docs: DataFrame, text_col: str = "text", words: int = 5, k: int =
 
     pairs = staged(found.where("v IS NOT NULL").select("u", "v").union(near_pairs(distinct, k)).union(equal).union(hubs).distinct(), "pairs")
     near = staged(allowed(pairs, sketches).distinct(), "allowed")
-    links, groups = settle(near, staged(sets_of(texts, ends(near), words), "shingle-sets"), None)
+    groups = settle(near, staged(sets_of(texts, ends(near), words), "shingle-sets"), None)
 
     members = staged(members.join(groups, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "members")
     split = members.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b")
@@ -355,7 +351,7 @@ def near_links(docs: DataFrame, text_col: str = "text", words: int = 5, k: int =
     cells = cells.join(sketches.select("node", "sketch").dropDuplicates(["node"]), "node")
     rest = cells.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(runs(crossing), "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti")
     rest = staged(allowed(staged(rest, "crossing"), sketches).distinct(), "allowed")
-    return settle(rest, staged(sets_of(texts, ends(rest), words), "shingle-sets"), links)[1] if rest.take(1) else groups
+    return settle(rest, staged(sets_of(texts, ends(rest), words), "shingle-sets"), groups) if rest.take(1) else groups
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, k: int = 4) -> DataFrame:

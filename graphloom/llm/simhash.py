@@ -187,22 +187,25 @@ def _link_runs(fp: np.ndarray, rep: np.ndarray, starts: np.ndarray, sizes: np.nd
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node that links reach) of all nodes that ``u, v`` rows name, but for the components' smallest.
 
-    Large-star and small-star rounds until the links don't change: about the logarithm of a component's longest path.
+    Large-star and small-star rounds until the links are stars: about the logarithm of a component's longest path.
     """
     edges = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before, now = None, mark(edges)
-    while now[0] and now != before:
+    while _unfinished(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         edges = staged(small, "stars")
-        before, now = now, mark(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether some node has two smaller neighbours, or one smaller and one larger: links u > v that are stars have none."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return bool(ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").take(1))
+
+
 def near_pairs(distinct: DataFrame, k: int) -> DataFrame:
     """Links ``u, v`` that span all components of fingerprints at most k bits apart; distinct: a row ``fp, rep`` for each fingerprint."""
     b = blocks_for(distinct.count(), k)
