@@ -12,9 +12,9 @@ SOURCES = ["vector", "graph", "structured"]
 MAX_TOOL_CALLS, MAX_REPAIRS = 15, 1
 
 
-def ledger(items: DataFrame) -> DataFrame:
-    """First write of a source id in a run stays: adds ``evidence_id`` to ``run, seq, source_type, source_id, document_id``. Raises on an unknown source type."""
-    if items.where(~F.coalesce(F.col("source_type"), F.lit("")).isin(SOURCES)).take(1):
+def ledger(items: DataFrame, checked: bool = False) -> DataFrame:
+    """First write of a source id in a run stays: adds ``evidence_id`` to ``run, seq, source_type, source_id, document_id``. Raises on an unknown source type, for which the rows are read once more unless they are ``checked``."""
+    if not checked and items.where(~F.coalesce(F.col("source_type"), F.lit("")).isin(SOURCES)).take(1):
         raise ValueError(f"a source type is one of {SOURCES}")
     rest = [c for c in items.columns if c not in ("run", "source_id")]
     kept = items.groupBy("run", "source_id").agg(F.min_by(F.struct(*rest), "seq").alias("r")).select("run", "source_id", "r.*")

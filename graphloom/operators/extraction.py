@@ -19,6 +19,9 @@ CREW = r"(?i)\b(49er|470|nacra(?:\s*17)?|yngling|group)\b"
 TEAM = r"(?i)\b(team|relay|doubles|pairs?|duet|tournament|two-man|four-man|two-woman|coxless|coxed|eight|quadruple sculls|double sculls|synchronized|team pursuit|team sprint|ice dance)\b|4\s*[×x]\s*\d+|K-2|K-4|C-2|C-4"
 
 
+SLOTS = range(len(MEDALS))
+
+
 def infobox_body(text: Column) -> Column:
     """The text after the header up to a blank line; empty without a header."""
     return F.when(text.contains(INFOBOX), F.substring_index(F.substr(text, F.instr(text, F.lit(INFOBOX)) + len(INFOBOX)), "\n\n", 1)).otherwise("")
@@ -33,7 +36,7 @@ def body_field(body: Column, key: str) -> Column:
 def infobox_pairs(text: Column) -> Column:
     """array<struct<key, value>> in line order: the lines after the header up to a blank line, cut at the first colon; lines without one are dropped."""
     lines = F.filter(F.split(infobox_body(text), "\n"), lambda x: x.contains(":"))
-    return F.transform(lines, lambda x: F.struct(F.btrim(F.substring_index(x, ":", 1)).alias("key"), F.btrim(F.substr(x, F.instr(x, F.lit(":")) + 1)).alias("value")))
+    return F.transform(lines, lambda x: F.struct(F.btrim(F.substring_index(x, ":", 1), F.lit(" \t\u000b\f\r")).alias("key"), F.btrim(F.substr(x, F.instr(x, F.lit(":")) + 1)).alias("value")))
 
 
 def field(pairs: Column, key: str) -> Column:
@@ -61,52 +64,64 @@ def is_team_event(title: Column, event: Column, teams: Column, competitors: Colu
     return F.when(both.rlike(SOLO), F.lit(False)).when(both.rlike(CREW), F.lit(True)).when(title.rlike(TEAM) | event.rlike(TEAM), F.lit(True)).when(teams.isNull(), F.lit(False)).otherwise(~F.coalesce(same, F.lit(False)))
 
 
+def once(rows: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
+    """``keep`` and ``columns``, each computed once a row: a generator of one row, which Spark doesn't copy into the uses of its columns as it does with a projection."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
+def read_fields(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``doc_id, title`` and the asked infobox keys of pages that have an infobox line: the body is cut into pairs once."""
+    rows = docs.where(infobox_body(F.coalesce("text", F.lit(""))).contains(":")).withColumn("title", F.coalesce("title", F.lit("")))
+    return once(once(rows, ["doc_id", "title"], {"pairs": infobox_pairs(F.col("text"))}), ["doc_id", "title"], {name: field(F.col("pairs"), key) for name, key in columns.items()})
+
+
+#: The infobox keys of an event, and of its medal slots (w: winner, n: country code).
+EVENT_KEYS = {k: k for k in ("event", "games", "venue", "venues", "teams", "competitors")}
+SLOT_KEYS = {f"w{k}": m for k, (m, _) in enumerate(MEDALS)} | {f"n{k}": n for k, (_, n) in enumerate(MEDALS)}
+
+
 def events(docs: DataFrame) -> DataFrame:
-    """One row a page that has an infobox: identifiers, names, year, team flag and the infobox body."""
-    rows = docs.withColumn("body", infobox_body(F.coalesce("text", F.lit(""))))
-    get = lambda k: body_field(F.col("body"), k)
-    rows = rows.where(F.col("body").contains(":")).select(
-        "doc_id",
-        F.coalesce("title", F.lit("")).alias("title"),
-        "body",
-        F.coalesce(filled(get("event")), F.col("title")).alias("event"),
-        filled(get("games")).alias("games"),
-        F.coalesce(filled(get("venue")), filled(get("venues"))).alias("venue"),
-        get("teams").alias("teams"),
-        get("competitors").alias("competitors"),
-    )
-    return rows.withColumns({"sport": sport_of(F.col("title")), "year": year_of(F.coalesce("games", F.lit("")), F.col("title")), "team_event": is_team_event(F.col("title"), F.col("event"), F.col("teams"), F.col("competitors"))})
+    """One row a page that has an infobox: identifiers, names, year, team flag, and the medal slots' winners and codes (``w0, n0, ...``)."""
+    rows = read_fields(docs, EVENT_KEYS | SLOT_KEYS)
+    named = {
+        "event": F.coalesce(filled(F.col("event")), F.col("title")),
+        "games": filled(F.col("games")),
+        "venue": F.coalesce(filled(F.col("venue")), filled(F.col("venues"))),
+    }
+    rows = once(rows, ["doc_id", "title", "teams", "competitors", *SLOT_KEYS], named)
+    found = {"sport": sport_of(F.col("title")), "year": year_of(F.coalesce("games", F.lit("")), F.col("title")), "team_event": is_team_event(F.col("title"), F.col("event"), F.col("teams"), F.col("competitors"))}
+    return once(rows, rows.columns, found)
 
 
 def medal_slots(found: DataFrame) -> DataFrame:
     """The six slots as rows ``doc_id, medal, winner, noc, team_event, vacant, noc_valid``; empty slots are left out."""
-    slots = F.array(*(F.struct(F.lit(m).alias("medal"), body_field(F.col("body"), m).alias("winner"), body_field(F.col("body"), n).alias("noc")) for m, n in MEDALS))
+    slots = F.array(*(F.struct(F.lit(m).alias("medal"), F.col(f"w{k}").alias("winner"), F.col(f"n{k}").alias("noc")) for k, (m, _) in enumerate(MEDALS)))
     rows = found.select("doc_id", "team_event", F.explode(slots).alias("s")).select("doc_id", "team_event", "s.*").where(filled(F.col("winner")).isNotNull())
     noc = F.coalesce("noc", F.lit(""))
     return rows.withColumns({"vacant": F.lower("winner").isin(VACANT), "noc_valid": (F.length(noc) == 3) & (F.upper(noc) == noc) & noc.rlike("[A-Z]")})
 
 
 def slot_columns(docs: DataFrame, ascii_only: bool = False) -> DataFrame:
-    """Event pages with an id column for each entity: every field is read once, and arrays of structs are built from plain columns."""
+    """Event pages with an id column for each entity; every field, winner and id is computed once."""
     rows = events(docs)
-    rows = rows.select("doc_id", "title", "event", "year", "sport", "venue", "team_event", *(F.nullif(body_field(F.col("body"), m), F.lit("")).alias(f"w{k}") for k, (m, _) in enumerate(MEDALS)), *(body_field(F.col("body"), n).alias(f"n{k}") for k, (_, n) in enumerate(MEDALS)))
-    for k in range(len(MEDALS)):
-        rows = rows.withColumn(f"w{k}", F.when(~F.lower(f"w{k}").isin(VACANT), F.col(f"w{k}")))
+    base = ["doc_id", "title", "event", "year", "sport", "venue", "team_event"]
+    won = lambda k: filled(F.col(f"w{k}"))
     code = lambda k: F.coalesce(f"n{k}", F.lit(""))
+    rows = once(rows, [*base, *(f"n{k}" for k in SLOTS)], {f"w{k}": F.when(~F.lower(won(k)).isin(VACANT), won(k)) for k in SLOTS})
     valid = lambda k: F.col(f"w{k}").isNotNull() & (F.length(code(k)) == 3) & (F.upper(code(k)) == code(k)) & code(k).rlike("[A-Z]")
     ids = {f"i{k}": F.when(F.col(f"w{k}").isNotNull(), F.when(F.col("team_event"), team_id(F.col(f"w{k}"), F.col("doc_id"), F.lit(m), ascii_only)).otherwise(vertex_id("person", F.col(f"w{k}"), ascii_only))) for k, (m, _) in enumerate(MEDALS)}
-    nocs = {f"n{k}": F.when(valid(k), F.col(f"n{k}")) for k in range(len(MEDALS))}
+    nocs = {f"n{k}": F.when(valid(k), F.col(f"n{k}")) for k in SLOTS}
     named = {"sport_id": F.when(F.col("sport").isNotNull(), vertex_id("sport", F.col("sport"), ascii_only)), "venue_id": F.when(F.col("venue").isNotNull(), vertex_id("venue", F.col("venue"), ascii_only)), "kind": F.when(F.col("team_event"), "Team").otherwise("Person")}
-    return rows.withColumns(ids | nocs | named)
+    columns = ids | nocs | named
+    if not ascii_only:  # the one Arrow function may not stand in a generator
+        return rows.select(*base, *(f"w{k}" for k in SLOTS), *(c.alias(k) for k, c in columns.items()))
+    return once(rows, [*base, *(f"w{k}" for k in SLOTS)], columns)
 
 
 def _present(*structs: Column) -> Column:
     return F.array_compact(F.array(*structs))
 
 
-SLOTS = range(len(MEDALS))
-
-
 def extract_graph(docs: DataFrame, ascii_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) of event pages, each in one pass over the documents.
 
@@ -157,11 +172,17 @@ def mentions(chunks: DataFrame, surfaces: DataFrame) -> DataFrame:
     chunks: ``document_id, chunk_id, text``; surfaces: ``document_id, entity_id, entity_type, surface``. An equi-join on the document, then
     containment: countries as whole words, sports and events in any case, others verbatim.
     """
-    text, s = F.col("text"), F.col("surface")
-    # word bounds without a pattern made of data: no letter, digit or underscore beside the surface
-    padded = F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{N}_]", " "), F.lit(" "))
-    hit = F.when(F.col("entity_type") == "Country", padded.contains(F.concat(F.lit(" "), s, F.lit(" ")))).when(F.col("entity_type").isin("Sport", "Event"), F.lower(text).contains(F.lower(s))).otherwise(text.contains(s))
-    return chunks.join(surfaces.where("surface <> ''"), "document_id").where(hit).select("chunk_id", "entity_id").distinct()
+    named = surfaces.where("surface <> ''").groupBy("document_id").agg(F.collect_set(F.struct("entity_id", "entity_type", "surface")).alias("named"))  # at most a page's entities
+    rows = chunks.select("document_id", "chunk_id", "text").join(named, "document_id")
+    # word bounds without a pattern made of data: no letter, digit or underscore beside the surface. Both forms are made once a chunk
+    padded = F.concat(F.lit(" "), F.regexp_replace("text", r"[^\p{L}\p{N}_]", " "), F.lit(" "))
+    rows = once(rows, ["chunk_id", "text", "named"], {"padded": padded, "low": F.lower("text")})
+
+    def hit(e: Column) -> Column:
+        s = e["surface"]
+        return F.when(e["entity_type"] == "Country", F.col("padded").contains(F.concat(F.lit(" "), s, F.lit(" ")))).when(e["entity_type"].isin("Sport", "Event"), F.col("low").contains(F.lower(s))).otherwise(F.col("text").contains(s))
+
+    return rows.select("chunk_id", F.explode(F.filter("named", hit)["entity_id"]).alias("entity_id")).distinct()
 
 
 def document_surfaces(docs: DataFrame, ascii_only: bool = False) -> DataFrame:

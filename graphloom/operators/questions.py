@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .extraction import filled
@@ -80,16 +82,18 @@ def superlative(asked: DataFrame, docs: DataFrame, order: str = "doc_id") -> Dat
     return best.select("qid", "r.doc_id", F.btrim(F.element_at(F.split("r.title", "–"), -1)).alias("event"), F.col("r.n").alias("competitors"))
 
 
-def lookup_nations(asked: DataFrame, docs: DataFrame, order: str = "doc_id") -> DataFrame:
+def lookup_nations(asked: DataFrame, docs: DataFrame, order: str = "doc_id", block: int = 10_000) -> DataFrame:
     """Nations of the page with the asked title, else of the first page whose title contains it: ``qid, doc_id, nations``.
 
-    The exact match is an equi-join; only phrases that it leaves open are searched, and their number is the caller's.
+    The exact match is an equi-join. Phrases that it leaves open are counted and brought to the titles in blocks of about ``block``.
     """
     low = docs.select("doc_id", F.lower("title").alias("t"), number_after(F.col("text"), "nations").alias("nations"), F.col(order).alias("o"))
     ask = asked.select("qid", F.lower("phrase").alias("p"))
     exact = ask.join(low, F.col("p") == F.col("t")).withColumn("prio", F.lit(0))
     left = ask.join(exact.select("qid").distinct(), "qid", "left_anti")
-    loose = low.join(left, F.col("t").contains(F.col("p"))).withColumn("prio", F.lit(1))
+    blocks = max(1, -(-asked.count() // block))
+    of = lambda b: left if blocks == 1 else left.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+    loose = reduce(DataFrame.unionByName, [low.join(F.broadcast(of(b)), F.col("t").contains(F.col("p"))) for b in range(blocks)]).withColumn("prio", F.lit(1))
     cols = ["qid", "doc_id", "nations", "prio", "o"]
     best = exact.select(*cols).unionByName(loose.select(*cols)).groupBy("qid").agg(F.min_by(F.struct("doc_id", "nations"), F.struct("prio", "o")).alias("r"))
     return best.select("qid", "r.doc_id", "r.nations")

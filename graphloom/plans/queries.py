@@ -284,7 +284,7 @@ def gate_decision(spark, d):
 
 
 def _retrieved(spark, d):
-    return expansion.retrieve(_asked(spark, d), _chunk_seeds(spark, d), _all_edges(spark, d))
+    return expansion.retrieve(_asked(spark, d), tables.cut(_chunk_seeds(spark, d)), _all_edges(spark, d))
 
 
 @register
@@ -496,6 +496,37 @@ def date_scores_all(spark, d):
     return _date_scores(table(spark, d, "documents"))
 
 
+# runs
+
+
+RUNS_SQL = """
+    SELECT concat('q', o_orderkey) AS qid, CASE o_orderkey % 4
+        WHEN 0 THEN concat('Who won the event held at ', o_custkey % 300, ' in ', 1990 + o_custkey % 12, '?') WHEN 1 THEN 'Who represented the country?'
+        WHEN 2 THEN 'Tell me about archery in 1996.' ELSE concat('Which team competed in event ', o_orderkey, '?') END AS question
+    FROM {orders} AS o
+"""
+
+
+def _orchestrated(spark, d):
+    """Runs of as many questions as orders; the seeds of a question are 12 chunks named by its key, in place of a model's."""
+    from ..operators import orchestration
+
+    orders = table(spark, d, "orders")
+    chunk = F.concat(F.lit("event_"), (F.col("o_orderkey") * 7 + F.col("k") * 13) % 500, F.lit("#c0000"))
+    seeds = orders.select(F.concat(F.lit("q"), "o_orderkey").alias("qid"), "o_orderkey", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("k")).select("qid", chunk.alias("chunk_id"), (F.lit(0.9) - F.col("k") * (F.col("o_orderkey") % 5) / 200).alias("similarity"), F.col("k").alias("rank"))
+    return orchestration.orchestrate(spark.sql(RUNS_SQL, orders=orders), seeds, graph_vertices(spark, d), tables.cut(_all_edges(spark, d)), ascii_only=True, cut=tables.cut)
+
+
+@register
+def orchestrated_run(spark, d):
+    return _orchestrated(spark, d)["runs"].select("run", "strategy", "candidate", "first_verdict", "verdict", "n_facts", "plan", "recovered", "answer")
+
+
+@register
+def repair_applied(spark, d):
+    return _orchestrated(spark, d)["documents"].select("run", "document_id", "rank")
+
+
 # evidence
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 CORPUS = T.StructType([T.StructField(c, T.StringType()) for c in ("doc_id", "title", "text", "source", "url")])
@@ -15,6 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the checkpoint folder: spark.checkpoint.dir, or a temporary one where it is unset on a local master."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="graphloom-"))
+    return df.checkpoint()
+
+
 def read_corpus(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Corpus documents from JSON lines with a fixed schema; blank lines are skipped and nulls are empty. A limit takes the first ids."""
     rows = spark.read.schema(CORPUS).json(path).where(F.col("doc_id").isNotNull())
