@@ -75,6 +75,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 #: Fixed values: (verdict, host and path).
 URL_RULES = [
     ("allow", "org/"),
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_chat_format": op9_chat_format,
     "op10_mixing": op10_mixing,
+    "op11_token_counts": op11_token_counts,
     "pipeline": pipeline,
 }
 
