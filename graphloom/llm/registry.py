@@ -81,6 +81,20 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return manifest(table(spark, sf_dir, "documents"), tampered=third, changed={"text": lowered})
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 #: Fixed values: (verdict, host and path).
 URL_RULES = [
     ("allow", "org/"),
@@ -108,6 +122,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_mixing": op10_mixing,
     "op11_token_counts": op11_token_counts,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_embedding_whitening": op13_embedding_whitening,
     "pipeline": pipeline,
 }
 
@@ -144,7 +160,47 @@ def _mixing_sql(documents: str = "documents", rounds: int = 48) -> str:
     return ",\n".join(ctes)
 
 
+def _merkle_levels(tag: str, base: str, levels: int) -> list[str]:
+    """CTEs of a tree over base(g, pos, h): {tag}_n1 up, and the siblings {tag}_s0 up."""
+    ctes = [f"{tag}_n0 AS (SELECT g, pos, h FROM {base})"]
+    for k in range(levels):
+        ctes.append(f"""{tag}_s{k} AS MATERIALIZED (
+            SELECT g, pos, h, count(*) OVER (PARTITION BY g) > 1 AS up,
+                   coalesce(string_agg(h, '') OVER (PARTITION BY g, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                   coalesce(string_agg(h, '') OVER (PARTITION BY g, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM {tag}_n{k})""")
+        ctes.append(f"{tag}_n{k + 1} AS (SELECT g, pos // 8 AS pos, CASE WHEN any_value(up) THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE any_value(h) END AS h FROM {tag}_s{k} GROUP BY g, pos // 8)")
+    return ctes
+
+
+def _merkle_sql(levels: int = 8, upper: int = 3) -> str:
+    """The manifest of op12 as DuckDB SQL, for groups of up to 8 ** levels rows and up to 8 ** upper groups."""
+    field = lambda c: f"coalesce(concat(strlen(CAST({c} AS VARCHAR)), ':', {c}), '-')"
+    bits = "list_reduce(list_prepend(xor(c, b), range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: {bits}), 4294967295)"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [
+        f"mk_rows AS (SELECT doc_id, lang, text, concat({', '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars')))}) AS head, {crc} % 3 = 0 AS third FROM documents)",
+        f"mk_leaves AS (SELECT doc_id, lang, sha256(concat(head, {field('text')})) AS h, CASE WHEN third THEN sha256(concat(head, {field(lowered)})) ELSE sha256(concat(head, {field('text')})) END AS f0 FROM mk_rows)",
+        "mk_placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM mk_leaves)",
+        *_merkle_levels("low", "mk_placed", levels),
+        f"mk_subroots AS (SELECT 0 AS g, g AS pos, h FROM low_n{levels})",
+        *_merkle_levels("top", "mk_subroots", upper),
+    ]
+    steps = [("low", k, f"t.g = low_s{k}.g AND t.pos // {8**k} = low_s{k}.pos") for k in range(levels)] + [("top", k, f"t.g // {8**k} = top_s{k}.pos") for k in range(upper)]
+    for n, (tag, k, on) in enumerate(steps):
+        kept = f"{tag}_s{k}.up"
+        before = "''" if not n else "t.path"
+        source = "mk_placed" if not n else f"mk_f{n}"
+        ctes.append(f"mk_f{n + 1} AS (SELECT t.doc_id, t.h, t.g, t.pos, CASE WHEN {kept} THEN concat({before}, l, r) ELSE {before} END AS path, CASE WHEN {kept} THEN sha256(concat(l, t.f{n}, r)) ELSE t.f{n} END AS f{n + 1} FROM {source} AS t JOIN {tag}_s{k} ON {on})")
+    n = len(steps)
+    return f"""WITH {", ".join(ctes)}
+        SELECT doc_id, t.h AS leaf, s.h AS subroot, r.h AS root, sha256(path) AS proof_sha256, f{n} AS folded_root, f{n} = r.h AS verified
+        FROM mk_f{n} AS t JOIN mk_subroots AS s ON s.pos = t.g CROSS JOIN top_n{upper} AS r"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_merkle_manifest": _merkle_sql(),
     "op10_mixing": f"WITH {_mixing_sql()} SELECT * REPLACE (round(prob, 6) AS prob) FROM mix_rows",
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
