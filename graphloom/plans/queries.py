@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as fx
-from ..operators import chunking, evaluation, evidence, expansion, extraction, questions, tools, vectors
+from ..operators import chunking, evaluation, evidence, expansion, extraction, questions, tools, vector_index, vectors
 from ..sources import corpus as sources, gateway, tables
 from ..sources.tables import table
 
@@ -72,6 +72,31 @@ def knn_topk(spark, d):
     return _seeds(spark, d).select("qid", "id", "distance", "similarity", "rank")
 
 
+def _index(spark: SparkSession, d: str) -> vector_index.VectorIndex:
+    return vector_index.build(_vectors(spark, d), tables.fresh_path(spark, "vector-index"))
+
+
+def _indexed_seeds(spark: SparkSession, d: str, exact: bool, k: int = 20) -> DataFrame:
+    """As ``_seeds``, by the index."""
+    asked = _vectors(spark, d).where("id % 100 = 0").select(F.col("id").alias("qid"), "v")
+    found = vector_index.search(asked, _index(spark, d), k + 1, exact=exact).where("qid <> id")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+@register
+def knn_index_topk(spark, d):
+    """The neighbours of ``knn_topk`` by the index: the nearest lists, then all lists that can't be excluded."""
+    return _indexed_seeds(spark, d, exact=True)
+
+
+@register
+def knn_index_recall(spark, d):
+    """Recall of the approximate search, which takes the nearest lists only, against ``knn_topk``: whether it reaches 0.9."""
+    found = vector_index.recall(_indexed_seeds(spark, d, exact=False), _seeds(spark, d))
+    return found.select("n_queries", "n_neighbours", (F.col("recall") >= 0.9).alias("reaches_nine_tenths"))
+
+
 @register
 def knn_doc_dedupe(spark, d):
     labels = _vectors(spark, d).select("id", F.concat(F.lit("doc"), "label").alias("doc"))

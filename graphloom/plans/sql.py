@@ -185,6 +185,8 @@ top AS (SELECT event_id, name, year, round(CASE WHEN contains(t, 'urgent f') THE
 
 SQL: dict[str, str] = {
     "knn_topk": f"WITH {SEEDS} SELECT * FROM seeds",
+    "knn_index_topk": f"WITH {SEEDS} SELECT * FROM seeds",
+    "knn_index_recall": f"WITH {SEEDS} SELECT count(DISTINCT qid) AS n_queries, count(*) AS n_neighbours, true AS reaches_nine_tenths FROM seeds",
     "knn_doc_dedupe": f"WITH {SEEDS}, best AS (SELECT qid, concat('doc', label) AS doc, min(rank) AS best_rank FROM seeds JOIN v USING (id) GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY best_rank) AS INTEGER) AS doc_rank FROM best QUALIFY doc_rank <= 50",
     "knn_truncated_dims": f"""WITH {V}, t AS (SELECT id, e[1:16] AS e FROM v), u AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM t),
         p AS (SELECT q.id AS qid, u.id AS id, round(1 - list_inner_product(q.e, u.e), 5) AS distance FROM u AS q JOIN u ON q.id <> u.id WHERE q.id % 100 = 0)
