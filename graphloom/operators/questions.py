@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .containment import containing
 from .extraction import filled
 
 #: The patterns of venue, date and year in a question. The repair pattern stops at a comma.
@@ -82,21 +81,19 @@ def superlative(asked: DataFrame, docs: DataFrame, order: str = "doc_id") -> Dat
     return best.select("qid", "r.doc_id", F.btrim(F.element_at(F.split("r.title", "–"), -1)).alias("event"), F.col("r.n").alias("competitors"))
 
 
-def lookup_nations(asked: DataFrame, docs: DataFrame, order: str = "doc_id", block: int = 10_000) -> DataFrame:
+def lookup_nations(asked: DataFrame, docs: DataFrame, order: str = "doc_id") -> DataFrame:
     """Nations of the page with the asked title, else of the first page whose title contains it: ``qid, doc_id, nations``.
 
-    The exact match is an equi-join. Phrases that it leaves open are counted and brought to the titles in blocks of about ``block``.
+    Distinct phrases are looked up once. The exact match is an equi-join; phrases that it leaves open go through the gram index of titles.
     """
     low = docs.select("doc_id", F.lower("title").alias("t"), number_after(F.col("text"), "nations").alias("nations"), F.col(order).alias("o"))
     ask = asked.select("qid", F.lower("phrase").alias("p"))
-    exact = ask.join(low, F.col("p") == F.col("t")).withColumn("prio", F.lit(0))
-    left = ask.join(exact.select("qid").distinct(), "qid", "left_anti")
-    blocks = max(1, -(-asked.count() // block))
-    of = lambda b: left if blocks == 1 else left.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-    loose = reduce(DataFrame.unionByName, [low.join(F.broadcast(of(b)), F.col("t").contains(F.col("p"))) for b in range(blocks)]).withColumn("prio", F.lit(1))
-    cols = ["qid", "doc_id", "nations", "prio", "o"]
-    best = exact.select(*cols).unionByName(loose.select(*cols)).groupBy("qid").agg(F.min_by(F.struct("doc_id", "nations"), F.struct("prio", "o")).alias("r"))
-    return best.select("qid", "r.doc_id", "r.nations")
+    phrases = ask.select("p").where("p IS NOT NULL").distinct()
+    first = lambda rows: rows.groupBy("p").agg(F.min_by(F.struct("doc_id", "nations"), "o").alias("r"))
+    exact = first(phrases.join(low, F.col("p") == F.col("t")))
+    left = phrases.join(exact.select("p"), "p", "left_anti")
+    loose = first(containing(left.withColumn("needles", F.array("p")), low, text="t", key="doc_id"))
+    return ask.join(exact.unionByName(loose), "p").select("qid", "r.doc_id", "r.nations")
 
 
 def predecessor(docs: DataFrame) -> DataFrame:
@@ -117,6 +114,31 @@ def predecessor_games(year: Column, season: Column) -> Column:
     return F.when((F.lower(season) == "winter") & (year == 1994), 1992).otherwise(year - 4)
 
 
+#: How a question names the games before, the event, and words that name none.
+BEFORE = r"immediately before (\d{4})"
+MEDAL_EVENT = r"(?i)gold medal in the (.*?) event at the"
+NOT_CUES = ["event", "the", "summer", "winter", "olympics"]
+
+
+def predecessor_by_rule(asked: DataFrame, docs: DataFrame, order: str = "doc_id") -> DataFrame:
+    """Questions ``qid, question`` after the winner at the games before a year: ``qid, doc_id, prev_year, season, event, winner``.
+
+    The page is the first one whose title names the games four years before (1992 before the Winter games of 1994) and holds all words of the asked event. Titles are
+    searched through their gram index. A question without such a year or page gives no row; one without an event takes the first page of the games.
+    """
+    q = F.coalesce(F.col("question"), F.lit(""))
+    year = filled(F.regexp_extract(q, BEFORE, 1)).cast("int")
+    rows = asked.select("qid", year.alias("year"), F.when(F.lower(q).contains("winter"), "Winter").otherwise("Summer").alias("season"), F.btrim(F.regexp_extract(q, MEDAL_EVENT, 1)).alias("event")).where("year IS NOT NULL")
+    rows = rows.withColumn("prev_year", predecessor_games(F.col("year"), F.col("season")))
+    words = F.filter(F.split(F.lower("event"), r"\s+"), lambda w: (w != "") & ~w.isin(NOT_CUES))
+    games = F.concat_ws(" ", F.col("prev_year").cast("string"), F.col("season"), F.lit("Olympics"))
+    rows = rows.withColumn("games", games).withColumn("needles", F.array_sort(F.array_distinct(F.concat(words, F.array(F.lower("games"))))))
+    pages = docs.select("doc_id", "title", F.lower("title").alias("t"), F.coalesce(filled(F.regexp_extract("text", r"gold:\s*([^\n]+)", 1)), filled(F.regexp_extract("text", r"champ:\s*([^\n]+)", 1)), F.lit("")).alias("w"), F.col(order).alias("o"))
+    found = containing(rows.select("games", "needles").distinct(), pages, text="t", key="doc_id").where(F.col("title").contains(F.col("games")))
+    best = found.groupBy("games", "needles").agg(F.min_by(F.struct("doc_id", "w"), "o").alias("r"))
+    return rows.join(best, ["games", "needles"]).select("qid", "r.doc_id", "prev_year", "season", "event", F.btrim("r.w").alias("winner"))
+
+
 def grounded_in(asked: DataFrame, docs: DataFrame) -> DataFrame:
     """Pages of the asked venue that hold every word of the date: ``qid, doc_id``; asked ``qid, venue, date``. Joined on the infobox's venue."""
     pages = docs.select("doc_id", "text", text_after(F.col("text"), "venue").alias("venue"))

@@ -467,6 +467,34 @@ def lookup_fallback(spark, d):
     return questions.lookup_nations(asked, sources.corpus(spark, d), order="o_orderkey")
 
 
+PHRASES_SQL = """
+    SELECT o_orderkey AS qid, CASE o_orderkey % 5 WHEN 0 THEN upper(title) WHEN 1 THEN concat(yr, ' ', season, ' Olympics – ', substr(event, 1, 5)) WHEN 2 THEN concat(sport, ' at the ', yr)
+        WHEN 3 THEN concat('no such page ', o_orderkey) ELSE substr(event, 1, 4) END AS phrase
+    FROM {corpus} AS c
+"""
+
+
+@register
+def lookup_phrases(spark, d):
+    """A phrase from every order: whole titles, parts of titles, common words, and phrases that no title holds."""
+    docs = sources.corpus(spark, d)
+    return questions.lookup_nations(spark.sql(PHRASES_SQL, corpus=docs), docs, order="o_orderkey")
+
+
+PREDECESSOR_SQL = """
+    SELECT o_orderkey AS qid, CASE WHEN o_orderkey % 6 = 0 THEN concat('Who was champion immediately before ', yr, '?')
+        ELSE concat('Who won the gold medal in the ', CASE WHEN o_orderkey % 4 = 0 THEN 'Chess' ELSE sport END, ' ', event, ' event at the ', season, ' Olympics held immediately before ', yr, '?') END AS question
+    FROM {corpus} AS c
+"""
+
+
+@register
+def predecessor_by_rule(spark, d):
+    """A question after the games before from every order."""
+    docs = sources.corpus(spark, d)
+    return questions.predecessor_by_rule(spark.sql(PREDECESSOR_SQL, corpus=docs), docs, order="o_orderkey")
+
+
 @register
 def temporal_predecessor(spark, d):
     return questions.predecessor(sources.corpus(spark, d))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import evaluation, expansion, extraction, questions
 from ..sources.corpus import CORPUS_SQL, GRAPH_SQL, VERTEX_SQL
-from .queries import ANSWERS_SQL, ASKED, KINDS_SQL, QUESTIONS_SQL, ROUTED_SQL
+from .queries import ANSWERS_SQL, ASKED, KINDS_SQL, PHRASES_SQL, PREDECESSOR_SQL, QUESTIONS_SQL, ROUTED_SQL
 
 NAMES = ("orders", "customer", "nation", "lineitem", "supplier", "part", "events", "embeddings")
 
@@ -277,6 +277,16 @@ SQL: dict[str, str] = {
     "superlative_event": f"WITH {GAMES} SELECT qid, doc_id, event, CAST(competitors AS INTEGER) AS competitors FROM games QUALIFY row_number() OVER (PARTITION BY qid ORDER BY competitors DESC, o_orderkey) = 1",
     "lookup_fallback": f"""WITH {CORPUS}, asked(qid, p) AS (VALUES (0, 'rowing at the 1996 summer olympics – men''s eight'), (1, '1995 winter olympics – mixed'), (2, 'no such page'))
         SELECT qid, doc_id, CAST(nations AS INTEGER) AS nations FROM asked JOIN corpus ON contains(lower(title), p) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY lower(title) <> p, o_orderkey) = 1""",
+    "lookup_phrases": f"""WITH {CORPUS}, asked AS ({PHRASES_SQL.replace("{corpus}", "corpus")}), phrases AS (SELECT DISTINCT lower(phrase) AS p FROM asked),
+        titles AS (SELECT lower(title) AS t, min(o_orderkey) AS o FROM corpus GROUP BY ALL),
+        best AS (SELECT p, o FROM phrases JOIN titles ON contains(t, p) QUALIFY row_number() OVER (PARTITION BY p ORDER BY t <> p, o) = 1)
+        SELECT qid, doc_id, CAST(nations AS INTEGER) AS nations FROM asked JOIN best ON p = lower(phrase) JOIN corpus ON o_orderkey = o""",
+    "predecessor_by_rule": f"""WITH {CORPUS}, q AS ({PREDECESSOR_SQL.replace("{corpus}", "corpus")}),
+        a AS (SELECT qid, CAST(regexp_extract(question, 'immediately before ([0-9]{{4}})', 1) AS INTEGER) AS y, CASE WHEN contains(lower(question), 'winter') THEN 'Winter' ELSE 'Summer' END AS season, trim(regexp_extract(question, '(?i)gold medal in the (.*?) event at the', 1)) AS event FROM q),
+        b AS (SELECT *, CASE WHEN season = 'Winter' AND y = 1994 THEN 1992 ELSE y - 4 END AS prev_year, list_filter(string_split(lower(event), ' '), lambda w: w NOT IN ('', 'event', 'the', 'summer', 'winter', 'olympics')) AS ws FROM a),
+        k AS (SELECT DISTINCT prev_year, season, ws FROM b), titles AS (SELECT title, min(o_orderkey) AS o FROM corpus GROUP BY ALL),
+        best AS (SELECT prev_year, season, ws, min(o) AS o FROM k JOIN titles ON contains(title, concat(prev_year, ' ', season, ' Olympics')) AND len(list_filter(ws, lambda w: NOT contains(lower(title), w))) = 0 GROUP BY ALL)
+        SELECT qid, doc_id, prev_year, season, b.event, CASE WHEN o_orderkey % 11 = 0 THEN 'Vacant' ELSE c_name END AS winner FROM b JOIN best USING (prev_year, season, ws) JOIN corpus ON o_orderkey = o""",
     "temporal_predecessor": f"""WITH {CORPUS}, r AS (SELECT doc_id, sport, season, event, yr, CASE WHEN o_orderkey % 11 = 0 THEN 'Vacant' ELSE c_name END AS winner FROM corpus),
         g AS (SELECT sport, season, event, yr, min(doc_id) AS d, arg_min(winner, doc_id) AS w FROM r GROUP BY ALL),
         p AS (SELECT *, lag(d) OVER w1 AS pd, lag(yr) OVER w1 AS py, lag(w) OVER w1 AS pw FROM g WINDOW w1 AS (PARTITION BY sport, season, event ORDER BY yr))
