@@ -1,6 +1,6 @@
 """Gated, bounded graph expansion of seeds, fusion and document ranking, for all queries at once.
 
-"The first n edges" means the n smallest target ids. Edge tables are ``src_type, src_id, edge_type, dst_type, dst_id``.
+"The first n edges" means the n smallest target ids. Edge tables are ``src_type, src_id, edge_type, dst_type, dst_id``; they may be adjacencies, whose edges are not shuffled.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.layout import Adjacency, all_edges, per_key
+
 #: Patterns of relational questions, in the order that decides the reason.
 RELATIONAL = [
     r"\bheld at\b",
@@ -64,29 +66,29 @@ def _edges(edges: DataFrame, kind: str, *src: str) -> DataFrame:
     return rows.where(F.col("src_type").isin(list(src))) if src else rows
 
 
-def hop_entities(seeds: DataFrame, edges: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def hop_entities(seeds: DataFrame, edges: DataFrame | Adjacency, limits: Limits = Limits()) -> DataFrame:
     """Seeds ``qid, chunk_id, similarity, rank`` to their entities: the first seeds, and the first mentions of each."""
     first = seeds.where(F.col("rank") <= limits.seeds)
-    mentions = capped(_edges(edges, "MENTIONS", "Chunk").select(F.col("src_id").alias("chunk_id"), F.col("dst_id").alias("entity_id")).distinct(), ["chunk_id"], [F.col("entity_id")], limits.entities)
-    return first.join(mentions, "chunk_id").select("qid", "chunk_id", "similarity", "rank", "entity_id")
+    mentions = lambda e: capped(_edges(e, "MENTIONS", "Chunk").select(F.col("src_id").alias("chunk_id"), F.col("dst_id").alias("entity_id")).distinct(), ["chunk_id"], [F.col("entity_id")], limits.entities)
+    return per_key(edges, "out", lambda e: first.join(mentions(e), "chunk_id")).select("qid", "chunk_id", "similarity", "rank", "entity_id")
 
 
-def hop_vertices(entities: DataFrame, edges: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def hop_vertices(entities: DataFrame, edges: DataFrame | Adjacency, limits: Limits = Limits()) -> DataFrame:
     """Entities to the domain vertices they resolve to."""
-    resolved = _edges(edges, "RESOLVES_TO", "Entity").select(F.col("src_id").alias("entity_id"), F.col("dst_type").alias("v_type"), F.col("dst_id").alias("v_id")).distinct()
-    return entities.join(capped(resolved, ["entity_id"], [F.col("v_id"), F.col("v_type")], limits.vertices), "entity_id")
+    resolved = lambda e: _edges(e, "RESOLVES_TO", "Entity").select(F.col("src_id").alias("entity_id"), F.col("dst_type").alias("v_type"), F.col("dst_id").alias("v_id")).distinct()
+    return per_key(edges, "out", lambda e: entities.join(capped(resolved(e), ["entity_id"], [F.col("v_id"), F.col("v_type")], limits.vertices), "entity_id"))
 
 
-def hop_events(vertices: DataFrame, edges: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def hop_events(vertices: DataFrame, edges: DataFrame | Adjacency, limits: Limits = Limits()) -> DataFrame:
     """Domain vertices to events, with hop count and provenance. Sports and countries are hubs and are not expanded."""
     arrow = lambda *c: F.concat_ws(" -> ", *c)
     named = lambda kind, c: F.concat(F.lit(kind + " "), c)
     start = [F.col("chunk_id"), F.col("entity_id")]
     direct = vertices.where("v_type = 'Event'").select("*", F.col("v_id").alias("event_id"), F.lit(1).alias("hop"), arrow(*start, named("Event", F.col("v_id"))).alias("prov"))
-    took_part = capped(_edges(edges, "PARTICIPATED_IN", "Person", "Team").select(F.col("src_type").alias("v_type"), F.col("src_id").alias("v_id"), F.col("dst_id").alias("event_id")).distinct(), ["v_type", "v_id"], [F.col("event_id")], limits.person_events)
-    held = capped(_edges(edges, "HELD_AT", "Event").select(F.lit("Venue").alias("v_type"), F.col("dst_id").alias("v_id"), F.col("src_id").alias("event_id")).distinct(), ["v_id"], [F.col("event_id")], limits.venue_events)
+    took_part = lambda e: capped(_edges(e, "PARTICIPATED_IN", "Person", "Team").select(F.col("src_type").alias("v_type"), F.col("src_id").alias("v_id"), F.col("dst_id").alias("event_id")).distinct(), ["v_type", "v_id"], [F.col("event_id")], limits.person_events)
+    held = lambda e: capped(_edges(e, "HELD_AT", "Event").select(F.lit("Venue").alias("v_type"), F.col("dst_id").alias("v_id"), F.col("src_id").alias("event_id")).distinct(), ["v_id"], [F.col("event_id")], limits.venue_events)
     by_way = lambda e: vertices.join(e, ["v_type", "v_id"]).select(*vertices.columns, "event_id", F.lit(2).alias("hop"), arrow(*start, F.concat_ws(" ", "v_type", "v_id"), named("Event", F.col("event_id"))).alias("prov"))
-    return direct.unionByName(by_way(took_part)).unionByName(by_way(held))
+    return direct.unionByName(per_key(edges, "out", lambda e: by_way(took_part(e)))).unionByName(per_key(edges, "into", lambda e: by_way(held(e))))
 
 
 def derived_chunks(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -112,7 +114,7 @@ def merge_derived(derived: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return capped(merged, ["qid"], [F.col("score").desc(), F.col("derived_id").desc()], limits.chunks)
 
 
-def expand(seeds: DataFrame, edges: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def expand(seeds: DataFrame, edges: DataFrame | Adjacency, limits: Limits = Limits()) -> DataFrame:
     return merge_derived(derived_chunks(hop_events(hop_vertices(hop_entities(seeds, edges, limits), edges, limits), edges, limits), limits), limits)
 
 
@@ -139,10 +141,10 @@ def rank_documents(evidence: DataFrame) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id").desc())))
 
 
-def paths(entities: DataFrame, vertices: DataFrame, edges: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def paths(entities: DataFrame, vertices: DataFrame, edges: DataFrame | Adjacency, limits: Limits = Limits()) -> DataFrame:
     """The steps that an expansion took, distinct: ``qid, source, edge, target, hop, step``."""
     step = lambda df, st, sid, kind, tt, tid, hop: df.select("qid", F.concat_ws(" ", st, sid).alias("source"), F.lit(kind).alias("edge") if isinstance(kind, str) else kind.alias("edge"), F.concat_ws(" ", tt, tid).alias("target"), F.lit(hop).alias("hop"))
-    context = edges.where("edge_type IN ('BELONGS_TO', 'HELD_AT', 'REPRESENTS')").select(F.col("src_type").alias("v_type"), F.col("src_id").alias("v_id"), "edge_type", "dst_type", "dst_id")
+    context = all_edges(edges).where("edge_type IN ('BELONGS_TO', 'HELD_AT', 'REPRESENTS')").select(F.col("src_type").alias("v_type"), F.col("src_id").alias("v_id"), "edge_type", "dst_type", "dst_id")
     events = hop_events(vertices, edges, limits).where("hop = 2")
     way = F.when(F.col("v_type") == "Venue", "reverse_HELD_AT").otherwise("PARTICIPATED_IN")
     rows = reduce(
@@ -157,7 +159,7 @@ def paths(entities: DataFrame, vertices: DataFrame, edges: DataFrame, limits: Li
     return rows.withColumn("step", F.format_string("(%s) -[%s]-> (%s)", "source", "edge", "target"))
 
 
-def retrieve(questions: DataFrame, seeds: DataFrame, edges: DataFrame, limits: Limits = Limits()) -> dict[str, DataFrame]:
+def retrieve(questions: DataFrame, seeds: DataFrame, edges: DataFrame | Adjacency, limits: Limits = Limits()) -> dict[str, DataFrame]:
     """Gate, expand, fuse and rank: ``gate, evidence, documents, stats``. Questions that aren't expanded keep their seeds."""
     decision = gate(questions, seeds, limits)
     graph = expand(seeds.join(decision.where("expand").select("qid"), "qid", "left_semi"), edges, limits)

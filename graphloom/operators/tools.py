@@ -1,6 +1,6 @@
 """Graph tools over vertex and edge tables, for whole batches of keys.
 
-vertices: ``v_type, v_id, name, year, description``; edges: ``src_type, src_id, edge_type, dst_type, dst_id``.
+vertices: ``v_type, v_id, name, year, description``; edges: ``src_type, src_id, edge_type, dst_type, dst_id``, as a table or as an adjacency, of which only the asked keys are shuffled.
 "The first n" means the n smallest ids.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import constant_date_score, normalized, normalized_constant
+from ..sources.layout import Adjacency, per_key
 from .expansion import capped
 
 #: Fixed value: most events, participants and provenance steps of one call.
@@ -20,18 +21,18 @@ def nodes(vertices: DataFrame, ids: DataFrame) -> DataFrame:
     return vertices.join(ids.select("v_type", "v_id").distinct(), ["v_type", "v_id"], "left_semi")
 
 
-def edges_of(edges: DataFrame, ids: DataFrame, edge_type: str = "") -> DataFrame:
+def edges_of(edges: DataFrame | Adjacency, ids: DataFrame, edge_type: str = "") -> DataFrame:
     """Edges that leave the given ``v_type, v_id``; an empty type means all types."""
-    rows = edges if not edge_type else edges.where(F.col("edge_type") == edge_type)
     keys = ids.select(F.col("v_type").alias("src_type"), F.col("v_id").alias("src_id")).distinct()
-    return rows.join(keys, ["src_type", "src_id"], "left_semi")
+    of_type = lambda rows: rows if not edge_type else rows.where(F.col("edge_type") == edge_type)
+    return per_key(edges, "out", lambda rows: of_type(rows).join(keys, ["src_type", "src_id"], "left_semi"))
 
 
 def _attributes(vertices: DataFrame, kind: str, id_name: str) -> DataFrame:
     return vertices.where(F.col("v_type") == kind).select(F.col("v_id").alias(id_name), "name", "year", "description")
 
 
-def events_for_participants(parts: DataFrame, vertices: DataFrame, edges: DataFrame, bound: int = BOUND) -> DataFrame:
+def events_for_participants(parts: DataFrame, vertices: DataFrame, edges: DataFrame | Adjacency, bound: int = BOUND) -> DataFrame:
     """Events of persons and teams ``v_type, v_id``: the first ``bound`` of each, then their attributes (blank where unknown)."""
     other = parts.where(~F.col("v_type").isin("Person", "Team")).limit(1)
     if other.take(1):
@@ -41,28 +42,38 @@ def events_for_participants(parts: DataFrame, vertices: DataFrame, edges: DataFr
     return first.join(_attributes(vertices, "Event", "event_id"), "event_id", "left").select("v_type", "v_id", "event_id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("year", F.lit(0)).alias("year"))
 
 
-def first_edge(edges: DataFrame, kind: str, key: str, value: str) -> DataFrame:
-    return edges.where(F.col("edge_type") == kind).groupBy(F.col("src_id").alias(key)).agg(F.min("dst_id").alias(value))
+def first_edge(edges: DataFrame | Adjacency, kind: str, key: str, value: str) -> DataFrame:
+    return per_key(edges, "out", lambda rows: rows.where(F.col("edge_type") == kind).groupBy(F.col("src_id").alias(key)).agg(F.min("dst_id").alias(value)))
 
 
-def event_context(event_ids: DataFrame, vertices: DataFrame, edges: DataFrame, bound: int = BOUND) -> DataFrame:
+def participants_of(event_ids: DataFrame, edges: DataFrame | Adjacency, bound: int = BOUND) -> DataFrame:
+    """The first participants of events ``event_id``: ``event_id, v_type, v_id``."""
+    ids = event_ids.select("event_id").distinct()
+
+    def found(rows: DataFrame) -> DataFrame:
+        part = rows.where("edge_type = 'PARTICIPATED_IN'").select(F.col("dst_id").alias("event_id"), F.col("src_type").alias("v_type"), F.col("src_id").alias("v_id"))
+        return capped(part.join(ids, "event_id", "left_semi"), ["event_id"], [F.col("v_id")], bound)
+
+    return per_key(edges, "into", found)
+
+
+def event_context(event_ids: DataFrame, vertices: DataFrame, edges: DataFrame | Adjacency, bound: int = BOUND) -> DataFrame:
     """Events ``event_id`` with their first sport and venue and the first participants, as an array of structs; a name falls back to the id."""
     ev = _attributes(vertices, "Event", "event_id").join(event_ids.select("event_id").distinct(), "event_id", "left_semi")
     named = lambda kind, id_name: vertices.where(F.col("v_type") == kind).select(F.col("v_id").alias(id_name), F.col("name").alias(f"{id_name[:-3]}_name"))
-    part = edges.where("edge_type = 'PARTICIPATED_IN'").select(F.col("dst_id").alias("event_id"), F.col("src_type").alias("v_type"), F.col("src_id").alias("v_id")).join(event_ids.select("event_id").distinct(), "event_id", "left_semi")
-    part = capped(part, ["event_id"], [F.col("v_id")], bound).join(vertices.select("v_type", "v_id", "name"), ["v_type", "v_id"], "left")
+    part = participants_of(event_ids, edges, bound).join(vertices.select("v_type", "v_id", "name"), ["v_type", "v_id"], "left")
     listed = part.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct(F.col("v_id").alias("id"), F.coalesce(F.nullif("name", F.lit("")), F.col("v_id")).alias("name"), F.col("v_type").alias("type")))).alias("participants"))
     rows = ev.join(first_edge(edges, "BELONGS_TO", "event_id", "sport_id"), "event_id", "left").join(named("Sport", "sport_id"), "sport_id", "left")
     rows = rows.join(first_edge(edges, "HELD_AT", "event_id", "venue_id"), "event_id", "left").join(named("Venue", "venue_id"), "venue_id", "left")
     return rows.join(listed, "event_id", "left").select("event_id", "name", "year", "sport_id", "sport_name", "venue_id", "venue_name", F.coalesce("participants", F.array().cast("array<struct<id:string,name:string,type:string>>")).alias("participants"))
 
 
-def countries_of(parts: DataFrame, vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def countries_of(parts: DataFrame, vertices: DataFrame, edges: DataFrame | Adjacency) -> DataFrame:
     found = edges_of(edges, parts, "REPRESENTS").select(F.col("src_type").alias("v_type"), F.col("src_id").alias("v_id"), F.col("dst_id").alias("country_id"))
     return found.join(_attributes(vertices, "Country", "country_id"), "country_id", "left").select("v_type", "v_id", "country_id", F.coalesce(F.nullif("name", F.lit("")), F.col("country_id")).alias("country"))
 
 
-def filter_events(event_ids: DataFrame, vertices: DataFrame, edges: DataFrame, year: int | None = None, sport: str | None = None, venue_id: str | None = None, name: str | None = None, ascii_only: bool = False) -> DataFrame:
+def filter_events(event_ids: DataFrame, vertices: DataFrame, edges: DataFrame | Adjacency, year: int | None = None, sport: str | None = None, venue_id: str | None = None, name: str | None = None, ascii_only: bool = False) -> DataFrame:
     """Events ``event_id`` that meet all given filters. Year first, the venue as a semi-join, names as normalized containment."""
     rows = _attributes(vertices, "Event", "event_id").join(event_ids.select("event_id").distinct(), "event_id", "left_semi")
     if year is not None:
@@ -72,7 +83,7 @@ def filter_events(event_ids: DataFrame, vertices: DataFrame, edges: DataFrame, y
         cue = F.lit(normalized_constant(name))
         rows = rows.where(norm(F.col("name")).contains(cue) | norm(F.col("description")).contains(cue))
     if venue_id:
-        rows = rows.join(edges.where((F.col("edge_type") == "HELD_AT") & (F.col("dst_id") == venue_id)).select(F.col("src_id").alias("event_id")), "event_id", "left_semi")
+        rows = rows.join(per_key(edges, "into", lambda e: e.where((F.col("edge_type") == "HELD_AT") & (F.col("dst_id") == venue_id)).select(F.col("src_id").alias("event_id"))), "event_id", "left_semi")
     if sport:
         cue = F.lit(normalized_constant(sport))
         sports = vertices.where("v_type = 'Sport'").select(F.col("v_id").alias("sport_id"), F.col("name").alias("sport_name"))
@@ -81,14 +92,15 @@ def filter_events(event_ids: DataFrame, vertices: DataFrame, edges: DataFrame, y
     return rows.select("event_id", "name", "year", "description")
 
 
-def events_for_venues(venues: DataFrame, vertices: DataFrame, edges: DataFrame, bound: int = BOUND, **filters) -> DataFrame:
+def events_for_venues(venues: DataFrame, vertices: DataFrame, edges: DataFrame | Adjacency, bound: int = BOUND, **filters) -> DataFrame:
     """Events held at venues ``venue_id``: the first ``bound`` of each venue, then filtered."""
-    held = edges.where("edge_type = 'HELD_AT'").select(F.col("dst_id").alias("venue_id"), F.col("src_id").alias("event_id")).join(venues.select("venue_id").distinct(), "venue_id", "left_semi")
-    first = capped(held, ["venue_id"], [F.col("event_id")], bound)
+    ids = venues.select("venue_id").distinct()
+    held = lambda rows: rows.where("edge_type = 'HELD_AT'").select(F.col("dst_id").alias("venue_id"), F.col("src_id").alias("event_id")).join(ids, "venue_id", "left_semi")
+    first = per_key(edges, "into", lambda rows: capped(held(rows), ["venue_id"], [F.col("event_id")], bound))
     return first.join(filter_events(first, vertices, edges, **filters), "event_id").select("venue_id", "event_id", "name", "year")
 
 
-def aggregate_countries(parts: DataFrame, vertices: DataFrame, edges: DataFrame, keys: list[str], bound: int = BOUND) -> DataFrame:
+def aggregate_countries(parts: DataFrame, vertices: DataFrame, edges: DataFrame | Adjacency, keys: list[str], bound: int = BOUND) -> DataFrame:
     """Distinct countries of the first participants of each group: ``keys, n_participants, n_countries, country_ids, countries``. A missing type means Person."""
     typed = parts.withColumn("v_type", F.coalesce("v_type", F.lit("Person")))
     first = capped(typed.select(*keys, "v_type", "v_id").distinct(), keys, [F.col("v_id")], bound)
@@ -102,7 +114,7 @@ def aggregate_countries(parts: DataFrame, vertices: DataFrame, edges: DataFrame,
     )
 
 
-def composite(vertices: DataFrame, edges: DataFrame, parts: DataFrame | None = None, venues: DataFrame | None = None, cue: str = "", compat: bool = False, ascii_only: bool = False, **filters) -> dict[str, DataFrame]:
+def composite(vertices: DataFrame, edges: DataFrame | Adjacency, parts: DataFrame | None = None, venues: DataFrame | None = None, cue: str = "", compat: bool = False, ascii_only: bool = False, **filters) -> dict[str, DataFrame]:
     """Participants' events that were held at the venues, filtered, ranked by a date cue, with context and countries.
 
     With ``compat`` an empty set of participants' events falls back to the venues' events; otherwise the intersection is

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as fx
 from ..operators import chunking, evaluation, evidence, expansion, extraction, questions, tools, vector_index, vectors
-from ..sources import corpus as sources, gateway, tables
+from ..sources import corpus as sources, gateway, layout, tables
 from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,17 @@ def _all_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph_edges(spark, d).unionByName(sources.mention_edges(spark, d))
 
 
+_STORED: dict[tuple[str, str], layout.Adjacency] = {}
+
+
+def stored_edges(spark: SparkSession, d: str) -> layout.Adjacency:
+    """All edges, mentions too, as an adjacency: written once a session, read by bucket."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        _STORED[key] = layout.write_adjacency(_all_edges(spark, d))
+    return _STORED[key]
+
+
 def _hashed(c: str = "text"):
     return F.md5(c).alias(f"{c}_md5")
 
@@ -211,7 +222,7 @@ def edge_lookup(spark, d):
 
 @register
 def edge_lookup_all(spark, d):
-    return tools.edges_of(graph_edges(spark, d), _persons(table(spark, d, "customer")))
+    return tools.edges_of(stored_edges(spark, d), _persons(table(spark, d, "customer")))
 
 
 @register
@@ -223,7 +234,7 @@ def events_for_participant(spark, d):
 @register
 def event_context(spark, d):
     ids = table(spark, d, "orders").select(F.concat(F.lit("event_"), "o_orderkey").alias("event_id"))
-    rows = tools.event_context(ids, graph_vertices(spark, d), graph_edges(spark, d))
+    rows = tools.event_context(ids, graph_vertices(spark, d), stored_edges(spark, d))
     flat = F.array_join(F.transform("participants", lambda p: F.concat_ws(":", p["id"], p["name"], p["type"])), ",")
     return rows.select("event_id", "name", "year", "sport_id", "sport_name", "venue_id", "venue_name", F.size("participants").alias("n_participants"), F.md5(flat).alias("participants_md5"))
 
@@ -280,7 +291,7 @@ def hop1_entities(spark, d):
 
 @register
 def expand_chunks(spark, d):
-    e = _all_edges(spark, d)
+    e = stored_edges(spark, d)
     found = expansion.derived_chunks(expansion.hop_events(expansion.hop_vertices(expansion.hop_entities(_chunk_seeds(spark, d), e), e), e))
     return found.select("qid", "derived_id", F.round("score", 6).alias("score"), "hop", "seed", "prov")
 
