@@ -9,36 +9,49 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import doc_of_chunk, vertex_id
+from ..functions.text import date_score, doc_of_chunk, normalized, vertex_id
 from ..sources import tables
+from ..sources.layout import Adjacency, per_key
 from . import evidence, expansion, questions, tools
 from .expansion import Limits, capped
 
-#: Evidence taken from a retrieval, seeds of a repair, and the most events of a venue in one run.
-TAKEN, REPAIR_SEEDS = 10, 10
+#: Evidence taken from a retrieval and from a fallback, seeds of a repair, and events expanded when a date is asked for.
+TAKEN, FALLBACK, REPAIR_SEEDS, DATED = 10, 5, 10, 10
 
 #: The ledger's input: ``run, seq, source_type, source_id, document_id, fact``.
 ITEM = ["run", "seq", "source_type", "source_id", "document_id", "fact"]
 
 
-def venue_events(asked: DataFrame, vertices: DataFrame, edges: DataFrame, bound: int = tools.BOUND) -> DataFrame:
-    """Events held at the venue of ``qid, venue_id, year``, in that year if one is asked for: ``qid, event_id, name, year, description, nth``; the first ``bound`` by id."""
-    held = edges.where("edge_type = 'HELD_AT'").select(F.col("dst_id").alias("venue_id"), F.col("src_id").alias("event_id")).distinct()
+def venue_events(asked: DataFrame, vertices: DataFrame, edges: DataFrame | Adjacency, ascii_only: bool = False) -> DataFrame:
+    """Events held at the venue of ``qid, venue_id, year`` (and ``date``, if it has one), in that year if one is asked for: ``qid, event_id, name, year, description, nth``.
+
+    In the order of ids; with a date those that match it best come first. All of them count as evidence; how many are expanded to participants is said by ``expanded``.
+    """
+    ids = asked.select("venue_id").distinct()
+    held = per_key(edges, "into", lambda e: e.where("edge_type = 'HELD_AT'").select(F.col("dst_id").alias("venue_id"), F.col("src_id").alias("event_id")).join(ids, "venue_id", "left_semi").distinct())
     events = vertices.where("v_type = 'Event'").select(F.col("v_id").alias("event_id"), "name", F.col("year").alias("event_year"), "description")
     rows = asked.join(held, "venue_id").join(events, "event_id").where(F.col("year").isNull() | (F.col("year") == F.col("event_year")))
-    nth = F.row_number().over(Window.partitionBy("qid").orderBy("event_id"))
-    return rows.select("qid", "event_id", "name", F.col("event_year").alias("year"), "description", nth.alias("nth")).where(F.col("nth") <= bound)
-
-
-def _event_facts(found: DataFrame, vertices: DataFrame, edges: DataFrame, first: int, bound: int = tools.BOUND) -> DataFrame:
+    order = [F.col("event_id")]
+    expanded = F.lit(tools.BOUND)
+    if "date" in asked.columns:
+        norm = lambda c: normalized(c, ascii_only)
+        rows = rows.withColumn("_score", F.when(F.col("date").isNull(), 0.0).otherwise(date_score(norm(F.col("date")), norm(F.concat_ws(" ", "name", "description")))))
+        order = [F.col("_score").desc(), *order]
+        expanded = F.when(F.col("date").isNull(), tools.BOUND).otherwise(DATED)
+    nth = F.row_number().over(Window.partitionBy("qid").orderBy(*order))
+    return rows.select("qid", "event_id", "name", F.col("event_year").alias("year"), "description", nth.alias("nth"), expanded.alias("expanded"))
+
+
+def _event_facts(found: DataFrame, vertices: DataFrame, edges: DataFrame | Adjacency, first: int, bound: int = tools.BOUND) -> DataFrame:
     """Events and their first participants as ledger items, numbered from ``first``."""
     own = found.select(F.col("qid").alias("run"), F.struct(F.lit(0).alias("part"), "nth", F.lit("").alias("p")).alias("o"), F.concat(F.lit("Event:"), "event_id").alias("source_id"), F.col("event_id").alias("document_id"), F.format_string("Event %s (%d): %s", F.coalesce("name", F.lit("")), F.coalesce("year", F.lit(0)), F.coalesce("description", F.lit(""))).alias("fact"))
-    part = edges.where("edge_type = 'PARTICIPATED_IN'").select(F.col("dst_id").alias("event_id"), F.col("src_type").alias("v_type"), F.col("src_id").alias("v_id")).distinct()
-    part = capped(part.join(found.select("event_id").distinct(), "event_id", "left_semi"), ["event_id"], [F.col("v_id")], bound)
-    part = found.join(part, "event_id").join(vertices.select("v_type", "v_id", F.col("name").alias("who")), ["v_type", "v_id"], "left")
-    of = part.select(F.col("qid").alias("run"), F.struct(F.lit(1).alias("part"), "nth", F.col("v_id").alias("p")).alias("o"), F.concat_ws(":", "v_type", "v_id").alias("source_id"), F.col("event_id").alias("document_id"), F.format_string("%s %s participated in event %s", "v_type", F.coalesce("who", F.col("v_id")), "event_id").alias("fact"))
+    expanded = found.where("nth <= expanded")
+    part = tools.participants_of(expanded, edges, bound)
+    part = expanded.join(part, "event_id").join(vertices.select("v_type", "v_id", F.col("name").alias("who")), ["v_type", "v_id"], "left")
+    of = part.select(F.col("qid").alias("run"), F.struct(F.lit(1).alias("part"), "nth", F.col("v_id").alias("p")).alias("o"), F.concat_ws(":", "v_type", "v_id").alias("source_id"), F.col("event_id").alias("document_id"), F.format_string("%s %s participated in event %s", "v_type", F.coalesce("who", F.col("v_id")), "event_id").alias("fact"), "who")
     seq = F.row_number().over(Window.partitionBy("run").orderBy("o", "source_id")) + F.lit(first)
-    return own.unionByName(of).select("run", seq.alias("seq"), F.lit("graph").alias("source_type"), "source_id", "document_id", "fact")
+    own, of = own.withColumn("who", F.lit("")), of.withColumn("who", F.coalesce(F.nullif("who", F.lit("")), F.substring_index("source_id", ":", -1)))
+    return own.unionByName(of).select("run", seq.alias("seq"), F.lit("graph").alias("source_type"), "source_id", "document_id", "fact", "who")
 
 
 def _evidence_items(found: DataFrame, first: int, most: int | None) -> DataFrame:
@@ -55,7 +68,7 @@ def _ranked(items: DataFrame, order: Column) -> DataFrame:
     return first.select("run", "document_id", F.row_number().over(Window.partitionBy("run").orderBy("o", "document_id")).alias("rank"))
 
 
-def repair(verdicts: DataFrame, asked: DataFrame, kept: DataFrame, seeds: DataFrame, vertices: DataFrame, edges: DataFrame, limits: Limits = Limits(), budget: int = evidence.MAX_REPAIRS, ascii_only: bool = False, cut: Callable[[DataFrame], DataFrame] = tables.cut) -> tuple[DataFrame, DataFrame]:
+def repair(verdicts: DataFrame, asked: DataFrame, kept: DataFrame, seeds: DataFrame, vertices: DataFrame, edges: DataFrame | Adjacency, limits: Limits = Limits(), budget: int = evidence.MAX_REPAIRS, ascii_only: bool = False, cut: Callable[[DataFrame], DataFrame] = tables.cut) -> tuple[DataFrame, DataFrame]:
     """(items, runs): what one bounded repair recovers for runs with verdict REPAIR_REQUIRED, as ledger items after those of ``kept``, and ``run, plan, recovered``.
 
     Questions that name a venue get the events held there (in the asked year) and their participants; a run that this gives nothing gets the
@@ -75,38 +88,53 @@ def repair(verdicts: DataFrame, asked: DataFrame, kept: DataFrame, seeds: DataFr
     return items.select(*ITEM), runs
 
 
-def orchestrate(asked: DataFrame, seeds: DataFrame, vertices: DataFrame, edges: DataFrame, structured: DataFrame | None = None, limits: Limits = Limits(), budget: int = evidence.MAX_REPAIRS, ascii_only: bool = False, cut: Callable[[DataFrame], DataFrame] = tables.cut) -> dict[str, DataFrame]:
-    """Rule-path runs of questions ``qid, question`` with seeds ``qid, chunk_id, similarity, rank``: ``runs, documents, ledger``.
+def orchestrate(asked: DataFrame, seeds: DataFrame, vertices: DataFrame, edges: DataFrame | Adjacency, structured: DataFrame | None = None, limits: Limits = Limits(), budget: int = evidence.MAX_REPAIRS, ascii_only: bool = False, cut: Callable[[DataFrame], DataFrame] = tables.cut, docs: DataFrame | None = None, order: str = "doc_id") -> dict[str, DataFrame]:
+    """Rule-path runs of questions ``qid, question`` with seeds ``qid, chunk_id, similarity, rank``: ``runs, documents, ledger, repairs``.
 
-    Vector questions rank their seeds' documents; relational ones are expanded; structured ones take ``structured`` rows (``qid, rank, document_id, answer, fact``: what the
-    structured questions gave), then the events of a venue they name, and fall back to their seeds if both are empty. The candidate is the first structured answer, else the first document.
+    Vector questions rank their seeds' documents; relational ones are expanded. Structured ones are asked of the corpus ``docs`` (pages ``doc_id, title, text``, first pages by ``order``): counts,
+    superlatives, nation look-ups and predecessors; one that gets no answer takes the events of the venue it names and the pages that its cues ground,
+    and falls back to its seeds if there are none. Its candidate is the corpus's answer, else the first participant, else the winner on the first page. Without a
+    corpus, ``structured`` rows (``qid, rank, document_id, answer, fact``) stand for its answers, and the candidate is the first answer, else the first document.
     A run that verification sends back is repaired once: its ledger grows, its ledger's documents come first, and it is verified again.
     """
     analysed = cut(questions.route(asked))
     of = lambda name: analysed.where(F.col("strategy") == name)
     only = lambda df, name: df.join(of(name).select("qid"), "qid", "left_semi")
-    empty = "qid {0}, rank int, document_id string, answer string, fact string".format(asked.schema["qid"].dataType.simpleString())
-    given = asked.sparkSession.createDataFrame([], empty) if structured is None else structured
-
-    # structured: given rows, then the venue's events that they don't name
-    given = only(given, "structured").select(F.col("qid").alias("run"), F.col("rank").alias("seq"), F.lit("structured").alias("source_type"), F.concat(F.lit("Structured:"), "document_id").alias("source_id"), "document_id", "fact", "answer")
-    named = of("structured").where("venue IS NOT NULL").select("qid", vertex_id("venue", F.col("venue"), ascii_only).alias("venue_id"), "year")
-    held = venue_events(named, vertices, edges)
-    shift = F.lit(1_000_000)  # after all given rows
-    found = _event_facts(held, vertices, edges, 0).withColumn("seq", F.col("seq") + shift)
-    answered = given.select("run").union(found.select("run")).distinct()
+    empty = asked.sparkSession.createDataFrame([], "qid {0}, rank int, document_id string, answer string, fact string".format(asked.schema["qid"].dataType.simpleString()))
+    if docs is not None:
+        given = cut(questions.structured_answers(of("structured"), docs, order))
+        open_ = of("structured").join(given.select("qid").distinct(), "qid", "left_anti")
+        grounded = cut(questions.grounded_at_venue(open_.select("qid", "venue", "date", "year"), docs, order))
+    else:
+        given, open_, grounded = empty if structured is None else only(structured, "structured"), of("structured"), empty
+
+    # structured: the corpus's answers, then the venue's events, then grounded pages
+    shift, last = F.lit(1_000_000), F.lit(1_000_000_000)
+    asks = lambda rows, kind: rows.select(F.col("qid").alias("run"), F.col("rank").alias("seq"), F.lit("structured").alias("source_type"), F.concat(F.lit(kind), "document_id").alias("source_id"), "document_id", "fact", "answer")
+    given, grounded = asks(given, "Structured:" if docs is None else "Event:"), asks(grounded, "Event:").withColumn("seq", F.col("seq") + last)
+    named = open_.where("venue IS NOT NULL").select("qid", vertex_id("venue", F.col("venue"), ascii_only).alias("venue_id"), "year", *([] if docs is None else ["date"]))
+    held = _event_facts(venue_events(named, vertices, edges, ascii_only), vertices, edges, 0)
+    found = cut(held.withColumn("seq", F.col("seq") + shift))
+    answered = given.select("run").union(found.select("run")).union(grounded.select("run")).distinct()
     plain = of("vector").select("qid").union(of("structured").select("qid").join(answered.select(F.col("run").alias("qid")), "qid", "left_anti"))
     near = seeds.join(plain, "qid", "left_semi")
     vector = near.select(F.col("qid").alias("run"), F.col("rank").alias("seq"), F.lit("vector").alias("source_type"), F.col("chunk_id").alias("source_id"), doc_of_chunk(F.col("chunk_id")).alias("document_id"), F.concat(F.lit("Chunk "), "chunk_id").alias("fact"))
     fused = cut(expansion.retrieve(of("expansion").select("qid", "question"), only(seeds, "expansion"), edges, limits)["evidence"])
 
-    items = cut(given.select(*ITEM).unionByName(found.select(*ITEM)).unionByName(vector.where(F.col("seq") <= TAKEN).select(*ITEM)).unionByName(_evidence_items(fused, 0, TAKEN)))
-    every = given.select(*ITEM).unionByName(found.select(*ITEM)).unionByName(vector.select(*ITEM)).unionByName(_evidence_items(fused, 0, None))
+    graph = given.where("document_id IS NOT NULL").select(*ITEM).unionByName(found.select(*ITEM)).unionByName(grounded.select(*ITEM))
+    fallback = F.lit(TAKEN) if docs is None else F.when(F.col("strategy") == "vector", TAKEN).otherwise(FALLBACK)
+    taken = vector.join(analysed.select(F.col("qid").alias("run"), fallback.alias("most")), "run").where("seq <= most")
+    items = cut(graph.unionByName(taken.select(*ITEM)).unionByName(_evidence_items(fused, 0, TAKEN)))
+    every = graph.unionByName(vector.select(*ITEM)).unionByName(_evidence_items(fused, 0, None))
     ranked = cut(_ranked(every, F.col("seq")))
-    answers = given.where(F.coalesce("answer", F.lit("")) != "").groupBy("run").agg(F.min_by("answer", "seq").alias("answer"))
+    said_by = given.select("run", "seq", "answer").unionByName(grounded.select("run", "seq", "answer"))
+    if docs is not None:
+        said_by = said_by.unionByName(found.select("run", "seq", F.col("who").alias("answer")))
+    answers = said_by.where(F.coalesce("answer", F.lit("")) != "").groupBy("run").agg(F.min_by("answer", "seq").alias("answer"))
     top = ranked.where("rank = 1").select("run", F.col("document_id").alias("top"))
     runs = analysed.select(F.col("qid").alias("run"), "question", "strategy").join(answers, "run", "left").join(top, "run", "left")
-    runs = cut(runs.select("run", "question", "strategy", F.coalesce("answer", "top", F.lit("")).alias("answer")))
+    document = F.when((F.col("strategy") != "structured") | F.lit(docs is None), F.col("top"))
+    runs = cut(runs.select("run", "question", "strategy", F.coalesce("answer", document, F.lit("")).alias("answer")))
 
     kept = cut(evidence.ledger(items, checked=True))
     verdicts = cut(evidence.verify(runs, kept, ascii_only))

@@ -139,6 +139,65 @@ def predecessor_by_rule(asked: DataFrame, docs: DataFrame, order: str = "doc_id"
     return rows.join(best, ["games", "needles"]).select("qid", "r.doc_id", "prev_year", "season", "event", F.btrim("r.w").alias("winner"))
 
 
+#: Questions about the events of games, and the words before a title.
+MORE_THAN = r"(?i)how many (.*?) events at the (\d{4}) (Summer|Winter) Olympics had more than (\d+) competitors"
+HIGHEST = r"(?i)which (.*?) event at the (\d{4}) (Summer|Winter) Olympics had the highest number of competitors"
+NATIONS_IN = r"(?i)how many nations competed in\s*"
+
+STRUCTURED = ["qid", "rank", "document_id", "answer", "fact"]
+
+
+def structured_answers(asked: DataFrame, docs: DataFrame, order: str = "doc_id") -> DataFrame:
+    """What the corpus answers to analysed questions: ``qid, rank, document_id, answer, fact``.
+
+    Counts over a threshold, then superlatives, nation look-ups and predecessors: the first kind that a question belongs to and that finds something. A count is an
+    answer even if it is 0 (a row without a document). Questions with no such answer give no row.
+    """
+    q = F.coalesce(F.col("question"), F.lit(""))
+    at = lambda pattern, k: F.regexp_extract(q, pattern, k)
+    games = lambda flag, pattern: asked.where(F.col(flag) & (at(pattern, 2) != "")).select("qid", F.btrim(F.lower(at(pattern, 1))).alias("sport"), at(pattern, 2).cast("int").alias("year"), at(pattern, 3).alias("season"), *([at(pattern, 4).cast("int").alias("threshold")] if pattern is MORE_THAN else []))
+    row = lambda df, kind, rank, doc, answer, fact: df.select("qid", F.lit(kind).alias("kind"), rank.cast("int").alias("rank"), doc.alias("document_id"), answer.alias("answer"), fact.alias("fact"))
+    of_games = F.concat_ws(" ", F.col("year").cast("string"), F.col("season"), F.lit("Olympics"))
+
+    counted = games("is_event_agg", MORE_THAN)
+    hits = _games(counted, docs, order).withColumn("n", number_after(F.col("text"), "competitors")).where("n > threshold")
+    hits = hits.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy("_order")))
+    totals = counted.select("qid").join(hits.groupBy("qid").agg(F.count(F.lit(1)).alias("total")), "qid", "left").select("qid", F.coalesce("total", F.lit(0)).cast("string").alias("total"))
+    listed = counted.select("qid").join(hits.select("qid", "nth", "doc_id", F.format_string("Event %s at %s had %d competitors (> %d threshold).", "title", of_games, "n", "threshold").alias("fact")), "qid", "left").join(totals, "qid")
+    counts = row(listed, 0, F.coalesce("nth", F.lit(1)), F.col("doc_id"), F.col("total"), F.col("fact"))
+
+    asked_best = games("is_superlative", HIGHEST)
+    best = superlative(asked_best, docs, order).join(asked_best, "qid")
+    most = row(best, 1, F.lit(1), F.col("doc_id"), F.col("event"), F.format_string("Event %s had the highest number of competitors (%d) in %s at the %s.", "event", "competitors", "sport", of_games))
+
+    phrase = F.btrim(F.regexp_replace(F.regexp_replace(q, NATIONS_IN, ""), r"\?+$", ""))
+    found = lookup_nations(asked.where("is_nation_lookup").select("qid", phrase.alias("phrase")), docs, order).where("nations IS NOT NULL").join(docs.select("doc_id", "title"), "doc_id")
+    nations = row(found, 2, F.lit(1), F.col("doc_id"), F.col("nations").cast("string"), F.format_string("%s had %d competing nations.", "title", "nations"))
+
+    year = filled(F.regexp_extract("question", BEFORE, 1))
+    before = predecessor_by_rule(asked.where("is_temporal").select("qid", "question"), docs, order).join(asked.select("qid", year.alias("target")), "qid")
+    earlier = row(before, 3, F.lit(1), F.col("doc_id"), F.col("winner"), F.format_string("At the %d %s Olympics (held immediately before %s), the gold medal in %s was won by %s.", "prev_year", "season", "target", "event", "winner"))
+
+    rows = counts.unionByName(most).unionByName(nations).unionByName(earlier)
+    first = rows.groupBy("qid").agg(F.min("kind").alias("kind"))
+    return rows.join(first, ["qid", "kind"], "left_semi").select(*STRUCTURED)
+
+
+def grounded_at_venue(asked: DataFrame, docs: DataFrame, order: str = "doc_id") -> DataFrame:
+    """Pages whose text holds the venue of ``qid, venue, date, year``, the year and all words of the date: ``qid, rank, document_id, answer, fact``, by the pages' order. Distinct cues are looked up once, through the gram index."""
+    words = F.filter(F.split(F.lower(F.coalesce("date", F.lit(""))), r"[\s–-]+"), lambda w: F.length(w) > 1)
+    needles = F.array_sort(F.array_distinct(F.concat(F.array(F.lower("venue")), F.coalesce(F.array(F.col("year").cast("string")), F.array().cast("array<string>")), words)))
+    needles = F.filter(needles, lambda n: n.isNotNull())
+    ask = asked.where("venue IS NOT NULL").withColumn("needles", needles)
+    pages = docs.select("doc_id", "title", F.lower("text").alias("t"), F.btrim(F.coalesce(filled(F.regexp_extract("text", r"gold:\s*([^\n]+)", 1)), filled(F.regexp_extract("text", r"champ:\s*([^\n]+)", 1)), F.lit(""))).alias("winner"), F.col(order).alias("o"))
+    found = containing(ask.select("needles").distinct(), pages, text="t", key="doc_id").drop("t")
+    rank = F.row_number().over(Window.partitionBy("needles").orderBy("o"))
+    found = found.withColumn("rank", rank)
+    on = F.when(F.coalesce("date", F.lit("")) != "", F.concat(F.lit(" on "), F.col("date"))).otherwise("")
+    fact = F.concat(F.lit("Event "), "title", F.lit(" held at "), "venue", on, F.lit(" won by "), F.when(F.col("winner") == "", "Unknown").otherwise(F.col("winner")), F.lit("."))
+    return ask.join(found, "needles").select("qid", "rank", F.col("doc_id").alias("document_id"), F.col("winner").alias("answer"), fact.alias("fact"))
+
+
 def grounded_in(asked: DataFrame, docs: DataFrame) -> DataFrame:
     """Pages of the asked venue that hold every word of the date: ``qid, doc_id``; asked ``qid, venue, date``. Joined on the infobox's venue."""
     pages = docs.select("doc_id", "text", text_after(F.col("text"), "venue").alias("venue"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as fx
-from ..operators import chunking, evaluation, evidence, expansion, extraction, questions, tools, vector_index, vectors
+from ..operators import chunking, evaluation, evidence, expansion, extraction, orchestration, questions, tools, vector_index, vectors
 from ..sources import corpus as sources, gateway, layout, tables
 from ..sources.tables import table
 
@@ -564,21 +564,35 @@ def date_scores_all(spark, d):
 
 
 RUNS_SQL = """
-    SELECT concat('q', o_orderkey) AS qid, CASE o_orderkey % 4
-        WHEN 0 THEN concat('Who won the event held at ', o_custkey % 300, ' in ', 1990 + o_custkey % 12, '?') WHEN 1 THEN 'Who represented the country?'
-        WHEN 2 THEN 'Tell me about archery in 1996.' ELSE concat('Which team competed in event ', o_orderkey, '?') END AS question
-    FROM {orders} AS o
+    SELECT concat('q', o_orderkey) AS qid, CASE o_orderkey % 10
+        WHEN 0 THEN concat('Who won the event held at ', o_custkey % 200 + 1, CASE WHEN o_orderkey % 20 = 0 THEN '! on 1 May ' ELSE '! in ' END, yr, '?') WHEN 1 THEN concat('Who won the event held at ', o_custkey % 200 + 1, '!, Rome in ', yr, '?')
+        WHEN 2 THEN 'Who represented the country?' WHEN 3 THEN 'Tell me about archery in 1996.' WHEN 4 THEN concat('Which team competed in event ', o_orderkey, '?')
+        WHEN 5 THEN concat('How many ', sport, ' events at the ', yr, ' ', season, ' Olympics had more than ', CASE WHEN o_orderkey % 4 = 1 THEN 98 ELSE 96 END, ' competitors?')
+        WHEN 6 THEN concat('Which ', sport, ' event at the ', yr + o_orderkey % 4, ' ', season, ' Olympics had the highest number of competitors?')
+        WHEN 7 THEN concat('How many nations competed in ', CASE o_orderkey % 3 WHEN 0 THEN title WHEN 1 THEN concat(event, ' ') ELSE concat('no page ', o_orderkey) END, '?')
+        WHEN 8 THEN concat('Who won the gold medal in the ', sport, ' ', event, ' event at the ', season, ' Olympics held immediately before ', yr + 2, '?')
+        ELSE concat('Who won the event held at Venue Hall ', o_custkey % 40, '. ', c_name, CASE WHEN o_orderkey % 3 = 0 THEN ' lost' ELSE ' won' END, ' on ', 1 + o_orderkey % 28, ' August ', yr, '?') END AS question
+    FROM {corpus} AS c
 """
 
 
 def _orchestrated(spark, d):
-    """Runs of as many questions as orders; the seeds of a question are 12 chunks named by its key, in place of a model's."""
-    from ..operators import orchestration
+    """Runs of as many questions as orders, over the corpus and the graph; the seeds of a question are 12 chunks named by its key, in place of a model's."""
+
+    def build(spark, d):
+        docs = sources.corpus(spark, d)
+        chunk = F.concat(F.lit("event_"), (F.col("o_orderkey") * 7 + F.col("k") * 13) % 500, F.lit("#c0000"))
+        seeds = docs.select(F.concat(F.lit("q"), "o_orderkey").alias("qid"), "o_orderkey", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("k")).select("qid", chunk.alias("chunk_id"), (F.lit(0.9) - F.col("k") * (F.col("o_orderkey") % 5) / 200).alias("similarity"), F.col("k").alias("rank"))
+        return orchestration.orchestrate(spark.sql(RUNS_SQL, corpus=docs), seeds, graph_vertices(spark, d), stored_edges(spark, d), ascii_only=True, docs=docs, order="o_orderkey")
+
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _RUNS:  # both queries read one run, whose steps are written
+        found = build(spark, d)
+        _RUNS[key] = {name: tables.cut(found[name]) for name in ("runs", "documents")}
+    return _RUNS[key]
+
 
-    orders = table(spark, d, "orders")
-    chunk = F.concat(F.lit("event_"), (F.col("o_orderkey") * 7 + F.col("k") * 13) % 500, F.lit("#c0000"))
-    seeds = orders.select(F.concat(F.lit("q"), "o_orderkey").alias("qid"), "o_orderkey", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("k")).select("qid", chunk.alias("chunk_id"), (F.lit(0.9) - F.col("k") * (F.col("o_orderkey") % 5) / 200).alias("similarity"), F.col("k").alias("rank"))
-    return orchestration.orchestrate(spark.sql(RUNS_SQL, orders=orders), seeds, graph_vertices(spark, d), tables.cut(_all_edges(spark, d)), ascii_only=True, cut=tables.cut)
+_RUNS: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
 @register

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import evaluation, expansion, extraction, questions
 from ..sources.corpus import CORPUS_SQL, GRAPH_SQL, VERTEX_SQL
-from .queries import ANSWERS_SQL, ASKED, KINDS_SQL, PHRASES_SQL, PREDECESSOR_SQL, QUESTIONS_SQL, ROUTED_SQL
+from .queries import ANSWERS_SQL, ASKED, KINDS_SQL, PHRASES_SQL, PREDECESSOR_SQL, QUESTIONS_SQL, ROUTED_SQL, RUNS_SQL
 
 NAMES = ("orders", "customer", "nation", "lineitem", "supplier", "part", "events", "embeddings")
 
@@ -183,6 +183,98 @@ ve AS (SELECT DISTINCT event_id FROM (SELECT src_id AS event_id FROM edges WHERE
 kept AS (SELECT v_id AS event_id, name, year, description, {norm("name || ' ' || description")} AS t FROM vertices WHERE v_type = 'Event' AND v_id IN (SELECT event_id FROM pe) AND v_id IN (SELECT event_id FROM ve) AND (contains({norm('name')}, 'urgent') OR contains({norm('description')}, 'urgent'))),
 top AS (SELECT event_id, name, year, round(CASE WHEN contains(t, 'urgent f') THEN 100.0 ELSE 0.0 END + 10.0 * (CASE WHEN contains(t, 'urgent') THEN 1 ELSE 0 END + CASE WHEN contains(t, 'f') THEN 1 ELSE 0 END) / 2, 6) AS score FROM kept ORDER BY score DESC, event_id LIMIT 10)"""
 
+ROUTED = f"""x AS (SELECT qid, question, lower(question) AS l,
+            nullif(regexp_replace(regexp_extract(question, {sql_text(questions.VENUE)}, 1), '^[\\s\\-?]+|[\\s\\-?]+$', '', 'g'), '') AS venue, nullif(regexp_replace(regexp_extract(question, {sql_text(questions.REPAIR_VENUE)}, 1), '^[\\s\\-?]+|[\\s\\-?]+$', '', 'g'), '') AS repair_venue,
+            nullif(regexp_replace(regexp_extract(question, {sql_text(questions.DATE)}, 1), '^[\\s\\-?]+|[\\s\\-?]+$', '', 'g'), '') AS date, CAST(nullif(regexp_extract(question, {sql_text(questions.YEAR)}, 1), '') AS INTEGER) AS year FROM q),
+        f AS (SELECT *, contains(l, 'nations competed in') AS is_nation_lookup, contains(l, 'had more than') OR (contains(l, 'more than') AND contains(l, 'competitors')) AS is_event_agg,
+            contains(l, 'highest number of competitors') OR contains(l, 'most competitors') AS is_superlative, contains(l, 'immediately before') AS is_temporal,
+            contains(l, 'represented') OR contains(l, 'competed') OR contains(l, 'participated') OR contains(l, 'won the gold medal in the event') AS is_relational FROM x),
+        g AS (SELECT *, is_nation_lookup OR contains(l, 'how many nations') OR contains(l, 'which country') OR contains(l, 'which nation') AS is_nation_agg, venue IS NOT NULL OR contains(l, 'held at') OR contains(l, 'venue') AS is_venue FROM f),
+routed AS (SELECT * EXCLUDE (l), CASE WHEN is_nation_agg OR is_event_agg OR is_superlative OR is_temporal OR is_venue THEN 'structured' WHEN is_relational THEN 'expansion' ELSE 'vector' END AS strategy FROM g)"""
+
+
+def _ledgered(name: str, source: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY run, source_id ORDER BY seq) = 1)"
+
+
+def _verified(name: str, ledger: str) -> str:
+    """Verdicts of the runs by the facts of a ledger."""
+    return f"""{name}_j AS (SELECT r.run, r.answer, years, fact, {norm('r.answer')} AS a, {norm('fact')} AS f, list_filter(string_split({norm('r.answer')}, ' '), lambda t: length(t) > 2 OR regexp_matches(t, '[0-9]')) AS tokens FROM said r LEFT JOIN {ledger} l USING (run)),
+{name}_g AS (SELECT run, answer, years, count(fact) AS n_facts, coalesce(bool_or(fact IS NOT NULL AND (contains(f, a) OR (len(tokens) > 0 AND len(list_filter(tokens, lambda t: NOT contains(f, t))) = 0))), false) AS hit, coalesce(string_agg(fact, chr(1)), '') AS facts FROM {name}_j GROUP BY run, answer, years),
+{name}_v AS (SELECT run, n_facts, CASE WHEN answer = '' THEN n_facts > 0 ELSE hit END AS grounded, answer = '' AS blank, len(list_filter(years, lambda y: NOT contains(facts, y))) AS missing FROM {name}_g),
+{name} AS MATERIALIZED (SELECT run, n_facts, CASE WHEN missing = 0 AND (grounded OR blank) AND n_facts > 0 THEN 'SUPPORTED' WHEN (NOT grounded AND NOT blank) OR missing > 0 THEN 'REPAIR_REQUIRED' ELSE 'INSUFFICIENT' END AS verdict FROM {name}_v)"""
+
+
+def _venue_items(name: str, asked: str) -> str:
+    """Events at the venues of ``asked`` (qid, cue, date, year) and their participants, in order."""
+    slug = "trim(regexp_replace(lower(trim(regexp_replace(cue, '[^\\w\\s-]', '', 'g'))), '[-\\s]+', '_', 'g'), '_')"
+    score = f"CASE WHEN date IS NULL THEN 0.0 ELSE CASE WHEN contains(t, d) THEN 100.0 ELSE 0.0 END + 10.0 * len(list_filter(string_split(d, ' '), lambda x: contains(t, x))) / len(string_split(d, ' ')) END"
+    return f"""{name}_h AS (SELECT a.qid, v_id AS event_id, name, v.year, description, a.date, {norm('a.date')} AS d, {norm("name || ' ' || description")} AS t
+    FROM {asked} a JOIN edges e ON edge_type = 'HELD_AT' AND dst_id = concat('venue_', {slug}) JOIN vertices v ON v_type = 'Event' AND v_id = src_id WHERE a.year IS NULL OR a.year = v.year),
+{name}_e AS (SELECT *, CASE WHEN date IS NULL THEN 50 ELSE 10 END AS most, row_number() OVER (PARTITION BY qid ORDER BY {score} DESC, event_id) AS nth FROM {name}_h),
+{name} AS MATERIALIZED (SELECT qid AS run, row_number() OVER (PARTITION BY qid ORDER BY part, nth, p, source_id) AS seq, source_id, document_id, fact, who FROM (
+    SELECT qid, 0 AS part, nth, '' AS p, concat('Event:', event_id) AS source_id, event_id AS document_id, printf('Event %s (%d): %s', name, year, description) AS fact, '' AS who FROM {name}_e
+    UNION ALL SELECT qid, 1, nth, p.v_id, concat(p.v_type, ':', p.v_id), event_id, concat(p.v_type, ' ', w.name, ' participated in event ', event_id), w.name FROM {name}_e JOIN first_parts p USING (event_id) JOIN vertices w ON w.v_type = p.v_type AND w.v_id = p.v_id WHERE nth <= most))"""
+
+
+_IN_GAMES = "(?i){0} (.*?) event{1} at the (\\d{{4}}) (Summer|Winter) Olympics had {2}"
+_ADDED = _IN_GAMES.format("how many", "s", "more than (\\d+) competitors")
+_HIGHEST = _IN_GAMES.format("which", "", "the highest number of competitors")
+_WINNER = "CASE WHEN o_orderkey % 11 = 0 THEN 'Vacant' ELSE c_name END"
+ORCHESTRATED = f"""{CORPUS}, {EDGES}, {VERTICES}, {MENTIONS}, q AS ({RUNS_SQL.replace("{corpus}", "corpus")}), {ROUTED},
+titles AS (SELECT title, lower(title) AS t, min(o_orderkey) AS o FROM corpus GROUP BY ALL),
+sq AS MATERIALIZED (SELECT * FROM routed WHERE strategy = 'structured'),
+c1 AS (SELECT qid, lower(trim(regexp_extract(question, '{_ADDED}', 1))) AS sport, CAST(regexp_extract(question, '{_ADDED}', 2) AS INTEGER) AS yr, regexp_extract(question, '{_ADDED}', 3) AS season, CAST(regexp_extract(question, '{_ADDED}', 4) AS INTEGER) AS least FROM sq WHERE is_event_agg AND regexp_matches(question, '{_ADDED}')),
+h1 AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY o_orderkey) AS nth, count(*) OVER (PARTITION BY qid) AS n, printf('Event %s at %d %s Olympics had %d competitors (> %d threshold).', title, c.yr, c.season, competitors, least) AS fact
+    FROM c1 JOIN corpus c ON lower(c.sport) = c1.sport AND c.yr = c1.yr AND c.season = c1.season WHERE competitors > least),
+c2 AS (SELECT qid, lower(trim(regexp_extract(question, '{_HIGHEST}', 1))) AS sport, CAST(regexp_extract(question, '{_HIGHEST}', 2) AS INTEGER) AS yr, regexp_extract(question, '{_HIGHEST}', 3) AS season FROM sq WHERE is_superlative AND regexp_matches(question, '{_HIGHEST}')),
+h2 AS (SELECT qid, doc_id, event, printf('Event %s had the highest number of competitors (%d) in %s at the %d %s Olympics.', event, competitors, c2.sport, c.yr, c.season) AS fact
+    FROM c2 JOIN corpus c ON lower(c.sport) = c2.sport AND c.yr = c2.yr AND c.season = c2.season QUALIFY row_number() OVER (PARTITION BY qid ORDER BY competitors DESC, o_orderkey) = 1),
+c3 AS (SELECT qid, lower(trim(rtrim(regexp_replace(question, '(?i)how many nations competed in\\s*', ''), '?'))) AS p FROM sq WHERE is_nation_lookup),
+b3 AS (SELECT p, o FROM (SELECT DISTINCT p FROM c3) JOIN titles ON contains(t, p) QUALIFY row_number() OVER (PARTITION BY p ORDER BY t <> p, o) = 1),
+c4 AS (SELECT qid, regexp_extract(question, 'immediately before ([0-9]{{4}})', 1) AS y, CASE WHEN contains(lower(question), 'winter') THEN 'Winter' ELSE 'Summer' END AS season, trim(regexp_extract(question, '(?i)gold medal in the (.*?) event at the', 1)) AS cue FROM sq WHERE is_temporal),
+k4 AS (SELECT *, CASE WHEN season = 'Winter' AND y = '1994' THEN 1992 ELSE CAST(y AS INTEGER) - 4 END AS prev, list_filter(string_split(lower(cue), ' '), lambda w: w NOT IN ('', 'event', 'the', 'summer', 'winter', 'olympics')) AS ws FROM c4 WHERE y <> ''),
+b4 AS (SELECT prev, season, ws, min(o) AS o FROM (SELECT DISTINCT prev, season, ws FROM k4) JOIN titles ON contains(title, concat(prev, ' ', season, ' Olympics')) AND len(list_filter(ws, lambda w: NOT contains(t, w))) = 0 GROUP BY ALL),
+told AS (SELECT qid, 0 AS kind, coalesce(nth, 1) AS rank, doc_id, CAST(coalesce(n, 0) AS VARCHAR) AS answer, fact FROM c1 LEFT JOIN h1 USING (qid)
+    UNION ALL SELECT qid, 1, 1, doc_id, event, fact FROM h2
+    UNION ALL SELECT qid, 2, 1, doc_id, CAST(nations AS VARCHAR), printf('%s had %d competing nations.', title, nations) FROM c3 JOIN b3 USING (p) JOIN corpus ON o_orderkey = o
+    UNION ALL SELECT qid, 3, 1, doc_id, {_WINNER}, printf('At the %d %s Olympics (held immediately before %s), the gold medal in %s was won by %s.', prev, k4.season, y, cue, {_WINNER}) FROM k4 JOIN b4 USING (prev, season, ws) JOIN corpus ON o_orderkey = o),
+given AS MATERIALIZED (SELECT * FROM told QUALIFY kind = min(kind) OVER (PARTITION BY qid)),
+open_q AS MATERIALIZED (SELECT qid, venue AS cue, date, year, list_filter(regexp_split_to_array(lower(coalesce(date, '')), '[\\s–-]+'), lambda w: length(w) > 1) AS ws FROM sq WHERE qid NOT IN (SELECT qid FROM given)),
+first_parts AS (SELECT dst_id AS event_id, src_type AS v_type, src_id AS v_id FROM edges WHERE edge_type = 'PARTICIPATED_IN' QUALIFY row_number() OVER (PARTITION BY dst_id ORDER BY src_id) <= 50),
+{_venue_items("found", "(SELECT * FROM open_q WHERE cue IS NOT NULL)")},
+cues AS (SELECT DISTINCT cue, year, ws FROM open_q WHERE cue IS NOT NULL),
+pages AS (SELECT cue, year, ws, doc_id, title, {_WINNER} AS winner, row_number() OVER (PARTITION BY cue, year, ws ORDER BY o_orderkey) AS nth FROM cues JOIN corpus ON contains(lower(text), lower(cue)) AND (year IS NULL OR contains(text, CAST(year AS VARCHAR))) AND len(list_filter(ws, lambda w: NOT contains(lower(text), w))) = 0),
+grounded_p AS MATERIALIZED (SELECT qid, nth, doc_id, winner, concat('Event ', title, ' held at ', o.cue, CASE WHEN coalesce(date, '') <> '' THEN concat(' on ', date) ELSE '' END, ' won by ', winner, '.') AS fact FROM open_q o JOIN pages p ON o.cue = p.cue AND o.year IS NOT DISTINCT FROM p.year AND o.ws = p.ws),
+sd AS (SELECT concat('q', o_orderkey) AS qid, concat('event_', (o_orderkey * 7 + k * 13) % 500, '#c0000') AS chunk_id, 0.9::DOUBLE - k * (o_orderkey % 5) / 200 AS similarity, k AS rank FROM corpus, range(1, 13) r(k)),
+seeds AS MATERIALIZED (SELECT sd.* FROM sd JOIN routed USING (qid) WHERE strategy = 'expansion' UNION ALL SELECT concat('r:', qid), chunk_id, similarity, rank FROM sd WHERE rank <= 10),
+cseeds AS (SELECT * FROM seeds), questions AS (SELECT qid, question FROM q UNION ALL SELECT concat('r:', qid), question FROM q),
+{HOPS[HOPS.index("capped AS"):]}, {GATE[GATE.index("tops AS"):]}, {FUSED[FUSED.index("allowed AS"):]},
+evidence AS MATERIALIZED (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id DESC) AS nth, chunk_id, doc_id, printf('Evidence for %s score=%.4f', doc_id, score) AS fact FROM fused),
+answered AS (SELECT qid FROM given UNION SELECT run FROM found UNION SELECT qid FROM grounded_p),
+near AS (SELECT sd.*, strategy FROM sd JOIN routed USING (qid) WHERE strategy = 'vector' OR (strategy = 'structured' AND qid NOT IN (SELECT qid FROM answered))),
+graph AS (SELECT qid AS run, rank AS seq, concat('Event:', doc_id) AS source_id, doc_id AS document_id, fact, answer FROM given
+    UNION ALL SELECT run, seq + 1000000, source_id, document_id, fact, who FROM found UNION ALL SELECT qid, nth + 1000000000, concat('Event:', doc_id), doc_id, fact, winner FROM grounded_p),
+every AS MATERIALIZED (SELECT run, seq, source_id, document_id, fact, true AS kept FROM graph WHERE document_id IS NOT NULL
+    UNION ALL SELECT qid, rank, chunk_id, split_part(chunk_id, '#', 1), concat('Chunk ', chunk_id), rank <= CASE WHEN strategy = 'vector' THEN 10 ELSE 5 END FROM near
+    UNION ALL SELECT qid, nth, chunk_id, doc_id, fact, nth <= 10 FROM evidence WHERE qid NOT LIKE 'r:%'),
+items AS (SELECT * EXCLUDE (kept) FROM every WHERE kept),
+ranked AS (SELECT run, document_id, row_number() OVER (PARTITION BY run ORDER BY min(seq), document_id) AS rank FROM every GROUP BY run, document_id),
+firsts AS (SELECT run, arg_min(answer, seq) AS answer FROM graph WHERE answer <> '' GROUP BY run),
+said AS MATERIALIZED (SELECT r.qid AS run, strategy, coalesce(f.answer, CASE WHEN strategy <> 'structured' THEN document_id END, '') AS answer, list_distinct(regexp_extract_all(question, '\\b(19\\d\\d|20\\d\\d)\\b', 1)) AS years
+    FROM routed r LEFT JOIN firsts f ON f.run = r.qid LEFT JOIN ranked t ON t.run = r.qid AND rank = 1),
+{_ledgered("kept", "items")},
+{_verified("verdicts", "kept")},
+wanted AS (SELECT qid, repair_venue AS cue, CAST(NULL AS VARCHAR) AS date, year FROM routed WHERE qid IN (SELECT run FROM verdicts WHERE verdict = 'REPAIR_REQUIRED')),
+{_venue_items("again", "(SELECT * FROM wanted WHERE cue IS NOT NULL)")},
+after AS (SELECT run, max(seq) AS last FROM kept GROUP BY run),
+more AS MATERIALIZED (SELECT run, seq + coalesce(last, 0) AS seq, source_id, document_id, fact, plan FROM (
+    SELECT run, seq, source_id, document_id, fact, 'composite' AS plan FROM again
+    UNION ALL SELECT w.qid, nth, chunk_id, doc_id, fact, 'expansion' FROM evidence e JOIN wanted w ON e.qid = concat('r:', w.qid) WHERE w.qid NOT IN (SELECT run FROM again)) LEFT JOIN after USING (run)),
+repaired AS (SELECT qid AS run, coalesce(any_value(plan), 'expansion') AS plan, count(m.run) AS recovered FROM wanted LEFT JOIN more m ON m.run = qid GROUP BY qid),
+{_ledgered("whole", "(SELECT * FROM items UNION ALL SELECT run, seq, source_id, document_id, fact FROM more)")},
+{_verified("final", "whole")}"""
+
 SQL: dict[str, str] = {
     "knn_topk": f"WITH {SEEDS} SELECT * FROM seeds",
     "knn_index_topk": f"WITH {SEEDS} SELECT * FROM seeds",
@@ -294,16 +386,13 @@ SQL: dict[str, str] = {
     "venue_grounding": f"""WITH {CORPUS}, asked(qid, venue, w1, w2) AS (VALUES (0, 'Venue Hall 7', '3', 'august'), (1, 'Venue Hall 12', 'august', '1996'))
         SELECT qid, doc_id FROM asked JOIN corpus ON o_orderkey % 9 <> 0 AND venue = concat('Venue Hall ', o_custkey % 40) WHERE contains(lower(text), w1) AND contains(lower(text), w2)""",
     "vector_fallback": f"WITH {SEEDS} SELECT 100 AS qid, 'doc1' AS doc_id, 'structured' AS source UNION ALL SELECT qid, concat('doc', id), 'vector' FROM seeds WHERE qid <> 100 AND rank <= 10",
-    "route_questions": f"""WITH q AS ({bare(ROUTED_SQL)}), x AS (SELECT qid, lower(question) AS l,
-            nullif(regexp_replace(regexp_extract(question, {sql_text(questions.VENUE)}, 1), '^[\\s\\-?]+|[\\s\\-?]+$', '', 'g'), '') AS venue, nullif(regexp_replace(regexp_extract(question, {sql_text(questions.REPAIR_VENUE)}, 1), '^[\\s\\-?]+|[\\s\\-?]+$', '', 'g'), '') AS repair_venue,
-            nullif(regexp_replace(regexp_extract(question, {sql_text(questions.DATE)}, 1), '^[\\s\\-?]+|[\\s\\-?]+$', '', 'g'), '') AS date, CAST(nullif(regexp_extract(question, {sql_text(questions.YEAR)}, 1), '') AS INTEGER) AS year FROM q),
-        f AS (SELECT *, contains(l, 'nations competed in') AS is_nation_lookup, contains(l, 'had more than') OR (contains(l, 'more than') AND contains(l, 'competitors')) AS is_event_agg,
-            contains(l, 'highest number of competitors') OR contains(l, 'most competitors') AS is_superlative, contains(l, 'immediately before') AS is_temporal,
-            contains(l, 'represented') OR contains(l, 'competed') OR contains(l, 'participated') OR contains(l, 'won the gold medal in the event') AS is_relational FROM x),
-        g AS (SELECT *, is_nation_lookup OR contains(l, 'how many nations') OR contains(l, 'which country') OR contains(l, 'which nation') AS is_nation_agg, venue IS NOT NULL OR contains(l, 'held at') OR contains(l, 'venue') AS is_venue FROM f)
-        SELECT * EXCLUDE (l), CASE WHEN is_nation_agg OR is_event_agg OR is_superlative OR is_temporal OR is_venue THEN 'structured' WHEN is_relational THEN 'expansion' ELSE 'vector' END AS strategy FROM g""",
+    "route_questions": f"WITH q AS ({bare(ROUTED_SQL)}), {ROUTED} SELECT * EXCLUDE (question) FROM routed",
     "date_scores": f"""WITH d AS (SELECT doc_id, {norm("regexp_split_to_array(text, '[ \\n]')[1] || ' the'")} AS cue, {norm('text')} AS t FROM documents WHERE lang = 'en'), k AS (SELECT *, string_split(cue, ' ') AS ts FROM d)
         SELECT doc_id, CASE WHEN cue = '' OR t = '' THEN 0.0 ELSE round(CASE WHEN contains(t, cue) THEN 100.0 ELSE 0.0 END + 10.0 * (len(list_filter(ts, lambda x: contains(t, x))) / len(ts)), 6) END AS score FROM k""",
+    "orchestrated_run": f"""WITH {ORCHESTRATED} SELECT s.run, strategy, answer AS candidate, v.verdict AS first_verdict, f.verdict, f.n_facts, plan, recovered, CASE WHEN f.verdict = 'INSUFFICIENT' AND f.n_facts = 0 THEN 'INSUFFICIENT_EVIDENCE' ELSE answer END AS answer
+        FROM said s JOIN verdicts v USING (run) JOIN final f USING (run) LEFT JOIN repaired USING (run)""",
+    "repair_applied": f"""WITH {ORCHESTRATED}, o AS (SELECT run, document_id, 0 AS part, seq AS p FROM whole WHERE run IN (SELECT run FROM repaired) UNION ALL SELECT run, document_id, 1, rank FROM ranked)
+        SELECT run, document_id, CAST(row_number() OVER (PARTITION BY run ORDER BY min(part), min(CASE WHEN part = 0 THEN p END), min(p), document_id) AS INTEGER) AS rank FROM o GROUP BY run, document_id""",
     "budget_running": f"WITH {PHASED} SELECT run, seq, CAST(tools AS BIGINT) AS tools, CAST(repairs AS BIGINT) AS repairs, phase0 AS phase FROM phased",
     "harness_fold": f"""WITH {PHASED} SELECT run, count(*) AS events, arg_max(phase0, seq) AS phase, CAST(max(tools) AS BIGINT) AS tools, CAST(max(repairs) AS BIGINT) AS repairs, count(DISTINCT payload) FILTER (kind = 'EVIDENCE_ADDED') AS evidence, count(DISTINCT payload) FILTER (kind = 'SKILL_ACTIVATED') AS skills,
         arg_max(payload, seq) FILTER (kind = 'STRATEGY_CHOSEN') AS strategy, arg_max(payload, seq) FILTER (kind = 'ANSWER_PROPOSED') AS answer, count_if(phase0 = 'FAILED') AS failures, arg_max(phase0, seq) IN ('COMPLETED', 'FAILED') AS terminal FROM phased GROUP BY run""",
