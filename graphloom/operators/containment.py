@@ -15,17 +15,25 @@ from .vectors import bound
 GRAM = 6
 #: Texts of a gram in one task, and how many grams are split at most: a gram past that number has less than this share of all listings.
 PART_ROWS, MOST_SPLIT = 100_000, 1000
+#: Asked grams (8 bytes each) up to this number are brought to the texts.
+FEW_GRAMS = 1_000_000
 
 
-def grams(text: Column, size: int) -> Column:
-    """Distinct substrings of ``size`` signs as hashes; shorter texts have none. Long texts are split into signs once, so the work grows with the length."""
+def grams(text: Column, size: int, window: int = 200) -> Column:
+    """Distinct substrings of ``size`` signs as hashes; shorter texts have none.
+
+    Reading at a place of a string takes time in proportion to the place: so texts are read by windows, and very long ones are split into signs once.
+    """
     if size == 0:
         return F.array(F.xxhash64(F.lit(""), F.lit(0)))
     hashed = lambda piece: F.xxhash64(piece, F.lit(size))
     at = lambda n: F.sequence(F.lit(1), n - size + 1)
-    short = F.transform(at(F.length(text)), lambda i: hashed(F.substr(text, i, F.lit(size))))
+    short = lambda t: F.transform(at(F.length(t)), lambda i: hashed(F.substr(t, i, F.lit(size))))
+    cut_out = lambda j: F.substr(text, j * window + 1, F.lit(window + size - 1))
+    windows = F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - size) / window).cast("int")), lambda j: bound(cut_out(j), short)))
     long = bound(F.split(text, ""), lambda signs: F.transform(at(F.size(signs)), lambda i: hashed(F.array_join(F.slice(signs, i, F.lit(size)), ""))))
-    return F.when(F.length(text) < size, F.array().cast("array<bigint>")).when(F.length(text) <= 256, F.array_distinct(short)).otherwise(F.array_distinct(long))
+    found = F.when(F.length(text) <= window, short(text)).when(F.length(text) <= 100 * window, windows).otherwise(long)
+    return F.when(F.length(text) < size, F.array().cast("array<bigint>")).otherwise(F.array_distinct(found))
 
 
 def containing(asked: DataFrame, texts: DataFrame, needles: str = "needles", text: str = "text", key: str = "key", size: int = GRAM) -> DataFrame:
@@ -46,12 +54,17 @@ def containing(asked: DataFrame, texts: DataFrame, needles: str = "needles", tex
     wanted = ask.select("_id", F.explode(F.array_distinct(of_needle)).alias("_gram"))
     listed = texts.where(F.col(text).isNotNull()).withColumn("_gram", F.explode(F.concat(none, *(grams(F.col(text), k) for k in lengths))))
 
-    counts = listed.join(wanted.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    def only(grams: DataFrame) -> DataFrame:
+        """Listings of these grams; before any shuffle, if the grams are few."""
+        few = grams.select("_gram").distinct()
+        return listed.join(F.broadcast(few) if few.count() <= FEW_GRAMS else few, "_gram", "left_semi")
+
+    counts = only(wanted).groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     rarest = wanted.join(counts, "_gram", "left").groupBy("_id").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_gram")).alias("r")).select("_id", "r._n", "r._gram").where("_n > 0")
     rarest = cut(rarest)  # a row a query; the listing is counted once
     often = rarest.select("_gram", F.ceil(F.col("_n") / PART_ROWS).alias("_parts")).where("_parts > 1").distinct().orderBy(F.desc("_parts"), "_gram").limit(MOST_SPLIT)
     looked_up = ask.join(rarest.drop("_n"), "_id").join(F.broadcast(often), "_gram", "left")
     looked_up = looked_up.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts", "_id", "_size")
-    split = listed.join(F.broadcast(often), "_gram", "left").withColumn("_part", F.pmod(F.xxhash64(key), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    split = only(rarest).join(F.broadcast(often), "_gram", "left").withColumn("_part", F.pmod(F.xxhash64(key), F.coalesce("_parts", F.lit(1)))).drop("_parts")
     found = looked_up.join(split, ["_gram", "_part"]).where(F.forall("_needles", lambda n: F.col(text).contains(n)))
     return found.select(*asked.columns, *texts.columns)

@@ -21,7 +21,7 @@ def run(spark, asked, texts, **how):
 def test_pairs_are_those_of_brute_force(spark, size):
     rng = random.Random(size)
     letters = lambda n: "".join(rng.choice("abcé😀 ") for _ in range(n))
-    texts = [(i, letters(rng.randint(0, 30))) for i in range(120)] + [(1000, None), (1001, ""), (1001, ""), (1002, "abc" * 300)]
+    texts = [(i, letters(rng.randint(0, 30))) for i in range(120)] + [(1000, None), (1001, ""), (1001, ""), (1002, "abc" * 300), (1003, letters(201)), (1004, letters(650)), (1005, letters(25_000))]
     asked = [(i, [letters(rng.randint(0, 7)) for _ in range(rng.randint(0, 3))]) for i in range(80)] + [(900, None), (901, ["a", None]), (902, []), (903, [""]), (904, ["abc" * 20])]
     assert run(spark, asked, texts, size=size) == brute(asked, texts)
 
