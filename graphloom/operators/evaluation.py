@@ -81,8 +81,15 @@ NUMBER_PATTERNS = [
     r"in the \d{4} summer olympics,\s+(\d+)\s+nations competed",
     r"^(\d+)\b",
 ]
-#: Number words, zero to twenty and thirty, forty.
-NUMBER_WORDS = dict(zip("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty".split(), [*range(21), 30, 40], strict=True))
+#: Number words up to nineteen, and tens.
+ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = {"twenty": 20, "thirty": 30, "forty": 40}
+
+
+def number_words() -> dict[str, int]:
+    """Words of the numbers from zero to forty; a ten and a one are joined by a hyphen or a blank."""
+    joined = {f"{ten}{mark}{ONES[one]}": n + one for ten, n in TENS.items() if n < 40 for one in range(1, 10) for mark in "- "}
+    return {word: n for n, word in enumerate(ONES)} | TENS | joined
 
 
 def comparable(c: Column) -> Column:
@@ -101,8 +108,12 @@ def _void(predicted: Column) -> Column:
     return (predicted == "") | (predicted == "INSUFFICIENT_EVIDENCE") | (predicted.startswith("Q") & (F.length(predicted) <= 10))
 
 
-def strict_verdict(reference: Column, predicted: Column) -> Column:
-    """CONFIRMED_CORRECT, CONFIRMED_INCORRECT or MANUAL_REVIEW, by general rules only."""
+#: Questions whose answer must be named in full.
+EXACT = ["highest number of competitors", "immediately before"]
+
+
+def strict_verdict(reference: Column, predicted: Column, question: Column | None = None) -> Column:
+    """CONFIRMED_CORRECT, CONFIRMED_INCORRECT or MANUAL_REVIEW, by general rules only. Answers to superlative and predecessor questions are never left to review."""
     p, r = F.coalesce(predicted, F.lit("")), F.coalesce(reference, F.lit(""))
     number, whole = asserted_number(p), F.concat(F.lit(" "), F.regexp_replace(p, r"[^\p{L}\p{N}_]", " "), F.lit(" "))
     numeric = F.when(number.isNotNull(), number == r.try_cast("long")).otherwise(whole.contains(F.concat(F.lit(" "), r, F.lit(" "))))
@@ -110,13 +121,15 @@ def strict_verdict(reference: Column, predicted: Column) -> Column:
     a, b = comparable(r), comparable(p)
     tokens = F.filter(F.split(a, " "), lambda t: F.length(t) > 2)
     some = F.exists(tokens, lambda t: b.contains(t))
-    return F.when(_void(p), no).when(r.rlike(r"^[0-9]+$"), F.when(numeric, yes).otherwise(no)).when(b.contains(a), yes).when(some, F.lit("MANUAL_REVIEW")).otherwise(no)
+    asked = F.lower(F.coalesce(F.lit("") if question is None else question, F.lit("")))
+    exact = asked.contains(EXACT[0]) | asked.contains(EXACT[1])
+    return F.when(_void(p), no).when(r.rlike(r"^[0-9]+$"), F.when(numeric, yes).otherwise(no)).when(b.contains(a), yes).when(exact, no).when(some, F.lit("MANUAL_REVIEW")).otherwise(no)
 
 
 def lenient_correct(reference: Column, predicted: Column) -> Column:
     """Digits or number words; containment either way; or at least min(2, n) of the n key tokens."""
     p, r = F.coalesce(predicted, F.lit("")), F.coalesce(reference, F.lit(""))
-    words = [F.when(F.lower(p).contains(w), F.lit(str(n))) for w, n in NUMBER_WORDS.items()]
+    words = [F.when(F.lower(p).contains(w), F.lit(str(n))) for w, n in number_words().items()]
     numbers = F.array_union(F.regexp_extract_all(p, F.lit(r"\b(\d+)\b"), F.lit(1)), F.array_compact(F.array(*words)))
     a, b = comparable(r), comparable(p)
     tokens = F.filter(F.split(a, " "), lambda t: F.length(t) > 2)
@@ -126,8 +139,9 @@ def lenient_correct(reference: Column, predicted: Column) -> Column:
 
 
 def score_answers(rows: DataFrame) -> DataFrame:
-    """Adds ``strict`` and ``lenient`` to ``qid, reference, predicted``."""
-    return rows.withColumns({"strict": strict_verdict(F.col("reference"), F.col("predicted")), "lenient": lenient_correct(F.col("reference"), F.col("predicted"))})
+    """Adds ``strict`` and ``lenient`` to ``qid, reference, predicted`` and, if there is one, ``question``."""
+    question = F.col("question") if "question" in rows.columns else None
+    return rows.withColumns({"strict": strict_verdict(F.col("reference"), F.col("predicted"), question), "lenient": lenient_correct(F.col("reference"), F.col("predicted"))})
 
 
 def accuracy_bounds(scored: DataFrame, digits: int = 6) -> DataFrame:

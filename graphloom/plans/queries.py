@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as fx
-from ..operators import chunking, evaluation, evidence, expansion, extraction, orchestration, questions, tools, vector_index, vectors
-from ..sources import corpus as sources, gateway, layout, tables
+from ..operators import chunking, embedding, evaluation, evidence, expansion, extraction, orchestration, questions, tools, vector_index, vectors
+from ..sources import corpus as sources, gateway, layout, store, tables
 from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -723,8 +723,9 @@ def token_telemetry(spark, d):
 ANSWERS_SQL = """
     SELECT o_orderkey AS qid, CASE WHEN o_orderkey % 2 = 0 THEN concat('', o_custkey % 30) ELSE concat('Men''s 10 kilometre run no ', o_custkey % 9) END AS reference,
         CASE o_orderkey % 12 WHEN 0 THEN concat(o_custkey % 30, ' nations competed') WHEN 2 THEN concat('There were **', o_custkey % 29, '** events') WHEN 4 THEN 'Twelve teams, not 7'
-            WHEN 6 THEN concat('', o_custkey % 30) WHEN 8 THEN 'INSUFFICIENT_EVIDENCE' WHEN 10 THEN concat('about ', o_custkey % 30, ' or so')
-            WHEN 1 THEN concat('the men''s 10 km run - no ', o_custkey % 9) WHEN 3 THEN 'Q123' WHEN 5 THEN 'A run by men' WHEN 7 THEN 'Swimming' WHEN 9 THEN '' ELSE 'kilometres of running, men''s event' END AS predicted
+            WHEN 6 THEN concat('', o_custkey % 30) WHEN 8 THEN 'INSUFFICIENT_EVIDENCE' WHEN 10 THEN CASE o_custkey % 4 WHEN 0 THEN 'Twenty-nine nations took part.' WHEN 1 THEN 'some twenty one teams' WHEN 2 THEN 'thirty, or nineteen' ELSE concat('about ', o_custkey % 30, ' or so') END
+            WHEN 1 THEN concat('the men''s 10 km run - no ', o_custkey % 9) WHEN 3 THEN 'Q123' WHEN 5 THEN 'A run by men' WHEN 7 THEN 'Swimming' WHEN 9 THEN '' ELSE 'kilometres of running, men''s event' END AS predicted,
+        CASE o_custkey % 3 WHEN 0 THEN 'Which event had the Highest number of competitors?' WHEN 1 THEN 'Who won immediately before 1998?' ELSE 'Which event was held?' END AS question
     FROM {orders} AS o
 """
 
@@ -758,6 +759,43 @@ def tool_gateway(spark, d):
     return rows.select("event_id", "tool", "decision", F.get_json_object(gateway.embedded_json(F.col("body")), "$.k").alias("k"))
 
 
+@register
+def upserted_vertices(spark, d):
+    """Two overlapping batches over stored events, each with repeated keys; the last write of a key stays, and only touched buckets are rewritten."""
+    orders = table(spark, d, "orders")
+    key = F.concat(F.lit("event_"), "o_orderkey").alias("v_id")
+    write = lambda rows, name, seq: rows.select(F.lit("Event").alias("v_type"), key, name.alias("name"), F.col("o_custkey").alias("year"), F.lit(seq).alias("seq"))
+    kept = store.KeyedStore(spark, tables.fresh_path(spark, "vertices"), "v_type string, v_id string, name string, year long", ["v_type", "v_id"], buckets=16)
+    kept.upsert(write(orders.where("o_orderkey % 5 <> 0"), F.col("o_orderpriority"), 0), "seq")
+    first = orders.where("o_custkey % 3 = 0")
+    kept.upsert(write(first, F.lit("a"), 1).unionByName(write(first.where("o_orderkey % 2 = 0"), F.concat(F.lit("b"), "o_orderstatus"), 2)), "seq")
+    second = orders.where("o_custkey % 4 = 0")
+    kept.upsert(write(second, F.lit("d"), 9).unionByName(write(second, F.lit("c"), 3)), "seq")
+    return kept.read()
+
+
+class _Counts:
+    """A provider for the query below: counts of a text as a vector. Every third call fails, as a busy service does."""
+
+    def __init__(self) -> None:
+        self.calls = 0
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        self.calls += 1
+        if self.calls % 3 == 0:
+            raise embedding.ProviderError(429 if self.calls % 2 else 503)
+        return [[float(len(t)), float(t.count("e")), float(t.count(" ")), 1.0] for t in texts]
+
+
+@register
+def embedded_documents(spark, d):
+    """Vectors of all documents by a provider that fails on a schedule, kept in a resumable output; the lengths of the vectors are divided out."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = embedding.embed_resumed(spark, docs, tables.fresh_path(spark, "embedded"), _Counts(), "doc_id", calls=embedding.Calls(pause=0.0), slices=2)
+    unit = found.withColumn("v", vectors.l2_normalized(F.col("v")))
+    return unit.select("doc_id", *(F.round(F.element_at("v", i + 1), 6).alias(f"v{i + 1}") for i in range(4)))
+
+
 @register
 def pending_rows(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang")

@@ -162,13 +162,16 @@ RUNS = """runs AS (SELECT CAST(doc_id AS VARCHAR) AS qid, doc_id AS k, CAST(qual
 a AS (SELECT qid, quality, toxic FROM runs WHERE k % 5 <> 0), b AS (SELECT qid, 1.0 - quality AS quality, toxic FROM runs WHERE k % 7 <> 0)"""
 COMPARABLE = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '[\\s\\-_–—]+', ' ', 'g'), '[^\\pL\\pN_\\s]', '', 'g'), 'kilometres?', 'km', 'g'))"
 SCORED = f"""rows AS ({bare(ANSWERS_SQL)}),
+ones(w, n) AS (VALUES ('zero', 0), ('one', 1), ('two', 2), ('three', 3), ('four', 4), ('five', 5), ('six', 6), ('seven', 7), ('eight', 8), ('nine', 9), ('ten', 10), ('eleven', 11), ('twelve', 12), ('thirteen', 13), ('fourteen', 14), ('fifteen', 15), ('sixteen', 16), ('seventeen', 17), ('eighteen', 18), ('nineteen', 19)),
+tens(w, n) AS (VALUES ('twenty', 20), ('thirty', 30)),
+spelling AS (SELECT list({{'w': w, 'n': n}}) AS spelt FROM (SELECT w, n FROM ones UNION ALL SELECT w, n FROM tens UNION ALL SELECT 'forty', 40 UNION ALL SELECT concat(tens.w, sep, ones.w), tens.n + ones.n FROM tens, ones, (VALUES ('-'), (' ')) s(sep) WHERE ones.n BETWEEN 1 AND 9)),
 plain AS (SELECT qid, reference AS r, predicted AS p, {COMPARABLE('reference')} AS a, {COMPARABLE('predicted')} AS b,
     TRY_CAST(coalesce(CASE WHEN regexp_matches(trim(predicted), '^[0-9]+$') THEN trim(predicted) END, {', '.join(f"nullif(regexp_extract(trim(predicted), {sql_text('(?i)' + p)}, 1), '')" for p in evaluation.NUMBER_PATTERNS)}) AS BIGINT) AS number,
     ' ' || regexp_replace(predicted, '[^\\pL\\pN_]', ' ', 'g') || ' ' AS whole, predicted IN ('', 'INSUFFICIENT_EVIDENCE') OR (starts_with(predicted, 'Q') AND length(predicted) <= 10) AS void,
-    regexp_extract_all(predicted, '\\b(\\d+)\\b', 1) || list_filter([{', '.join(f"CASE WHEN contains(lower(predicted), '{w}') THEN '{n}' END" for w, n in evaluation.NUMBER_WORDS.items())}], lambda x: x IS NOT NULL) AS numbers FROM rows),
+    regexp_extract_all(predicted, '\\b(\\d+)\\b', 1) || list_transform(list_filter(spelt, lambda x: contains(lower(predicted), x.w)), lambda x: CAST(x.n AS VARCHAR)) AS numbers, contains(lower(question), 'highest number of competitors') OR contains(lower(question), 'immediately before') AS exact FROM rows CROSS JOIN spelling),
 tokens AS (SELECT *, list_filter(string_split(a, ' '), lambda t: length(t) > 2) AS ts FROM plain),
 scored AS (SELECT qid, CASE WHEN void THEN 'CONFIRMED_INCORRECT' WHEN regexp_matches(r, '^[0-9]+$') THEN CASE WHEN CASE WHEN number IS NOT NULL THEN number = TRY_CAST(r AS BIGINT) ELSE contains(whole, ' ' || r || ' ') END THEN 'CONFIRMED_CORRECT' ELSE 'CONFIRMED_INCORRECT' END
-        WHEN contains(b, a) THEN 'CONFIRMED_CORRECT' WHEN len(list_filter(ts, lambda t: contains(b, t))) > 0 THEN 'MANUAL_REVIEW' ELSE 'CONFIRMED_INCORRECT' END AS strict,
+        WHEN contains(b, a) THEN 'CONFIRMED_CORRECT' WHEN exact THEN 'CONFIRMED_INCORRECT' WHEN len(list_filter(ts, lambda t: contains(b, t))) > 0 THEN 'MANUAL_REVIEW' ELSE 'CONFIRMED_INCORRECT' END AS strict,
     CASE WHEN void THEN false WHEN regexp_matches(r, '^[0-9]+$') THEN list_contains(numbers, r)
         ELSE contains(b, a) OR contains(a, b) OR (len(ts) > 0 AND len(list_filter(ts, lambda t: contains(b, t))) >= least(2, len(ts))) END AS lenient FROM tokens)"""
 GAMES = f"""{CORPUS}, asked(qid, sport, year, season, threshold) AS (VALUES {', '.join(f"({q}, '{s}', {y}, '{g}', {t})" for q, s, y, g, t in ASKED)}),
@@ -421,6 +424,11 @@ SQL: dict[str, str] = {
     "serialized_rows": "SELECT printf('{\"n_nationkey\":%d,\"n_name\":\"%s\",\"n_regionkey\":%d}', n_nationkey, n_name, n_regionkey) AS value FROM nation",
     "tool_gateway": """SELECT event_id, tool, CASE tool WHEN 'get_edges' THEN 'allowed' WHEN 'run_installed_query' THEN 'allowed' WHEN 'delete_vertices' THEN 'blocked' WHEN 'Drop_Graph' THEN 'blocked' ELSE 'unknown' END AS decision,
         CASE WHEN event_id % 3 < 2 THEN json_extract_string(props, '$.k') END AS k FROM (SELECT *, ['get_edges', 'delete_vertices', 'run_installed_query', 'Drop_Graph', 'shutdown', 'updated_at'][event_id % 6 + 1] AS tool FROM events)""",
+    "upserted_vertices": """SELECT 'Event' AS v_type, concat('event_', o_orderkey) AS v_id, o_custkey AS year,
+        CASE WHEN o_custkey % 4 = 0 THEN 'd' WHEN o_custkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN concat('b', o_orderstatus) ELSE 'a' END ELSE o_orderpriority END AS name
+        FROM orders WHERE o_orderkey % 5 <> 0 OR o_custkey % 3 = 0 OR o_custkey % 4 = 0""",
+    "embedded_documents": """WITH c AS (SELECT doc_id, CAST(length(t) AS DOUBLE) AS a, CAST(length(t) - length(replace(t, 'e', '')) AS DOUBLE) AS b, CAST(length(t) - length(replace(t, ' ', '')) AS DOUBLE) AS c FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+        n AS (SELECT *, sqrt(a * a + b * b + c * c + 1) AS l FROM c) SELECT doc_id, round(a / l, 6) AS v1, round(b / l, 6) AS v2, round(c / l, 6) AS v3, round(1 / l, 6) AS v4 FROM n""",
     "pending_rows": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "chunk_stats": f"""WITH {PIECES} SELECT count(*) AS total_chunks, count(DISTINCT document_id) AS documents, count_if(length(d.t) > 3072) AS split_chunks, CAST(0 AS BIGINT) AS infobox_splits,
         count_if(length(d.t) > 3072 AND d.tab) AS table_splits, count_if(token_count > 768) AS over_target, max(token_count) AS most_tokens, CAST(sum(token_count) AS BIGINT) AS tokens
