@@ -26,7 +26,7 @@ KINDS = {
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     "hex": (re.compile(r"[0-9a-f]{24,}"), 0, 24),  # a maximal run either has the length or fails as a whole
 }
-CONTEXT = re.compile(r"""(password|passwd|secret|token|api_?key|(?<![A-Za-z0-9])(?:pwd|pass|passphrase|passcode|pin|auth|credentials?|bearer|private_?key|access_?key|client_?key))\b["']?\x20*(?:[:=]|\bis\b|\x20)\x20*["']?([^\s"']{6,})""", re.I | re.A)
+CONTEXT = re.compile(r"""(password|passwd|secret|token|api_?key|(?<![A-Za-z0-9])(?:pwd|pass|passphrase|passcode|pin|auth|credentials?|bearer|private_?key|access_?key|client_?key))\b["']?\x20*(?:[:=]|\bis\b|(?<=bearer)\x20)\x20*["']?([^\s"']{6,})""", re.I | re.A)
 ORDER = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
 
 #: Common password words, most frequent first.
@@ -52,7 +52,6 @@ help information details report reports data example placeholder redacted hidden
 """.split()
 for _word in PROSE:
     RANK.setdefault(_word, len(RANK) + 1)
-LONGEST = max(map(len, RANK))
 #: Keyboard rows whose neighbours make a walk.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 LEET = str.maketrans("0134578@$", "oieastbas")
@@ -84,38 +83,90 @@ def word_cost(value: str, low: str, plain: str, k: int, j: int) -> float:
     return math.log10(rank + 1) + (0.6 if part != part.lower() else 0) + (0.6 if low[k:j] != plain[k:j] else 0) + CHOICE
 
 
-def run_cost(first: str, steps: int, turn: float) -> float:
-    """Guesses of a run of ``steps`` steps after its first character."""
-    return math.log10(_alphabet(first)) + CHOICE + turn * steps + math.log10(steps + 1)
+def _by_ends(words: dict[str, int]) -> dict:
+    """Words of three letters and more as a trie read from their ends; a word's rank stands under the empty key."""
+    root: dict = {}
+    for word, rank in words.items():
+        node = root
+        for c in reversed(word if len(word) > 2 else ""):
+            node = node.setdefault(c, {})
+        if len(word) > 2:
+            node[""] = rank
+    return root
+
+
+ENDS = _by_ends(RANK)
+LOGS = {size: math.log10(size) for size in (10, 26, 33, 1000)}
+TURNS = (("repeat", 0.0), ("walk", TURN), ("sequence", STEP))
+
+
+class Starts:
+    """The starts of a run that may still be the cheapest one, for one kind of run.
+
+    Up to a common part, a run from k to j costs ``g + log10(j - k)``, where g is the cost before k and of its first character, less the turns saved. A later start is
+    the cheaper one only while the run is short: once an earlier start costs no more it never costs more again, so the later one goes; and an earlier start whose g is no less than
+    a later one's never catches up. The starts that are left have rising g and falling cost, so the last is the cheapest; in practice they are one or two, however long the run.
+    """
+
+    def __init__(self, turn: float) -> None:
+        self.turn, self.starts = turn, []
+
+    def cheapest(self, j: int, k: int, g: float) -> float:
+        """Add the start k, then the least cost of a run that ends at j."""
+        starts = self.starts
+        while starts and starts[-1][1] >= g:
+            starts.pop()
+        starts.append((k, g))
+        if len(starts) > 1:
+            kept, least = [], math.inf
+            for start in starts:
+                cost = start[1] + math.log10(j - start[0])
+                if cost < least:
+                    kept.append(start)
+                    least = cost
+            self.starts = kept
+        k, g = self.starts[-1]
+        return g + math.log10(j - k) + self.turn * (j - 1) + CHOICE
 
 
 def guess_cost(value: str) -> float:
     """Least log10 guesses over all segmentations; 0 for an empty value.
 
-    best[j] is the least cost of the first j characters. A word or date ends within a fixed reach. A repeat, walk or sequence may start anywhere in
-    its run, and a later start can be the cheaper one where a word ends inside the run, so every start is tried: the time is linear in the value's
-    length but for long runs, where it grows with the run.
+    best[j] is the least cost of the first j characters. A word or date ends within a fixed reach; a repeat, walk or sequence may start anywhere in
+    its run, of which only the starts that can still win are kept. The time is linear in the value's length.
     """
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
-    best = [0.0] + [math.inf] * n
-    runs = {"repeat": 0, "walk": 0, "sequence": 0}
+    single = [LOGS[_alphabet(c)] for c in value]
+    best = [0.0]
+    runs = [0, 0, 0]
+    open_runs = [Starts(turn) for _, turn in TURNS]
     for j in range(1, n + 1):
-        best[j] = best[j - 1] + math.log10(_alphabet(value[j - 1]))
-        for k in range(max(0, j - LONGEST), j - 2):
-            best[j] = min(best[j], best[k] + word_cost(value, low, plain, k, j))
-        for k in range(max(0, j - 10), j - 3):
-            if DATE.fullmatch(value, k, j):
-                best[j] = min(best[j], best[k] + (2.1 if j - k == 4 else 4.6))
+        total = best[j - 1] + single[j - 1]
+        node, k = ENDS.get(plain[j - 1]), j - 1
+        while node and k:
+            k -= 1
+            node = node.get(plain[k])
+            if node and "" in node:
+                total = min(total, best[k] + word_cost(value, low, plain, k, j))
+        if value[j - 1].isdigit():
+            for k in range(max(0, j - 10), j - 3):
+                if value[k].isdigit() and DATE.fullmatch(value, k, j):
+                    total = min(total, best[k] + (2.1 if j - k == 4 else 4.6))
         if j > 1:
             a, b = low[j - 2], low[j - 1]
-            runs["repeat"] = runs["repeat"] + 1 if a == b else 0
-            runs["walk"] = runs["walk"] + 1 if (a, b) in NEAR else 0
-            runs["sequence"] = runs["sequence"] + 1 if abs(ord(a) - ord(b)) == 1 else 0
-            for kind, turn in (("repeat", 0.0), ("walk", TURN), ("sequence", STEP)):
-                for steps in range(2, runs[kind] + 1):  # three characters or more
-                    k = j - 1 - steps
-                    best[j] = min(best[j], best[k] + run_cost(value[k], steps, turn))
+            goes_on = (a == b, (a, b) in NEAR, abs(ord(a) - ord(b)) == 1)
+            for i in range(3):
+                if not goes_on[i]:
+                    if runs[i] > 1:
+                        open_runs[i].starts = []
+                    runs[i] = 0
+                    continue
+                runs[i] += 1
+                if runs[i] > 1:  # three characters or more
+                    k = j - 3
+                    total = min(total, open_runs[i].cheapest(j, k, best[k] + single[k] - TURNS[i][1] * k))
+        best.append(total)
     return best[n]
 
 

@@ -294,3 +294,80 @@ def test_values_without_digits_are_costed():
     assert secrets.scan("pwd: qhZmxKvbWpRt") == [("guess", 5, 17)] and secrets.scan("bearer kQxV!zLwTpRm") == [("guess", 7, 19)]
     for text in ("password is required", "your token expired", "secret ingredient", "auth configuration", "pass through", "pin numbers", "bearer authentication", "pwd: password"):
         assert secrets.scan(text) == [], text
+
+
+def test_long_runs_cost_linear_time():
+    import time
+
+    def took(value):
+        began = time.perf_counter()
+        cost = secrets.guess_cost(value)
+        return time.perf_counter() - began, cost
+
+    for unit in ("*", "a", "qw", "ab"):
+        short, long = took(unit * 20_000)[0], took(unit * 200_000)
+        assert long[0] < 40 * short + 1, unit
+    assert took("a" * 1_000_000)[1] == pytest.approx(math.log10(26) + secrets.CHOICE + 6)
+    rnd = __import__("random").Random(3)
+    for _ in range(150):  # runs in which words end, and runs that meet
+        value = "".join(rnd.choice(["a" * rnd.randint(1, 9), "qwerewq", "123", "12121", "love", "abcba", "sdsd", "99", "Pass"]) for _ in range(rnd.randint(1, 6)))
+        assert abs(secrets.guess_cost(value) - cost_by_recursion(value)) < 1e-9, value
+
+
+NAMES = ["password", "passwd", "secret", "token", "api_key", "apikey"]
+OWN = ["pwd", "pass", "passphrase", "passcode", "pin", "auth", "credentials", "credential", "bearer", "private_key", "privatekey", "access_key", "accesskey", "client_key", "clientkey"]
+
+
+def values_by_hand(text):
+    """(start, end) of the values after a context word, read sign by sign."""
+    found, at, word = [], 0, lambda c: c.isascii() and (c.isalnum() or c == "_")
+    while at < len(text):
+        best = None
+        for name in NAMES + OWN:
+            end = at + len(name)
+            if text[at:end].lower() != name or (name in OWN and at and text[at - 1].isascii() and text[at - 1].isalnum()) or (end < len(text) and word(text[end])):
+                continue
+            i = end + (text[end : end + 1] in ("'", '"') and text[end : end + 1] != "")
+            j = i
+            while text[j : j + 1] == " ":
+                j += 1
+            if text[j : j + 1] in (":", "=") and j < len(text):
+                j += 1
+            elif text[j : j + 2].lower() == "is" and not word(text[j - 1 : j] or " ") and not word(text[j + 2 : j + 3] or " "):
+                j += 2
+            elif not (name == "bearer" and text[end : end + 1] == " "):
+                continue
+            while text[j : j + 1] == " ":
+                j += 1
+            j += text[j : j + 1] in ("'", '"') and j < len(text)
+            k = j
+            while k < len(text) and not text[k].isspace() and text[k] not in "\"'":
+                k += 1
+            if k - j >= 6:
+                best = (end, j, k)
+                break
+        if best:
+            found.append(best[1:])
+            at = best[0]
+        else:
+            at += 1
+    return found
+
+
+def test_values_are_those_of_the_contexts():
+    import random
+
+    rnd = random.Random(9)
+    parts = [*NAMES, *OWN, "PASSWORD", "Bearer", " ", "  ", ": ", "=", " is ", "is", "'", '"', "abcdef", "x9#Kq!v", "my_", "x", ".", "\n", "ab", "word"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 12)))
+        got, at = [], 0
+        while m := secrets.CONTEXT.search(text, at):
+            got.append((m.start(2), m.end(2)))
+            at = m.end(1)
+        assert got == values_by_hand(text), text
+
+
+@pytest.mark.parametrize("text", ["password quarterback said so", "auth Wolverhampton is a town", "the token Constantinople", "the pass Constantinople", "a secret ingredientz Constantinople"])
+def test_prose_after_a_context_word_is_no_secret(text):
+    assert secrets.scan(text) == []
