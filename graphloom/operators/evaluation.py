@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .ordering import exact_percentiles
+
 
 def first_gold_rank(queries: DataFrame, ranked: DataFrame, gold: DataFrame) -> DataFrame:
     """``queries`` with ``first_rank`` (1-based; null for a miss) from ranked ``qid, id, rank`` and gold ``qid, id``."""
@@ -33,9 +35,12 @@ def metrics_by(ranks: DataFrame, key: str, ks: tuple[int, ...] = (1, 5, 10, 20))
 
 
 def latencies(df: DataFrame, key: str, value: str, digits: int = 6) -> DataFrame:
-    """Mean and exact, linearly interpolated percentiles by key."""
-    p = lambda x: F.round(F.percentile(value, F.lit(x)), digits)
-    return df.groupBy(key).agg(F.count(value).alias("n"), F.round(F.avg(value), digits).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    """Mean and exact, linearly interpolated percentiles by key; a key with many distinct values doesn't meet in one task."""
+    found = exact_percentiles(df, key, value, (0.5, 0.95, 0.99)).withColumnRenamed(key, "_key")
+    p = lambda x: F.round(F.max(F.when(F.col("share") == x, F.col("percentile"))), digits)
+    wide = found.groupBy("_key").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    means = df.groupBy(key).agg(F.count(value).alias("n"), F.round(F.avg(value), digits).alias("mean"))
+    return means.join(wide, means[key].eqNullSafe(wide["_key"]), "left").drop("_key")
 
 
 def compare_runs(a: DataFrame, b: DataFrame, key: str, values: list[str], digits: int = 6) -> DataFrame:

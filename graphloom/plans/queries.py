@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as fx
-from ..operators import chunking, embedding, evaluation, evidence, expansion, extraction, orchestration, questions, tools, vector_index, vectors
+from ..operators import chunking, embedding, evaluation, evidence, expansion, extraction, orchestration, ordering, questions, tools, vector_index, vectors
 from ..sources import corpus as sources, gateway, layout, store, tables
 from ..sources.tables import table
 
@@ -709,6 +710,24 @@ def integrity_audit(spark, d):
     return evaluation.audit(*_runs(spark, d), "qid")
 
 
+@register
+def sequence_audit(spark, d):
+    """Two runs as sequences: equal but for one pair of neighbours that changed places, and a mode that one run mixes."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.lit("full").alias("mode"))
+    swapped = F.when(F.col("o_orderkey") == 100, 101).when(F.col("o_orderkey") == 101, 100).otherwise(F.col("o_orderkey"))
+    a, b = rows.withColumn("seq", F.col("o_orderkey")), rows.withColumn("seq", swapped).withColumn("mode", F.when(F.col("o_orderkey") % 7 == 0, "part").otherwise("full"))
+    pairs = (("equal", a, a), ("swapped", a, b), ("shorter", a, a.where("o_orderkey > 3")))
+    return reduce(DataFrame.unionByName, [ordering.compare_sequences(x, y, "o_orderkey", "seq", "mode").withColumn("case", F.lit(name)) for name, x, y in pairs])
+
+
+@register
+def corpus_lines(spark, d):
+    """States of the documents as lines of JSON, some cut off, blank or without an id."""
+    row = F.to_json(F.struct(F.when(F.col("doc_id") % 11 > 0, F.col("doc_id").cast("string")).alias("doc_id"), F.lit("t").alias("title"), "text", "source"))
+    key = F.col("doc_id") % 13
+    return tables.corpus_report(tables.parse_corpus(table(spark, d, "documents").select(F.when(key == 1, F.substring(row, 1, 9)).when(key == 2, " ").when(key == 3, "[1]").otherwise(row).alias("value"))))
+
+
 @register
 def category_histogram(spark, d):
     return evaluation.histogram(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority")

@@ -414,6 +414,12 @@ SQL: dict[str, str] = {
     "run_diff": f"WITH {RUNS}, la AS (UNPIVOT a ON quality, toxic INTO NAME metric VALUE a), lb AS (UNPIVOT b ON quality, toxic INTO NAME metric VALUE b) SELECT qid, metric, a, b, round(b - a, 6) AS diff FROM la FULL JOIN lb USING (qid, metric)",
     "integrity_audit": f"""WITH {RUNS} SELECT *, n_a = n_b AND n_a = keys_a AND n_b = keys_b AND only_a + only_b = 0 AS same FROM (SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(DISTINCT qid) FROM a) AS keys_a, (SELECT count(*) FROM b) AS n_b, (SELECT count(DISTINCT qid) FROM b) AS keys_b,
         (SELECT count(*) FROM a WHERE qid NOT IN (SELECT qid FROM b)) AS only_a, (SELECT count(*) FROM b WHERE qid NOT IN (SELECT qid FROM a)) AS only_b)""",
+    "sequence_audit": """WITH a AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS p FROM orders),
+        b AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY CASE o_orderkey WHEN 100 THEN 101 WHEN 101 THEN 100 ELSE o_orderkey END) AS p FROM orders),
+        c AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS p FROM orders WHERE o_orderkey > 3),
+        x AS (SELECT 'equal' AS "case", 1 AS m, a.k AS ka, o.k AS kb, p FROM a FULL JOIN a AS o USING (p) UNION ALL SELECT 'swapped', 2, a.k, b.k, p FROM a FULL JOIN b USING (p) UNION ALL SELECT 'shorter', 1, a.k, c.k, p FROM a FULL JOIN c USING (p))
+        SELECT "case", count(ka) AS n_a, count(kb) AS n_b, count_if(ka IS DISTINCT FROM kb) AS n_differ, min(p) FILTER (ka IS DISTINCT FROM kb) AS first_difference, CAST(1 AS BIGINT) AS modes_a, CAST(any_value(m) AS BIGINT) AS modes_b, count_if(ka IS DISTINCT FROM kb) = 0 AND any_value(m) = 1 AS same FROM x GROUP BY ALL""",
+    "corpus_lines": """SELECT state, count(*) AS n FROM (SELECT CASE WHEN doc_id % 13 IN (1, 3) THEN 'corrupt' WHEN doc_id % 13 = 2 THEN 'blank' WHEN doc_id % 11 = 0 THEN 'no_id' ELSE 'kept' END AS state FROM documents) GROUP BY state""",
     "category_histogram": "SELECT 'o_orderstatus' AS category, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY ALL",
     "token_telemetry": "WITH t AS (SELECT role, CAST(ceil(length(text) / 4.0) AS BIGINT) AS n FROM conversations) SELECT role, count(*) AS calls, CAST(sum(n) AS BIGINT) AS tokens, round(avg(n), 6) AS avg_tokens, min(n) AS min_tokens, max(n) AS max_tokens FROM t GROUP BY role",
     "answer_scoring": f"WITH {SCORED} SELECT * FROM scored",

@@ -56,13 +56,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def read_corpus(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Corpus documents from JSON lines with a fixed schema; blank lines are skipped and nulls are empty. A limit takes the first ids."""
-    rows = spark.read.schema(CORPUS).json(path).where(F.col("doc_id").isNotNull())
-    rows = rows.select("doc_id", *(F.coalesce(c, F.lit("")).alias(c) for c in CORPUS.names[1:]))
+def parse_corpus(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Lines of JSON as corpus rows with ``state``: blank, corrupt (not an object of the schema), no_id, or kept; ``line`` holds corrupt lines."""
+    kept = T.StructType([*CORPUS, T.StructField("_corrupt", T.StringType())])
+    parsed = lines.select(F.col(value).alias("line"), F.from_json(value, kept, {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    blank = F.btrim(F.coalesce("line", F.lit("")), F.lit(" \t\r\n\ufeff")) == ""
+    state = F.when(blank, "blank").when(F.col("r").isNull() | F.col("r._corrupt").isNotNull(), "corrupt").when(F.col("r.doc_id").isNull(), "no_id").otherwise("kept")
+    return parsed.withColumn("state", state).select("state", F.when(F.col("state") == "corrupt", F.col("line")).alias("line"), *(F.col(f"r.{c}").alias(c) for c in CORPUS.names))
+
+
+def read_corpus(spark: SparkSession, path: str, limit: int | None = None, strict: bool = False) -> DataFrame:
+    """Corpus documents from JSON lines with a fixed schema; blank lines are skipped and nulls are empty. A limit takes the first ids. Corrupt lines and lines without an id are left out (``corpus_report`` counts them); ``strict`` raises if there are any."""
+    rows = parse_corpus(spark.read.text(path))
+    if strict and (bad := rows.where("state IN ('corrupt', 'no_id')").groupBy("state").count().collect()):
+        raise ValueError("corpus lines: " + ", ".join(f"{r['count']} {r['state']}" for r in sorted(bad)))
+    rows = rows.where("state = 'kept'").select("doc_id", *(F.coalesce(c, F.lit("")).alias(c) for c in CORPUS.names[1:]))
     return rows if limit is None else rows.orderBy("doc_id").limit(limit)
 
 
+def corpus_report(rows: DataFrame) -> DataFrame:
+    """How many parsed lines are of each state."""
+    return rows.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
 def read_questions(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
     """Benchmark questions; raises if a required field is missing or the count is not the expected one."""
     rows = spark.read.schema(QUESTIONS).json(path)
