@@ -159,10 +159,26 @@ def paths(entities: DataFrame, vertices: DataFrame, edges: DataFrame | Adjacency
     return rows.withColumn("step", F.format_string("(%s) -[%s]-> (%s)", "source", "edge", "target"))
 
 
-def retrieve(questions: DataFrame, seeds: DataFrame, edges: DataFrame | Adjacency, limits: Limits = Limits()) -> dict[str, DataFrame]:
-    """Gate, expand, fuse and rank: ``gate, evidence, documents, stats``. Questions that aren't expanded keep their seeds."""
+STATS = ["num_seeds", "num_entities", "num_domain_vertices", "num_graph_paths", "num_graph_derived_chunks", "num_total_evidence_chunks", "num_ranked_docs"]
+
+
+def retrieve(questions: DataFrame, seeds: DataFrame, edges: DataFrame | Adjacency, limits: Limits = Limits(), top_k: int | None = None) -> dict[str, DataFrame]:
+    """Gate, expand, fuse and rank: ``gate, evidence, documents, stats``, and what the expansion met: ``entities, vertices, paths, expansion_stats``.
+
+    Questions that aren't expanded keep their seeds. The first ``top_k`` seeds are used, those of the limits where it is missing or 0.
+    """
+    seeds = seeds.where(F.col("rank") <= (top_k or limits.top_k))
     decision = gate(questions, seeds, limits)
-    graph = expand(seeds.join(decision.where("expand").select("qid"), "qid", "left_semi"), edges, limits)
+    chosen = seeds.join(decision.where("expand").select("qid"), "qid", "left_semi")
+    entities = hop_entities(chosen, edges, limits)
+    vertices = hop_vertices(entities, edges, limits)
+    graph = merge_derived(derived_chunks(hop_events(vertices, edges, limits), limits), limits)
     evidence = fuse(seeds, graph, limits)
+    documents = rank_documents(evidence)
     counts = evidence.groupBy("qid").agg(F.count(F.lit(1)).alias("n_evidence"), F.count_if(F.col("source") == "seed").alias("n_seed"), F.count_if(F.col("source") == "graph").alias("n_graph"), F.count_if(F.col("source") == "seed+graph").alias("n_both"))
-    return {"gate": decision, "evidence": evidence, "documents": rank_documents(evidence), "stats": decision.join(counts, "qid", "left").na.fill(0)}
+    met = {"entities": entities.select("qid", "entity_id").distinct(), "vertices": vertices.select("qid", "v_type", "v_id").distinct(), "paths": paths(entities, vertices, edges, limits)}
+    each = zip(STATS, (seeds, met["entities"], met["vertices"], met["paths"], graph, evidence, documents), strict=True)
+    counted = reduce(DataFrame.unionByName, [rows.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).withColumn("stat", F.lit(name)) for name, rows in each])
+    wide = counted.groupBy("qid").agg(*(F.max(F.when(F.col("stat") == name, F.col("n"))).alias(name) for name in STATS))
+    expansion_stats = decision.select("qid", F.col("expand").alias("is_graph_expanded")).join(wide, "qid", "left").na.fill(0)
+    return {"gate": decision, "evidence": evidence, "documents": documents, "stats": decision.join(counts, "qid", "left").na.fill(0), **met, "expansion_stats": expansion_stats}

@@ -339,6 +339,19 @@ def retrieval_stats(spark, d):
     return _retrieved(spark, d)["stats"]
 
 
+@register
+def expansion_stats(spark, d):
+    """The seven counts of each question's retrieval from its first 15 seeds."""
+    return expansion.retrieve(_asked(spark, d), tables.cut(_chunk_seeds(spark, d)), stored_edges(spark, d), top_k=15)["expansion_stats"]
+
+
+@register
+def discovered(spark, d):
+    """Entities and domain vertices that the retrievals met."""
+    found = expansion.retrieve(_asked(spark, d), tables.cut(_chunk_seeds(spark, d)), stored_edges(spark, d))
+    return found["entities"].select("qid", F.lit("Entity").alias("v_type"), F.col("entity_id").alias("v_id")).unionByName(found["vertices"])
+
+
 @register
 def graph_paths(spark, d):
     e = _all_edges(spark, d)

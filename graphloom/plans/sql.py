@@ -278,6 +278,11 @@ repaired AS (SELECT qid AS run, coalesce(any_value(plan), 'expansion') AS plan,
 {_ledgered("whole", "(SELECT * FROM items UNION ALL SELECT run, seq, source_id, document_id, fact FROM more)")},
 {_verified("final", "whole")}"""
 
+STEPS = """SELECT qid, concat('Chunk ', chunk_id) AS s, 'MENTIONS' AS k, concat('Entity ', entity_id) AS t, 1 AS hop FROM ents
+        UNION ALL SELECT qid, concat('Entity ', entity_id), 'RESOLVES_TO', concat(v_type, ' ', v_id), 1 FROM verts
+        UNION ALL SELECT qid, concat(v_type, ' ', v_id), edge_type, concat(dst_type, ' ', dst_id), 2 FROM verts JOIN edges ON src_type = v_type AND src_id = v_id WHERE edge_type IN ('BELONGS_TO', 'HELD_AT', 'REPRESENTS')
+        UNION ALL SELECT qid, concat(v_type, ' ', v_id), CASE WHEN v_type = 'Venue' THEN 'reverse_HELD_AT' ELSE 'PARTICIPATED_IN' END, concat('Event ', event_id), 2 FROM evs WHERE hop = 2"""
+
 SQL: dict[str, str] = {
     "knn_topk": f"WITH {SEEDS} SELECT * FROM seeds",
     "knn_index_topk": f"WITH {SEEDS} SELECT * FROM seeds",
@@ -335,11 +340,14 @@ SQL: dict[str, str] = {
     "fused_evidence": f"WITH {FUSED} SELECT qid, chunk_id, doc_id, score, source, hop FROM fused",
     "fuse_and_rank": f"WITH {FUSED} SELECT qid, doc_id, max(score) AS score FROM fused GROUP BY qid, doc_id",
     "retrieval_stats": f"WITH {FUSED} SELECT qid, expand, reason, count(*) AS n_evidence, count_if(source = 'seed') AS n_seed, count_if(source = 'graph') AS n_graph, count_if(source = 'seed+graph') AS n_both FROM gate JOIN fused USING (qid) GROUP BY ALL",
-    "graph_paths": f"""WITH {HOPS} SELECT DISTINCT qid, hop, printf('(%s) -[%s]-> (%s)', s, k, t) AS step FROM (
-        SELECT qid, concat('Chunk ', chunk_id) AS s, 'MENTIONS' AS k, concat('Entity ', entity_id) AS t, 1 AS hop FROM ents
-        UNION ALL SELECT qid, concat('Entity ', entity_id), 'RESOLVES_TO', concat(v_type, ' ', v_id), 1 FROM verts
-        UNION ALL SELECT qid, concat(v_type, ' ', v_id), edge_type, concat(dst_type, ' ', dst_id), 2 FROM verts JOIN edges ON src_type = v_type AND src_id = v_id WHERE edge_type IN ('BELONGS_TO', 'HELD_AT', 'REPRESENTS')
-        UNION ALL SELECT qid, concat(v_type, ' ', v_id), CASE WHEN v_type = 'Venue' THEN 'reverse_HELD_AT' ELSE 'PARTICIPATED_IN' END, concat('Event ', event_id), 2 FROM evs WHERE hop = 2)""",
+    "expansion_stats": f"""WITH {FUSED.replace("cseeds AS (SELECT qid, concat('event_', id, '#c0000') AS chunk_id, similarity, rank FROM seeds)", "cseeds AS (SELECT qid, concat('event_', id, '#c0000') AS chunk_id, similarity, rank FROM seeds WHERE rank <= 15)")},
+        steps AS (SELECT DISTINCT qid, s, k, t, hop FROM ({STEPS})), n AS (
+        SELECT qid, 's' AS k, count(*) AS n FROM cseeds GROUP BY qid UNION ALL SELECT qid, 'e', count(DISTINCT entity_id) FROM ents JOIN gate USING (qid) WHERE expand GROUP BY qid
+        UNION ALL SELECT qid, 'v', count(DISTINCT v_type || ' ' || v_id) FROM verts JOIN gate USING (qid) WHERE expand GROUP BY qid UNION ALL SELECT qid, 'p', count(*) FROM steps JOIN gate USING (qid) WHERE expand GROUP BY qid
+        UNION ALL SELECT qid, 'g', count(*) FROM merged GROUP BY qid UNION ALL SELECT qid, 't', count(*) FROM fused GROUP BY qid UNION ALL SELECT qid, 'd', count(DISTINCT doc_id) FROM fused GROUP BY qid)
+        SELECT qid, expand AS is_graph_expanded, {", ".join(f"coalesce(max(n) FILTER (k = '{k}'), 0) AS {c}" for k, c in zip("sevpgtd", expansion.STATS))} FROM gate LEFT JOIN n USING (qid) GROUP BY qid, expand""",
+    "discovered": f"WITH {FUSED} SELECT DISTINCT qid, 'Entity' AS v_type, entity_id AS v_id FROM ents JOIN gate USING (qid) WHERE expand UNION ALL SELECT DISTINCT qid, v_type, v_id FROM verts JOIN gate USING (qid) WHERE expand",
+    "graph_paths": f"WITH {HOPS} SELECT DISTINCT qid, hop, printf('(%s) -[%s]-> (%s)', s, k, t) AS step FROM ({STEPS})",
     "chunk_documents": f"WITH {PIECES} SELECT document_id, chunk_id, chunk_index, source_start, source_end, token_count, md5(text) AS text_md5 FROM chunks",
     "chunk_validation": "SELECT CAST(0 AS BIGINT) AS violations",
     "block_classify": f"WITH {UNITS} SELECT doc_id, idx, unit_type, CAST(source_start AS BIGINT) AS source_start, source_end FROM units",
