@@ -68,27 +68,27 @@ def _ranked(items: DataFrame, order: Column) -> DataFrame:
     return first.select("run", "document_id", F.row_number().over(Window.partitionBy("run").orderBy("o", "document_id")).alias("rank"))
 
 
-def repair(verdicts: DataFrame, asked: DataFrame, kept: DataFrame, seeds: DataFrame, vertices: DataFrame, edges: DataFrame | Adjacency, limits: Limits = Limits(), budget: int = evidence.MAX_REPAIRS, ascii_only: bool = False, cut: Callable[[DataFrame], DataFrame] = tables.cut) -> tuple[DataFrame, DataFrame]:
+def repair(verdicts: DataFrame, asked: DataFrame, kept: DataFrame, seeds: DataFrame, vertices: DataFrame, edges: DataFrame | Adjacency, limits: Limits = Limits(), budget: int = evidence.MAX_REPAIRS, ascii_only: bool = False, cut: Callable[..., DataFrame] = tables.cut) -> tuple[DataFrame, DataFrame]:
     """(items, runs): what one bounded repair recovers for runs with verdict REPAIR_REQUIRED, as ledger items after those of ``kept``, and ``run, plan, recovered``.
 
     Questions that name a venue get the events held there (in the asked year) and their participants; a run that this gives nothing gets the
     expansion of its first seeds. Without a budget nothing is repaired. asked: analysed questions.
     """
     granted = evidence.repairs(verdicts, F.lit(budget)).select("run")
-    wanted = cut(asked.join(granted, asked["qid"] == granted["run"], "left_semi").select("qid", "question", "year", F.when(F.col("repair_venue").isNotNull(), vertex_id("venue", F.col("repair_venue"), ascii_only)).alias("venue_id")))
+    wanted = cut(asked.join(granted, asked["qid"] == granted["run"], "left_semi").select("qid", "question", "year", F.when(F.col("repair_venue").isNotNull(), vertex_id("venue", F.col("repair_venue"), ascii_only)).alias("venue_id")), "wanted")
     after = kept.groupBy("run").agg(F.max("seq").alias("last"))
-    composite = cut(_event_facts(venue_events(wanted.where("venue_id IS NOT NULL").select("qid", "venue_id", "year"), vertices, edges), vertices, edges, 0))
+    composite = cut(_event_facts(venue_events(wanted.where("venue_id IS NOT NULL").select("qid", "venue_id", "year"), vertices, edges), vertices, edges, 0), "composite")
     rest = wanted.join(composite.select(F.col("run").alias("qid")).distinct(), "qid", "left_anti")
     first = seeds.where(F.col("rank") <= REPAIR_SEEDS).join(rest.select("qid"), "qid", "left_semi")
     expanded = _evidence_items(expansion.retrieve(rest.select("qid", "question"), first, edges, limits)["evidence"], 0, None)
     both = composite.select(*ITEM, F.lit("composite").alias("plan")).unionByName(expanded.select(*ITEM, F.lit("expansion").alias("plan")))
-    items = cut(both.join(after, "run", "left").withColumn("seq", F.col("seq") + F.coalesce("last", F.lit(0))).select(*ITEM, "plan"))
+    items = cut(both.join(after, "run", "left").withColumn("seq", F.col("seq") + F.coalesce("last", F.lit(0))).select(*ITEM, "plan"), "recovered")
     counts = items.groupBy("run").agg(F.count(F.lit(1)).alias("recovered"), F.first("plan").alias("plan"))
     runs = wanted.select(F.col("qid").alias("run")).join(counts, "run", "left").select("run", F.coalesce("plan", F.lit("expansion")).alias("plan"), F.coalesce("recovered", F.lit(0)).alias("recovered"))
     return items.select(*ITEM), runs
 
 
-def orchestrate(asked: DataFrame, seeds: DataFrame, vertices: DataFrame, edges: DataFrame | Adjacency, structured: DataFrame | None = None, limits: Limits = Limits(), budget: int = evidence.MAX_REPAIRS, ascii_only: bool = False, cut: Callable[[DataFrame], DataFrame] = tables.cut, docs: DataFrame | None = None, order: str = "doc_id") -> dict[str, DataFrame]:
+def orchestrate(asked: DataFrame, seeds: DataFrame, vertices: DataFrame, edges: DataFrame | Adjacency, structured: DataFrame | None = None, limits: Limits = Limits(), budget: int = evidence.MAX_REPAIRS, ascii_only: bool = False, cut: Callable[..., DataFrame] = tables.cut, docs: DataFrame | None = None, order: str = "doc_id") -> dict[str, DataFrame]:
     """Rule-path runs of questions ``qid, question`` with seeds ``qid, chunk_id, similarity, rank``: ``runs, documents, ledger, repairs``.
 
     Vector questions rank their seeds' documents; relational ones are expanded. Structured ones are asked of the corpus ``docs`` (pages ``doc_id, title, text``, first pages by ``order``): counts,
@@ -97,14 +97,14 @@ def orchestrate(asked: DataFrame, seeds: DataFrame, vertices: DataFrame, edges:
     corpus, ``structured`` rows (``qid, rank, document_id, answer, fact``) stand for its answers, and the candidate is the first answer, else the first document.
     A run that verification sends back is repaired once: its ledger grows, its ledger's documents come first, and it is verified again.
     """
-    analysed = cut(questions.route(asked))
+    analysed = cut(questions.route(asked), "routed")
     of = lambda name: analysed.where(F.col("strategy") == name)
     only = lambda df, name: df.join(of(name).select("qid"), "qid", "left_semi")
     empty = asked.sparkSession.createDataFrame([], "qid {0}, rank int, document_id string, answer string, fact string".format(asked.schema["qid"].dataType.simpleString()))
     if docs is not None:
-        given = cut(questions.structured_answers(of("structured"), docs, order))
+        given = cut(questions.structured_answers(of("structured"), docs, order), "given")
         open_ = of("structured").join(given.select("qid").distinct(), "qid", "left_anti")
-        grounded = cut(questions.grounded_at_venue(open_.select("qid", "venue", "date", "year"), docs, order))
+        grounded = cut(questions.grounded_at_venue(open_.select("qid", "venue", "date", "year"), docs, order), "grounded")
     else:
         given, open_, grounded = empty if structured is None else only(structured, "structured"), of("structured"), empty
 
@@ -114,19 +114,19 @@ def orchestrate(asked: DataFrame, seeds: DataFrame, vertices: DataFrame, edges:
     given, grounded = asks(given, "Structured:" if docs is None else "Event:"), asks(grounded, "Event:").withColumn("seq", F.col("seq") + last)
     named = open_.where("venue IS NOT NULL").select("qid", vertex_id("venue", F.col("venue"), ascii_only).alias("venue_id"), "year", *([] if docs is None else ["date"]))
     held = _event_facts(venue_events(named, vertices, edges, ascii_only), vertices, edges, 0)
-    found = cut(held.withColumn("seq", F.col("seq") + shift))
+    found = cut(held.withColumn("seq", F.col("seq") + shift), "found")
     answered = given.select("run").union(found.select("run")).union(grounded.select("run")).distinct()
     plain = of("vector").select("qid").union(of("structured").select("qid").join(answered.select(F.col("run").alias("qid")), "qid", "left_anti"))
     near = seeds.join(plain, "qid", "left_semi")
     vector = near.select(F.col("qid").alias("run"), F.col("rank").alias("seq"), F.lit("vector").alias("source_type"), F.col("chunk_id").alias("source_id"), doc_of_chunk(F.col("chunk_id")).alias("document_id"), F.concat(F.lit("Chunk "), "chunk_id").alias("fact"))
-    fused = cut(expansion.retrieve(of("expansion").select("qid", "question"), only(seeds, "expansion"), edges, limits)["evidence"])
+    fused = cut(expansion.retrieve(of("expansion").select("qid", "question"), only(seeds, "expansion"), edges, limits)["evidence"], "evidence")
 
     graph = given.where("document_id IS NOT NULL").select(*ITEM).unionByName(found.select(*ITEM)).unionByName(grounded.select(*ITEM))
     fallback = F.lit(TAKEN) if docs is None else F.when(F.col("strategy") == "vector", TAKEN).otherwise(FALLBACK)
     taken = vector.join(analysed.select(F.col("qid").alias("run"), fallback.alias("most")), "run").where("seq <= most")
-    items = cut(graph.unionByName(taken.select(*ITEM)).unionByName(_evidence_items(fused, 0, TAKEN)))
+    items = cut(graph.unionByName(taken.select(*ITEM)).unionByName(_evidence_items(fused, 0, TAKEN)), "items")
     every = graph.unionByName(vector.select(*ITEM)).unionByName(_evidence_items(fused, 0, None))
-    ranked = cut(_ranked(every, F.col("seq")))
+    ranked = cut(_ranked(every, F.col("seq")), "ranked")
     said_by = given.select("run", "seq", "answer").unionByName(grounded.select("run", "seq", "answer"))
     if docs is not None:
         said_by = said_by.unionByName(found.select("run", "seq", F.col("who").alias("answer")))
@@ -134,13 +134,13 @@ def orchestrate(asked: DataFrame, seeds: DataFrame, vertices: DataFrame, edges:
     top = ranked.where("rank = 1").select("run", F.col("document_id").alias("top"))
     runs = analysed.select(F.col("qid").alias("run"), "question", "strategy").join(answers, "run", "left").join(top, "run", "left")
     document = F.when((F.col("strategy") != "structured") | F.lit(docs is None), F.col("top"))
-    runs = cut(runs.select("run", "question", "strategy", F.coalesce("answer", document, F.lit("")).alias("answer")))
+    runs = cut(runs.select("run", "question", "strategy", F.coalesce("answer", document, F.lit("")).alias("answer")), "said")
 
-    kept = cut(evidence.ledger(items, checked=True))
-    verdicts = cut(evidence.verify(runs, kept, ascii_only))
+    kept = cut(evidence.ledger(items, checked=True), "kept")
+    verdicts = cut(evidence.verify(runs, kept, ascii_only), "verdicts")
     more, repaired = repair(verdicts, analysed, kept, seeds, vertices, edges, limits, budget, ascii_only, cut)
-    repaired = cut(repaired)
-    whole = cut(evidence.ledger(items.unionByName(more), checked=True))
+    repaired = cut(repaired, "repaired")
+    whole = cut(evidence.ledger(items.unionByName(more), checked=True), "whole")
     again = evidence.verify(runs.join(repaired.select("run"), "run", "left_semi"), whole, ascii_only)
     final = verdicts.join(repaired.select("run"), "run", "left_anti").unionByName(again)
     behind = ranked.join(repaired.select("run"), "run", "left_anti").select("run", "document_id", "rank")

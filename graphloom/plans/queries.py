@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as fx
-from ..operators import chunking, embedding, evaluation, evidence, expansion, extraction, orchestration, ordering, questions, tools, vector_index, vectors
+from ..operators import chunking, embedding, evaluation, evidence, expansion, extraction, orchestration, ordering, questions, telemetry, tools, vector_index, vectors
 from ..sources import corpus as sources, gateway, layout, store, tables
 from ..sources.tables import table
 
@@ -597,12 +597,13 @@ def _orchestrated(spark, d):
         docs = sources.corpus(spark, d)
         chunk = F.concat(F.lit("event_"), (F.col("o_orderkey") * 7 + F.col("k") * 13) % 500, F.lit("#c0000"))
         seeds = docs.select(F.concat(F.lit("q"), "o_orderkey").alias("qid"), "o_orderkey", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("k")).select("qid", chunk.alias("chunk_id"), (F.lit(0.9) - F.col("k") * (F.col("o_orderkey") % 5) / 200).alias("similarity"), F.col("k").alias("rank"))
-        return orchestration.orchestrate(spark.sql(RUNS_SQL, corpus=docs), seeds, graph_vertices(spark, d), stored_edges(spark, d), ascii_only=True, docs=docs, order="o_orderkey")
+        return orchestration.orchestrate(spark.sql(RUNS_SQL, corpus=docs), seeds, graph_vertices(spark, d), stored_edges(spark, d), ascii_only=True, cut=recorder.cut, docs=docs, order="o_orderkey")
 
     key = (spark.sparkContext.applicationId, d)
-    if key not in _RUNS:  # both queries read one run, whose steps are written
+    if key not in _RUNS:  # the queries read one run, whose steps are written
+        recorder = telemetry.Recorder()
         found = build(spark, d)
-        _RUNS[key] = {name: tables.cut(found[name]) for name in ("runs", "documents")}
+        _RUNS[key] = {name: tables.cut(found[name]) for name in ("runs", "documents")} | {"traces": recorder.rows(spark)}
     return _RUNS[key]
 
 
@@ -619,6 +620,12 @@ def repair_applied(spark, d):
     return _orchestrated(spark, d)["documents"].select("run", "document_id", "rank")
 
 
+@register
+def run_traces(spark, d):
+    """Rows that each step of the orchestrated run gave."""
+    return _orchestrated(spark, d)["traces"].select("number", "step", "n_rows", "after")
+
+
 # evidence
 
 

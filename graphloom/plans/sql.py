@@ -404,6 +404,11 @@ SQL: dict[str, str] = {
         FROM said s JOIN verdicts v USING (run) JOIN final f USING (run) LEFT JOIN repaired USING (run)""",
     "repair_applied": f"""WITH {ORCHESTRATED}, o AS (SELECT run, document_id, 0 AS part, seq AS p FROM whole WHERE run IN (SELECT run FROM repaired) UNION ALL SELECT run, document_id, 1, rank FROM ranked)
         SELECT run, document_id, CAST(row_number() OVER (PARTITION BY run ORDER BY min(part), min(CASE WHEN part = 0 THEN p END), min(p), document_id) AS INTEGER) AS rank FROM o GROUP BY run, document_id""",
+    "run_traces": f"""WITH {ORCHESTRATED}, n(number, step, n_rows) AS (SELECT 1, 'routed', count(*) FROM routed UNION ALL SELECT 2, 'given', count(*) FROM given UNION ALL SELECT 3, 'grounded', count(*) FROM grounded_p
+        UNION ALL SELECT 4, 'found', count(*) FROM found UNION ALL SELECT 5, 'evidence', count(*) FROM evidence WHERE qid NOT LIKE 'r:%' UNION ALL SELECT 6, 'items', count(*) FROM items UNION ALL SELECT 7, 'ranked', count(*) FROM ranked
+        UNION ALL SELECT 8, 'said', count(*) FROM said UNION ALL SELECT 9, 'kept', count(*) FROM kept UNION ALL SELECT 10, 'verdicts', count(*) FROM verdicts UNION ALL SELECT 11, 'wanted', count(*) FROM wanted
+        UNION ALL SELECT 12, 'composite', count(*) FROM again UNION ALL SELECT 13, 'recovered', count(*) FROM more UNION ALL SELECT 14, 'repaired', count(*) FROM repaired UNION ALL SELECT 15, 'whole', count(*) FROM whole)
+        SELECT number, step, n_rows, coalesce(lag(step) OVER (ORDER BY number), '') AS after FROM n""",
     "budget_running": f"WITH {PHASED} SELECT run, seq, CAST(tools AS BIGINT) AS tools, CAST(repairs AS BIGINT) AS repairs, phase0 AS phase FROM phased",
     "harness_fold": f"""WITH {PHASED} SELECT run, count(*) AS events, arg_max(phase0, seq) AS phase, CAST(max(tools) AS BIGINT) AS tools, CAST(max(repairs) AS BIGINT) AS repairs, count(DISTINCT payload) FILTER (kind = 'EVIDENCE_ADDED') AS evidence, count(DISTINCT payload) FILTER (kind = 'SKILL_ACTIVATED') AS skills,
         arg_max(payload, seq) FILTER (kind = 'STRATEGY_CHOSEN') AS strategy, arg_max(payload, seq) FILTER (kind = 'ANSWER_PROPOSED') AS answer, count_if(phase0 = 'FAILED') AS failures, arg_max(phase0, seq) IN ('COMPLETED', 'FAILED') AS terminal FROM phased GROUP BY run""",

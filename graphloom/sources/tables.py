@@ -48,8 +48,8 @@ def remove(spark: SparkSession, path: str) -> None:
         pass  # the session has ended already
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared folder."""
+def cut(df: DataFrame, step: str = "") -> DataFrame:
+    """``df`` computed once and written to the shared folder; ``step`` names it for recorders that stand in for this function."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
