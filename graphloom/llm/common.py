@@ -63,6 +63,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_slim(df: DataFrame, name: str) -> DataFrame:
+    """staged() for rows of a few numbers each: shuffle partitions are as many as texts need, so an eighth of them, but at least 16, write such a table without small files."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(df.coalesce(max(16, parts // 8)), name)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches, free_names, row_keys, staged, text_or_empty
+from .common import bounded_batches, free_names, row_keys, staged, staged_slim, text_or_empty
 from .simhash import components, fingerprint_of, near_pairs, shingle_hashes
 
 #: The least similarity as a fraction, documents sampled for the order, and common shingles kept of them.
@@ -311,7 +311,7 @@ def settle(pairs: DataFrame, sets: DataFrame, groups: DataFrame | None) -> DataF
     first = ways.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select(F.least("u", "best.v").alias("u"), F.greatest("u", "best.v").alias("v")).distinct()
     known = lambda links: links if groups is None else links.union(groups.select(F.col("node").alias("u"), F.col("component").alias("v")))
     groups = components(known(verified(first, sets)))
-    left = staged(between(pairs.join(first, ["u", "v"], "left_anti"), groups).select("u", "v"), "left-pairs")
+    left = staged_slim(between(pairs.join(first, ["u", "v"], "left_anti"), groups).select("u", "v"), "left-pairs")
     return components(known(verified(left, sets))) if left.take(1) else groups
 
 
@@ -325,7 +325,7 @@ def near_links(docs: DataFrame, text_col: str = "text", words: int = 5, k: int =
     read = staged(texts.mapInPandas(read_texts(words, common, counts, max(2.0, HOT * sampled)), TEXT), "near-texts")
     sketches = read.select("node", "n", "sketch")
 
-    distinct = staged(read.groupBy("fp").agg(F.min("node").alias("rep")), "distinct-fingerprints")
+    distinct = staged_slim(read.groupBy("fp").agg(F.min("node").alias("rep")), "distinct-fingerprints")
     equal = read.select("fp", "node").join(distinct, "fp").where("node <> rep").select(F.least("node", "rep").alias("u"), F.greatest("node", "rep").alias("v"))
 
     keys = read.select("node", "n", F.posexplode(F.arrays_zip("keys", "salts")).alias("pos", "k")).select(F.col("k.keys").alias("key"), F.col("k.salts").alias("salt"), "node", "n", "pos")
@@ -336,13 +336,13 @@ def near_links(docs: DataFrame, text_col: str = "text", words: int = 5, k: int =
     hub = centres.groupBy("key").agg(F.min("u").alias("hub"))
     hubs = centres.join(hub, "key").where("u <> hub").select(F.least("u", "hub").alias("u"), F.greatest("u", "hub").alias("v"))
 
-    pairs = staged(found.where("v IS NOT NULL").select("u", "v").union(near_pairs(distinct, k)).union(equal).union(hubs).distinct(), "pairs")
-    near = staged(allowed(pairs, sketches).distinct(), "allowed")
+    pairs = staged_slim(found.where("v IS NOT NULL").select("u", "v").union(near_pairs(distinct, k)).union(equal).union(hubs).distinct(), "pairs")
+    near = staged_slim(allowed(pairs, sketches).distinct(), "allowed")
     groups = settle(near, staged(sets_of(texts, ends(near), words), "shingle-sets"), None)
 
     members = staged(members.join(groups, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "members")
     split = members.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b")
-    split = staged(split.select("key", F.ceil(F.col("size") / CELL).cast("int").alias("cells")), "split-runs")
+    split = staged_slim(split.select("key", F.ceil(F.col("size") / CELL).cast("int").alias("cells")), "split-runs")
     if not split.take(1):
         return groups
     own = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
@@ -350,7 +350,7 @@ def near_links(docs: DataFrame, text_col: str = "text", words: int = 5, k: int =
     cells = cells.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "n", "pos", "part", "own")
     cells = cells.join(sketches.select("node", "sketch").dropDuplicates(["node"]), "node")
     rest = cells.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(runs(crossing), "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti")
-    rest = staged(allowed(staged(rest, "crossing"), sketches).distinct(), "allowed")
+    rest = staged_slim(allowed(staged_slim(rest, "crossing"), sketches).distinct(), "allowed")
     return settle(rest, staged(sets_of(texts, ends(rest), words), "shingle-sets"), groups) if rest.take(1) else groups
 
 

@@ -25,7 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches, free_names, row_keys, staged, text_or_empty
+from .common import bounded_batches, free_names, row_keys, staged, staged_slim, text_or_empty
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -189,14 +189,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds until the links are stars: about the logarithm of a component's longest path.
     """
-    edges = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    edges = staged_slim(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     while _unfinished(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        edges = staged(small, "stars")
+        edges = staged_slim(small, "stars")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
@@ -223,7 +223,7 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     unchanged. An empty table gives no rows. Other columns are not read, so clashing names don't matter.
     """
     found = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    distinct = staged(found.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
+    distinct = staged_slim(found.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
     groups = components(near_pairs(distinct.select("fp", F.col("fp").alias("rep")), k))  # the fingerprints themselves are the nodes
     joined = distinct.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("part"))
     least = joined.groupBy("part").agg(F.min("id").alias("component_id"))
