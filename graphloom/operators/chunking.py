@@ -20,12 +20,15 @@ CAPTION = r"\|(?:alt=[^|]*|left\b|right\b|thumb\b|upright\b|\d*x?\d*px\b)"
 
 
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, idx, content, source_start, source_end``: blank-line blocks with their delimiters, a leading one with the first block. Empty and null texts have none."""
+    """``row, doc_id, idx, content, source_start, source_end``: blank-line blocks with their delimiters, a leading one with the first block. Empty and null texts have none.
+
+    ``row`` numbers the rows of ``docs``: rows that share an identifier are texts of their own.
+    """
     text = F.col(text_col)
     parts = F.regexp_extract_all(text, F.lit(r"(?s)((?:^\n\n+)?.+?(?:\n\n+|$(?!\n)))"), F.lit(1))
     parts = F.when(text.rlike(r"^\n\n+$"), F.array(text)).otherwise(parts)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(parts).alias("idx", "content")).where("content <> ''")
-    end = F.sum(F.length("content")).over(Window.partitionBy("doc_id").orderBy("idx"))
+    rows = docs.withColumn("row", F.monotonically_increasing_id()).select("row", F.col(id_col).alias("doc_id"), F.posexplode(parts).alias("idx", "content")).where("content <> ''")
+    end = F.sum(F.length("content")).over(Window.partitionBy("row").orderBy("idx"))
     return rows.withColumn("source_end", end).withColumn("source_start", F.col("source_end") - F.length("content"))
 
 
@@ -63,18 +66,18 @@ def is_heading(c: Column, has_next: Column) -> Column:
 
 def classify(found: DataFrame) -> DataFrame:
     """Adds ``unit_type`` to blocks: infobox, table, heading or prose, the first that holds."""
-    has_next = F.lead("idx").over(Window.partitionBy("doc_id").orderBy("idx")).isNotNull()
+    has_next = F.lead("idx").over(Window.partitionBy("row").orderBy("idx")).isNotNull()
     kind = F.when(is_infobox(F.col("content")), "infobox").when(is_table(F.col("content")), "table").when(is_heading(F.col("content"), F.col("_next")), "heading").otherwise("prose")
     return found.withColumn("_next", has_next).withColumn("unit_type", kind).drop("_next")
 
 
 def attach_headings(units: DataFrame) -> DataFrame:
-    """A run of headings joins the next unit and takes its type: ``doc_id, unit, unit_type, source_start, source_end, content``."""
-    before = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    """A run of headings joins the next unit and takes its type: ``row, doc_id, unit, unit_type, source_start, source_end, content``."""
+    before = Window.partitionBy("row").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     island = F.coalesce(F.sum(F.when(F.col("unit_type") != "heading", 1).otherwise(0)).over(before), F.lit(0))
     pieces = F.array_sort(F.collect_list(F.struct("idx", "content", "unit_type")))
-    grouped = units.withColumn("unit", island.cast("int")).groupBy("doc_id", "unit").agg(pieces.alias("p"), F.min("source_start").alias("source_start"), F.max("source_end").alias("source_end"))
-    return grouped.select("doc_id", "unit", F.element_at("p.unit_type", -1).alias("unit_type"), "source_start", "source_end", F.array_join("p.content", "").alias("content"))
+    grouped = units.withColumn("unit", island.cast("int")).groupBy("row", "unit").agg(F.first("doc_id").alias("doc_id"), pieces.alias("p"), F.min("source_start").alias("source_start"), F.max("source_end").alias("source_end"))
+    return grouped.select("row", "doc_id", "unit", F.element_at("p.unit_type", -1).alias("unit_type"), "source_start", "source_end", F.array_join("p.content", "").alias("content"))
 
 
 def semantic_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,11 +129,11 @@ def pack(sizes: list[int], target: int) -> list[int]:
 
 
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: int = TARGET_TOKENS) -> DataFrame:
-    """``document_id, chunk_id, chunk_index, source_start, source_end, text, token_count, unit_types, oversized``; offsets are contiguous and half-open."""
+    """``document_id, chunk_id, chunk_index, source_start, source_end, text, token_count, unit_types, oversized``; offsets are contiguous and half-open. Rows that share an identifier are chunked apart, with the same chunk ids."""
     if target <= 0:
         raise ValueError("the token target must be positive")
     units = semantic_units(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")))
-    listed = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("unit", "content", "unit_type"))).alias("u"))
+    listed = units.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("unit", "content", "unit_type"))).alias("u"))
     most = target * CHARS_PER_TOKEN
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

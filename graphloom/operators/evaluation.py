@@ -162,6 +162,11 @@ def accuracy_bounds(scored: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
+def disagreements(scored: DataFrame) -> DataFrame:
+    """The scored rows on which the two scorers differ."""
+    return scored.where((F.col("strict") == "CONFIRMED_CORRECT") != F.col("lenient"))
+
+
 def traces(log: DataFrame) -> DataFrame:
     """Finished operations from ``run, op, kind (start or finish), ts``: ``run, op, started, latency_ms, finished``."""
     at = lambda k, f: f(F.when(F.col("kind") == k, F.col("ts")))

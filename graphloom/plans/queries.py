@@ -565,7 +565,7 @@ def _date_scores(docs):
 
 @register
 def date_scores(spark, d):
-    return _date_scores(table(spark, d, "documents").where("lang = 'en'"))
+    return _date_scores(table(spark, d, "documents"))
 
 
 @register
@@ -779,6 +779,11 @@ def accuracy_bounds(spark, d):
     return evaluation.accuracy_bounds(evaluation.score_answers(spark.sql(ANSWERS_SQL, orders=table(spark, d, "orders"))))
 
 
+@register
+def scorer_disagreements(spark, d):
+    return evaluation.disagreements(evaluation.score_answers(spark.sql(ANSWERS_SQL, orders=table(spark, d, "orders")))).select("qid", "strict", "lenient")
+
+
 @register
 def operation_traces(spark, d):
     rows = table(spark, d, "events").where("event_type IN ('view', 'purchase')")

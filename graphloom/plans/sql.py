@@ -398,7 +398,7 @@ SQL: dict[str, str] = {
         SELECT qid, doc_id FROM asked JOIN corpus ON o_orderkey % 9 <> 0 AND venue = concat('Venue Hall ', o_custkey % 40) WHERE contains(lower(text), w1) AND contains(lower(text), w2)""",
     "vector_fallback": f"WITH {SEEDS} SELECT 100 AS qid, 'doc1' AS doc_id, 'structured' AS source UNION ALL SELECT qid, concat('doc', id), 'vector' FROM seeds WHERE qid <> 100 AND rank <= 10",
     "route_questions": f"WITH q AS ({bare(ROUTED_SQL)}), {ROUTED} SELECT * EXCLUDE (question) FROM routed",
-    "date_scores": f"""WITH d AS (SELECT doc_id, {norm("regexp_split_to_array(text, '[ \\n]')[1] || ' the'")} AS cue, {norm('text')} AS t FROM documents WHERE lang = 'en'), k AS (SELECT *, string_split(cue, ' ') AS ts FROM d)
+    "date_scores": f"""WITH d AS (SELECT doc_id, {norm("regexp_split_to_array(text, '[ \\n]')[1] || ' the'")} AS cue, {norm('text')} AS t FROM documents), k AS (SELECT *, string_split(cue, ' ') AS ts FROM d)
         SELECT doc_id, CASE WHEN cue = '' OR t = '' THEN 0.0 ELSE round(CASE WHEN contains(t, cue) THEN 100.0 ELSE 0.0 END + 10.0 * (len(list_filter(ts, lambda x: contains(t, x))) / len(ts)), 6) END AS score FROM k""",
     "orchestrated_run": f"""WITH {ORCHESTRATED} SELECT s.run, strategy, answer AS candidate, v.verdict AS first_verdict, f.verdict, f.n_facts, plan, recovered, CASE WHEN f.verdict = 'INSUFFICIENT' AND f.n_facts = 0 THEN 'INSUFFICIENT_EVIDENCE' ELSE answer END AS answer
         FROM said s JOIN verdicts v USING (run) JOIN final f USING (run) LEFT JOIN repaired USING (run)""",
@@ -438,6 +438,7 @@ SQL: dict[str, str] = {
     "answer_scoring": f"WITH {SCORED} SELECT * FROM scored",
     "accuracy_bounds": f"""WITH {SCORED} SELECT count(*) AS n, count_if(strict = 'CONFIRMED_CORRECT') AS correct, count_if(strict = 'MANUAL_REVIEW') AS review, round(avg(CASE WHEN strict = 'CONFIRMED_CORRECT' THEN 1.0 ELSE 0.0 END), 6) AS lower,
         round(avg(CASE WHEN strict <> 'CONFIRMED_INCORRECT' THEN 1.0 ELSE 0.0 END), 6) AS upper, count_if((strict = 'CONFIRMED_CORRECT') <> lenient) AS disagree FROM scored""",
+    "scorer_disagreements": f"WITH {SCORED} SELECT qid, strict, lenient FROM scored WHERE (strict = 'CONFIRMED_CORRECT') <> lenient",
     "operation_traces": """WITH t AS (SELECT user_id AS run, event_id % 5 AS op, min(ts) FILTER (event_type = 'view') AS a, max(ts) FILTER (event_type = 'purchase') AS b FROM events WHERE event_type IN ('view', 'purchase') GROUP BY ALL)
         SELECT run, op, round((epoch_us(b) - epoch_us(a)) / 1000.0, 3) AS latency_ms, b IS NOT NULL AS finished FROM t""",
     "serialized_rows": "SELECT printf('{\"n_nationkey\":%d,\"n_name\":\"%s\",\"n_regionkey\":%d}', n_nationkey, n_name, n_regionkey) AS value FROM nation",
@@ -470,6 +471,6 @@ def _counted(sql: str) -> str:
 
 SQL = {name: _counted(sql) for name, sql in SQL.items()}
 
-SQL["date_scores_all"] = SQL["date_scores"].replace(" WHERE lang = 'en'", "")
+SQL["date_scores_all"] = SQL["date_scores"]
 SQL["vertex_lookup_all"] = SQL["vertex_lookup"].replace(" AND CAST(substr(v_id, 7) AS BIGINT) % 100 = 0", "")
 SQL["edge_lookup_all"] = SQL["edge_lookup"].replace(" AND CAST(substr(src_id, 8) AS BIGINT) % 100 = 0", "")

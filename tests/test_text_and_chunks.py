@@ -120,3 +120,8 @@ def test_packing_and_parameters(spark):
     assert chunking.pack([500, 300, 400, 768, 1], 768) == [0, 1, 1, 2, 3]
     with pytest.raises(ValueError):
         chunking.chunk_documents(spark.createDataFrame([], "doc_id string, text string"), target=0)
+
+
+def test_rows_of_one_identifier_are_chunked_apart(spark):
+    docs = spark.createDataFrame([("x", "aa\n\nbb"), ("x", "cc\n\ndd"), ("x", "cc\n\ndd"), (None, "ee")], "doc_id string, text string").repartition(3)
+    assert sorted(r["text"] for r in chunking.chunk_documents(docs).collect()) == ["aa\n\nbb", "cc\n\ndd", "cc\n\ndd", "ee"]
