@@ -840,6 +840,15 @@ def embedded_documents(spark, d):
     return unit.select("doc_id", *(F.round(F.element_at("v", i + 1), 6).alias(f"v{i + 1}") for i in range(4)))
 
 
+@register
+def tool_policy(spark, d):
+    """Decisions on listed and unlisted tools, with and without a namespace, one an event."""
+    names = [*gateway.ALLOWED, *gateway.FORBIDDEN, "remove_all", "shutdown", "", "loader"]
+    name = F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
+    calls = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("graph__"), name)).when(F.col("event_id") % 3 == 1, F.upper(name)).otherwise(name).alias("tool"))
+    return gateway.decide(calls).groupBy("tool", "decision").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register
 def pending_rows(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang")

@@ -449,6 +449,9 @@ SQL: dict[str, str] = {
         FROM orders WHERE o_orderkey % 5 <> 0 OR o_custkey % 3 = 0 OR o_custkey % 4 = 0""",
     "embedded_documents": """WITH c AS (SELECT doc_id, CAST(length(t) AS DOUBLE) AS a, CAST(length(t) - length(replace(t, 'e', '')) AS DOUBLE) AS b, CAST(length(t) - length(replace(t, ' ', '')) AS DOUBLE) AS c FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
         n AS (SELECT *, sqrt(a * a + b * b + c * c + 1) AS l FROM c) SELECT doc_id, round(a / l, 6) AS v1, round(b / l, 6) AS v2, round(c / l, 6) AS v3, round(1 / l, 6) AS v4 FROM n""",
+    "tool_policy": """WITH p(listed) AS (SELECT string_split('get_graph_schema show_graph_details get_node get_nodes get_node_edges get_edges get_neighbors run_installed_query search_top_k_similarity fetch_vector gsql generate_gsql generate_cypher create_graph drop_graph clear_graph_data add_node add_nodes delete_node delete_nodes add_edge add_edges delete_edge delete_edges install_query drop_query create_loading_job drop_loading_job run_loading_job_with_file run_loading_job_with_data add_vector_attribute drop_vector_attribute upsert_vectors update_schema remove_all shutdown  loader', ' ')),
+        x AS (SELECT event_id, event_id % len(listed) AS i, listed[event_id % len(listed) + 1] AS t FROM events, p)
+        SELECT CASE event_id % 3 WHEN 0 THEN concat('graph__', t) WHEN 1 THEN upper(t) ELSE t END AS tool, CASE WHEN i < 10 THEN 'allowed' WHEN i < 35 THEN 'blocked' ELSE 'unknown' END AS decision, count(*) AS n FROM x GROUP BY ALL""",
     "pending_rows": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "chunk_stats": f"""WITH {PIECES} SELECT count(*) AS total_chunks, count(DISTINCT document_id) AS documents, count_if(length(d.t) > 3072) AS split_chunks, CAST(0 AS BIGINT) AS infobox_splits,
         count_if(length(d.t) > 3072 AND d.tab) AS table_splits, count_if(token_count > 768) AS over_target, max(token_count) AS most_tokens, CAST(sum(token_count) AS BIGINT) AS tokens

@@ -204,3 +204,12 @@ def test_sources_and_sinks(spark, tmp_path):
         tables.read_vectors(ids, ids.limit(0).withColumn("v", F.array(F.lit(1.0))))
     tables.write_edges(spark.createDataFrame([("a", "X"), ("a", "X")], "src_id string, edge_type string"), str(tmp_path / "e"))
     assert spark.read.parquet(str(tmp_path / "e")).count() == 1
+
+
+def test_policy_is_a_table(spark):
+    calls = spark.createDataFrame([("gsql",), ("graph__gsql",), ("generate_cypher",), ("run_loading_job_with_file",), ("graph__fetch_vector",), ("get_schema",), ("remove_all",), (None,)], "tool string")
+    got = {r.tool: r.decision for r in gateway.decide(calls).collect()}
+    assert got == {"gsql": "blocked", "graph__gsql": "blocked", "generate_cypher": "blocked", "run_loading_job_with_file": "blocked", "graph__fetch_vector": "allowed", "get_schema": "unknown", "remove_all": "blocked", None: "unknown"}
+    own = spark.createDataFrame([("get_schema", "allowed"), ("fetch_vector", "allowed"), ("fetch_vector", "blocked")], "tool string, decision string")
+    mine = {r.tool: r.decision for r in gateway.decide(calls, policy=own).collect()}
+    assert mine["get_schema"] == "allowed" and mine["graph__fetch_vector"] == "blocked" and mine["gsql"] == "unknown"
