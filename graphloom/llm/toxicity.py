@@ -145,14 +145,22 @@ def learn_lexicon(texts: list[str], toxic: list[int], most_terms: int = 400, lea
     term is taken while it covers more rows that no term covers yet than its rate in clean rows
     explains; its strength is a third of the lift's log10.
     """
-    docs = [{w for w in WORD.findall(t.lower()) if not w.isdigit()} for t in texts]
+    known: dict[str, str] = {}  # equal words of different texts are one string
+    docs = [{known.setdefault(w, w) for w in WORD.findall(t.lower()) if not w.isdigit()} for t in texts]
+    known.clear()
     grams = lambda words: set(words) | {w[:k] + "*" for w in words for k in range(4, min(9, len(w)) + 1)}
+    # most grams are in one row only: they are counted before sets are kept for the others
+    rows: Counter = Counter()
+    for words, y in zip(docs, toxic, strict=True):
+        if y:
+            rows.update(grams(words))
+    often = {g for g, n in rows.items() if n >= least}
+    del rows
     holds: dict[str, set[int]] = defaultdict(set)
     for i, (words, y) in enumerate(zip(docs, toxic, strict=True)):
         if y:
-            for g in grams(words):
+            for g in grams(words) & often:
                 holds[g].add(i)
-    holds = {g: ids for g, ids in holds.items() if len(ids) >= least}
     clean: Counter = Counter()
     for words, y in zip(docs, toxic, strict=True):
         if not y:
