@@ -7,33 +7,90 @@ doesn't share the rarest gram.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.tables import cut
-from .vectors import bound
 
 GRAM = 6
 #: Texts of a gram in one task, and how many grams are split at most: a gram past that number has less than this share of all listings.
 PART_ROWS, MOST_SPLIT = 100_000, 1000
 #: Asked grams (8 bytes each) up to this number are brought to the texts.
 FEW_GRAMS = 1_000_000
+#: Signs whose grams are made at once.
+SIGNS = 1_000_000
 
 
-def grams(text: Column, size: int, window: int = 200) -> Column:
-    """Distinct substrings of ``size`` signs as hashes; shorter texts have none.
-
-    Reading at a place of a string takes time in proportion to the place: so texts are read by windows, and very long ones are split into signs once.
-    """
+def rolled(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each substring of ``size`` signs of ``texts``; shorter texts have none, and for size 0 every text has one."""
     if size == 0:
-        return F.array(F.xxhash64(F.lit(""), F.lit(0)))
-    hashed = lambda piece: F.xxhash64(piece, F.lit(size))
-    at = lambda n: F.sequence(F.lit(1), n - size + 1)
-    short = lambda t: F.transform(at(F.length(t)), lambda i: hashed(F.substr(t, i, F.lit(size))))
-    cut_out = lambda j: F.substr(text, j * window + 1, F.lit(window + size - 1))
-    windows = F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - size) / window).cast("int")), lambda j: bound(cut_out(j), short)))
-    long = bound(F.split(text, ""), lambda signs: F.transform(at(F.size(signs)), lambda i: hashed(F.array_join(F.slice(signs, i, F.lit(size)), ""))))
-    found = F.when(F.length(text) <= window, short(text)).when(F.length(text) <= 100 * window, windows).otherwise(long)
-    return F.when(F.length(text) < size, F.array().cast("array<bigint>")).otherwise(F.array_distinct(found))
+        return np.arange(len(texts)), np.zeros(len(texts), np.int64)
+    signs = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(signs) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    h = np.full(n, size, np.uint64)
+    for i in range(size):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += signs[i : i + n]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    whole = row[:n] == row[size - 1 :]
+    return row[:n][whole], h[whole].view(np.int64)
+
+
+def _slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about ``SIGNS`` signs together, with the place of their first."""
+    first = total = 0
+    for k, t in enumerate(texts):
+        if total and total + len(t) > SIGNS:
+            yield first, texts[first:k]
+            first, total = k, 0
+        total += len(t)
+    if first < len(texts):
+        yield first, texts[first:]
+
+
+def listing(texts: pd.Series, sizes: list[int], wanted: np.ndarray | None) -> list[np.ndarray]:
+    """The distinct hashes of each text's substrings of these sizes; those of ``wanted`` (sorted) only, if it is given. Null texts have none."""
+    found = [np.zeros(0, np.int64)] * len(texts)
+    known = texts.notna().to_numpy()
+    if wanted is not None:
+        marks = np.zeros(1 << 22, bool)  # most grams that nobody asks fall through here
+        marks[wanted.view(np.uint64) >> np.uint64(42)] = True
+    for first, part in _slices(["" if t is None else t for t in texts]):
+        rows, hashes = (np.concatenate(x) for x in zip(*(rolled(part, k) for k in sizes), strict=True))
+        keep = known[first + rows]
+        if wanted is not None:
+            keep &= marks[hashes.view(np.uint64) >> np.uint64(42)]
+        rows, hashes = rows[keep], hashes[keep]
+        if wanted is not None and len(rows):
+            exact = wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes
+            rows, hashes = rows[exact], hashes[exact]
+        order = np.lexsort((hashes, rows))
+        rows, hashes = rows[order], hashes[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+        rows, hashes = rows[new], hashes[new]
+        starts = np.flatnonzero(np.diff(rows, prepend=-1))
+        for a, b in zip(starts, np.append(starts[1:], len(rows))):
+            found[first + rows[a]] = hashes[a:b]
+    return found
+
+
+def _listed(text: Column, sizes: list[int], wanted: Broadcast | None = None) -> Column:
+    @F.pandas_udf("array<bigint>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(listing(texts, sizes, None if wanted is None else wanted.value), dtype=object)
+
+    return of(text)
 
 
 def containing(asked: DataFrame, texts: DataFrame, needles: str = "needles", text: str = "text", key: str = "key", size: int = GRAM) -> DataFrame:
@@ -47,17 +104,20 @@ def containing(asked: DataFrame, texts: DataFrame, needles: str = "needles", tex
     ask = ask.withColumn("_id", F.sha2(F.to_json(F.struct(*ask.columns)), 256)).withColumn("_needles", filled)
     ask = ask.withColumn("_size", F.least(F.lit(size), F.array_max(F.transform("_needles", F.length))))
     ask = cut(ask)  # read four times below
-    none = F.array().cast("array<bigint>")
     lengths = [r["n"] for r in ask.select(F.col("_size").alias("n")).distinct().collect()]  # at most ``size`` + 1 rows
-    of_size = lambda k: F.when(F.col("_size") == k, F.flatten(F.transform("_needles", lambda n: grams(n, k))))
-    of_needle = F.coalesce(*map(of_size, lengths), none)
-    wanted = ask.select("_id", F.explode(F.array_distinct(of_needle)).alias("_gram"))
-    listed = texts.where(F.col(text).isNotNull()).withColumn("_gram", F.explode(F.concat(none, *(grams(F.col(text), k) for k in lengths))))
+    if not lengths:
+        return ask.select(*asked.columns).crossJoin(texts.limit(0))
+    each = ask.select("_id", "_size", F.explode("_needles").alias("_needle"))
+    parts = [each.where(F.col("_size") == k).select("_id", F.explode(_listed(F.col("_needle"), [k])).alias("_gram")) for k in lengths]
+    wanted = cut(reduce(DataFrame.unionByName, parts).distinct())
 
     def only(grams: DataFrame) -> DataFrame:
         """Listings of these grams; before any shuffle, if the grams are few."""
         few = grams.select("_gram").distinct()
-        return listed.join(F.broadcast(few) if few.count() <= FEW_GRAMS else few, "_gram", "left_semi")
+        if few.count() <= FEW_GRAMS:
+            sent = texts.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in few.collect()], np.int64)))  # 8 bytes each
+            return texts.withColumn("_gram", F.explode(_listed(F.col(text), lengths, sent)))
+        return texts.withColumn("_gram", F.explode(_listed(F.col(text), lengths))).join(few, "_gram", "left_semi")
 
     counts = only(wanted).groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     rarest = wanted.join(counts, "_gram", "left").groupBy("_id").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_gram")).alias("r")).select("_id", "r._n", "r._gram").where("_n > 0")

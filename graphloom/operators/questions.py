@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.tables import cut
 from .containment import containing
 from .extraction import filled
 
@@ -61,38 +62,44 @@ def text_after(text: Column, label: str) -> Column:
     return filled(F.regexp_extract(text, rf"(?m)\b{label}: *([^\n]+)$", 1))
 
 
+#: What a question after games names, and one after a count.
+GAMES = ["sport", "year", "season"]
+COUNTED = [*GAMES, "threshold"]
+
+
 def _games(asked: DataFrame, docs: DataFrame, order: str = "doc_id") -> DataFrame:
-    """Event pages of the asked sport and games: asked ``qid, sport, year, season`` joined on (sport, year, season), which the title names."""
-    parts = docs.select("doc_id", "title", "text", F.col(order).alias("_order"), F.lower(F.regexp_extract("title", r"(?i)^(.+?) at the (\d{4}) (Summer|Winter) Olympics", 1)).alias("_sport"), filled(F.regexp_extract("title", r"(?i)^(.+?) at the (\d{4}) (Summer|Winter) Olympics", 2)).cast("int").alias("_year"), F.lower(F.regexp_extract("title", r"(?i)^(.+?) at the (\d{4}) (Summer|Winter) Olympics", 3)).alias("_season"))
+    """Event pages of the asked sport and games, with their competitors ``n``: asked ``sport, year, season`` joined on these three, which the title names. Ask distinct games: the pages of one are many."""
+    parts = docs.select("doc_id", "title", number_after(F.col("text"), "competitors").alias("n"), F.col(order).alias("_order"), F.lower(F.regexp_extract("title", r"(?i)^(.+?) at the (\d{4}) (Summer|Winter) Olympics", 1)).alias("_sport"), filled(F.regexp_extract("title", r"(?i)^(.+?) at the (\d{4}) (Summer|Winter) Olympics", 2)).cast("int").alias("_year"), F.lower(F.regexp_extract("title", r"(?i)^(.+?) at the (\d{4}) (Summer|Winter) Olympics", 3)).alias("_season"))
     keys = [F.lower("sport") == F.col("_sport"), F.col("year") == F.col("_year"), F.lower("season") == F.col("_season")]
     return asked.join(parts.where("_sport <> ''"), keys)
 
 
 def count_over_threshold(asked: DataFrame, docs: DataFrame) -> DataFrame:
     """Events of a sport and games with more than ``threshold`` competitors: ``qid, n``; 0 if there are none."""
-    hits = _games(asked, docs).where(number_after(F.col("text"), "competitors") > F.col("threshold")).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    return asked.select("qid").join(hits, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("n"))
+    hits = _games(asked.select(*COUNTED).distinct(), docs).where("n > threshold").groupBy(*COUNTED).agg(F.count(F.lit(1)).alias("total"))
+    return asked.select("qid", *COUNTED).join(hits, COUNTED, "left").select("qid", F.coalesce("total", F.lit(0)).alias("n"))
 
 
 def superlative(asked: DataFrame, docs: DataFrame, order: str = "doc_id") -> DataFrame:
     """The event with the most competitors, the first on ties: ``qid, doc_id, event, competitors``."""
-    rows = _games(asked, docs, order).withColumn("n", number_after(F.col("text"), "competitors")).where("n IS NOT NULL")
-    best = rows.groupBy("qid").agg(F.min_by(F.struct("doc_id", "title", "n"), F.struct((-F.col("n")).alias("a"), F.col("_order").alias("b"))).alias("r"))
-    return best.select("qid", "r.doc_id", F.btrim(F.element_at(F.split("r.title", "–"), -1)).alias("event"), F.col("r.n").alias("competitors"))
+    rows = _games(asked.select(*GAMES).distinct(), docs, order).where("n IS NOT NULL")
+    best = rows.groupBy(*GAMES).agg(F.min_by(F.struct("doc_id", "title", "n"), F.struct((-F.col("n")).alias("a"), F.col("_order").alias("b"))).alias("r"))
+    return asked.select("qid", *GAMES).join(best, GAMES).select("qid", "r.doc_id", F.btrim(F.element_at(F.split("r.title", "–"), -1)).alias("event"), F.col("r.n").alias("competitors"))
 
 
 def lookup_nations(asked: DataFrame, docs: DataFrame, order: str = "doc_id") -> DataFrame:
     """Nations of the page with the asked title, else of the first page whose title contains it: ``qid, doc_id, nations``.
 
-    Distinct phrases are looked up once. The exact match is an equi-join; phrases that it leaves open go through the gram index of titles.
+    Distinct phrases are looked up once, in distinct titles. The exact match is an equi-join; phrases that it leaves open go through the gram index of titles.
     """
     low = docs.select("doc_id", F.lower("title").alias("t"), number_after(F.col("text"), "nations").alias("nations"), F.col(order).alias("o"))
+    low = cut(low.groupBy("t").agg(F.min_by(F.struct("doc_id", "nations"), "o").alias("page"), F.min("o").alias("o")))  # the first page of a title
     ask = asked.select("qid", F.lower("phrase").alias("p"))
     phrases = ask.select("p").where("p IS NOT NULL").distinct()
-    first = lambda rows: rows.groupBy("p").agg(F.min_by(F.struct("doc_id", "nations"), "o").alias("r"))
+    first = lambda rows: rows.groupBy("p").agg(F.min_by("page", "o").alias("r"))
     exact = first(phrases.join(low, F.col("p") == F.col("t")))
     left = phrases.join(exact.select("p"), "p", "left_anti")
-    loose = first(containing(left.withColumn("needles", F.array("p")), low, text="t", key="doc_id"))
+    loose = first(containing(left.withColumn("needles", F.array("p")), low, text="t", key="t"))
     return ask.join(exact.unionByName(loose), "p").select("qid", "r.doc_id", "r.nations")
 
 
@@ -133,9 +140,10 @@ def predecessor_by_rule(asked: DataFrame, docs: DataFrame, order: str = "doc_id"
     words = F.filter(F.split(F.lower("event"), r"\s+"), lambda w: (w != "") & ~w.isin(NOT_CUES))
     games = F.concat_ws(" ", F.col("prev_year").cast("string"), F.col("season"), F.lit("Olympics"))
     rows = rows.withColumn("games", games).withColumn("needles", F.array_sort(F.array_distinct(F.concat(words, F.array(F.lower("games"))))))
-    pages = docs.select("doc_id", "title", F.lower("title").alias("t"), F.coalesce(filled(F.regexp_extract("text", r"gold:\s*([^\n]+)", 1)), filled(F.regexp_extract("text", r"champ:\s*([^\n]+)", 1)), F.lit("")).alias("w"), F.col(order).alias("o"))
-    found = containing(rows.select("games", "needles").distinct(), pages, text="t", key="doc_id").where(F.col("title").contains(F.col("games")))
-    best = found.groupBy("games", "needles").agg(F.min_by(F.struct("doc_id", "w"), "o").alias("r"))
+    pages = docs.select("doc_id", "title", F.coalesce(filled(F.regexp_extract("text", r"gold:\s*([^\n]+)", 1)), filled(F.regexp_extract("text", r"champ:\s*([^\n]+)", 1)), F.lit("")).alias("w"), F.col(order).alias("o"))
+    pages = cut(pages.groupBy("title").agg(F.min_by(F.struct("doc_id", "w"), "o").alias("page"), F.min("o").alias("o")).withColumn("t", F.lower("title")))  # the first page of a title
+    found = containing(rows.select("games", "needles").distinct(), pages, text="t", key="title").where(F.col("title").contains(F.col("games")))
+    best = found.groupBy("games", "needles").agg(F.min_by("page", "o").alias("r"))
     return rows.join(best, ["games", "needles"]).select("qid", "r.doc_id", "prev_year", "season", "event", F.btrim("r.w").alias("winner"))
 
 
@@ -160,11 +168,11 @@ def structured_answers(asked: DataFrame, docs: DataFrame, order: str = "doc_id")
     of_games = F.concat_ws(" ", F.col("year").cast("string"), F.col("season"), F.lit("Olympics"))
 
     counted = games("is_event_agg", MORE_THAN)
-    hits = _games(counted, docs, order).withColumn("n", number_after(F.col("text"), "competitors")).where("n > threshold")
-    hits = hits.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy("_order")))
-    totals = counted.select("qid").join(hits.groupBy("qid").agg(F.count(F.lit(1)).alias("total")), "qid", "left").select("qid", F.coalesce("total", F.lit(0)).cast("string").alias("total"))
-    listed = counted.select("qid").join(hits.select("qid", "nth", "doc_id", F.format_string("Event %s at %s had %d competitors (> %d threshold).", "title", of_games, "n", "threshold").alias("fact")), "qid", "left").join(totals, "qid")
-    counts = row(listed, 0, F.coalesce("nth", F.lit(1)), F.col("doc_id"), F.col("total"), F.col("fact"))
+    hits = _games(counted.select(*COUNTED).distinct(), docs, order).where("n > threshold")
+    hits = hits.withColumns({"nth": F.row_number().over(Window.partitionBy(*COUNTED).orderBy("_order")), "total": F.count(F.lit(1)).over(Window.partitionBy(*COUNTED))})
+    hits = cut(hits.select(*COUNTED, "nth", "total", "doc_id", F.format_string("Event %s at %s had %d competitors (> %d threshold).", "title", of_games, "n", "threshold").alias("fact")))
+    listed = counted.select("qid", *COUNTED).join(hits, COUNTED, "left")
+    counts = row(listed, 0, F.coalesce("nth", F.lit(1)), F.col("doc_id"), F.coalesce("total", F.lit(0)).cast("string"), F.col("fact"))
 
     asked_best = games("is_superlative", HIGHEST)
     best = superlative(asked_best, docs, order).join(asked_best, "qid")
