@@ -40,3 +40,10 @@ def test_listing_holds_asked_grams_only():
     wanted = np.sort(containment.rolled(["bcd"], 3)[1])
     found = containment.listing(pd.Series(["abcd", None, "", "bcdbcd", "xyz"]), [3], wanted)
     assert [len(x) for x in found] == [1, 0, 0, 1, 0]
+
+
+def test_the_graph_is_read_from_what_was_written(spark):
+    from graphloom.plans import queries
+
+    plan = queries.graph_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" in plan and "InMemory" not in plan
