@@ -123,12 +123,16 @@ def _present(*structs: Column) -> Column:
 
 
 def extract_graph(docs: DataFrame, ascii_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(vertices, edges) of event pages, each in one pass over the documents.
+    """(vertices, edges) of event pages, each in one pass over the documents; see ``graph_of``."""
+    return graph_of(slot_columns(docs, ascii_only))
+
+
+def graph_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) of ``slot_columns``.
 
     vertices: ``v_type, v_id, name, year, description``. Of writes to one id the first in doc_id order stays, for events the last.
     edges: ``src_type, src_id, edge_type, dst_type, dst_id``, distinct.
     """
-    rows = slot_columns(docs, ascii_only)
     c, zero, blank = F.col, F.lit(0), F.lit("")
 
     def vertex(key: Column, kind: Column, name: Column, year: Column = zero, description: Column = blank) -> Column:
@@ -229,9 +233,14 @@ def extraction_stats(docs: DataFrame) -> DataFrame:
 
 def integrity_errors(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``problem, edge_type, id`` of edges without an end, with an unknown target type, or with empty ids."""
-    keys = vertices.select("v_type", "v_id").distinct()
-    side = lambda p, name: edges.select(F.col(f"{p}_type").alias("v_type"), F.col(f"{p}_id").alias("v_id"), "edge_type").join(keys, ["v_type", "v_id"], "left_anti").select(F.lit(name).alias("problem"), "edge_type", F.col("v_id").alias("id"))
-    types = keys.select("v_type").distinct()
-    unknown = edges.select(F.col("dst_type").alias("v_type"), "edge_type", "dst_id").join(types, "v_type", "left_anti").select(F.lit("unknown_type").alias("problem"), "edge_type", F.col("dst_id").alias("id"))
+    keys = vertices.select("v_type", "v_id")
+    types = F.broadcast(keys.select("v_type").distinct())  # a graph has few types
+    c = F.col
+    end = lambda p, name: F.struct(F.lit(name).alias("problem"), c("edge_type").alias("edge_type"), c(f"{p}_type").alias("v_type"), c(f"{p}_id").alias("v_id"))
+    ends = edges.select(F.inline(F.array(end("src", "missing_source"), end("dst", "missing_target"))))
+    # the ends meet the vertices once, sorted by a number first: types and ids share their first signs
+    key = lambda rows: rows.withColumn("_h", F.xxhash64("v_type", "v_id"))
+    missing = key(ends).join(key(keys), ["_h", "v_type", "v_id"], "left_anti").select("problem", "edge_type", c("v_id").alias("id"))
+    unknown = edges.select(c("dst_type").alias("v_type"), "edge_type", "dst_id").join(types, "v_type", "left_anti").select(F.lit("unknown_type").alias("problem"), "edge_type", c("dst_id").alias("id"))
     empty = edges.where((F.coalesce("src_id", F.lit("")) == "") | (F.coalesce("dst_id", F.lit("")) == "")).select(F.lit("empty_id").alias("problem"), "edge_type", F.coalesce("src_id", F.lit("")).alias("id"))
-    return reduce(DataFrame.unionByName, [side("src", "missing_source"), side("dst", "missing_target"), unknown, empty])
+    return reduce(DataFrame.unionByName, [missing, unknown, empty])
