@@ -39,7 +39,9 @@ def verify(candidates: DataFrame, facts: DataFrame, ascii_only: bool = False) ->
     answer = norm(F.coalesce("answer", F.lit("")))
     tokens = F.filter(F.split(answer, " "), lambda t: (F.length(t) > 2) | t.rlike("[0-9]"))
     ask = candidates.select("run", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"), answer.alias("a"), tokens.alias("tokens"), F.array_distinct(F.regexp_extract_all(F.coalesce("question", F.lit("")), F.lit(YEAR), F.lit(1))).alias("years"))
-    rows = ask.join(facts.select("run", "evidence_id", F.col("fact"), norm(F.coalesce("fact", F.lit(""))).alias("f")), "run", "left")
+    # facts are shuffled as they are, and normalized where they meet their answer
+    rows = ask.join(facts.select("run", "evidence_id", "fact", F.lit(True).alias("is_fact")), "run", "left")
+    rows = rows.withColumn("f", F.when(F.col("is_fact"), norm(F.coalesce("fact", F.lit("")))))
     whole = F.col("f").contains(F.col("a"))
     all_tokens = (F.size("tokens") > 0) & F.forall("tokens", lambda t: F.col("f").contains(t))
     found = rows.groupBy("run", "answer", "years").agg(

@@ -63,3 +63,18 @@ def test_composite_reads_attributes_of_what_is_left(spark, monkeypatch):
     for name in ("events_for_participants", "events_for_venues"):
         monkeypatch.setattr(tools, name, lambda *_, **__: 1 / 0)
     assert queries.composite_countries(spark, SF).count() <= 1
+
+
+def test_normalized_facts_are_not_shuffled(spark):
+    from graphloom.operators import evidence
+
+    asked = spark.createDataFrame([("r", "in 1996?", "Ann Lee"), ("s", "?", ""), ("t", "", "x")], "run string, question string, answer string")
+    facts = spark.createDataFrame([("r", "e1", "ANN, LEE (1996)"), ("r", "e2", None), ("s", "e1", None)], "run string, evidence_id string, fact string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = evidence.verify(asked, facts, ascii_only=True)
+        below = plan(found).split("Exchange hashpartitioning(run")[-1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "regexp_replace" not in below
+    assert rows(found.select("run", "n_facts", "missing_years", "grounded", "verdict")) == rows(spark.createDataFrame([("r", 2, 0, True, "SUPPORTED"), ("s", 1, 0, True, "SUPPORTED"), ("t", 0, 0, False, "REPAIR_REQUIRED")], "run string, n_facts long, missing_years int, grounded boolean, verdict string"))
