@@ -204,6 +204,13 @@ def document_surfaces(docs: DataFrame, ascii_only: bool = False) -> DataFrame:
     return rows.select(c("doc_id").alias("document_id"), F.inline(F.array_distinct(made)))
 
 
+def sport_surfaces(docs: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """The rows of ``document_surfaces`` that are sports, which titles name: no infobox is cut into fields for them."""
+    title = F.coalesce("title", F.lit(""))
+    rows = once(docs.where(infobox_body(F.coalesce("text", F.lit(""))).contains(":")), ["doc_id"], {"sport": sport_of(title)}).where("sport IS NOT NULL")
+    return rows.select(F.col("doc_id").alias("document_id"), F.concat(F.lit("entity_"), vertex_id("sport", F.col("sport"), ascii_only)).alias("entity_id"), F.lit("Sport").alias("entity_type"), F.col("sport").alias("surface"))
+
+
 def title_only(found: DataFrame, surfaces: DataFrame, kind: str = "Sport") -> DataFrame:
     """Entities of a kind that no chunk of their document mentions."""
     hit = found.select(F.substring_index("chunk_id", "#", 1).alias("document_id"), "entity_id").distinct()

@@ -78,3 +78,11 @@ def test_normalized_facts_are_not_shuffled(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "regexp_replace" not in below
     assert rows(found.select("run", "n_facts", "missing_years", "grounded", "verdict")) == rows(spark.createDataFrame([("r", 2, 0, True, "SUPPORTED"), ("s", 1, 0, True, "SUPPORTED"), ("t", 0, 0, False, "REPAIR_REQUIRED")], "run string, n_facts long, missing_years int, grounded boolean, verdict string"))
+
+
+def test_sports_are_those_of_all_surfaces(spark):
+    docs = corpus.corpus(spark, SF)
+    odd = spark.createDataFrame([("x", None, "[Infobox Olympic event]\n a: b"), ("y", "Judo at the 1996 Summer Olympics – X", None), ("z", "Judo at the 1996 Summer Olympics – X", "no box: 1")], "doc_id string, title string, text string")
+    for d in (docs, odd):
+        whole = extraction.document_surfaces(d, ascii_only=True).where("entity_type = 'Sport'")
+        assert rows(extraction.sport_surfaces(d, ascii_only=True).select(*whole.columns)) == rows(whole)
