@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import CHARS_PER_TOKEN, TARGET_TOKENS, chunk_id, token_count
@@ -19,6 +19,10 @@ from ..functions.text import CHARS_PER_TOKEN, TARGET_TOKENS, chunk_id, token_cou
 CAPTION = r"\|(?:alt=[^|]*|left\b|right\b|thumb\b|upright\b|\d*x?\d*px\b)"
 
 
+#: Documents that a worker holds as Python objects.
+DOCS_AT_ONCE = 64
+
+
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row, doc_id, idx, content, source_start, source_end``: blank-line blocks with their delimiters, a leading one with the first block. Empty and null texts have none.
 
@@ -136,27 +140,35 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     listed = units.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("unit", "content", "unit_type"))).alias("u"))
     most = target * CHARS_PER_TOKEN
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed_rows(doc: str, found: list[dict]) -> list[list]:
         tokens = lambda t: -(-len(t) // CHARS_PER_TOKEN)
+        parts, rows = [], []
+        for unit in found:
+            big = tokens(unit["content"]) > target
+            parts += [(p, unit["unit_type"], big) for p in (split_unit(unit["content"], most) if big else [unit["content"]])]
+        at, texts = 0, []
+        for (text, kind, big), k in zip(parts, pack([tokens(p[0]) for p in parts], target), strict=True):
+            if not rows or rows[-1][1] != k:
+                rows.append([doc, k, at, at, [], [], False])
+                texts = rows[-1][4]
+            at += len(text)
+            texts.append(text)
+            rows[-1][3], rows[-1][6] = at, rows[-1][6] or big
+            if kind not in rows[-1][5]:
+                rows[-1][5].append(kind)
+        return [(*r[:4], "".join(r[4]), ",".join(r[5]), r[6]) for r in rows]
+
+    schema = pa.schema([("document_id", pa.string()), ("chunk_index", pa.int32()), ("source_start", pa.int32()), ("source_end", pa.int32()), ("text", pa.string()), ("unit_types", pa.string()), ("oversized", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # few documents at a time are Python objects, however many an Arrow batch holds
         for batch in batches:
-            rows = []
-            for doc, found in zip(batch["doc_id"], batch["u"], strict=True):
-                parts = []
-                for unit in found:
-                    big = tokens(unit["content"]) > target
-                    parts += [(p, unit["unit_type"], big) for p in (split_unit(unit["content"], most) if big else [unit["content"]])]
-                at, held = 0, None
-                for (text, kind, big), k in zip(parts, pack([tokens(p[0]) for p in parts], target), strict=True):
-                    if held is None or held[1] != k:
-                        held = [doc, k, at, at, "", [], False]
-                        rows.append(held)
-                    at += len(text)
-                    held[3], held[4], held[6] = at, held[4] + text, held[6] or big
-                    if kind not in held[5]:
-                        held[5].append(kind)
-            yield pd.DataFrame([(*r[:5], ",".join(r[5]), r[6]) for r in rows], columns=["document_id", "chunk_index", "source_start", "source_end", "text", "unit_types", "oversized"])
-
-    packed = listed.mapInPandas(run, "document_id string, chunk_index int, source_start int, source_end int, text string, unit_types string, oversized boolean")
+            for k in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(k, DOCS_AT_ONCE)
+                rows = [r for doc, u in zip(part.column("doc_id").to_pylist(), part.column("u").to_pylist(), strict=True) for r in packed_rows(doc, u)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    packed = listed.select("doc_id", "u").mapInArrow(run, "document_id string, chunk_index int, source_start int, source_end int, text string, unit_types string, oversized boolean")
     return packed.select("document_id", chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", "source_start", "source_end", "text", token_count(F.col("text")).alias("token_count"), "unit_types", "oversized")
 
 

@@ -65,6 +65,14 @@ def test_composite_reads_attributes_of_what_is_left(spark, monkeypatch):
     assert queries.composite_countries(spark, SF).count() <= 1
 
 
+def test_sports_are_those_of_all_surfaces(spark):
+    docs = corpus.corpus(spark, SF)
+    odd = spark.createDataFrame([("x", None, "[Infobox Olympic event]\n a: b"), ("y", "Judo at the 1996 Summer Olympics – X", None), ("z", "Judo at the 1996 Summer Olympics – X", "no box: 1")], "doc_id string, title string, text string")
+    for d in (docs, odd):
+        whole = extraction.document_surfaces(d, ascii_only=True).where("entity_type = 'Sport'")
+        assert rows(extraction.sport_surfaces(d, ascii_only=True).select(*whole.columns)) == rows(whole)
+
+
 def test_normalized_facts_are_not_shuffled(spark):
     from graphloom.operators import evidence
 
@@ -80,9 +88,11 @@ def test_normalized_facts_are_not_shuffled(spark):
     assert rows(found.select("run", "n_facts", "missing_years", "grounded", "verdict")) == rows(spark.createDataFrame([("r", 2, 0, True, "SUPPORTED"), ("s", 1, 0, True, "SUPPORTED"), ("t", 0, 0, False, "REPAIR_REQUIRED")], "run string, n_facts long, missing_years int, grounded boolean, verdict string"))
 
 
-def test_sports_are_those_of_all_surfaces(spark):
-    docs = corpus.corpus(spark, SF)
-    odd = spark.createDataFrame([("x", None, "[Infobox Olympic event]\n a: b"), ("y", "Judo at the 1996 Summer Olympics – X", None), ("z", "Judo at the 1996 Summer Olympics – X", "no box: 1")], "doc_id string, title string, text string")
-    for d in (docs, odd):
-        whole = extraction.document_surfaces(d, ascii_only=True).where("entity_type = 'Sport'")
-        assert rows(extraction.sport_surfaces(d, ascii_only=True).select(*whole.columns)) == rows(whole)
+def test_few_documents_are_python_objects_at_once(spark, monkeypatch):
+    from graphloom.operators import chunking
+
+    docs = spark.createDataFrame([(i, f"Head\n\n{'word ' * (i * 40)}") for i in range(200)], "doc_id long, text string").coalesce(1)
+    plain = rows(chunking.chunk_documents(docs))
+    monkeypatch.setattr(chunking, "DOCS_AT_ONCE", 3)
+    assert rows(chunking.chunk_documents(docs)) == plain and len(plain) > 200
+    assert "MapInArrow" in plan(chunking.chunk_documents(docs))
