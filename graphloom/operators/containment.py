@@ -26,24 +26,44 @@ FEW_GRAMS = 1_000_000
 SIGNS = 1_000_000
 
 
-def rolled(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of each substring of ``size`` signs of ``texts``; shorter texts have none, and for size 0 every text has one."""
-    if size == 0:
-        return np.arange(len(texts)), np.zeros(len(texts), np.int64)
-    signs = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = len(signs) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    h = np.full(n, size, np.uint64)
-    for i in range(size):
+def _hashes(signs: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, hash of the substring of that size at each place), sizes of 1 and more: a hash is made of the one that is shorter by a sign."""
+    h = np.zeros(len(signs), np.uint64)
+    for i in range(min(max(sizes, default=0), len(signs))):
+        h = h[: len(signs) - i]
         h *= np.uint64(0x9E3779B97F4A7C15)
-        h += signs[i : i + n]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    whole = row[:n] == row[size - 1 :]
-    return row[:n][whole], h[whole].view(np.int64)
+        h += signs[i:]
+        if i + 1 in sizes:
+            mixed = h + np.uint64(i + 1)
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= np.uint64(0xD6E8FEB86659FD93)
+            mixed ^= mixed >> np.uint64(32)
+            yield i + 1, mixed
+
+
+def grams(texts: list[str], sizes: list[int], wanted: np.ndarray | None = None, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each substring of ``sizes`` signs of ``texts``; shorter texts have none, and for size 0 every text has one. With ``wanted`` (sorted) and the ``marks`` of its first 22 bits only those."""
+    signs = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(t) for t in texts])
+    rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if 0 in sizes and (wanted is None or 0 in wanted):
+        rows, hashes = [np.arange(len(texts))], [np.zeros(len(texts), np.int64)]
+    for size, h in _hashes(signs, [k for k in sizes if k]):
+        at = np.arange(len(h)) if marks is None else np.flatnonzero(marks[h >> np.uint64(42)])  # most grams that nobody asks fall through here
+        found = h[at].view(np.int64)
+        if wanted is not None:
+            exact = wanted[np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)] == found
+            at, found = at[exact], found[exact]
+        row = np.searchsorted(ends, at, side="right")
+        whole = at + size <= ends[row]
+        rows.append(row[whole])
+        hashes.append(found[whole])
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
+def rolled(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``grams`` of one size, all of them."""
+    return grams(texts, [size])
 
 
 def _slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -61,19 +81,16 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 def listing(texts: pd.Series, sizes: list[int], wanted: np.ndarray | None) -> list[np.ndarray]:
     """The distinct hashes of each text's substrings of these sizes; those of ``wanted`` (sorted) only, if it is given. Null texts have none."""
     found = [np.zeros(0, np.int64)] * len(texts)
-    known = texts.notna().to_numpy()
+    known, marks = texts.notna().to_numpy(), None
     if wanted is not None:
-        marks = np.zeros(1 << 22, bool)  # most grams that nobody asks fall through here
+        if not len(wanted):
+            return found
+        marks = np.zeros(1 << 22, bool)
         marks[wanted.view(np.uint64) >> np.uint64(42)] = True
     for first, part in _slices(["" if t is None else t for t in texts]):
-        rows, hashes = (np.concatenate(x) for x in zip(*(rolled(part, k) for k in sizes), strict=True))
+        rows, hashes = grams(part, sizes, wanted, marks)
         keep = known[first + rows]
-        if wanted is not None:
-            keep &= marks[hashes.view(np.uint64) >> np.uint64(42)]
         rows, hashes = rows[keep], hashes[keep]
-        if wanted is not None and len(rows):
-            exact = wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes
-            rows, hashes = rows[exact], hashes[exact]
         order = np.lexsort((hashes, rows))
         rows, hashes = rows[order], hashes[order]
         new = np.ones(len(rows), bool)
@@ -102,12 +119,14 @@ def containing(asked: DataFrame, texts: DataFrame, needles: str = "needles", tex
     ask = asked.where(F.col(needles).isNotNull() & ~F.exists(needles, lambda n: n.isNull()))
     filled = F.when(F.size(needles) == 0, F.array(F.lit(""))).otherwise(F.col(needles))
     ask = ask.withColumn("_id", F.sha2(F.to_json(F.struct(*ask.columns)), 256)).withColumn("_needles", filled)
-    ask = ask.withColumn("_size", F.least(F.lit(size), F.array_max(F.transform("_needles", F.length))))
     ask = cut(ask)  # read four times below
-    lengths = [r["n"] for r in ask.select(F.col("_size").alias("n")).distinct().collect()]  # at most ``size`` + 1 rows
+    # a query is looked up by its needles of ``size`` signs and more; one without any by all its needles, as they may be rare where the longest isn't
+    longest = F.array_max(F.transform("_needles", F.length))
+    short = F.when(longest >= size, size).otherwise(F.least(F.lit(1), longest))
+    each = ask.select("_id", F.explode(F.filter("_needles", lambda n: F.length(n) >= short)).alias("_needle")).withColumn("_size", F.least(F.lit(size), F.length("_needle")))
+    lengths = [r["n"] for r in each.select(F.col("_size").alias("n")).distinct().collect()]  # at most ``size`` + 1 rows
     if not lengths:
         return ask.select(*asked.columns).crossJoin(texts.limit(0))
-    each = ask.select("_id", "_size", F.explode("_needles").alias("_needle"))
     parts = [each.where(F.col("_size") == k).select("_id", F.explode(_listed(F.col("_needle"), [k])).alias("_gram")) for k in lengths]
     wanted = cut(reduce(DataFrame.unionByName, parts).distinct())
 
@@ -124,7 +143,7 @@ def containing(asked: DataFrame, texts: DataFrame, needles: str = "needles", tex
     rarest = cut(rarest)  # a row a query; the listing is counted once
     often = rarest.select("_gram", F.ceil(F.col("_n") / PART_ROWS).alias("_parts")).where("_parts > 1").distinct().orderBy(F.desc("_parts"), "_gram").limit(MOST_SPLIT)
     looked_up = ask.join(rarest.drop("_n"), "_id").join(F.broadcast(often), "_gram", "left")
-    looked_up = looked_up.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts", "_id", "_size")
+    looked_up = looked_up.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts", "_id")
     split = only(rarest).join(F.broadcast(often), "_gram", "left").withColumn("_part", F.pmod(F.xxhash64(key), F.coalesce("_parts", F.lit(1)))).drop("_parts")
     found = looked_up.join(split, ["_gram", "_part"]).where(F.forall("_needles", lambda n: F.col(text).contains(n)))
     return found.select(*asked.columns, *texts.columns)

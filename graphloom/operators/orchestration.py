@@ -1,6 +1,7 @@
 """The rule-path run for a batch of questions: route, retrieve by strategy, keep a ledger, verify, repair once, answer.
 
 Every step is a join or an aggregate over all questions; a question is a run. Steps that feed several others are written with ``cut``, so nothing is computed twice and plans stay small.
+Equal questions with equal seeds have equal runs: the steps take one of them, and what they give is joined to all at the end.
 """
 
 from __future__ import annotations
@@ -54,11 +55,42 @@ def _event_facts(found: DataFrame, vertices: DataFrame, edges: DataFrame | Adjac
     return own.unionByName(of).select("run", seq.alias("seq"), F.lit("graph").alias("source_type"), "source_id", "document_id", "fact", "who")
 
 
+def _asked_once(asked: DataFrame, seeds: DataFrame, apart: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(same, asked, seeds): ``run, as_run``, which names for each run the one that stands for it; questions ``qid, question, list`` of those; and the distinct lists of seeds ``list, chunk_id, similarity, rank``.
+
+    Runs are the same if their questions and their seeds are; none are if they are to be kept ``apart``. A list is named by its length and the sums of two hashes of its rows.
+    """
+    hashes = [F.xxhash64(F.lit(k), "rank", "chunk_id", "similarity") for k in (1, 2)]
+    halves = [F.sum(half) for h in hashes for half in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+    lists = seeds.groupBy("qid").agg(F.concat_ws(":", F.count(F.lit(1)), *halves).alias("list"))
+    keyed = asked.select("qid", "question").join(lists, "qid", "left").select("qid", "question", F.coalesce("list", F.lit("")).alias("list"))
+    keyed = tables.written(keyed)
+    if apart:
+        once, same = keyed, keyed.select(F.col("qid").alias("run"), F.col("qid").alias("as_run"))
+    else:
+        once = tables.written(keyed.groupBy("question", "list").agg(F.min("qid").alias("qid")).select("qid", "question", "list"))
+        of = once.select(F.col("qid").alias("as_run"), F.col("question").alias("_question"), F.col("list").alias("_list"))
+        same = tables.written(keyed.join(of, F.col("question").eqNullSafe(F.col("_question")) & (F.col("list") == F.col("_list"))).select(F.col("qid").alias("run"), "as_run"))
+    first = once.where("list <> ''").groupBy("list").agg(F.min("qid").alias("qid"))
+    return same, once, tables.written(seeds.join(first, "qid").select("list", "chunk_id", "similarity", "rank"))
+
+
+def _expanded(asked: DataFrame, seeds: DataFrame, edges: DataFrame | Adjacency, limits: Limits) -> DataFrame:
+    """Fused evidence of questions ``qid, question, list``, numbered from the best: ``qid, nth, chunk_id, doc_id, score, source``.
+
+    It depends on the seeds and on what the gate makes of a question: each list of seeds is expanded once for each pattern that asks for it.
+    """
+    kinds = asked.select("qid", "question", "list", expansion.relational(F.col("question")).alias("kind"))
+    once = tables.written(kinds.groupBy("list", "kind").agg(F.min(F.struct("qid", "question")).alias("r")).select("list", "kind", "r.*"))
+    found = expansion.retrieve(once.select("qid", "question"), once.select("qid", "list").join(seeds, "list").drop("list"), edges, limits)["evidence"]
+    nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("chunk_id").desc()))
+    found = found.select("qid", nth.alias("nth"), "chunk_id", "doc_id", "score", "source").join(once.select("qid", "list", "kind"), "qid").drop("qid")
+    return kinds.select("qid", "list", "kind").join(tables.written(found), ["list", "kind"]).drop("list", "kind")
+
+
 def _evidence_items(found: DataFrame, first: int, most: int | None) -> DataFrame:
     """Fused evidence as ledger items, best first."""
-    nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("chunk_id").desc()))
-    rows = found.withColumn("nth", nth)
-    rows = rows if most is None else rows.where(F.col("nth") <= most)
+    rows = found if most is None else found.where(F.col("nth") <= most)
     return rows.select(F.col("qid").alias("run"), (F.col("nth") + first).alias("seq"), F.when(F.col("source") == "seed", "vector").otherwise("graph").alias("source_type"), F.col("chunk_id").alias("source_id"), F.col("doc_id").alias("document_id"), F.format_string("Evidence for %s score=%.4f", "doc_id", "score").alias("fact"))
 
 
@@ -72,15 +104,14 @@ def repair(verdicts: DataFrame, asked: DataFrame, kept: DataFrame, seeds: DataFr
     """(items, runs): what one bounded repair recovers for runs with verdict REPAIR_REQUIRED, as ledger items after those of ``kept``, and ``run, plan, recovered``.
 
     Questions that name a venue get the events held there (in the asked year) and their participants; a run that this gives nothing gets the
-    expansion of its first seeds. Without a budget nothing is repaired. asked: analysed questions.
+    expansion of its first seeds. Without a budget nothing is repaired. asked: analysed questions with the ``list`` of their seeds ``list, chunk_id, similarity, rank``.
     """
     granted = evidence.repairs(verdicts, F.lit(budget)).select("run")
-    wanted = cut(asked.join(granted, asked["qid"] == granted["run"], "left_semi").select("qid", "question", "year", F.when(F.col("repair_venue").isNotNull(), vertex_id("venue", F.col("repair_venue"), ascii_only)).alias("venue_id")), "wanted")
+    wanted = cut(asked.join(granted, asked["qid"] == granted["run"], "left_semi").select("qid", "question", "list", "year", F.when(F.col("repair_venue").isNotNull(), vertex_id("venue", F.col("repair_venue"), ascii_only)).alias("venue_id")), "wanted")
     after = kept.groupBy("run").agg(F.max("seq").alias("last"))
     composite = cut(_event_facts(venue_events(wanted.where("venue_id IS NOT NULL").select("qid", "venue_id", "year"), vertices, edges), vertices, edges, 0), "composite")
     rest = wanted.join(composite.select(F.col("run").alias("qid")).distinct(), "qid", "left_anti")
-    first = seeds.where(F.col("rank") <= REPAIR_SEEDS).join(rest.select("qid"), "qid", "left_semi")
-    expanded = _evidence_items(expansion.retrieve(rest.select("qid", "question"), first, edges, limits)["evidence"], 0, None)
+    expanded = _evidence_items(_expanded(rest, seeds.where(F.col("rank") <= REPAIR_SEEDS), edges, limits), 0, None)
     both = composite.select(*ITEM, F.lit("composite").alias("plan")).unionByName(expanded.select(*ITEM, F.lit("expansion").alias("plan")))
     items = cut(both.join(after, "run", "left").withColumn("seq", F.col("seq") + F.coalesce("last", F.lit(0))).select(*ITEM, "plan"), "recovered")
     counts = items.groupBy("run").agg(F.count(F.lit(1)).alias("recovered"), F.first("plan").alias("plan"))
@@ -89,17 +120,20 @@ def repair(verdicts: DataFrame, asked: DataFrame, kept: DataFrame, seeds: DataFr
 
 
 def orchestrate(asked: DataFrame, seeds: DataFrame, vertices: DataFrame, edges: DataFrame | Adjacency, structured: DataFrame | None = None, limits: Limits = Limits(), budget: int = evidence.MAX_REPAIRS, ascii_only: bool = False, cut: Callable[..., DataFrame] = tables.cut, docs: DataFrame | None = None, order: str = "doc_id") -> dict[str, DataFrame]:
-    """Rule-path runs of questions ``qid, question`` with seeds ``qid, chunk_id, similarity, rank``: ``runs, documents, ledger, repairs``.
+    """Rule-path runs of questions ``qid, question`` with seeds ``qid, chunk_id, similarity, rank``: ``runs, documents, ledger, repairs``, and ``same``.
 
-    Vector questions rank their seeds' documents; relational ones are expanded. Structured ones are asked of the corpus ``docs`` (pages ``doc_id, title, text``, first pages by ``order``): counts,
+    Runs with equal questions and seeds are taken once: ``same`` (``run, as_run``) names the run that stands for each. Given ``structured`` rows keep runs apart. Vector questions rank their seeds' documents; relational ones are expanded. Structured ones are asked of the corpus ``docs`` (pages ``doc_id, title, text``, first pages by ``order``): counts,
     superlatives, nation look-ups and predecessors; one that gets no answer takes the events of the venue it names and the pages that its cues ground,
     and falls back to its seeds if there are none. Its candidate is the corpus's answer, else the first participant, else the winner on the first page. Without a
     corpus, ``structured`` rows (``qid, rank, document_id, answer, fact``) stand for its answers, and the candidate is the first answer, else the first document.
     A run that verification sends back is repaired once: its ledger grows, its ledger's documents come first, and it is verified again.
     """
-    analysed = cut(questions.route(asked), "routed")
+    same, once, lists = _asked_once(asked, seeds, apart=structured is not None)
+    analysed = cut(questions.route(once), "routed")
+    seeds = analysed.select("qid", "list").join(lists, "list").drop("list")
     of = lambda name: analysed.where(F.col("strategy") == name)
     only = lambda df, name: df.join(of(name).select("qid"), "qid", "left_semi")
+    each = lambda df: same.join(df.withColumnRenamed("run", "as_run"), "as_run").drop("as_run")
     empty = asked.sparkSession.createDataFrame([], "qid {0}, rank int, document_id string, answer string, fact string".format(asked.schema["qid"].dataType.simpleString()))
     if docs is not None:
         given = cut(questions.structured_answers(of("structured"), docs, order), "given")
@@ -119,7 +153,7 @@ def orchestrate(asked: DataFrame, seeds: DataFrame, vertices: DataFrame, edges:
     plain = of("vector").select("qid").union(of("structured").select("qid").join(answered.select(F.col("run").alias("qid")), "qid", "left_anti"))
     near = seeds.join(plain, "qid", "left_semi")
     vector = near.select(F.col("qid").alias("run"), F.col("rank").alias("seq"), F.lit("vector").alias("source_type"), F.col("chunk_id").alias("source_id"), doc_of_chunk(F.col("chunk_id")).alias("document_id"), F.concat(F.lit("Chunk "), "chunk_id").alias("fact"))
-    fused = cut(expansion.retrieve(of("expansion").select("qid", "question"), only(seeds, "expansion"), edges, limits)["evidence"], "evidence")
+    fused = cut(_expanded(of("expansion"), lists, edges, limits), "evidence")
 
     graph = given.where("document_id IS NOT NULL").select(*ITEM).unionByName(found.select(*ITEM)).unionByName(grounded.select(*ITEM))
     fallback = F.lit(TAKEN) if docs is None else F.when(F.col("strategy") == "vector", TAKEN).otherwise(FALLBACK)
@@ -138,7 +172,7 @@ def orchestrate(asked: DataFrame, seeds: DataFrame, vertices: DataFrame, edges:
 
     kept = cut(evidence.ledger(items, checked=True), "kept")
     verdicts = cut(evidence.verify(runs, kept, ascii_only), "verdicts")
-    more, repaired = repair(verdicts, analysed, kept, seeds, vertices, edges, limits, budget, ascii_only, cut)
+    more, repaired = repair(verdicts, analysed, kept, lists, vertices, edges, limits, budget, ascii_only, cut)
     repaired = cut(repaired, "repaired")
     whole = cut(evidence.ledger(items.unionByName(more), checked=True), "whole")
     again = evidence.verify(runs.join(repaired.select("run"), "run", "left_semi"), whole, ascii_only)
@@ -147,4 +181,4 @@ def orchestrate(asked: DataFrame, seeds: DataFrame, vertices: DataFrame, edges:
     documents = behind.unionByName(evidence.rerank(evidence.ledger_documents(whole.join(repaired.select("run"), "run", "left_semi")), ranked.join(repaired.select("run"), "run", "left_semi")))
     said = evidence.answers(final.select("run", "verdict", "n_facts").join(runs.select("run", F.col("answer").alias("candidate")), "run").withColumn("model", F.lit("")))
     out = runs.select("run", "strategy", F.col("answer").alias("candidate")).join(verdicts.select("run", F.col("verdict").alias("first_verdict")), "run").join(final.select("run", "verdict", "n_facts"), "run").join(repaired, "run", "left").join(said, "run")
-    return {"runs": out, "documents": documents, "ledger": whole, "repairs": repaired}
+    return {"runs": each(out), "documents": each(documents), "ledger": each(whole), "repairs": each(repaired), "same": same}

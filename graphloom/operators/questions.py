@@ -187,8 +187,8 @@ def structured_answers(asked: DataFrame, docs: DataFrame, order: str = "doc_id")
     earlier = row(before, 3, F.lit(1), F.col("doc_id"), F.col("winner"), F.format_string("At the %d %s Olympics (held immediately before %s), the gold medal in %s was won by %s.", "prev_year", "season", "target", "event", "winner"))
 
     rows = counts.unionByName(most).unionByName(nations).unionByName(earlier)
-    first = rows.groupBy("qid").agg(F.min("kind").alias("kind"))
-    return rows.join(first, ["qid", "kind"], "left_semi").select(*STRUCTURED)
+    first = F.min("kind").over(Window.partitionBy("qid"))
+    return rows.withColumn("first", first).where("kind = first").select(*STRUCTURED)
 
 
 def grounded_at_venue(asked: DataFrame, docs: DataFrame, order: str = "doc_id") -> DataFrame:

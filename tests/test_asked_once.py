@@ -47,3 +47,50 @@ def test_the_graph_is_read_from_what_was_written(spark):
 
     plan = queries.graph_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ExistingRDD" in plan and "InMemory" not in plan
+
+
+def test_equal_questions_with_equal_seeds_run_once(spark, monkeypatch):
+    from graphloom.operators import orchestration, telemetry
+
+    routed, expanded = [], []
+    plain, retrieve = questions.route, expansion.retrieve
+    monkeypatch.setattr(questions, "route", lambda asked: routed.append(asked.count()) or plain(asked))
+    monkeypatch.setattr(expansion, "retrieve", lambda asked, *rest: expanded.append(asked.count()) or retrieve(asked, *rest))
+    asked = spark.createDataFrame([(f"q{i}", f"Who represented the country in {1996 + i // 16}?") for i in range(32)] + [("x", "Who represented the country in 1996?"), ("y", None)], "qid string, question string")
+    # a double row of seeds is another list, and the order of the rows makes none
+    seeds = [(f"q{i}", f"e{(i % 4) + k}#c0000", 0.5 + k / 10, k) for i in range(32) for k in ((2, 1) if i % 8 else (1, 2))] + [("x", "e0#c0000", 0.7, 2)] + [("x", "e1#c0000", 0.6, 1)] * 2
+    seeds = spark.createDataFrame(seeds, "qid string, chunk_id string, similarity double, rank int")
+    vertices = spark.createDataFrame([("Event", "e1", "Final", 1996, "")], "v_type string, v_id string, name string, year int, description string")
+    edges = spark.createDataFrame([("Chunk", "e1#c0000", "MENTIONS", "Entity", "entity_e9"), ("Entity", "entity_e9", "RESOLVES_TO", "Event", "e9")], "src_type string, src_id string, edge_type string, dst_type string, dst_id string")
+    recorder = telemetry.Recorder()
+    out = orchestration.orchestrate(asked, seeds, vertices, edges, cut=recorder.cut)
+    assert routed == [10]  # 2 questions with 4 lists each, x and y
+    assert expanded == [5, 5]  # the lists of relational questions, whatever the year
+    runs = {r.run: tuple(r)[1:] for r in out["runs"].collect()}
+    docs = {}
+    for r in out["documents"].collect():
+        docs.setdefault(r.run, []).append((r["rank"], r.document_id))
+    assert len(runs) == 34 and runs["y"][-1] == "INSUFFICIENT_EVIDENCE"
+    for q in ("q18", "x"):
+        alone = orchestration.orchestrate(asked.where(f"qid = '{q}'"), seeds.where(f"qid = '{q}'"), vertices, edges)
+        assert tuple(alone["runs"].first())[1:] == runs[q]
+        assert sorted((r["rank"], r.document_id) for r in alone["documents"].collect()) == sorted(docs[q])
+    traces = {r.step: r.n_rows for r in recorder.rows(spark, out["same"]).collect()}
+    assert traces["routed"] == traces["said"] == 34 and traces["ranked"] >= 32 * 2
+
+
+def test_a_query_of_short_needles_is_looked_up_by_its_rarest(spark, monkeypatch):
+    written, plain = [], containment.cut
+    monkeypatch.setattr(containment, "cut", lambda df: written.append(plain(df)) or written[-1])
+    texts = spark.createDataFrame([(i, f"hall {i % 5} in 1996") for i in range(50)], "key int, text string")
+    asked = spark.createDataFrame([(0, ["7!", "1996"]), (1, ["5 h", "1996"]), (2, ["3 i", "", "1996"])], "qid int, needles array<string>")
+    assert {r["qid"] for r in containment.containing(asked, texts).collect()} == {2}
+    assert [r["_n"] for r in written[-1].collect()] == [10]  # no text is checked for the others
+
+
+def test_pages_are_made_by_all_cores(spark):
+    from graphloom.sources import corpus, tables
+
+    rows = tables.table(spark, "/root/testdata/sf0.001", "orders")
+    assert corpus.spread_out(rows, "o_orderkey").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert sorted(map(str, corpus.corpus(spark, "/root/testdata/sf0.001", spread=True).collect())) == sorted(map(str, corpus.corpus(spark, "/root/testdata/sf0.001").collect()))
