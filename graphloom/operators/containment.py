@@ -22,8 +22,8 @@ GRAM = 6
 PART_ROWS, MOST_SPLIT = 100_000, 1000
 #: Asked grams (8 bytes each) up to this number are brought to the texts.
 FEW_GRAMS = 1_000_000
-#: Signs whose grams are made at once.
-SIGNS = 1_000_000
+#: Signs whose grams are made at once: their hashes stay in a core's cache.
+SIGNS = 100_000
 
 
 def _hashes(signs: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:

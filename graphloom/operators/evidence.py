@@ -119,11 +119,16 @@ def run_states(log: DataFrame, max_tools: int = MAX_TOOL_CALLS, max_repairs: int
 
 
 def answers(runs: DataFrame) -> DataFrame:
-    """The final answer of ``run, candidate, model, verdict, n_facts``: a number stays unless the model's text holds it; otherwise the model's text if it is one; none without evidence."""
+    """The final answer of ``run, candidate, model, verdict, n_facts``, as ``final_answer`` gives it."""
+    return runs.select("run", final_answer().alias("answer"))
+
+
+def final_answer() -> Column:
+    """The final answer of a row with ``candidate, model, verdict, n_facts``: a number stays unless the model's text holds it; otherwise the model's text if it is one; none without evidence."""
     none = "INSUFFICIENT_EVIDENCE"
     c, m = F.coalesce("candidate", F.lit("")), F.coalesce("model", F.lit(""))
     usable = (m != "") & ~m.startswith("Q")
     number = F.when((m != "") & m.contains(c), m).otherwise(c)
     text = F.when(usable & (F.length(F.btrim(m)) > 3), m).otherwise(c)
     answer = F.when((c != "") & (c != none), F.when(c.rlike("^[0-9]+$"), number).otherwise(text)).when(usable, m).otherwise(c)
-    return runs.select("run", F.when((F.col("verdict") == "INSUFFICIENT") & (F.col("n_facts") == 0), none).otherwise(answer).alias("answer"))
+    return F.when((F.col("verdict") == "INSUFFICIENT") & (F.col("n_facts") == 0), none).otherwise(answer)

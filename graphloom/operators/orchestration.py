@@ -82,7 +82,7 @@ def _expanded(asked: DataFrame, seeds: DataFrame, edges: DataFrame | Adjacency,
     """
     kinds = asked.select("qid", "question", "list", expansion.relational(F.col("question")).alias("kind"))
     once = tables.written(kinds.groupBy("list", "kind").agg(F.min(F.struct("qid", "question")).alias("r")).select("list", "kind", "r.*"))
-    found = expansion.retrieve(once.select("qid", "question"), once.select("qid", "list").join(seeds, "list").drop("list"), edges, limits)["evidence"]
+    found = expansion.evidence_of(once.select("qid", "question"), once.select("qid", "list").join(seeds, "list").drop("list"), edges, limits)
     nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("chunk_id").desc()))
     found = found.select("qid", nth.alias("nth"), "chunk_id", "doc_id", "score", "source").join(once.select("qid", "list", "kind"), "qid").drop("qid")
     return kinds.select("qid", "list", "kind").join(tables.written(found), ["list", "kind"]).drop("list", "kind")
@@ -171,14 +171,15 @@ def orchestrate(asked: DataFrame, seeds: DataFrame, vertices: DataFrame, edges:
     runs = cut(runs.select("run", "question", "strategy", F.coalesce("answer", document, F.lit("")).alias("answer")), "said")
 
     kept = cut(evidence.ledger(items, checked=True), "kept")
-    verdicts = cut(evidence.verify(runs, kept, ascii_only), "verdicts")
+    verdicts = cut(evidence.verify(runs, kept, ascii_only).select("run", "n_facts", "verdict", "focus"), "verdicts")
     more, repaired = repair(verdicts, analysed, kept, lists, vertices, edges, limits, budget, ascii_only, cut)
     repaired = cut(repaired, "repaired")
     whole = cut(evidence.ledger(items.unionByName(more), checked=True), "whole")
-    again = evidence.verify(runs.join(repaired.select("run"), "run", "left_semi"), whole, ascii_only)
-    final = verdicts.join(repaired.select("run"), "run", "left_anti").unionByName(again)
+    mended = whole.join(repaired.select("run"), "run", "left_semi")
+    again = evidence.verify(runs.join(repaired.select("run"), "run", "left_semi"), mended, ascii_only).select("run", "n_facts", "verdict")
+    final = verdicts.join(repaired.select("run"), "run", "left_anti").select("run", "n_facts", "verdict").unionByName(again)
     behind = ranked.join(repaired.select("run"), "run", "left_anti").select("run", "document_id", "rank")
-    documents = behind.unionByName(evidence.rerank(evidence.ledger_documents(whole.join(repaired.select("run"), "run", "left_semi")), ranked.join(repaired.select("run"), "run", "left_semi")))
-    said = evidence.answers(final.select("run", "verdict", "n_facts").join(runs.select("run", F.col("answer").alias("candidate")), "run").withColumn("model", F.lit("")))
-    out = runs.select("run", "strategy", F.col("answer").alias("candidate")).join(verdicts.select("run", F.col("verdict").alias("first_verdict")), "run").join(final.select("run", "verdict", "n_facts"), "run").join(repaired, "run", "left").join(said, "run")
+    documents = behind.unionByName(evidence.rerank(evidence.ledger_documents(mended), ranked.join(repaired.select("run"), "run", "left_semi")))
+    out = runs.select("run", "strategy", F.col("answer").alias("candidate")).join(verdicts.select("run", F.col("verdict").alias("first_verdict")), "run").join(final, "run").join(repaired, "run", "left")
+    out = out.withColumn("model", F.lit("")).withColumn("answer", evidence.final_answer()).drop("model")
     return {"runs": each(out), "documents": each(documents), "ledger": each(whole), "repairs": each(repaired), "same": same}

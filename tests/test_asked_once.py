@@ -53,9 +53,9 @@ def test_equal_questions_with_equal_seeds_run_once(spark, monkeypatch):
     from graphloom.operators import orchestration, telemetry
 
     routed, expanded = [], []
-    plain, retrieve = questions.route, expansion.retrieve
+    plain, evidence_of = questions.route, expansion.evidence_of
     monkeypatch.setattr(questions, "route", lambda asked: routed.append(asked.count()) or plain(asked))
-    monkeypatch.setattr(expansion, "retrieve", lambda asked, *rest: expanded.append(asked.count()) or retrieve(asked, *rest))
+    monkeypatch.setattr(expansion, "evidence_of", lambda asked, *rest: expanded.append(asked.count()) or evidence_of(asked, *rest))
     asked = spark.createDataFrame([(f"q{i}", f"Who represented the country in {1996 + i // 16}?") for i in range(32)] + [("x", "Who represented the country in 1996?"), ("y", None)], "qid string, question string")
     # a double row of seeds is another list, and the order of the rows makes none
     seeds = [(f"q{i}", f"e{(i % 4) + k}#c0000", 0.5 + k / 10, k) for i in range(32) for k in ((2, 1) if i % 8 else (1, 2))] + [("x", "e0#c0000", 0.7, 2)] + [("x", "e1#c0000", 0.6, 1)] * 2
