@@ -94,3 +94,14 @@ def test_pages_are_made_by_all_cores(spark):
     rows = tables.table(spark, "/root/testdata/sf0.001", "orders")
     assert corpus.spread_out(rows, "o_orderkey").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
     assert sorted(map(str, corpus.corpus(spark, "/root/testdata/sf0.001", spread=True).collect())) == sorted(map(str, corpus.corpus(spark, "/root/testdata/sf0.001").collect()))
+
+
+def test_a_step_counts_all_runs_that_one_stands_for(spark):
+    from graphloom.operators import telemetry
+
+    recorder = telemetry.Recorder()
+    recorder.cut(spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "run string, seq int"), "first")
+    recorder.cut(spark.createDataFrame([], "qid string"), "second")
+    same = spark.createDataFrame([("a", "a"), ("x", "a"), ("b", "b")], "run string, as_run string")
+    assert [(r.step, r.n_rows, r.after) for r in recorder.rows(spark, same).orderBy("number").collect()] == [("first", 5, ""), ("second", 0, "first")]
+    assert [r.n_rows for r in recorder.rows(spark).orderBy("number").collect()] == [3, 0]
